@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 _MODULES = (
+    "quality_rules",
     "mixing",
+    "secret_scan",
 )
 
 
