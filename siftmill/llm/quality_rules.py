@@ -21,10 +21,12 @@ empty result. Further columns are kept; of columns named like a result column, t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import GAP, table, written
+from siftmill.llm.common import GAP, let, table, written
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -54,39 +56,44 @@ def _left_of(text: Column, kept: str) -> Column:
 
 def repeated_words(hashes: Column) -> Column:
     """Words covered by windows whose hash (one for each window, in order) occurs twice or more."""
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    again = F.filter(
-        F.transform(ordered, lambda x, k: F.struct(x["i"].alias("i"), ((k > 0) & (F.get(ordered, k - 1)["h"] == x["h"])).alias("a"), (F.get(ordered, k + 1)["h"] == x["h"]).alias("b"))),
-        lambda x: x["a"] | F.coalesce(x["b"], F.lit(False)),
-    )
-    starts = F.array_sort(F.transform(again, lambda x: x["i"]))
+
+    def starts(ordered: Column) -> Column:
+        hash_at = lambda k: F.get(ordered, k)["h"]
+        again = F.transform(ordered, lambda x, k: F.when(((k > 0) & (hash_at(k - 1) == x["h"])) | (hash_at(k + 1) == x["h"]), x["i"]))
+        return F.sort_array(F.filter(again, lambda i: i.isNotNull()))
+
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     zero = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
-    counted = F.aggregate(starts, zero, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).cast("long").alias("n")))
+    counted = F.aggregate(let(ordered, starts), zero, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).cast("long").alias("n")))
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(counted["n"])
 
 
 def _histograms(docs: DataFrame) -> DataFrame:
     """Add ``_q_words`` and the counts of both histograms, from each row alone."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    listed = sorted({w for words in COMMON.values() for w in words})
+    any_listed = sorted({w for words in COMMON.values() for w in words})
     found = docs.withColumn("_q_words", F.filter(F.split(text, GAP), lambda w: w != ""))
     found = found.withColumns(
         {
             "n_words": F.size("_q_words").cast("long"),
             "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
             "n_symbols": _left_of(text, SYMBOLS).cast("long"),
-            "_q_hits": F.concat(F.lit("|"), F.array_join(F.filter("_q_words", lambda w: w.isin(listed)), "||"), F.lit("|")),
+            "_q_hits": F.concat(F.lit("|"), F.array_join(F.filter("_q_words", lambda w: w.isin(any_listed)), "||"), F.lit("|")),
         }
     )
     classes = [_left_of(text, pattern) for pattern in CLASSES.values()]
     found = found.withColumn("_q_class", F.array(*[c.cast("long") for c in classes], F.col("n_symbols")))
     rest = F.col("word_chars") - F.aggregate("_q_class", F.lit(0).cast("long"), lambda a, x: a + x)
     found = found.withColumn("_q_class", F.array_append("_q_class", F.greatest(rest, F.lit(0).cast("long"))))
-    count = lambda w: ((F.length("_q_hits") - F.length(F.replace(F.col("_q_hits"), F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("long")
-    own = F.lit(None).cast("array<bigint>")
+    listed = F.lit(None).cast("array<string>")
     for lang, words in COMMON.items():
-        own = F.when(F.col("lang") == lang, F.array(*[count(w) for w in words])).otherwise(own)
-    found = found.withColumn("_q_common", own)
+        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
+    hits = F.col("_q_hits")
+
+    def count(word: Column) -> Column:
+        return ((F.length(hits) - F.length(F.replace(hits, F.concat(F.lit("|"), word, F.lit("|")), F.lit("")))) / (F.length(word) + 2)).cast("long")
+
+    found = found.withColumn("_q_common", F.transform(listed, count))
     seen = F.aggregate("_q_common", F.lit(0).cast("long"), lambda a, x: a + x)
     return found.withColumn("_q_common", F.array_append("_q_common", F.col("n_words") - seen)).drop("_q_hits")
 
@@ -107,13 +114,13 @@ def js_distance(a: Column, b: Column) -> Column:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
     share = lambda x, n: F.when(n > 0, F.transform(x, lambda v: v / n))
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    terms = F.zip_with(share(a, total(a)), share(b, total(b)), lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)
+    shares = lambda x: let(total(x), lambda n: share(x, n))
+    terms = F.zip_with(shares(a), shares(b), lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)
     return F.sqrt(F.greatest(total(terms), F.lit(0.0)))
 
 
-def _with_next(step: int) -> Column:
-    hashes = F.col("_q_hashes")
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
+def _with_next(step: int) -> Callable[[Column], Column]:
+    return lambda hashes: F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -123,17 +130,17 @@ def judge(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = _histograms(docs)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    found = found.withColumn("_q_lines", lines).withColumn("_q_hashes", F.transform("_q_words", lambda w: F.xxhash64(w)))
+    hashes = F.transform("_q_words", lambda w: F.xxhash64(w))
     for step in (1, 2, 4):  # hashes of 2, 4 and at last 8 words
-        found = found.withColumn("_q_hashes", _with_next(step))
-    windows = F.slice("_q_hashes", 1, F.greatest(F.col("n_words") - WINDOW + 1, F.lit(0)).cast("int"))
-    found = found.withColumn("_q_windows", windows).withColumns(
+        hashes = let(hashes, _with_next(step))
+    windows = F.slice(hashes, 1, F.greatest(F.col("n_words") - WINDOW + 1, F.lit(0)).cast("int"))
+    found = found.withColumns(
         {
-            "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_q_windows")),
+            "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+            "n_repeat_words": let(windows, repeated_words),
         }
     )
-    found = found.drop("_q_words", "_q_lines", "_q_hashes", "_q_windows")
+    found = found.drop("_q_words")
     found = found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     found = found.withColumn("_q_key", F.coalesce("lang", F.lit("*")))
     found = found.join(references(docs), F.col("_q_key") == F.col("_q_lang"), "left")
@@ -162,7 +169,7 @@ def _sql() -> str:
     chars = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
     kept = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "mark": r"""[^.,;:!?''"()\[\]/_=+-]+""", "beyond": r"[\x00-\x7F]+"}
     classes = ", ".join(chars(p) for p in kept.values())
-    common = " ".join(f"WHEN '{lang}' THEN list_transform([{', '.join(repr(w) for w in words)}], c -> len(list_filter(w, x -> x = c)))" for lang, words in COMMON.items())
+    common = " ".join(f"WHEN '{lang}' THEN list_transform([{', '.join(repr(w) for w in words)}], lambda c: len(list_filter(w, lambda x: x = c)))" for lang, words in COMMON.items())
     n_class, n_common = len(CLASSES) + 2, 21
     sums = ", ".join(f"sum({a}[{i}])::BIGINT" for a, n in (("cls", n_class), ("com", n_common)) for i in range(1, n + 1))
     names = [f"{a}{i}" for a, n in (("c", n_class), ("w", n_common)) for i in range(1, n + 1)]
@@ -172,12 +179,12 @@ def _sql() -> str:
     def distance(a: str, b: str) -> str:
         p, q = f"({a}[i] / list_sum({a}))", f"({b}[i] / list_sum({b}))"
         part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
-        return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({a}) + 1), i -> ({part(p, q)} + {part(q, p)}) / 2))))"
+        return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({part(p, q)} + {part(q, p)}) / 2))))"
 
     return rf"""
 WITH w0 AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 w1 AS (SELECT *, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {chars(r'[^#*$%&|<>]+')}::BIGINT AS n_symbols,
-  list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM w0),
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM w0),
 w2 AS (SELECT *, [{classes}, n_symbols] AS cls0, CASE lang {common} END AS com0 FROM w1),
 h AS (SELECT *, list_append(cls0, greatest(0, word_chars - list_sum(cls0))) AS cls, CASE WHEN com0 IS NOT NULL THEN list_append(com0, n_words - list_sum(com0)) END AS com FROM w2),
 win AS (SELECT rid, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS x FROM w0, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i)),

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import table, written
+from siftmill.llm.common import let, table, written
 
 SCOPE = 200
 MASK = "[secret]"
@@ -57,38 +57,46 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
 
 
-def spans_of(text: Column, kind: str, pattern: str, holds: Callable[[Column], Column]) -> Column:
-    """The matches of ``pattern`` in ``text`` with ``holds`` at their ordinal, as spans."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, matches, lambda b, m: (F.length(b) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / _CHUNK).cast("int")), lambda c: _sum(F.slice(steps, c * _CHUNK + 1, _CHUNK)))
+def spans_of(text: Column, kind: str, pattern: str, tested: Column, holds: Callable[[Column], Column]) -> Column:
+    """The matches of ``pattern`` in ``text`` as spans, those where ``holds`` is true for what
+    ``tested`` has at their ordinal."""
 
-    def span(m: Column, i: Column) -> Column:
-        chunk = F.floor(i / _CHUNK).cast("int")
-        start = _sum(F.slice(chunks, 1, chunk)) + _sum(F.slice(steps, chunk * _CHUNK + 1, i % _CHUNK)) + F.length(F.get(between, i))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(KINDS.index(kind)).alias("kind"), holds(i).alias("holds"))
+    def spans(x: Column) -> Column:
+        """x: m, the matches; b, the texts before each; t, what is tested; n, lengths of b and m;
+        c, sums of n by chunk."""
 
-    found = F.filter(F.transform(matches, span), lambda s: s["holds"])
-    return F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(_SPAN)
+        def span(m: Column, i: Column) -> Column:
+            chunk = F.floor(i / _CHUNK).cast("int")
+            start = _sum(F.slice(x["c"], 1, chunk)) + _sum(F.slice(x["n"], chunk * _CHUNK + 1, i % _CHUNK)) + F.length(F.get(x["b"], i))
+            return F.when(holds(F.get(x["t"], i)), F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(KINDS.index(kind)).alias("kind")))
+
+        return F.filter(F.transform(x["m"], span), lambda s: s.isNotNull())
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"), tested.alias("t"))
+    steps = lambda x: F.zip_with(x["b"], x["m"], lambda b, m: (F.length(b) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+    chunks = lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / _CHUNK).cast("int")), lambda c: _sum(F.slice(n, c * _CHUNK + 1, _CHUNK)))
+    return let(found, lambda x: let(steps(x), lambda n: let(F.struct(x["m"].alias("m"), x["b"].alias("b"), x["t"].alias("t"), n.alias("n"), chunks(n).alias("c")), spans))).cast(_SPAN)
 
 
 def base_spans(text: Column) -> Column:
     """All base spans, ordered by start, then kind."""
     found = []
     for kind, (pattern, group, least) in BASE.items():
-        tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        own = spans_of(text, kind, pattern, lambda i, tested=tested, least=least: F.length(F.get(tested, i)) >= least)
+        own = spans_of(text, kind, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), _at_least(least))
         found.append(F.when(text.rlike(pattern), own).otherwise(F.array().cast(_SPAN)))
     return F.array_sort(F.concat(*found), _by_start)
 
 
+def _at_least(n: int) -> Callable[[Column], Column]:
+    return lambda t: F.length(t) >= n
+
+
 def weak_spans(text: Column) -> Column:
     found = []
     for kind, pattern in WEAK.items():
-        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        holds = (lambda i, matches=matches: F.get(matches, i).rlike("[A-Za-z]")) if kind == "weak_secret" else (lambda i: F.lit(True))
-        found.append(F.when(text.rlike(pattern), spans_of(text, kind, pattern, holds)).otherwise(F.array().cast(_SPAN)))
+        holds = (lambda t: t.rlike("[A-Za-z]")) if kind == "weak_secret" else (lambda t: t.isNotNull())
+        own = spans_of(text, kind, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), holds)
+        found.append(F.when(text.rlike(pattern), own).otherwise(F.array().cast(_SPAN)))
     return F.concat(*found)
 
 
