@@ -8,6 +8,7 @@ _MODULES = (
     "simhash_dedup",
     "quality_rules",
     "mixing",
+    "packing",
     "secret_scan",
 )
 
