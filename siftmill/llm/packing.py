@@ -4,7 +4,8 @@ A document's tokens are its text's ids and a closing id 0. Only documents longer
 are cut, into full pieces and a rest. Pieces go into sequences ("bins") of at most ``LENGTH``
 tokens: each is placed where the sum over all residual gaps of the squared number of open bins
 with that gap becomes smallest (Csirik et al., On the Sum-of-Squares Algorithm for Bin Packing,
-2006), a new bin being one of the places. Full pieces are sequences by themselves.
+2006). As all pieces of a group are known, they go in by falling length and a new bin is opened only
+for a piece that fits nowhere, which takes fewer bins. Full pieces are sequences by themselves.
 
 Texts are read once, by the tasks that scan them; they give a few numbers per piece, which are
 written. Pieces are dealt by hash into groups of about ``GROUP`` and each group is packed by itself,
@@ -142,9 +143,9 @@ def sum_of_squares(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray,
         change = np.where(now > 0, 2 * (count[: size - n] - now) + 2, never)
         if len(change) and now[0]:
             change[0] = 1 - 2 * now[0]  # the bin gets full
-        gap = n + int(change.argmin()) if len(change) else size
-        fresh = 2 * count[size - n] + 1 if n < size else 0
-        if gap == size or change[gap - n] > fresh:
+        at = int(change.argmin()) if len(change) else 0
+        gap = n + at
+        if not len(change) or not now[at]:  # it fits nowhere
             gap, which, opened = size, opened, opened + 1
         else:
             which = waiting[gap].pop()
