@@ -9,6 +9,7 @@ _MODULES = (
     "quality_rules",
     "mixing",
     "packing",
+    "language_id",
     "secret_scan",
 )
 
