@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = (
+    "topk_search",
     "simhash_dedup",
     "quality_rules",
     "mixing",
