@@ -102,7 +102,7 @@ def mix(docs: DataFrame) -> DataFrame:
     by_source = sources.withColumnRenamed("source", "_s")
     shards = sums.join(by_source, sums["source"].eqNullSafe(by_source["_s"])).groupBy("source", shard.alias("shard")).agg(F.sum("words").alias("words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     shards = sainte_lague(shards, ["source"], "words", "source_quota", [F.col("shard")])
-    blocks = F.ceil(F.col("words") / F.col("block"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("block")))
     quota = F.least(F.col("quota"), MAX_REPEATS * blocks)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "#"), F.coalesce("source", F.lit("")), F.lit("#"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long") % blocks
     shards = shards.select(F.col("source").alias("_q"), F.col("shard").alias("_m_shard_q"), blocks.alias("_m_blocks"), F.floor(quota / blocks).alias("_m_passes"), (quota % blocks).alias("_m_extra"), offset.alias("_m_offset"))
