@@ -7,6 +7,7 @@ import importlib
 _MODULES = (
     "topk_search",
     "simhash_dedup",
+    "html_extract",
     "quality_rules",
     "mixing",
     "packing",
