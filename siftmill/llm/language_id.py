@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import table
+from siftmill.llm.common import table, written
 
 LONGEST = 3
 BUCKETS = 1 << 18
@@ -129,9 +129,13 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Model | None:
     """Learn from ``doc_id, text, lang`` of rows that aren't held out."""
     length = F.length("text")
     able = docs.select("doc_id", "text", "lang").filter(~_held_out() & F.col("lang").isNotNull() & length.between(sample.least_chars, sample.most_chars) & F.col("text").rlike(r"\p{L}"))
-    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    rows = able.withColumn("nth", nth).filter(F.col("nth") <= sample.rows_a_language).orderBy("nth", "lang").limit(sample.rows).select("text", "lang").collect()
+    # Few more rows than wanted pass a threshold on the hash, so that the largest language's rows
+    # don't meet in one task; the smallest hashes of those are taken.
+    counts = written(docs.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_of")), "languages")
+    share = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
+    some = able.withColumn("_at", share).join(counts, F.col("lang") == F.col("_lang")).filter(F.col("_at") * F.col("_of") <= 3 * sample.rows_a_language)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_at"))
+    rows = some.withColumn("nth", nth).filter(F.col("nth") <= sample.rows_a_language).orderBy("nth", "lang").limit(sample.rows).select("text", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], sample)
 
 
