@@ -12,6 +12,7 @@ _MODULES = (
     "mixing",
     "packing",
     "language_id",
+    "warc",
     "secret_scan",
 )
 
