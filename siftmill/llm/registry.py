@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = (
+    "suffix_dedup",
     "topk_search",
     "simhash_dedup",
     "html_extract",
