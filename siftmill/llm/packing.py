@@ -40,6 +40,7 @@ LENGTH = 2048
 GROUP = 8192
 #: Parts in the table before it is emptied; some 200 MB.
 _MOST_PARTS = 800_000
+_RUN = 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the vocabulary's pattern
 #: Marks but the apostrophe, with which the pattern's contractions begin.
 _MARKS = string.punctuation.replace("'", "")
@@ -63,22 +64,21 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.parts: dict[str, bytes] = {}
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = [p.decode() for p in text.encode().split()] if _ODD.search(text) else text.split()
-        found = list(map(self.parts.get, parts))
-        if None in found:
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [[p.decode() for p in t.encode().split()] if _ODD.search(t) else t.split() for t in (t or "" for t in texts)]
+        found = [list(map(self.parts.get, parts)) for parts in split]
+        new = [[i for i, ids in enumerate(have) if ids is None] if None in have else () for have in found]
+        if any(new):
             if len(self.parts) > _MOST_PARTS:
                 self.parts.clear()
-            new = [i for i, ids in enumerate(found) if ids is None]
-            self._learn({parts[i] for i in new})
-            for i in new:
-                found[i] = self.parts[parts[i]]
-        return b"".join(found)
+            self._learn({parts[i] for parts, gaps in zip(split, new) for i in gaps})
+            for parts, have, gaps in zip(split, found, new):
+                for i in gaps:
+                    have[i] = self.parts[parts[i]]
+        return list(map(b"".join, found))
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, parts: set[str]) -> None:
         """Parts of letters and closing marks share the ids of the letters, which the pattern keeps
@@ -94,7 +94,8 @@ class Encoder:
             ids = self._encode(" ".join(new))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(new):
-                self.parts.update(zip(new, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                self.parts.update(zip(new, [raw[a:z] for a, z in zip([0, *ends], ends)]))
             else:
                 self.parts.update((x, self._encode(x).tobytes()) for x in new)
         for part in parts:
@@ -113,6 +114,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _encoded(encode: Encoder, texts: list[str | None]) -> Iterator[bytes]:
+    """Ids of each text, taken together in runs of about ``_RUN`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= _RUN:
+            yield from encode(held)
+            held, size = [], 0
+    yield from encode(held)
+
+
 def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
@@ -120,8 +133,8 @@ def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
         encode = encoder(vocabulary)
         for part in parts:
             rows: list[tuple] = []
-            for at, text in enumerate(part["text"]):
-                ids = encode(text) + b"\0\0\0\0"
+            for at, ids in enumerate(_encoded(encode, part["text"].tolist())):
+                ids += b"\0\0\0\0"
                 for k, start in enumerate(range(0, len(ids), 4 * LENGTH)):
                     own = ids[start : start + 4 * LENGTH]
                     rows.append((at, k, start // 4, len(own) // 4, zlib.crc32(own)))
