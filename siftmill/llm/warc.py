@@ -165,7 +165,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     first = written(first, "payloads")
     total = first.agg(F.sum("bytes")).first()[0] or 0
     archives = max(1, -(-total // ARCHIVE_BYTES))
-    twice = first.filter("n > 1 AND first IS NOT NULL").select(F.col("sha1").alias("same"), "first")
+    # Written, so that its size is known when the join is planned: pages are shuffled for it only
+    # where it is large.
+    twice = written(first.filter("n > 1 AND first IS NOT NULL").select(F.col("sha1").alias("same"), "first"), "repeated-payloads")
     told = known.join(twice, (F.col("sha1") == F.col("same")) & (size >= LEAST_BYTES), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     dealt = told.select("page_id", "url", "payload", "sha1", refers.alias("refers_to"), F.pmod(F.xxhash64("page_id", "sha1"), F.lit(archives)).cast("int").alias("archive"))
