@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,12 +42,13 @@ from siftmill.llm.common import scratch_path, shared_dir, table, written
 
 LENGTH = 200
 CORE = 64
-BATCH, HOT = 2048, 4096
+BATCH, HOT = 512, 4096
 IN_MEMORY = 256 << 20
 _PART = 1 << 20
 _WIDTH = LENGTH - CORE + 1
+_CLASSES = 8
 _FACTOR = 0x9E3779B97F4A7C15
-_ANCHOR = "akey long, span long, file long, row long, start int, windows int"
+_ANCHOR = "akey long, span long, file long, row long, start int, windows int, core int"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -62,12 +64,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP: list[np.ndarray] = []
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts that lie in ``data`` (at most ``_PART`` bytes) one after another: for each span its
-    anchor's hash, its first window and its number of windows."""
+    anchor's hash, its first window, its number of windows, and how far its anchor is from its start."""
     empty = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty, empty, empty
     if not _UP:
         _UP.extend((_powers(_FACTOR, _PART + 1), _powers(pow(_FACTOR, -1, 1 << 64), _PART + 1)))
     # A polynomial hash of the CORE bytes from each position on, by differences of prefix sums.
@@ -91,11 +93,11 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     np.add.at(inside, stop[some], -1)
     windows = np.flatnonzero(np.cumsum(inside)[:n])
     if not len(windows):
-        return empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty, empty, empty
     at = least[windows]
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1))))
     count = np.diff(np.append(first, len(windows)))
-    return cores[at[first]], windows[first], count
+    return cores[at[first]], windows[first], count, at[first] - windows[first]
 
 
 def _batches(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -121,7 +123,7 @@ def _find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = b"".join(part for _, _, part in batch)
             ends = np.cumsum([len(part) for _, _, part in batch])
             starts = np.concatenate(([0], ends[:-1]))
-            keys, first, count = anchors(np.frombuffer(raw, np.uint8), starts, ends)
+            keys, first, count, core = anchors(np.frombuffer(raw, np.uint8), starts, ends)
             own = np.searchsorted(ends, first, "right")
             text, shift = (np.array([b[i] for b in batch], np.int64) for i in (0, 1))
             digest = xxhash.xxh3_64_intdigest
@@ -134,6 +136,7 @@ def _find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "row": rows[text[own]],
                     "start": (first - starts[own] + shift[own]).astype(np.int32),
                     "windows": count.astype(np.int32),
+                    "core": core.astype(np.int32),
                 }
             )
 
@@ -230,18 +233,39 @@ def repeated_windows(documents: list[bytes], columns: Columns | None = None) ->
     return np.split(start[order], np.searchsorted(owner[order], np.arange(1, len(documents))))
 
 
+def shared_parts(spans: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """Of spans (anchor, digest, core, bytes) those, by number, and the part of each, that can hold a
+    repeated window. Windows fall into classes by how many bytes they have left of the anchor's core;
+    what all windows of a class have in common must be in another span of the anchor too."""
+    step = (_WIDTH - 1) // _CLASSES
+    common = []
+    for akey, _, core, whole in spans:
+        ends = [(core - k * step, core + CORE + _WIDTH - 1 - (k + 1) * step) for k in range(_CLASSES)]
+        common.append([(akey, k, whole[a:z]) if a >= 0 and z <= len(whole) else None for k, (a, z) in enumerate(ends)])
+    seen = Counter(c for own in common for c in own)
+    found = []
+    for n, ((_, _, core, whole), own) in enumerate(zip(spans, common)):
+        held = [k for k, c in enumerate(own) if c is not None and seen[c] > 1]
+        if held:
+            a, z = max(0, core - (held[-1] + 1) * step), min(len(whole), core - held[0] * step + LENGTH)
+            if z - a >= LENGTH:
+                found.append((n, a, z))
+    return found
+
+
 def _solver(folder: str):
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(held: list[tuple]) -> pd.DataFrame:
-            documents = [h[2] for h in held]
+            cut = shared_parts(held)
+            documents = [held[k][3][a:z] for k, a, z in cut]
             room = sum(map(len, documents)) * 24
-            starts = repeated_windows(documents, Columns(folder if room > IN_MEMORY else None))
-            found = [(a, s, x.tolist()) for (a, s, _), x in zip(held, starts) if len(x)]
+            starts = repeated_windows(documents, Columns(folder if room > IN_MEMORY else None)) if cut else []
+            found = [(held[k][0], held[k][1], (x + a).tolist()) for (k, a, _), x in zip(cut, starts) if len(x)]
             return pd.DataFrame(found, columns=["akey", "span", "offsets"]).astype({"akey": "int64", "span": "int64"})
 
         held: list[tuple] = []
         for frame in parts:
-            for row in zip(frame["akey"].tolist(), frame["span"].tolist(), frame["bytes"].tolist()):
+            for row in zip(frame["akey"].tolist(), frame["span"].tolist(), frame["core"].tolist(), frame["bytes"].tolist()):
                 if len(held) >= BATCH and row[0] != held[-1][0]:
                     yield solved(held)
                     held = []
@@ -299,15 +323,15 @@ def _extract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, _, text in _texts(path):
             while at < len(wanted) and wanted[at].row == row:
                 w = wanted[at]
-                rows.append((w.akey, w.span, text[int(w.start) : int(w.start) + int(w.windows) + LENGTH - 1]))
+                rows.append((w.akey, w.span, w.core, text[int(w.start) : int(w.start) + int(w.windows) + LENGTH - 1]))
                 at += 1
             if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=["akey", "span", "bytes"]).astype({"akey": "int64", "span": "int64"})
+                yield pd.DataFrame(rows, columns=["akey", "span", "core", "bytes"]).astype({"akey": "int64", "span": "int64"})
                 rows = []
             if at == len(wanted):
                 break
         if rows:
-            yield pd.DataFrame(rows, columns=["akey", "span", "bytes"]).astype({"akey": "int64", "span": "int64"})
+            yield pd.DataFrame(rows, columns=["akey", "span", "core", "bytes"]).astype({"akey": "int64", "span": "int64"})
 
 
 def _hash_windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -364,11 +388,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     again = located.mapInPandas(_keys_only, "akey long").groupBy("akey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("akey")
     found = written(located.mapInPandas(_find, _ANCHOR).join(again, "akey"), "anchors")
-    spans = found.groupBy("akey", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "start", "windows")).alias("one"))
+    spans = found.groupBy("akey", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "start", "windows", "core")).alias("one"))
     spans = written(spans.select("akey", "span", "n", "one.*"), "spans")
     variety = spans.groupBy("akey").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     edges = spans.join(variety, "akey")
-    whole = written(_by_file(edges.select("akey", "span", "file", "row", "start", "windows"), files).mapInPandas(_extract, "akey long, span long, bytes binary"), "edges")
+    whole = written(_by_file(edges.select("akey", "span", "file", "row", "start", "windows", "core"), files).mapInPandas(_extract, "akey long, span long, core int, bytes binary"), "edges")
     hot = variety.filter(F.col("many") > HOT).select("akey")
     tame = whole.join(hot, "akey", "left_anti")
     offsets = "akey long, span long, offsets array<int>"
