@@ -30,7 +30,8 @@ def rows_of_sql(sql: str, folder: str = SMALL, tables: dict | None = None):
         if tables and name in tables:
             con.register(name, tables[name])
         elif os.path.exists(path):
-            con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+            files = f"{path}/*.parquet" if os.path.isdir(path) else path
+            con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{files}')")
     found = con.sql(sql)
     columns = sorted(found.columns)
     at = [found.columns.index(c) for c in columns]
