@@ -178,3 +178,26 @@ def by_type_with_members(nodes: DataFrame, contains: DataFrame, kind: str) -> Da
     own = nodes.filter((F.col("type") == kind) & ~is_test_file(F.col("node_id")))
     members = contains.groupBy(F.col("src").alias("node_id")).agg(F.array_sort(F.collect_list("dst")).alias("members"))
     return own.join(members, "node_id", "left").withColumn("members", F.coalesce("members", F.array().cast("array<string>")))
+
+
+def explore(nodes: DataFrame, edges: DataFrame, start: list[str], direction: str = "downstream", depth: int = 1, node_types: list[str] | None = None, edge_types: list[str] | None = None) -> DataFrame:
+    """Edges among the nodes within ``depth`` steps of ``start``, after checks of the arguments."""
+    if direction not in ("downstream", "upstream", "both"):
+        raise ValueError(f"direction: {direction}")
+    if depth < -1 or depth == 0:
+        raise ValueError(f"depth: {depth}")
+    known = {r["type"] for r in nodes.select("type").distinct().collect()}
+    if unknown := set(node_types or ()) - known:
+        raise ValueError(f"node types: {sorted(unknown)}")
+    roots = nodes.filter(F.col("node_id").isin(start)).select("node_id")
+    if missing := set(start) - {r["node_id"] for r in roots.collect()}:
+        raise ValueError(f"unknown nodes: {sorted(missing)}")
+    allowed = nodes.filter(F.col("type").isin(node_types)).select("node_id") if node_types else None
+    reached = k_hop(edges, roots, depth, direction, edge_types, allowed).select("node_id").distinct()
+    kept = edges.filter(F.col("etype").isin(edge_types)) if edge_types else edges
+    return subgraph(kept, reached)
+
+
+def as_json(paths: DataFrame) -> DataFrame:
+    """Paths of a walk as JSON texts, with the node, its parent and its depth."""
+    return paths.select(F.to_json(F.struct(F.element_at("path", -1).alias("node"), F.try_element_at("path", F.lit(-2)).alias("parent"), "depth")).alias("json"))

@@ -89,3 +89,23 @@ def floor_percentiles(values: DataFrame, column: str, shares: tuple[float, ...]
     wanted = F.explode(F.array(*map(F.lit, shares))).alias("share")
     at = ranked.select(column, "n", "upto", "of", wanted).withColumn("at", F.floor((F.col("of") - 1) * F.col("share")))
     return at.filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("share", F.col(column).alias("value"))
+
+
+def run_statistics(results: DataFrame) -> DataFrame:
+    """Of localisation results: how many found files, how many failed, and files on average."""
+    n = F.size(F.coalesce("found_files", F.array().cast("array<string>")))
+    return results.agg(F.count(F.lit(1)).alias("n"), F.count_if(n > 0).alias("found"), F.count_if(n == 0).alias("failed"), F.coalesce(F.avg(n), F.lit(0.0)).alias("mean_files"))
+
+
+def edited_file_counts(instances: DataFrame, most: int = 5) -> DataFrame:
+    """Instances by the number of files that their patch edits, up to ``most``, and by repository."""
+    from siftmill.operators.patches import changed_files
+
+    return instances.select("instance_id", "repo", F.size(changed_files(F.col("patch"))).alias("n_files")).filter(F.col("n_files") <= most).groupBy("repo", "n_files").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("instance_id")).alias("instances"))
+
+
+def fitted_tokens(function_tokens, context_tokens, most: int, most_context: int = 256):
+    """Token arrays packed for an encoder: the function's first, then as many of the context as fit."""
+    own = F.slice(function_tokens, 1, most)
+    room = F.least(F.lit(most) - F.size(own), F.lit(most_context))
+    return F.concat(own, F.slice(context_tokens, 1, F.greatest(room, F.lit(0))))

@@ -323,3 +323,126 @@ def skeleton_of(text: str, constants: bool = True) -> str:
 @F.pandas_udf(T.StringType())
 def skeleton(texts: pd.Series) -> pd.Series:
     return pd.Series([skeleton_of(t or "") for t in texts])
+
+
+def _tokens(text: str) -> int:
+    return len(text.split())
+
+
+def block_rows(path: str, text: str) -> Iterator[tuple]:
+    """(path, block_path, parent_path, kind, start, end, tokens, span_id): the tree of a module's
+    statements that have names or stand for others, by materialised paths. Repeated names get a number;
+    a block's tokens are those of its own lines, without its inner blocks'."""
+    tree, lines = parsed(text), text.split("\n")
+    if tree is None:
+        return
+    kinds = {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.Import: "import", ast.ImportFrom: "import", ast.Assign: "assignment", ast.AnnAssign: "assignment"}
+
+    def walk(node: ast.AST, above: tuple[str, ...], span: str | None) -> Iterator[tuple]:
+        seen: dict[str, int] = {}
+        for child in _inside(node):
+            kind = kinds.get(type(child), "statement")
+            name = child.name if kind in ("class", "function") else kind
+            if name == "__init__" and isinstance(node, ast.ClassDef):
+                kind = "constructor"
+            seen[name] = seen.get(name, 0) + 1
+            own = (*above, name if seen[name] == 1 else f"{name}_{seen[name]}")
+            start = min([child.lineno, *(d.lineno for d in getattr(child, "decorator_list", []))])
+            inner = [x for x in _inside(child) if kind in ("class", "function", "constructor")]
+            covered = {k for x in inner for k in range(x.lineno, x.end_lineno + 1)}
+            tokens = sum(_tokens(lines[k - 1]) for k in range(start, child.end_lineno + 1) if k not in covered)
+            named = ".".join(own) if kind in ("class", "function", "constructor") else span or ("imports" if kind == "import" else "impl")
+            yield path, list(own), list(above), kind, start, child.end_lineno, tokens, named
+            if kind in ("class", "function", "constructor"):
+                yield from walk(child, own, named)
+
+    yield from walk(tree, (), None)
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    return _rows(files, "path string, block_path array<string>, parent_path array<string>, kind string, start int, end int, tokens int, span_id string", block_rows)
+
+
+def syntax_chunk_rows(path: str, text: str, least: int = 100, size: int = 500, most: int = 2000, hard: int = 2000, most_chunks: int = 200) -> Iterator[tuple]:
+    """(path, chunk_no, start, end, tokens, span_ids, content): neighbouring statements grouped by a
+    budget of tokens; classes over it are entered. Small chunks join the smaller neighbour while the
+    result is within ``hard``, first all under ``least``, then until there are ``most_chunks``. A file
+    under ``least`` is one chunk; generated files over ``hard`` and files that don't parse give none."""
+    tree, lines = parsed(text), text.split("\n")
+    total = _tokens(text)
+    if tree is None or not total or (lines[0].startswith("#") and "generated" in lines[0].lower() and total > hard):
+        return
+    count = lambda a, z: sum(_tokens(x) for x in lines[a - 1 : z])
+    units: list[tuple[int, int, int, str]] = []
+
+    def cut(body: list[ast.stmt], span: str) -> None:
+        for node in body:
+            start = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
+            named = isinstance(node, (ast.ClassDef, *_DEFS))
+            own = f"{span}.{node.name}".lstrip(".") if named else span or ("imports" if isinstance(node, (ast.Import, ast.ImportFrom)) else "impl")
+            if named and count(start, node.end_lineno) > size and _inside(node):
+                units.append((start, max(start, node.body[0].lineno - 1), count(start, max(start, node.body[0].lineno - 1)), own))
+                cut(node.body, own)
+            elif count(start, node.end_lineno) <= most:
+                units.append((start, node.end_lineno, count(start, node.end_lineno), own))
+
+    cut(tree.body, "")
+    chunks: list[list] = []
+    for start, end, tokens, span in units if total >= least else [(1, len(lines), total, "impl")]:
+        if chunks and chunks[-1][2] + tokens <= size:
+            chunks[-1] = [chunks[-1][0], max(end, chunks[-1][1]), chunks[-1][2] + tokens, chunks[-1][3] | {span}]
+        else:
+            chunks.append([start, end, tokens, {span}])
+
+    def join(limit: Callable[[], bool]) -> None:
+        while len(chunks) > 1 and limit():
+            for k in sorted(range(len(chunks)), key=lambda k: (chunks[k][2], k)):
+                beside = [j for j in (k - 1, k + 1) if 0 <= j < len(chunks) and chunks[j][2] + chunks[k][2] <= hard]
+                if beside:
+                    a, z = sorted((k, min(beside, key=lambda j: chunks[j][2])))
+                    chunks[a : z + 1] = [[chunks[a][0], max(chunks[a][1], chunks[z][1]), chunks[a][2] + chunks[z][2], chunks[a][3] | chunks[z][3]]]
+                    break
+            else:
+                return
+
+    join(lambda: min(c[2] for c in chunks) < least)
+    join(lambda: len(chunks) > most_chunks)
+    for k, (start, end, tokens, spans) in enumerate(chunks):
+        yield path, k, start, end, tokens, sorted(spans), "\n".join(lines[start - 1 : end])
+
+
+def syntax_chunks(files: DataFrame, **budget: int) -> DataFrame:
+    return _rows(files, "path string, chunk_no int, start int, end int, tokens int, span_ids array<string>, content string", lambda path, text: syntax_chunk_rows(path, text, **budget))
+
+
+def code_split_rows(path: str, text: str, most_chars: int = 1500, fallback_lines: int = 40) -> Iterator[tuple]:
+    """(path, start, end, content): whole statements grouped up to ``most_chars``, longer ones entered;
+    fixed blocks of ``fallback_lines`` where the file doesn't parse. Lines from 0."""
+    tree, lines = parsed(text), text.split("\n")
+    if tree is None:
+        for a in range(0, len(lines), fallback_lines):
+            content = "\n".join(lines[a : a + fallback_lines])
+            if content.strip():
+                yield path, a, min(a + fallback_lines, len(lines)) - 1, content
+        return
+    spans: list[list[int]] = []
+
+    def cut(body: list[ast.stmt]) -> None:
+        for node in body:
+            start = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
+            size = len("\n".join(lines[start - 1 : node.end_lineno]))
+            if size > most_chars and _inside(node):
+                spans.append([start, max(start, node.body[0].lineno - 1)])
+                cut(node.body)
+            elif spans and len("\n".join(lines[spans[-1][0] - 1 : node.end_lineno])) <= most_chars:
+                spans[-1][1] = node.end_lineno
+            else:
+                spans.append([start, node.end_lineno])
+
+    cut(tree.body)
+    for start, end in spans:
+        yield path, start - 1, end - 1, "\n".join(lines[start - 1 : end])
+
+
+def code_splits(files: DataFrame) -> DataFrame:
+    return _rows(files, "path string, start int, end int, content string", code_split_rows)

@@ -67,3 +67,41 @@ def capped_spans(hits: DataFrame, by: list[str], most: int, per_file: int | None
 def entity_contents(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Nodes of ids in the ids' order (position, node_id)."""
     return ids.join(nodes, "node_id").orderBy("position")
+
+
+def hybrid(named: DataFrame, classes: DataFrame, functions: DataFrame, semantic: DataFrame, by: list[str], k: int = 25) -> DataFrame:
+    """Hits by class and function name together; where there are none, hits of either alone; where
+    there are none, semantic hits. Each option has by, file, span_id and score."""
+    return capped_spans(first_choice([named, classes.unionByName(functions).distinct(), semantic], by), by, k)
+
+
+def spans_of_hits(hits: DataFrame, blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """Vector hits (query_id, item, score) as spans: the blocks' span ids, or for blocks without any the
+    spans (file, span_id, start, end, tokens) on their lines; best score first, with running tokens."""
+    from pyspark.sql import Window
+
+    from siftmill.operators.ranges import overlap_join
+
+    found = hits.join(blocks, "item")
+    listed = found.filter(F.size("span_ids") > 0).select("query_id", "file", "score", F.explode("span_ids").alias("span_id"))
+    bare = found.filter(F.size("span_ids") == 0).select("query_id", "file", "score", "start", "end")
+    on_lines = overlap_join(bare, spans.select("file", "span_id", F.col("start").alias("other_start"), F.col("end").alias("other_end")), ["file"]).select("query_id", "file", "score", "span_id")
+    best = listed.unionByName(on_lines).groupBy("query_id", "file", "span_id").agg(F.max("score").alias("score"))
+    sized = best.join(spans.select("file", "span_id", "tokens"), ["file", "span_id"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "file", "span_id").rowsBetween(Window.unboundedPreceding, 0)
+    return sized.withColumn("tokens_so_far", F.sum("tokens").over(order))
+
+
+def line_windows(lines: DataFrame, around: int = 20) -> DataFrame:
+    """Wanted lines (file, line, last) as merged windows of ``around`` lines on either side."""
+    from siftmill.operators.ranges import merge
+
+    wide = lines.select("file", F.greatest(F.col("line") - around, F.lit(1)).alias("start"), F.least(F.col("line") + around, F.col("last")).alias("end"))
+    return merge(wide, ["file"])
+
+
+def grouped_results(results: DataFrame) -> DataFrame:
+    """Merged results (node_id, format, queries with position) by their queries, in the order of the
+    first of them, then by format."""
+    found = results.groupBy("queries").agg(F.min("position").alias("first"), F.sort_array(F.collect_list(F.struct("format", "node_id"))).alias("results"))
+    return found.orderBy("first", F.array_join("queries", ","))

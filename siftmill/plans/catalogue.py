@@ -770,3 +770,41 @@ def answer_locations(spark, sf_dir):
     answer = F.concat(F.lit("```\n"), "path", F.lit("\nclass: A\nfunction: A.run\n\nunknown.py\nline: 12\n```"))
     lines = docs.select(F.col("path").alias("answer_id"), F.posexplode(F.split(answer, "\n")).alias("position", "content"))
     return patches.answer_locations(lines, docs.select(F.col("path").alias("file")))
+
+
+@query()
+def code_syntax_chunks(spark, sf_dir):
+    return pyast.syntax_chunks(_sources(spark, sf_dir), least=10, size=30).select("path", "chunk_no", "start", "end", "tokens", F.array_join("span_ids", ",").alias("span_ids"))
+
+
+@query()
+def code_blocks(spark, sf_dir):
+    return pyast.blocks(_sources(spark, sf_dir)).select("path", F.array_join("block_path", ".").alias("block"), "kind", "start", "end", "tokens", "span_id")
+
+
+@query()
+def code_splits(spark, sf_dir):
+    return pyast.code_splits(_sources(spark, sf_dir)).select("path", "start", "end", _digest("content"))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, etype FROM edges WHERE (src = 'n1' OR dst = 'n1') AND substr(dst, 1, 1) IN ('c', 's')")
+def explore_graph(spark, sf_dir):
+    return graph.explore(_nodes(spark, sf_dir), _edges(spark, sf_dir), ["n1"], "downstream", 1, ["customer", "supplier"])
+
+
+@query("""WITH w AS (SELECT source AS file, greatest(n_chars % 97 - 20, 1) AS start, least(n_chars % 97 + 20, 100) AS "end" FROM documents WHERE doc_id % 11 = 0),
+o AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT file, min(start) AS start, max("end") AS "end" FROM i GROUP BY file, island""")
+def line_windows(spark, sf_dir):
+    lines = t(spark, sf_dir, "documents").filter("doc_id % 11 = 0").select(F.col("source").alias("file"), (F.col("n_chars") % 97).alias("line"), F.lit(100).cast("long").alias("last"))
+    return search.line_windows(lines)
+
+
+@query("""WITH h AS (SELECT user_id AS query_id, event_type AS file, event_id AS span_id, value AS score, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 0 WHEN value > 90 THEN 1 ELSE 2 END AS choice FROM events WHERE user_id % 3 = 0 OR event_type <> (SELECT min(event_type) FROM events)),
+b AS (SELECT *, min(choice) OVER (PARTITION BY query_id) AS best FROM h) SELECT query_id, file, span_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, span_id)::INTEGER AS rank FROM b WHERE choice = best) WHERE rank <= 3""")
+def hybrid_search(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    first = e.agg(F.min("event_type").alias("least"))
+    hits = e.join(F.broadcast(first)).filter("user_id % 3 = 0 OR event_type <> least").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("file"), F.col("event_id").alias("span_id"), F.col("value").alias("score"), (F.col("event_type") == F.col("least")).alias("named"))
+    own = lambda condition: hits.filter(condition).drop("named")
+    return search.hybrid(own("named"), own("NOT named AND score > 90"), own("NOT named AND score > 90"), own("NOT named AND score <= 90"), ["query_id"], 3).select("query_id", "file", "span_id", "rank")
