@@ -6,7 +6,8 @@ Base rules: a document fails with fewer than ``MIN_WORDS`` words, or when over
 Divergence: each document's histogram of character classes, and of the common words of its
 language, is compared with its language's reference by Jensen-Shannon distance (square root of the
 divergence in bits, 0 to 1). The references are sums over all documents of that ``lang`` that pass
-the length guard, so they follow the corpus at any size; they are a few numbers per language.
+the length guard and have ordinary text (at most ``MOST_RARE_PERCENT`` % of capitals, digits and
+symbols), so they follow the corpus at any size; they are a few numbers per language.
 Distances of short texts are mostly sampling noise, so each test has a minimum length, below which
 it doesn't reject. A document is kept if the base rules pass and neither distance is over its limit.
 
@@ -33,7 +34,9 @@ WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Words from which a document counts for the references and is tested.
 CLASS_GUARD, WORD_GUARD = 50, 100
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.4
+#: The limit for classes, and what it is higher for short texts: CLASS_NOISE divided by the words.
+MAX_CLASS_DISTANCE, CLASS_NOISE, MAX_WORD_DISTANCE = 0.18, 5.0, 0.4
+MOST_RARE_PERCENT = 15
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes besides symbols; what is left of the word characters is the last class.
@@ -101,8 +104,9 @@ def _histograms(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> DataFrame:
     """Per language, and for '*' over all: ``_q_ref_class`` and ``_q_ref_common``, summed counts."""
     n_class, n_common = len(CLASSES) + 2, max(map(len, COMMON.values())) + 1
+    rare = F.col("_q_class")[0] + F.col("_q_class")[1] + F.col("n_symbols")
     sums = [F.sum(F.col("_q_class")[i]).alias(f"c{i}") for i in range(n_class)] + [F.sum(F.col("_q_common")[i]).alias(f"w{i}") for i in range(n_common)]
-    by = written(_histograms(docs).filter(F.col("n_words") >= CLASS_GUARD).groupBy("lang").agg(*sums), "quality-references")
+    by = written(_histograms(docs).filter((F.col("n_words") >= CLASS_GUARD) & (100 * rare <= MOST_RARE_PERCENT * F.col("word_chars"))).groupBy("lang").agg(*sums), "quality-references")
     every = by.groupBy(F.lit("*").alias("_q_lang")).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_class)], *[F.lit(None).cast("bigint").alias(f"w{i}") for i in range(n_common)])
     both = by.filter("lang IS NOT NULL").withColumnRenamed("lang", "_q_lang").unionByName(every)
     common = F.array(*[F.col(f"w{i}") for i in range(n_common)])
@@ -145,7 +149,8 @@ def judge(docs: DataFrame) -> DataFrame:
     found = found.withColumn("_q_key", F.coalesce("lang", F.lit("*")))
     found = found.join(references(docs), F.col("_q_key") == F.col("_q_lang"), "left")
     found = found.withColumns({"class_distance": js_distance(F.col("_q_class"), F.col("_q_ref_class")), "word_distance": js_distance(F.col("_q_common"), F.col("_q_ref_common"))})
-    far = ((F.col("n_words") >= CLASS_GUARD) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    limit = F.when(F.col("n_words") >= CLASS_GUARD, MAX_CLASS_DISTANCE + CLASS_NOISE / F.col("n_words"))
+    far = ((F.col("n_words") >= CLASS_GUARD) & (F.col("class_distance") > limit)) | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     return found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(*docs.columns, *RESULT)
 
 
@@ -171,6 +176,7 @@ def _sql() -> str:
     classes = ", ".join(chars(p) for p in kept.values())
     common = " ".join(f"WHEN '{lang}' THEN list_transform([{', '.join(repr(w) for w in words)}], lambda c: len(list_filter(w, lambda x: x = c)))" for lang, words in COMMON.items())
     n_class, n_common = len(CLASSES) + 2, 21
+    ordinary = f"100 * (cls[1] + cls[2] + n_symbols) <= {MOST_RARE_PERCENT} * word_chars"
     sums = ", ".join(f"sum({a}[{i}])::BIGINT" for a, n in (("cls", n_class), ("com", n_common)) for i in range(1, n + 1))
     names = [f"{a}{i}" for a, n in (("c", n_class), ("w", n_common)) for i in range(1, n + 1)]
     every, nulls = ", ".join(f"sum(cls[{i}])::BIGINT" for i in range(1, n_class + 1)), ", ".join(["NULL"] * n_common)
@@ -192,12 +198,12 @@ twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, x) > 1
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, {WINDOW})) AS v(k) GROUP BY rid),
 base AS (SELECT h.*, coalesce(c.n, 0)::BIGINT AS n_repeat_words, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM h LEFT JOIN covered c USING (rid)),
 judged AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM base),
-refs({', '.join(['lang', *names])}) AS (SELECT lang, {sums} FROM h WHERE n_words >= {CLASS_GUARD} AND lang IS NOT NULL GROUP BY lang
-  UNION ALL SELECT '*', {every}, {nulls} FROM h WHERE n_words >= {CLASS_GUARD}),
+refs({', '.join(['lang', *names])}) AS (SELECT lang, {sums} FROM h WHERE n_words >= {CLASS_GUARD} AND {ordinary} AND lang IS NOT NULL GROUP BY lang
+  UNION ALL SELECT '*', {every}, {nulls} FROM h WHERE n_words >= {CLASS_GUARD} AND {ordinary}),
 ref AS (SELECT lang, {ref_c} AS rc, CASE WHEN w1 IS NOT NULL THEN {ref_w} END AS rw FROM refs),
 far AS (SELECT j.*, {distance('cls', 'rc')} AS cd, {distance('com', 'rw')} AS wd FROM judged j LEFT JOIN ref r ON coalesce(j.lang, '*') = r.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce((n_words >= {CLASS_GUARD} AND cd > {MAX_CLASS_DISTANCE}) OR (n_words >= {WORD_GUARD} AND wd > {MAX_WORD_DISTANCE}), false) AS kept
+  NOT base_failed AND NOT coalesce((n_words >= {CLASS_GUARD} AND cd > {MAX_CLASS_DISTANCE} + {CLASS_NOISE} / greatest(n_words, 1)) OR (n_words >= {WORD_GUARD} AND wd > {MAX_WORD_DISTANCE}), false) AS kept
 FROM far
 """
 
