@@ -20,7 +20,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
    by 128-bit hash in a partial aggregate instead. Nothing is capped.
 
 Defined cases. Null text: empty bytes. Texts shorter than ``LENGTH``: nothing is removed. Repeated
-rows: each other's copies. Null doc_id: an ordinary row. Very long texts: read in parts of 1 MiB that
+rows: each other's copies. Null doc_id: an ordinary row. Very long texts: read in parts of 128 KiB that
 overlap. An empty table: an empty result. Columns of the input other than doc_id and text aren't
 used, whatever their names.
 """
@@ -44,7 +44,7 @@ LENGTH = 200
 CORE = 64
 BATCH, HOT = 512, 4096
 IN_MEMORY = 256 << 20
-_PART = 1 << 20
+_PART = 1 << 17
 _WIDTH = LENGTH - CORE + 1
 _CLASSES = 8
 _FACTOR = 0x9E3779B97F4A7C15
@@ -116,6 +116,14 @@ def _batches(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
+def _keys_only(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in parts:
+        for batch in _batches(frame["text"].tolist()):
+            ends = np.cumsum([len(part) for _, _, part in batch])
+            keys = anchors(np.frombuffer(b"".join(part for _, _, part in batch), np.uint8), np.concatenate(([0], ends[:-1])), ends)[0]
+            yield pd.DataFrame({"akey": keys.view(np.int64)})
+
+
 def _find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in parts:
         files, rows = frame["file"].to_numpy(), frame["row"].to_numpy()
@@ -141,11 +149,6 @@ def _find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _keys_only(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in _find(parts):
-        yield frame[["akey"]]
-
-
 class Columns:
     """Room for arrays: in memory, or sequential files in a folder, each round's replacing the last's."""
 
