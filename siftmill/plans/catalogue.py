@@ -238,9 +238,10 @@ def token_sets(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(F.sort_array(words), " ")).alias("words_md5"), tx.space_tokens(F.col("text")).alias("n_tokens"))
 
 
-@query("SELECT doc_id, md5('File: ' || source || chr(10) || chr(10) || 'Code:' || chr(10) || text) AS context_md5, md5('file path: ' || source || chr(10) || 'lines: 0-' || n_chars || chr(10) || chr(10) || text) AS input_md5 FROM documents WHERE NOT regexp_matches(text, 'class\\s+\\w')")
+@query(r"""WITH c AS (SELECT *, regexp_extract(array_to_string(string_split(text, chr(10))[1:50], chr(10)), 'class\s+(\w+)', 1) AS cls FROM documents)
+SELECT doc_id, md5('File: ' || source || chr(10) || CASE WHEN cls <> '' THEN 'Class: ' || cls || chr(10) ELSE '' END || chr(10) || 'Code:' || chr(10) || text) AS context_md5, md5('file path: ' || source || chr(10) || 'lines: 0-' || n_chars || chr(10) || chr(10) || text) AS input_md5 FROM c""")
 def context_headers(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"class\s+\w"))
+    docs = t(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(tx.context_header(F.col("source"), F.col("text"), F.lit(0))).alias("context_md5"), F.md5(tx.embedding_input(F.col("source"), F.lit(0), F.col("n_chars"), F.col("text"))).alias("input_md5"))
 
 
@@ -336,14 +337,14 @@ def bm25_first_seen_files(spark, sf_dir):
     return mapping.found_files(best.join(files, "item"), 5).select("query_id", "file", "rank")
 
 
-def _dense(spark, sf_dir, metric="dot", step=50):
+def _dense(spark, sf_dir, metric="dot", step=100):
     vectors = t(spark, sf_dir, "embeddings")
     asked = vectors.filter(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     items = vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
     return retrieval.dense(asked, items, 20, metric).withColumn("score", F.round("score", 9))
 
 
-_DOT = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, v.label, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+_DOT = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, v.label, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM s)"""
 
 
@@ -352,7 +353,7 @@ def dense_topk(spark, sf_dir):
     return ranking.top_k(_dense(spark, sf_dir), ["query_id"], 20).select("query_id", "item", "rank", F.round("score", 6).alias("score"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ** 2)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ** 2)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
 SELECT query_id, item, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item) AS rank FROM s) WHERE rank <= 20""")
 def dense_l2_topk(spark, sf_dir):
     return ranking.top_k(_dense(spark, sf_dir, "l2"), ["query_id"], 20, ascending=True).select("query_id", "item", "rank", F.round(F.abs("score"), 6).alias("score"))
@@ -371,7 +372,7 @@ def filter_before_and_after_topk(spark, sf_dir):
     vectors = t(spark, sf_dir, "embeddings")
     label = vectors.select(F.col("vec_id").alias("item"), "label")
     post = ranking.top_k(_dense(spark, sf_dir), ["query_id"], 20).join(label, "item").filter("label < 5").drop("rank")
-    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     pre = retrieval.dense(asked, vectors.filter("label < 5").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 5).withColumn("score", F.round("score", 9))
     both = [ranking.top_k(x, ["query_id"], 5).select("query_id", "item", "rank", F.lit(mode).alias("mode")) for x, mode in ((post, "post"), (pre, "pre"))]
     return both[0].unionByName(both[1])
@@ -379,7 +380,7 @@ def filter_before_and_after_topk(spark, sf_dir):
 
 @query()
 def fuzzy_topk_names(spark, sf_dir):
-    terms = t(spark, sf_dir, "part").filter("p_partkey % 100 = 1").select(F.col("p_name").alias("term"))
+    terms = t(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.col("p_name").alias("term"))
     nodes = t(spark, sf_dir, "part").select(F.col("p_name").alias("node_id")).distinct()
     return search.fuzzy(terms.distinct(), nodes, 5, shared=4).select("term", "node_id", "rank", F.round("score", 6).alias("score"))
 
@@ -461,14 +462,14 @@ def category_histogram(spark, sf_dir):
 
 # ---- graph ----------------------------------------------------------------------------------------
 
-_EDGES = """edges(src, dst, etype) AS MATERIALIZED (SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'contains' FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'imports' FROM supplier UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'invokes' FROM orders WHERE o_orderkey % 10 = 0)"""
+_EDGES = """edges(src, dst, etype) AS MATERIALIZED (SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'contains' FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'imports' FROM supplier UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'invokes' FROM orders)"""
 
 
 def _edges(spark, sf_dir):
     def one(table, a, src, b, dst, kind):
-        return t(spark, sf_dir, table).select(F.concat(F.lit(a), F.col(src).cast("string")).alias("src"), F.concat(F.lit(b), F.col(dst).cast("string")).alias("dst"), F.lit(kind).alias("etype"), *([F.col("o_orderkey")] if table == "orders" else []))
+        return t(spark, sf_dir, table).select(F.concat(F.lit(a), F.col(src).cast("string")).alias("src"), F.concat(F.lit(b), F.col(dst).cast("string")).alias("dst"), F.lit(kind).alias("etype"))
 
-    orders = one("orders", "c", "o_custkey", "o", "o_orderkey", "invokes").filter("o_orderkey % 10 = 0").drop("o_orderkey")
+    orders = one("orders", "c", "o_custkey", "o", "o_orderkey", "invokes")
     return one("nation", "r", "n_regionkey", "n", "n_nationkey", "contains").unionByName(one("customer", "n", "c_nationkey", "c", "c_custkey", "contains")).unionByName(one("supplier", "n", "s_nationkey", "s", "s_suppkey", "imports")).unionByName(orders)
 
 
@@ -604,13 +605,12 @@ def span_budget(spark, sf_dir):
     return context.pack_spans(spans, 2000, ["k"]).select("k", "span_id", "allotted")
 
 
-@query("""WITH c AS (SELECT source AS k, doc_id AS span_id, n_chars AS tokens FROM documents WHERE doc_id % 20 = 0 OR doc_id % 41 = 3), n AS (SELECT source AS k, doc_id AS span_id, n_chars AS tokens FROM documents WHERE NOT (doc_id % 20 = 0 OR doc_id % 41 = 3)),
+@query("""WITH c AS (SELECT source AS k, doc_id AS span_id, n_chars AS tokens FROM documents WHERE lang = 'de'), n AS (SELECT source AS k, doc_id AS span_id, n_chars AS tokens FROM documents WHERE lang <> 'de'),
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY k ORDER BY tokens DESC, span_id ROWS UNBOUNDED PRECEDING) AS upto FROM n), s AS (SELECT k, sum(tokens) AS used FROM c GROUP BY k)
 SELECT k, span_id, tokens FROM c UNION ALL SELECT u.k, span_id, tokens FROM u LEFT JOIN s ON u.k = s.k WHERE upto + coalesce(used, 0) <= 60000""")
 def context_expansion(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").select(F.col("source").alias("k"), F.col("doc_id").alias("span_id"), F.col("n_chars").alias("tokens"))
-    own = docs.filter("span_id % 20 = 0 OR span_id % 41 = 3")
-    return context.expand(own, docs, 60000, ["k"])
+    docs = t(spark, sf_dir, "documents").select(F.col("source").alias("k"), F.col("doc_id").alias("span_id"), F.col("n_chars").alias("tokens"), "lang")
+    return context.expand(docs.filter("lang = 'de'"), docs.drop("lang"), 60000, ["k"])
 
 
 @query("SELECT doc_id, md5(text) || CASE WHEN n = 1 THEN '' ELSE ':' || n END AS span_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY lang, md5(text) ORDER BY doc_id) AS n FROM documents)")
@@ -689,10 +689,10 @@ def set_operations(spark, sf_dir):
     return d.select("doc_id").exceptAll(l).distinct().union(l.intersect(d.filter("lang = 'fr'").select("doc_id"))).distinct()
 
 
-@query("""SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 1 - quality, toxic FROM labels WHERE doc_id % 7 = 0 AND doc_id % 2 = 1""")
+@query("""SELECT doc_id, quality, toxic FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 1 - quality, toxic FROM labels WHERE toxic = 1 AND quality = 1""")
 def upsert_and_delete(spark, sf_dir):
     labels = t(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    changes = labels.filter("doc_id % 7 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), "toxic", (F.col("doc_id") % 2 == 0).alias("deleted"))
+    changes = labels.filter("toxic = 1").select("doc_id", (1 - F.col("quality")).alias("quality"), "toxic", (F.col("quality") == 0).alias("deleted"))
     return writers.upserted(labels, changes, "doc_id")
 
 
@@ -792,19 +792,19 @@ def explore_graph(spark, sf_dir):
     return graph.explore(_nodes(spark, sf_dir), _edges(spark, sf_dir), ["n1"], "downstream", 1, ["customer", "supplier"])
 
 
-@query("""WITH w AS (SELECT source AS file, greatest(n_chars % 97 - 20, 1) AS start, least(n_chars % 97 + 20, 100) AS "end" FROM documents WHERE doc_id % 11 = 0),
+@query("""WITH w AS (SELECT source AS file, greatest(n_chars % 97 - 20, 1) AS start, least(n_chars % 97 + 20, 100) AS "end" FROM documents),
 o AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT file, min(start) AS start, max("end") AS "end" FROM i GROUP BY file, island""")
 def line_windows(spark, sf_dir):
-    lines = t(spark, sf_dir, "documents").filter("doc_id % 11 = 0").select(F.col("source").alias("file"), (F.col("n_chars") % 97).alias("line"), F.lit(100).cast("long").alias("last"))
+    lines = t(spark, sf_dir, "documents").select(F.col("source").alias("file"), (F.col("n_chars") % 97).alias("line"), F.lit(100).cast("long").alias("last"))
     return search.line_windows(lines)
 
 
-@query("""WITH h AS (SELECT user_id AS query_id, event_type AS file, event_id AS span_id, value AS score, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 0 WHEN value > 90 THEN 1 ELSE 2 END AS choice FROM events WHERE user_id % 3 = 0 OR event_type <> (SELECT min(event_type) FROM events)),
+@query("""WITH h AS (SELECT user_id AS query_id, event_type AS file, event_id AS span_id, value AS score, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 0 WHEN value > 90 THEN 1 ELSE 2 END AS choice FROM events WHERE value > 50 OR event_type <> (SELECT min(event_type) FROM events)),
 b AS (SELECT *, min(choice) OVER (PARTITION BY query_id) AS best FROM h) SELECT query_id, file, span_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, span_id)::INTEGER AS rank FROM b WHERE choice = best) WHERE rank <= 3""")
 def hybrid_search(spark, sf_dir):
     e = t(spark, sf_dir, "events")
-    first = e.agg(F.min("event_type").alias("least"))
-    hits = e.join(F.broadcast(first)).filter("user_id % 3 = 0 OR event_type <> least").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("file"), F.col("event_id").alias("span_id"), F.col("value").alias("score"), (F.col("event_type") == F.col("least")).alias("named"))
+    least = e.agg(F.min("event_type")).first()[0]
+    hits = e.filter((F.col("value") > 50) | (F.col("event_type") != least)).select(F.col("user_id").alias("query_id"), F.col("event_type").alias("file"), F.col("event_id").alias("span_id"), F.col("value").alias("score"), (F.col("event_type") == least).alias("named"))
     own = lambda condition: hits.filter(condition).drop("named")
     return search.hybrid(own("named"), own("NOT named AND score > 90"), own("NOT named AND score > 90"), own("NOT named AND score <= 90"), ["query_id"], 3).select("query_id", "file", "span_id", "rank")
