@@ -257,7 +257,8 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.drop(*[c for c in pages.columns if c in RESULT or c.startswith("_w_")])
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     known = pages.withColumn("_w_host", host)
-    removed = written(removed_paths(site_styles(known)), "style-tree")
+    # Written, since it is read twice and pages are parsed for it.
+    removed = written(removed_paths(written(site_styles(known), "style-tree")), "removed-paths")
     found = known.join(removed, F.col("_w_host") == F.col("host"), "left").withColumn("_w_found", _extracted("html", "_w_removed"))
     return found.select(*pages.columns, "_w_found.text", "_w_found.n_chars")
 
