@@ -256,7 +256,7 @@ def shared_parts(spans: list[tuple[int, int, int, bytes]]) -> list[tuple[int, in
     return found
 
 
-def _solver(folder: str):
+def _solver(folder: str | None):
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(held: list[tuple]) -> pd.DataFrame:
             cut = shared_parts(held)
@@ -389,7 +389,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     files = written(held.select(file.alias("file"), F.col("_metadata.file_path").alias("path")).distinct(), "files")
     located = held.select("text", file.alias("file"), F.col("_metadata.row_index").alias("row"))
 
-    again = located.mapInPandas(_keys_only, "akey long").groupBy("akey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("akey")
+    # Written, so that neither side of the join is bound to an aggregate's partitions and a frequent
+    # anchor's rows can be split.
+    again = written(located.mapInPandas(_keys_only, "akey long").groupBy("akey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("akey"), "repeated-anchors")
     found = written(located.mapInPandas(_find, _ANCHOR).join(again, "akey"), "anchors")
     spans = found.groupBy("akey", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "start", "windows", "core")).alias("one"))
     spans = written(spans.select("akey", "span", "n", "one.*"), "spans")
@@ -399,7 +401,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hot = variety.filter(F.col("many") > HOT).select("akey")
     tame = whole.join(hot, "akey", "left_anti")
     offsets = "akey long, span long, offsets array<int>"
-    folder = shared_dir(spark).removeprefix("file://") + f"/siftmill-columns-{uuid.uuid4().hex}"
+    shared = shared_dir(spark)
+    # Columns are mapped into memory, which takes a mounted folder; elsewhere they stay in memory.
+    folder = f"{shared.removeprefix('file://')}/siftmill-columns-{uuid.uuid4().hex}" if shared.startswith(("file:/", "/")) else None
     solved = tame.repartition("akey").sortWithinPartitions("akey", "span").mapInPandas(_solver(folder), offsets)
     hashed = whole.join(hot, "akey").mapInPandas(_hash_windows, "h1 long, h2 long, akey long, span long, offset int")
     twice = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
