@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = written(located.mapInPandas(_find, _ANCHOR).join(again, "akey"), "anchors")
     spans = found.groupBy("akey", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "start", "windows", "core")).alias("one"))
     spans = written(spans.select("akey", "span", "n", "one.*"), "spans")
-    variety = spans.groupBy("akey").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    variety = written(spans.groupBy("akey").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "varied-anchors")
     edges = spans.join(variety, "akey")
     whole = written(_by_file(edges.select("akey", "span", "file", "row", "start", "windows", "core"), files).mapInPandas(_extract, "akey long, span long, core int, bytes binary"), "edges")
     hot = variety.filter(F.col("many") > HOT).select("akey")
