@@ -67,12 +67,13 @@ def bm25_preferred(queries: DataFrame, blocks: DataFrame, included: DataFrame, k
     return top_k(kept, ["query_id"], k)
 
 
-def jaccard(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``query_id, item, score``: common over all distinct words, of pairs with a common word."""
+def jaccard(queries: DataFrame, blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``query_id, item, score``: common over all distinct words, of pairs with a common word. Columns
+    of ``blocks`` to ``keep`` come along, which saves a join back."""
     q = queries.select("query_id", word_set(F.col("text")).alias("w")).select("query_id", F.size("w").alias("n_query"), F.explode("w").alias("token"))
-    b = blocks.select("item", word_set(F.col("text")).alias("w")).select("item", F.size("w").alias("n_item"), F.explode("w").alias("token"))
-    common = q.join(b, "token").groupBy("query_id", "item", "n_query", "n_item").agg(F.count(F.lit(1)).alias("both"))
-    return common.select("query_id", "item", (F.col("both") / (F.col("n_query") + F.col("n_item") - F.col("both"))).alias("score"))
+    b = blocks.select("item", *keep, word_set(F.col("text")).alias("w")).select("item", *keep, F.size("w").alias("n_item"), F.explode("w").alias("token"))
+    common = q.join(b, "token").groupBy("query_id", "item", *keep, "n_query", "n_item").agg(F.count(F.lit(1)).alias("both"))
+    return common.select("query_id", "item", *keep, (F.col("both") / (F.col("n_query") + F.col("n_item") - F.col("both"))).alias("score"))
 
 
 def _vectors(column: pd.Series) -> np.ndarray:

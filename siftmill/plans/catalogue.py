@@ -292,9 +292,9 @@ def jaccard_topk_blocks(spark, sf_dir):
 @query(_JACCARD + """, f AS (SELECT query_id, bw.source AS file, sum(score) AS score, min(rank) AS seen FROM r JOIN bw USING (item) WHERE rank <= 50 GROUP BY ALL),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM f) SELECT query_id, file, rank::INTEGER AS rank, round(score, 6) AS score FROM g WHERE rank <= 10""")
 def jaccard_topk_files(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
-    best = ranking.top_k(retrieval.jaccard(_issues(spark, sf_dir), blocks), ["query_id"], 50)
-    found = ranking.group_scores(best.join(blocks.select("item", F.col("source").alias("file")), "item").withColumn("score", F.round("score", 12)), ["query_id"], "file", 10)
+    blocks = _blocks(spark, sf_dir).withColumnRenamed("source", "file")
+    best = ranking.top_k(retrieval.jaccard(_issues(spark, sf_dir), blocks, ("file",)), ["query_id"], 50)
+    found = ranking.group_scores(best.withColumn("score", F.round("score", 12)), ["query_id"], "file", 10)
     return found.select("query_id", "file", "rank", F.round("score", 6).alias("score"))
 
 
