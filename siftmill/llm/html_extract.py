@@ -259,7 +259,7 @@ def extract(pages: DataFrame) -> DataFrame:
     known = pages.withColumn("_w_host", host)
     # Written, since it is read twice and pages are parsed for it.
     removed = written(removed_paths(written(site_styles(known), "style-tree")), "removed-paths")
-    found = known.join(removed, F.col("_w_host") == F.col("host"), "left").withColumn("_w_found", _extracted("html", "_w_removed"))
+    found = known.join(removed.withColumnRenamed("host", "_w_site"), F.col("_w_host") == F.col("_w_site"), "left").withColumn("_w_found", _extracted("html", "_w_removed"))
     return found.select(*pages.columns, "_w_found.text", "_w_found.n_chars")
 
 

@@ -98,21 +98,21 @@ def mix(docs: DataFrame) -> DataFrame:
     sources = sainte_lague(sources, [], "target", "seats", [F.asc_nulls_last("source")])
     sources = written(sources.withColumn("shards", F.least(F.lit(BUCKETS), 1 + F.floor(F.col("rows") / ROWS_PER_SHARD)).cast("long")).drop("rows", "seats", "weight").withColumnRenamed("quota", "source_quota"), "mix-sources")
 
-    shard = F.floor(F.col("_m_bucket") * F.col("shards") / BUCKETS)
-    by_source = sources.withColumnRenamed("source", "_s")
-    shards = sums.join(by_source, sums["source"].eqNullSafe(by_source["_s"])).groupBy("source", shard.alias("shard")).agg(F.sum("words").alias("words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
+    shard = F.floor(F.col("_m_bucket") * F.col("_m_shards") / BUCKETS)
+    by_source = sources.withColumnsRenamed({"source": "_m_source", "shards": "_m_shards", "block": "_m_block"})
+    shards = sums.join(by_source, sums["source"].eqNullSafe(by_source["_m_source"])).groupBy("source", shard.alias("shard")).agg(F.sum("words").alias("words"), F.first("source_quota").alias("source_quota"), F.first("_m_block").alias("block"))
     shards = sainte_lague(shards, ["source"], "words", "source_quota", [F.col("shard")])
     blocks = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("block")))
     quota = F.least(F.col("quota"), MAX_REPEATS * blocks)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "#"), F.coalesce("source", F.lit("")), F.lit("#"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long") % blocks
-    shards = shards.select(F.col("source").alias("_q"), F.col("shard").alias("_m_shard_q"), blocks.alias("_m_blocks"), F.floor(quota / blocks).alias("_m_passes"), (quota % blocks).alias("_m_extra"), offset.alias("_m_offset"))
+    shards = shards.select(F.col("source").alias("_m_source"), F.col("shard").alias("_m_shard_q"), blocks.alias("_m_blocks"), F.floor(quota / blocks).alias("_m_passes"), (quota % blocks).alias("_m_extra"), offset.alias("_m_offset"))
     shards = written(shards, "mix-shards")
 
-    dealt = sized.join(by_source.select("_s", "source_size", "target", F.col("block").alias("_m_block"), F.col("shards")), sized["source"].eqNullSafe(F.col("_s"))).drop("_s")
-    dealt = dealt.withColumn("_m_shard", shard).drop("shards", "_m_bucket")
+    dealt = sized.join(by_source.select("_m_source", "source_size", "target", "_m_block", "_m_shards"), sized["source"].eqNullSafe(F.col("_m_source"))).drop("_m_source")
+    dealt = dealt.withColumn("_m_shard", shard).drop("_m_shards", "_m_bucket")
     order = Window.partitionBy("source", "_m_shard").orderBy("_m_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("_m_end", F.sum("size").over(order))
-    dealt = dealt.join(shards, dealt["source"].eqNullSafe(shards["_q"]) & (dealt["_m_shard"] == shards["_m_shard_q"]))
+    dealt = dealt.join(shards, dealt["source"].eqNullSafe(shards["_m_source"]) & (dealt["_m_shard"] == shards["_m_shard_q"]))
 
     def picked(word: Column) -> Column:
         """Words in extra blocks before this word of the shard."""

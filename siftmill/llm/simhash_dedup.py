@@ -190,7 +190,8 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def _linked(held: DataFrame) -> DataFrame:
-    found = held.join(_components(held.select("_h_fp", "doc_id")), F.col("_h_fp") == F.col("fp"))
+    parts = _components(held.select("_h_fp", "doc_id")).select(F.col("fp").alias("_h_print"), "component_id")
+    found = held.join(parts, F.col("_h_fp") == F.col("_h_print"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("_h_fp"), 16, "0"))).select(*[c for c in held.columns if c != "_h_fp"], *RESULT)
 
 

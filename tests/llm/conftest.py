@@ -22,20 +22,20 @@ TEXTS = [
     (13, "ONE two\vthree", "en", "a"),
     (14, "user: bob1 x 10.0.0.1:80 y ZmFrZUtleTEyMzQ1Njc4OTA= z", "en", "a"),
 ]
+#: Further columns, named like those that operators use or return.
+CLASHING = "kept size target taken fp keeper root node first fingerprint component_id shards shard block words rows seats piece start length n_words spans base_sha256 held_out score host file row path k n".split()
 
 
 @pytest.fixture(scope="session")
 def odd(spark, tmp_path_factory):
     """A folder with tables of odd rows, and an empty one of each."""
-    import datetime  # noqa: F401
-
     top = tmp_path_factory.mktemp("odd")
-    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), "own", "own") for i, t, lang, s in TEXTS], "doc_id long, text string, lang string, source string, n_chars long, kept string, size string")
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), *["own"] * len(CLASHING)) for i, t, lang, s in TEXTS], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
     vectors = [(k, [((k * 7 + j * 3) % 11 - 5) / 10 for j in range(6)], k % 3) for k in range(120)]
     vectors += [(50, vectors[50][1], 1), (200, vectors[50][1], 1), (300, None, 0), (301, [float("nan")] * 6, 0), (302, [None] * 6, 0), (None, vectors[0][1], 0), (100, vectors[100][1], 0)]
     embeddings = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     pages = [(1, "http://a.example/x", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "bad url", None), (4, "http://a.example/y", ""), (5, "http://a.example/z", "<p>é &amp; other"), (None, "http://b.example", "<p>same</p>"), (6, "http://b.example", LONG), (None, "http://c.example", "alone"), (7, "http://a.example/\n q", "<p>same</p>")]
-    html = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, n_chars string")
+    html = spark.createDataFrame([(*p, *["x"] * 5) for p in pages], "page_id long, url string, html string, n_chars string, host string, path string, text string, archive string")
     for name, table in (("documents", docs), ("embeddings", embeddings), ("pages", html)):
         table.write.parquet(str(top / "full" / f"{name}.parquet"))
         table.limit(0).write.parquet(str(top / "none" / f"{name}.parquet"))

@@ -344,3 +344,21 @@ def test_kernel_scores_are_sums_over_ngrams():
     model = language_id.fit(texts, ["en", "fr", "en", "fr"], language_id.Sample(ridge=1e-6))
     best = model.score([language_id.grams(t) for t in texts]).argmax(axis=1)
     assert [model.languages[k] for k in best] == ["en", "fr", "en", "fr"]
+
+
+# Further columns with clashing names
+
+
+def test_general_operators_keep_further_columns(spark, odd):
+    docs = spark.read.parquet(f"{odd}/full/documents.parquet")
+    for found, results in (
+        (simhash_dedup.link(docs), simhash_dedup.RESULT),
+        (quality_rules.judge(docs), quality_rules.RESULT),
+        (mixing.mix(docs), mixing.RESULT),
+        (language_id.identify(docs), language_id.RESULT),
+        (secret_scan.scan(docs), secret_scan.RESULT),
+    ):
+        assert found.columns == [c for c in docs.columns if c not in results] + list(results) and found.count() == docs.count()
+        assert {r["shards"] for r in found.collect()} == {"own"}
+    pages = spark.read.parquet(f"{odd}/full/pages.parquet")
+    assert html_extract.extract(pages).columns == ["page_id", "url", "html", "host", "path", "archive", "text", "n_chars"]
