@@ -105,8 +105,12 @@ def references(docs: DataFrame) -> DataFrame:
     """Per language, and for '*' over all: ``_q_ref_class`` and ``_q_ref_common``, summed counts."""
     n_class, n_common = len(CLASSES) + 2, max(map(len, COMMON.values())) + 1
     rare = F.col("_q_class")[0] + F.col("_q_class")[1] + F.col("n_symbols")
-    sums = [F.sum(F.col("_q_class")[i]).alias(f"c{i}") for i in range(n_class)] + [F.sum(F.col("_q_common")[i]).alias(f"w{i}") for i in range(n_common)]
-    by = written(_histograms(docs).filter((F.col("n_words") >= CLASS_GUARD) & (100 * rare <= MOST_RARE_PERCENT * F.col("word_chars"))).groupBy("lang").agg(*sums), "quality-references")
+    # The condition stands within the sums: as a filter it would be moved below the histograms, and
+    # all that it needs evaluated twice.
+    counted = _histograms(docs).withColumn("_q_ok", (F.col("n_words") >= CLASS_GUARD) & (100 * rare <= MOST_RARE_PERCENT * F.col("word_chars")))
+    ok = lambda x: F.sum(F.when(F.col("_q_ok"), x))
+    sums = [ok(F.col("_q_class")[i]).alias(f"c{i}") for i in range(n_class)] + [ok(F.col("_q_common")[i]).alias(f"w{i}") for i in range(n_common)]
+    by = written(counted.groupBy("lang").agg(*sums).filter("c0 IS NOT NULL"), "quality-references")
     every = by.groupBy(F.lit("*").alias("_q_lang")).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_class)], *[F.lit(None).cast("bigint").alias(f"w{i}") for i in range(n_common)])
     both = by.filter("lang IS NOT NULL").withColumnRenamed("lang", "_q_lang").unionByName(every)
     common = F.array(*[F.col(f"w{i}") for i in range(n_common)])
