@@ -9,15 +9,15 @@ Style tree (Yi, Liu and Li, Eliminating Noisy Information in Web Pages for Data
 trees of all pages of a host are merged by paths of tag and class. For each path with pages m:
 presentation is the entropy (base m) of the child sequences used, content one minus the mean entropy
 of its blocks of text over the pages that show them. With l child sequences and g = ``DECAY``,
-importance = (1 - g^l) presentation + g^l content. Branches under ``LEAST_IMPORTANCE`` on a path that
-``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages have are removed from each page. An
-article or main element, and plain paragraphs, headings and lists within, are not removed: a
+importance = (1 - g^l) presentation + g^l content. Branches under ``LEAST_IMPORTANCE`` are removed
+from each page, on paths of ``LEAST_PAGES`` pages or more: what a single page has cannot be compared.
+An article or main element, and plain paragraphs, headings and lists within, are not removed: a
 paragraph that many articles share is still text.
 
 If some text is within article (else main) elements, only that is taken, else all that is left of
 the body. Counts per host, path and feature are partial aggregates, so a host with a third of all
-pages is no hot group; what a host's pages are joined with is its removed paths, at most 1 /
-``LEAST_SHARE`` times the paths of a page.
+pages is no hot group. Removed paths are joined as rows with the paths that pages' texts depend on,
+and each page then gets its own, never all those of its host.
 
 Defined cases. Null or empty html: empty text. Null url or one without host: the page is a site of
 its own. Repeated rows: each counts as a page. Very long pages: read whole, in linear time. An empty
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from siftmill.llm.common import table, written
 
 LEAST_IMPORTANCE = 0.2
-LEAST_PAGES, LEAST_SHARE = 8, 0.3
+LEAST_PAGES = 2
 DECAY = 0.9
 RESULT = ("text", "n_chars")
 
@@ -194,6 +194,17 @@ class Page:
         flush()
         close(0)
 
+    def removable(self) -> set[int]:
+        """The paths whose removal can change the text: where an article (else main) has a block that
+        stays in any case, what is outside is not taken anyway."""
+        paths: set[int] = set()
+        for within in (2, 3):
+            own = [b for b in self.blocks if b[within]]
+            paths.update(path for b in own for path in b[4])
+            if any(not b[4] for b in own):
+                return paths
+        return paths.union(*(b[4] for b in self.blocks))
+
     def text(self, removed: frozenset[int] = frozenset()) -> str:
         left = [b for b in self.blocks if removed.isdisjoint(b[4])] if removed else self.blocks
         inner = [b for b in left if b[2]] or [b for b in left if b[3]] or left
@@ -201,27 +212,30 @@ class Page:
 
 
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each path of a page: a hash of its child sequences (kind 0), hashes of its blocks (1)."""
+    """For each path of a page: a hash of its child sequences (kind 0), hashes of its blocks (1); and
+    the paths that its text depends on (2)."""
     for part in parts:
-        hosts, paths, kinds, hashes = [], [], [], []
-        for host, html in zip(part["host"], part["html"]):
+        found = []
+        for host, digest, html in zip(part["host"], part["page"], part["html"]):
             page = Page(html)
             rows = {(path, 0, xxhash.xxh3_64_intdigest(str(sorted(s))) >> 1) for path, s in page.styles.items()}
             for text, down, *_ in page.blocks:
                 block = xxhash.xxh3_64_intdigest(text) >> 1
                 rows.update((path, 1, block) for path in down)
-            for path, kind, feature in rows:
-                hosts.append(host)
-                paths.append(path)
-                kinds.append(kind)
-                hashes.append(feature)
-        yield pd.DataFrame({"host": hosts, "path": paths, "kind": kinds, "feature": hashes}).astype({"path": "int64", "kind": "int32", "feature": "int64"})
-
-
-def site_styles(pages: DataFrame) -> DataFrame:
-    """From ``_w_host, html``: host, path, pages, importance of every path of every site."""
-    own = pages.filter("_w_host <> ''").select(F.col("_w_host").alias("host"), "html")
-    counted = own.mapInPandas(_features, "host string, path long, kind int, feature long").groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+            rows.update((path, 2, 0) for path in page.removable())
+            found.extend((host, digest, *row) for row in rows)
+        yield pd.DataFrame(found, columns=["host", "page", "path", "kind", "feature"]).astype({"page": "int64", "path": "int64", "kind": "int32", "feature": "int64"})
+
+
+def page_features(pages: DataFrame) -> DataFrame:
+    """From ``_w_host, _w_page, html``: rows of ``_features`` of the pages with a host."""
+    own = pages.filter("_w_host <> ''").select(F.col("_w_host").alias("host"), F.col("_w_page").alias("page"), "html")
+    return own.mapInPandas(_features, "host string, page long, path long, kind int, feature long")
+
+
+def site_styles(features: DataFrame) -> DataFrame:
+    """From ``page_features``: host, path, pages, importance of every path of every site."""
+    counted = features.filter("kind < 2").groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     n, style = F.col("n"), F.col("kind") == 0
     sums = counted.groupBy("host", "path").agg(
         F.sum(F.when(style, n)).alias("pages"),
@@ -237,12 +251,15 @@ def site_styles(pages: DataFrame) -> DataFrame:
     return sums.select("host", "path", "pages", ((1 - weight) * shape + weight * content).alias("importance"))
 
 
-def removed_paths(styles: DataFrame) -> DataFrame:
-    """Per host with any, ``removed``: the paths of low importance."""
-    whole = styles.filter("path = 0").select("host", F.col("pages").alias("of"))
-    low = styles.filter((F.col("path") != 0) & (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = low.join(whole, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("of"))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("_w_removed"))
+def low_paths(styles: DataFrame) -> DataFrame:
+    """``host, path`` of low importance."""
+    return styles.filter((F.col("path") != 0) & (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
+
+
+def removed_paths(features: DataFrame, low: DataFrame) -> DataFrame:
+    """Per page with any, ``_w_removed``: its paths of low importance. Equal pages are one row."""
+    own = features.filter("kind = 2").select("host", "page", "path").distinct()
+    return own.join(low, ["host", "path"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("path")).alias("_w_removed"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
@@ -256,10 +273,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html, ...) with text and n_chars."""
     pages = pages.drop(*[c for c in pages.columns if c in RESULT or c.startswith("_w_")])
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    known = pages.withColumn("_w_host", host)
-    # Written, since it is read twice and pages are parsed for it.
-    removed = written(removed_paths(written(site_styles(known), "style-tree")), "removed-paths")
-    found = known.join(removed.withColumnRenamed("host", "_w_site"), F.col("_w_host") == F.col("_w_site"), "left").withColumn("_w_found", _extracted("html", "_w_removed"))
+    known = pages.withColumns({"_w_host": host, "_w_page": F.xxhash64("html")})
+    # Written, since they are read twice and pages are parsed for them.
+    features = written(page_features(known), "page-features")
+    low = written(low_paths(site_styles(features)), "low-paths")
+    removed = written(removed_paths(features, low), "removed-paths").withColumnsRenamed({"host": "_w_site", "page": "_w_same"})
+    found = known.join(removed, (F.col("_w_host") == F.col("_w_site")) & (F.col("_w_page") == F.col("_w_same")), "left").withColumn("_w_found", _extracted("html", "_w_removed"))
     return found.select(*pages.columns, "_w_found.text", "_w_found.n_chars")
 
 

@@ -191,6 +191,13 @@ def test_shared_branches_go_and_paragraphs_stay(spark):
     assert found[99]["text"].startswith("Welcome")
 
 
+def test_shared_branches_go_on_small_hosts_and_in_small_parts_of_large_ones(spark):
+    made = lambda k, top: f"<body><div class='{top}'>Welcome to the {top}</div><div class='text'><p>Only page {k} says {k * k}</p></div></body>"
+    rows = [(k, f"https://small.example/{k}", made(k, "top")) for k in range(2)] + [(k, f"https://large.example/{k}", made(k, f"top{k % 10}")) for k in range(100, 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == {k: f"Only page {k} says {k * k}" for k, *_ in rows}
+
+
 def test_odd_pages(spark, odd):
     found = {(r["page_id"], r["text"], r["n_chars"]) for r in QUERIES["op4_html_extract"](spark, f"{odd}/full").collect()}
     assert {(1, "same", 4), (2, "same", 4), (3, "", 0), (4, "", 0), (5, "é & other", 9), (None, "alone", 5)} <= found
