@@ -6,13 +6,14 @@ by tag, role or class (menus, adverts, forms, comments and so on), are presentat
 with all they hold; this needs no other page.
 
 Style tree (Yi, Liu and Li, Eliminating Noisy Information in Web Pages for Data Mining, 2003). The
-trees of all pages of a host are merged by paths of tag and class. For each path with pages m:
+trees of all pages of a host are merged by paths of tag and class; pages that show the same on the
+same paths are copies and count once. For each path with pages m:
 presentation is the entropy (base m) of the child sequences used, content one minus the mean entropy
 of its blocks of text over the pages that show them. With l child sequences and g = ``DECAY``,
 importance = (1 - g^l) presentation + g^l content. Branches under ``LEAST_IMPORTANCE`` are removed
 from each page, on paths of ``LEAST_PAGES`` pages or more: what a single page has cannot be compared.
 An article or main element, and plain paragraphs, headings and lists within, are not removed: a
-paragraph that many articles share is still text.
+paragraph that many articles share is still text. A page that nothing would be left of stays whole.
 
 If some text is within article (else main) elements, only that is taken, else all that is left of
 the body. Counts per host, path and feature are partial aggregates, so a host with a third of all
@@ -20,7 +21,7 @@ pages is no hot group. Removed paths are joined as rows with the paths that page
 and each page then gets its own, never all those of its host.
 
 Defined cases. Null or empty html: empty text. Null url or one without host: the page is a site of
-its own. Repeated rows: each counts as a page. Very long pages: read whole, in linear time. An empty
+its own. Repeated rows: they count once, and each gets its text. Very long pages: read whole, in linear time. An empty
 table: an empty result. Further columns are kept; of columns named like a result column, the result's
 value stays.
 """
@@ -206,14 +207,14 @@ class Page:
         return paths.union(*(b[4] for b in self.blocks))
 
     def text(self, removed: frozenset[int] = frozenset()) -> str:
-        left = [b for b in self.blocks if removed.isdisjoint(b[4])] if removed else self.blocks
+        left = [b for b in self.blocks if removed.isdisjoint(b[4])] or self.blocks if removed else self.blocks
         inner = [b for b in left if b[2]] or [b for b in left if b[3]] or left
         return "\n\n".join(b[0] for b in inner)
 
 
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each path of a page: a hash of its child sequences (kind 0), hashes of its blocks (1); and
-    the paths that its text depends on (2)."""
+    """For each path of a page: a hash of its child sequences (kind 0), hashes of its blocks (1), with
+    ``page`` a hash of all these; and the paths that its text depends on (2)."""
     for part in parts:
         found = []
         for host, digest, html in zip(part["host"], part["page"], part["html"]):
@@ -222,8 +223,9 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text, down, *_ in page.blocks:
                 block = xxhash.xxh3_64_intdigest(text) >> 1
                 rows.update((path, 1, block) for path in down)
-            rows.update((path, 2, 0) for path in page.removable())
-            found.extend((host, digest, *row) for row in rows)
+            shown = xxhash.xxh3_64_intdigest(str(sorted(rows))) >> 1
+            found.extend((host, shown, *row) for row in rows)
+            found.extend((host, digest, path, 2, 0) for path in page.removable())
         yield pd.DataFrame(found, columns=["host", "page", "path", "kind", "feature"]).astype({"page": "int64", "path": "int64", "kind": "int32", "feature": "int64"})
 
 
@@ -235,7 +237,8 @@ def page_features(pages: DataFrame) -> DataFrame:
 
 def site_styles(features: DataFrame) -> DataFrame:
     """From ``page_features``: host, path, pages, importance of every path of every site."""
-    counted = features.filter("kind < 2").groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+    once = features.filter("kind < 2").distinct()
+    counted = once.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     n, style = F.col("n"), F.col("kind") == 0
     sums = counted.groupBy("host", "path").agg(
         F.sum(F.when(style, n)).alias("pages"),

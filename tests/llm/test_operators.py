@@ -198,6 +198,16 @@ def test_shared_branches_go_on_small_hosts_and_in_small_parts_of_large_ones(spar
     assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == {k: f"Only page {k} says {k * k}" for k, *_ in rows}
 
 
+def test_copies_count_once_and_no_page_is_emptied(spark):
+    copy = "<html><head><script>var at = {k};</script></head><body><div><p>The main text of all copies</p></div></body></html>"
+    near = "<body><div class='all'>" + "".join(f"<p>Clause {j}</p>" for j in range(30)) + "<p>Signed by {k}</p></div></body>"
+    rows = [(k, f"https://same.example/{k}", copy.replace("{k}", "1")) for k in range(20)] + [(k, f"https://mirror.example/{k}", copy.replace("{k}", str(k))) for k in range(100, 120)]
+    rows += [(k, f"https://near.example/{k}", near.replace("{k}", str(k))) for k in range(200, 212)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == "The main text of all copies" for k in found if k < 200)
+    assert all(found[k] == "\n\n".join([*(f"Clause {j}" for j in range(30)), f"Signed by {k}"]) for k in found if k >= 200)
+
+
 def test_odd_pages(spark, odd):
     found = {(r["page_id"], r["text"], r["n_chars"]) for r in QUERIES["op4_html_extract"](spark, f"{odd}/full").collect()}
     assert {(1, "same", 4), (2, "same", 4), (3, "", 0), (4, "", 0), (5, "é & other", 9), (None, "alone", 5)} <= found
