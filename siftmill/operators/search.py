@@ -18,15 +18,36 @@ def by_name(terms: DataFrame, index: DataFrame) -> DataFrame:
     return first_choice([exact.distinct(), lower.distinct()], ["term"])
 
 
-def cascade(terms: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+def by_dotted_name(terms: DataFrame, index: DataFrame) -> list[DataFrame]:
+    """Options ``term, node_id, found_by`` for terms such as ``Class.method``, by the name after the last
+    dot: nodes with all parts before it in their path; nodes of a file that it names; any node."""
+    before = F.regexp_replace(F.regexp_replace("term", r"\.[^.]*\z", ""), r"^\s+|\s+\z", "")
+    asked = terms.filter(F.contains("term", F.lit("."))).select("term", F.element_at(F.split(before, r"\s+"), -1).alias("prefix"), F.trim(F.regexp_extract("term", r"([^.]*)\z", 1)).alias("last"))
+    hits = by_name(asked.select(F.col("last").alias("term")).distinct(), index).withColumnRenamed("term", "last")
+    found = asked.join(hits, "last")
+    path = F.split(F.replace(F.lower("node_id"), F.lit(".py"), F.lit("")), "[./:]")
+    path = F.slice(path, F.lit(1), F.size(path) - 1)
+    within = (F.col("prefix") == "") | F.forall(F.split(F.lower("prefix"), r"\."), lambda p: F.array_contains(path, p))
+    in_file = F.contains("prefix", F.split_part("node_id", F.lit(":"), F.lit(1)))
+    return [found.filter(test).select("term", "node_id", F.lit(by).alias("found_by")) for by, test in (("prefix", within), ("file", in_file), ("suffix", F.lit(True)))]
+
+
+def cascade(terms: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 5, k_fuzzy: int = 3) -> DataFrame:
     """``term, node_id, found_by`` of the first that finds any: exact id, the id without
-    ``.__init__``, name, BM25 over ids, fuzzy ids."""
+    ``.__init__``, name, dotted name within its prefix or file, BM25 over ids, fuzzy ids. Nodes with only
+    the last part of a dotted name come beside those of BM25 or fuzzy ids."""
     ids = nodes.select("node_id")
     exact = terms.join(ids, F.col("term") == F.col("node_id")).select("term", "node_id", F.lit("id").alias("found_by"))
     bare = terms.withColumn("node_id", F.regexp_replace("term", r"\.__init__$", "")).join(ids, "node_id", "left_semi").select("term", "node_id", F.lit("init").alias("found_by"))
     named = by_name(terms, index).withColumn("found_by", F.lit("name"))
-    lexical = top_k(bm25(terms.select(F.col("term").alias("query_id"), F.col("term").alias("text")), ids.select(F.col("node_id").alias("item"), F.translate("node_id", "_./:", "    ").alias("text"))), ["query_id"], k)
-    return first_choice([exact, bare, named, lexical.select(F.col("query_id").alias("term"), F.col("item").alias("node_id"), F.lit("bm25").alias("found_by"))], ["term"])
+    within, in_file, anywhere = by_dotted_name(terms, index)
+    sure = first_choice([exact, bare, named, within, in_file], ["term"])
+    # BM25 and fuzzy ids only for what is left, since a part such as ``py`` is in most ids.
+    rest = terms.select("term").distinct().join(sure.select("term"), "term", "left_anti")
+    lexical = top_k(bm25(rest.select(F.col("term").alias("query_id"), F.col("term").alias("text")), ids.select(F.col("node_id").alias("item"), F.translate("node_id", "_./:", "    ").alias("text"))), ["query_id"], k)
+    lexical = lexical.select(F.col("query_id").alias("term"), F.col("item").alias("node_id"), F.lit("bm25").alias("found_by"))
+    similar = fuzzy(rest.join(lexical.select("term"), "term", "left_anti"), ids, k_fuzzy).select("term", "node_id", F.lit("fuzzy").alias("found_by"))
+    return sure.unionByName(first_choice([anywhere.join(rest, "term", "left_semi"), lexical.unionByName(similar)], ["term", "node_id"]))
 
 
 def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, shared: int = 2) -> DataFrame:

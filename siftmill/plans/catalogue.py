@@ -570,6 +570,18 @@ def search_cascade(spark, sf_dir):
     return search.cascade(terms, index.select("node_id"), index)
 
 
+@query()
+def search_cascade_parts(spark, sf_dir):
+    """Terms of all parts, for each way to find them, and misspelled ones."""
+    index = _named_parts(spark, sf_dir)
+    key, brand, way = F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_partkey") % 7
+    file, number = F.concat(F.lit("p"), key, F.lit(".py:")), F.regexp_extract("p_brand", "[0-9]+", 0)
+    made = [F.concat(file, brand), F.concat(file, brand, F.lit(".__init__")), F.concat(F.lit("class "), brand), F.concat(F.lit("p"), key, F.lit("."), brand), F.concat(F.lit("Other."), brand), F.concat(F.lit("number "), number), F.concat(F.lit("Brend"), number, F.lit("x"))]
+    term = F.coalesce(*[F.when(way == k, m) for k, m in enumerate(made)])
+    terms = t(spark, sf_dir, "part").select(term.alias("term")).distinct()
+    return search.cascade(terms, index.select("node_id"), index)
+
+
 @query("""WITH h AS (SELECT user_id AS query_id, event_type AS file, event_id AS span_id, value AS score FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY score DESC, span_id) AS n FROM h)
 SELECT query_id, file, span_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, span_id)::INTEGER AS rank FROM f WHERE n <= 2) WHERE rank <= 5""")
 def capped_spans(spark, sf_dir):

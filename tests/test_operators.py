@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
-from siftmill.operators import chunking, context, graph, metrics, patches, pyast, ranges, ranking, retrieval
+from siftmill.operators import chunking, context, graph, metrics, patches, pyast, ranges, ranking, retrieval, search
+from siftmill.plans import catalogue
 from siftmill.sources import readers, writers
 from siftmill.streaming import incremental
+from tests.oracle import SMALL
 
 
 def rows(frame, *columns):
@@ -151,6 +153,25 @@ def test_fuzzy_scores():
     assert retrieval.partial_ratio("abc", "xxabcxx") == 100.0
 
 
+def test_cascade_takes_each_way(spark):
+    nodes = spark.createDataFrame([("a/x.py:Foo.run", "function"), ("a/x.py:Foo", "class"), ("b/y.py:Bar.run", "function"), ("b/y.py:Parser", "class")], "node_id string, type string")
+    asked = ["a/x.py:Foo", "a/x.py:Foo.__init__", "class Bar.run", "Foo.run", "foo.run", "b/y.py:Nope.run", "Other.run", "zzz y", "Pasrer", "class Parser", ".run"]
+    found = search.cascade(spark.createDataFrame([(a,) for a in asked], "term string"), nodes.select("node_id"), graph.name_index(nodes), k_fuzzy=1)
+    runs = [("a/x.py:Foo.run",), ("b/y.py:Bar.run",)]
+    expected = {("a/x.py:Foo", "a/x.py:Foo", "id"), ("a/x.py:Foo.__init__", "a/x.py:Foo", "init"), ("class Parser", "b/y.py:Parser", "name"), ("class Bar.run", "b/y.py:Bar.run", "prefix")}
+    expected |= {(t, "a/x.py:Foo.run", "prefix") for t in ("Foo.run", "foo.run")} | {("b/y.py:Nope.run", "b/y.py:Bar.run", "file"), ("Pasrer", "b/y.py:Parser", "fuzzy")}
+    expected |= {("Other.run", n, "suffix") for (n,) in runs} | {(".run", n, "prefix") for (n,) in runs} | {("zzz y", n, "bm25") for n in ("b/y.py:Bar.run", "b/y.py:Parser")}
+    assert set(rows(found, "term", "node_id", "found_by")) == expected
+
+
+def test_terms_of_all_parts_take_each_way(spark):
+    found = catalogue.QUERIES["search_cascade_parts"](spark, SMALL).toPandas()
+    assert set(found["found_by"]) == {"id", "init", "name", "prefix", "suffix", "bm25", "fuzzy"}
+    parts = spark.read.parquet(f"{SMALL}/part.parquet").toPandas()
+    brands = {w: set(parts[parts["p_partkey"] % 7 == w]["p_brand"]) for w in range(7)}
+    assert set(found["term"]) == {f"p{k}.py:{b}{'.__init__' if k % 7 else ''}" for k, b in zip(parts["p_partkey"], parts["p_brand"]) if k % 7 < 2} | {f"class {b}" for b in brands[2]} | {f"p{k}.{b}" for k, b in zip(parts["p_partkey"], parts["p_brand"]) if k % 7 == 3} | {f"Other.{b}" for b in brands[4]} | {f"number {b[6:]}" for b in brands[5]} | {f"Brend{b[6:]}x" for b in brands[6]}
+
+
 def test_graph_distance(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x")], "src string, dst string, etype string")
     found = graph.k_hop(edges, spark.createDataFrame([("a",)], "node_id string"), -1)
