@@ -43,12 +43,15 @@ BASE = {
 }
 WEAK = {
     "weak_id": r"""A(?:KIA|SIA|IDA|ROA|GPA)[A-Z0-9]{8,}|(?:[Uu]ser|[Ll]ogin|[Aa]ccount|[Cc]lient)(?:_?(?:id|name))?["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
-    # Kept if it has a letter and LEAST_SECRET characters.
-    "weak_secret": r"[A-Za-z+/]{0,64}[0-9][A-Za-z0-9+/]{7,}={0,2}",
+    # A whole run, kept if it is ``MIXED``.
+    "weak_secret": rf"[A-Za-z0-9+/_-]{{{LEAST_SECRET},}}={{0,2}}",
     "weak_endpoint": r"[a-z]{2,12}://[A-Za-z0-9.-]+(?::[0-9]+)?|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?::[0-9]{1,5})?",
 }
+#: What a run must have to be a weak secret: a letter and a digit, or letters of both cases where an upper
+#: one is not just the first letter, as of a long noun.
+MIXED = r"[A-Za-z][^A-Za-z0-9]*[0-9]|[0-9][^A-Za-z0-9]*[A-Za-z]|[a-z][^a-z]*[A-Z]|[A-Z][^A-Z]*[A-Z][^a-z]*[a-z]"
 #: Without a match of this, a text has no part at all; it is cheaper than the patterns.
-_ANY = rf"[0-9][A-Za-z0-9+/]{{7,}}|[a-f0-9]{{24,}}|A[A-Z]{{3}}[A-Z0-9]{{8,}}|://|[0-9]\.[0-9]{{1,3}}\.|(?:{_NAMES}|[Uu]ser|[Ll]ogin|[Aa]ccount|[Cc]lient)[A-Za-z_]{{0,5}}[\"']?\x20*[:=]"
+_ANY = rf"[A-Za-z0-9+/_-]{{{LEAST_SECRET}}}|A[A-Z]{{3}}[A-Z0-9]{{8,}}|://|[0-9]\.[0-9]{{1,3}}\.|(?:{_NAMES}|[Uu]ser|[Ll]ogin|[Aa]ccount|[Cc]lient)[A-Za-z_]{{0,5}}[\"']?\x20*[:=]"
 _CHUNK = 128
 
 RESULT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -96,7 +99,7 @@ def _at_least(n: int) -> Callable[[Column], Column]:
 def weak_spans(text: Column) -> Column:
     found = []
     for kind, pattern in WEAK.items():
-        holds = (lambda t: t.rlike("[A-Za-z]") & (F.length(t) >= LEAST_SECRET)) if kind == "weak_secret" else (lambda t: t.isNotNull())
+        holds = (lambda t: t.rlike(MIXED)) if kind == "weak_secret" else (lambda t: t.isNotNull())
         own = spans_of(text, kind, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), holds)
         found.append(F.when(text.rlike(pattern), own).otherwise(F.array().cast(_SPAN)))
     return F.concat(*found)
@@ -194,12 +197,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERY = ("op10_secret_scan", op10_secret_scan)
 
 
+#: The SQL stays as it was given: keys in which a digit comes early. It is equal where there are no others.
+_SQL_WEAK = WEAK | {"weak_secret": r"[A-Za-z+/]{0,64}[0-9][A-Za-z0-9+/]{7,}={0,2}"}
+
+
 def _sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     arms = []
     for kind, (pattern, group, least) in BASE.items():
         arms.append((kind, pattern, f"length(regexp_extract_all(t, {quote(pattern)}, {group})[i]) >= {least}"))
-    for kind, pattern in WEAK.items():
+    for kind, pattern in _SQL_WEAK.items():
         arms.append((kind, pattern, f"regexp_matches(m, '[A-Za-z]') AND length(m) >= {LEAST_SECRET}" if kind == "weak_secret" else "true"))
     each = " UNION ALL ".join(
         f"SELECT rid, {KINDS.index(kind)} AS kind, {holds} AS holds, length(m) AS n, sum(length(b) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS e FROM (SELECT rid, t, i, string_split_regex(t, {quote(pattern)})[i] AS b, regexp_extract_all(t, {quote(pattern)})[i] AS m FROM d, unnest(range(1, len(regexp_extract_all(t, {quote(pattern)})) + 1)) AS u(i))"

@@ -267,6 +267,18 @@ def test_weak_parts_need_each_other(spark):
     assert masked[1] == "[secret] [secret]" and masked[4] == "user = bob1"
 
 
+def test_keys_of_any_shape_are_linked_whole(spark):
+    rng = np.random.default_rng(10)
+    url_safe = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+    keys = ["QwertyUiopAsdfGhjk", "abcdefghijklmn1op", "Ab-Cd_Ef-Gh_Ij-Kl_Mn-9", *("".join(rng.choice(list(chars), n)) for chars, n in ((url_safe[:62], 16), (url_safe[:62], 20), (url_safe, 32), (url_safe, 43)) for _ in range(50))]
+    docs = spark.createDataFrame([(k, f"see ftp://a.example {key} end") for k, key in enumerate(keys)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    assert all(found[k] == f"weak_secret:20:{20 + len(key)}" for k, key in enumerate(keys))
+    assert {r["text"] for r in secret_scan.redacted(docs).collect()} == {f"see ftp://a.example {secret_scan.MASK} end"}
+    plain = spark.createDataFrame([(1, "see ftp://a.example Donaudampfschifffahrt 12345678901234567890 internationalisation end")], "doc_id long, text string")
+    assert secret_scan.scan(plain).first()["spans"] == ""
+
+
 def test_secrets_are_masked(spark, odd):
     docs = spark.read.parquet(f"{odd}/full/documents.parquet")
     masked = secret_scan.redacted(docs)
