@@ -121,14 +121,16 @@ def fuzzy_ratio(a: str, b: str) -> float:
     total = len(a) + len(b)
     if not total:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = last + 1 if x == y else max(row[j], row[j - 1])
-            last = keep
-    return 100.0 * 2 * row[-1] / total
+    # A row of lengths as bits: a zero stands where the length grows by one (Hyyrö 2004).
+    at: dict[str, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    ones = (1 << len(a)) - 1
+    row = ones
+    for y in b:
+        same = row & at.get(y, 0)
+        row = (row + same | row - same) & ones
+    return 100.0 * 2 * (len(a) - row.bit_count()) / total
 
 
 def token_set_ratio(a: str, b: str) -> float:

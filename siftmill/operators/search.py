@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import is_test_file, matches_file, search_name, squeezed_contains
 from siftmill.operators.ranking import first_choice, top_k
-from siftmill.operators.retrieval import bm25, partial_score, token_set_score
+from siftmill.operators.retrieval import bm25, partial_score, token_set_ratio
 
 
 def by_name(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -50,15 +54,31 @@ def cascade(terms: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 5, k_
     return sure.unionByName(first_choice([anywhere.join(rest, "term", "left_semi"), lexical.unionByName(similar)], ["term", "node_id"]))
 
 
-def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, shared: int = 2) -> DataFrame:
-    """The best nodes by token-set ratio of their ids, among those that share a run of ``shared``
-    characters with the term: others can't be close."""
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - shared + 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(shared)))))
-    t = terms.select("term", grams(F.col("term")).alias("g"))
-    n = nodes.select("node_id", grams(F.col("node_id")).alias("g"))
-    near = t.join(n, "g").select("term", "node_id").distinct()
+def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, term_block: int = 1024) -> DataFrame:
+    """The best nodes by token-set ratio of their ids: ``term, node_id, score, rank``. Every term is
+    scored against every distinct id, since close ones need not share any run of characters. Terms are
+    dealt into blocks of about ``term_block`` by hash, one pass each; a task returns at most k rows a term."""
     plain = lambda c: F.translate(F.lower(c), "_-./:", "     ")
-    return top_k(near.withColumn("score", token_set_score(plain(F.col("term")), plain(F.col("node_id")))), ["term"], k, ties=("node_id",))
+    terms = terms.filter("term IS NOT NULL").select("term", plain(F.col("term")).alias("words")).distinct()
+    ids = nodes.filter("node_id IS NOT NULL").select("node_id", plain(F.col("node_id")).alias("words")).distinct()
+    out, blocks = None, max(1, -(-terms.count() // term_block))
+    for block in range(blocks):
+        own = [tuple(r) for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).collect()]
+        shared = terms.sparkSession.sparkContext.broadcast(own)
+
+        def best(parts, shared=shared):
+            found = {term: [] for term, _ in shared.value}
+            for part in parts:
+                names = list(zip(part["node_id"], part["words"]))
+                for term, words in shared.value:
+                    scored = ((-token_set_ratio(words, other), name) for name, other in names)
+                    found[term] = heapq.nsmallest(k, chain(found[term], scored))
+            rows = [(term, name, -score) for term, few in found.items() for score, name in few]
+            yield pd.DataFrame(rows, columns=["term", "node_id", "score"]).astype({"score": "float64"})
+
+        few = ids.mapInPandas(best, "term string, node_id string, score double")
+        out = few if out is None else out.unionByName(few)
+    return top_k(out, ["term"], k, ties=("node_id",))
 
 
 def rerank_files(files: DataFrame, pattern: str) -> DataFrame:

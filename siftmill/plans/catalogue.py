@@ -382,7 +382,7 @@ def filter_before_and_after_topk(spark, sf_dir):
 def fuzzy_topk_names(spark, sf_dir):
     terms = t(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.col("p_name").alias("term"))
     nodes = t(spark, sf_dir, "part").select(F.col("p_name").alias("node_id")).distinct()
-    return search.fuzzy(terms.distinct(), nodes, 5, shared=4).select("term", "node_id", "rank", F.round("score", 6).alias("score"))
+    return search.fuzzy(terms.distinct(), nodes, 5).select("term", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
 # ---- metrics and fusion ---------------------------------------------------------------------------

@@ -153,6 +153,36 @@ def test_fuzzy_scores():
     assert retrieval.partial_ratio("abc", "xxabcxx") == 100.0
 
 
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(last[j - 1] + 1 if x == y else max(last[j], row[j - 1]))
+    return row[-1]
+
+
+def test_fuzzy_ratio_by_table():
+    import random
+
+    draw = random.Random(7)
+    for _ in range(500):
+        a, b = ("".join(draw.choices("abc ", k=draw.randint(0, 80))) for _ in range(2))
+        assert retrieval.fuzzy_ratio(a, b) == (100.0 * 2 * _common(a, b) / (len(a) + len(b)) if a or b else 100.0)
+
+
+@pytest.mark.parametrize("block", [1024, 1])
+def test_fuzzy_names_by_brute_force(spark, block):
+    terms = ["abcdef", "red_widget", "zz", "hot bolt", ""]
+    names = ["a1b2c3d4e5f", "xyz", "widget.red:x", "bolt", "hat_belt", "b/c.py:d", "q"]
+    plain = lambda x: x.lower().translate(str.maketrans("_-./:", "     "))
+    expected = [(t, n, r, s) for t in terms for r, (s, n) in enumerate(sorted(((retrieval.token_set_ratio(plain(t), plain(n)), n) for n in names), key=lambda x: (-x[0], x[1]))[:5], 1)]
+    found = search.fuzzy(spark.createDataFrame([(x,) for x in terms], "term string"), spark.createDataFrame([(x,) for x in names * 2], "node_id string"), 5, block)
+    assert rows(found, "term", "node_id", "rank", "score") == sorted(expected)
+    assert ("abcdef", "a1b2c3d4e5f", 1) in {r[:3] for r in expected}
+
+
 def test_cascade_takes_each_way(spark):
     nodes = spark.createDataFrame([("a/x.py:Foo.run", "function"), ("a/x.py:Foo", "class"), ("b/y.py:Bar.run", "function"), ("b/y.py:Parser", "class")], "node_id string, type string")
     asked = ["a/x.py:Foo", "a/x.py:Foo.__init__", "class Bar.run", "Foo.run", "foo.run", "b/y.py:Nope.run", "Other.run", "zzz y", "Pasrer", "class Parser", ".run"]
