@@ -3,6 +3,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,10 +95,31 @@ def tree_text(paths: DataFrame) -> DataFrame:
     return paths.select(F.array_join("path", " > ").alias("key"), F.concat(F.repeat(F.lit("  "), F.col("depth")), F.element_at("path", -1)).alias("line"))
 
 
-def mean_shortest_distance(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
-    """The mean over reachable targets of the distance from the nearest source; null without one."""
-    reached = k_hop(edges, sources, hops).groupBy("node_id").agg(F.min("distance").alias("distance"))
-    return targets.select("node_id").distinct().join(reached, "node_id").agg(F.avg("distance").alias("mean_distance"))
+def mean_shortest_distance(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """The mean over reachable targets of the distance from the nearest source; null without one. All
+    sources walk as one, until nothing new is reached."""
+    steps = directed(edges, "downstream").select("a", "b").distinct()
+    frontier = seen = sources.select("node_id").distinct().withColumn("distance", F.lit(0))
+    hop = 0
+    while not frontier.isEmpty():
+        hop += 1
+        reached = frontier.select(F.col("node_id").alias("a")).join(steps, "a").select(F.col("b").alias("node_id")).distinct()
+        frontier = _kept(reached.join(seen.select("node_id"), "node_id", "left_anti").withColumn("distance", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+        if hop % CUT_EVERY == 0:
+            seen = _kept(seen)
+    return targets.select("node_id").distinct().join(seen, "node_id").agg(F.avg("distance").alias("mean_distance"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage ended, in a temporary folder where the cluster names none: a walk without
+    a limit would plan ever longer otherwise."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        own = tempfile.mkdtemp(prefix="siftmill-")
+        atexit.register(shutil.rmtree, own, True)
+        context.setCheckpointDir(f"file://{own}")
+    return df.checkpoint()
 
 
 def without_empty_folders(nodes: DataFrame) -> DataFrame:

@@ -511,7 +511,7 @@ def subgraph(spark, sf_dir):
 m AS (SELECT node_id, min(distance) AS distance FROM w GROUP BY node_id) SELECT round(avg(distance), 6) AS mean_distance FROM m WHERE starts_with(node_id, 'o')""")
 def mean_shortest_distance(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    found = graph.mean_shortest_distance(_edges(spark, sf_dir), nodes.filter("node_id IN ('r0', 'n1')"), nodes.filter("type = 'order'"), 5)
+    found = graph.mean_shortest_distance(_edges(spark, sf_dir), nodes.filter("node_id IN ('r0', 'n1')"), nodes.filter("type = 'order'"))
     return found.select(F.round("mean_distance", 6).alias("mean_distance"))
 
 

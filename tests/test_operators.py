@@ -208,6 +208,13 @@ def test_graph_distance(spark):
     assert rows(found, "node_id", "distance") == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_mean_distance_of_a_long_path(spark):
+    edges = spark.createDataFrame([(f"v{k}", f"v{k + 1}", "x") for k in range(24)] + [("v24", "v0", "x"), ("w", "v3", "x")], "src string, dst string, etype string")
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "node_id string")
+    assert graph.mean_shortest_distance(edges, ids("v0", "w"), ids("v24", "v1", "gone")).first()[0] == 11.5
+    assert graph.mean_shortest_distance(edges, ids("v0"), ids("w")).first()[0] is None
+
+
 def test_span_budget_all_fit(spark):
     df = spark.createDataFrame([(1, "a", 0, 40), (1, "b", 1, 500)], "k int, span_id string, rank int, tokens int")
     assert rows(context.pack_spans(df, 1000, ["k"]), "span_id", "allotted") == [("a", 40), ("b", 500)]
