@@ -111,6 +111,9 @@ class Page:
         # main, and those of the paths that may be removed.
         root = ("", 0, (0,), [], False, False, False, ())
         stack, text, at, n = [root], [], 0, len(html)
+        # Tags below the deepest element kept that are open but not on the stack, and how many of each.
+        ignored: list[str] = []
+        open_ignored: dict[str, int] = {}
 
         def flush() -> None:
             if text:
@@ -121,6 +124,9 @@ class Page:
                     self.blocks.append((whole, top[2], top[5], top[6], top[7]))
 
         def close(depth: int) -> None:
+            if len(stack) > depth:
+                ignored.clear()
+                open_ignored.clear()
             while len(stack) > depth:
                 tag, path, _, children, skipped, *_ = stack.pop()
                 if tag not in INLINE and not skipped:
@@ -139,6 +145,17 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if found[1] and tag in open_ignored:  # it ends an ignored element, and those within
+                if tag not in INLINE:
+                    flush()
+                while tag in open_ignored and (tag not in INLINE or ignored[-1] in INLINE):
+                    last = ignored.pop()
+                    open_ignored[last] -= 1
+                    if not open_ignored[last]:
+                        del open_ignored[last]
+                    if last == tag:
+                        break
+                continue
             if found[1]:  # an end tag
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
                 if tag not in INLINE:
@@ -160,6 +177,7 @@ class Page:
                 continue
             if tag not in INLINE:
                 flush()
+            if tag not in INLINE and all(t in INLINE for t in open_ignored):
                 if tag in ENDS_P:
                     depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
                     if depth and all(e[0] in INLINE or e[0] == "p" for e in stack[depth:]):
@@ -175,6 +193,8 @@ class Page:
             if tag in VOID or tag in ("html", "body"):
                 continue
             if len(stack) > _MOST_DEPTH:
+                ignored.append(tag)
+                open_ignored[tag] = open_ignored.get(tag, 0) + 1
                 continue
             label, skip = _label(tag, found[3])
             top = stack[-1]

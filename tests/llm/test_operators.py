@@ -183,6 +183,12 @@ def test_broken_pages(html):
     assert html_extract.Page(html).text() == ""
 
 
+@pytest.mark.parametrize("deep", [("<div>", "</div>"), ("<div><p>", "</p></div>"), ("<ul><li>", "</ul>")])
+def test_text_after_deep_nests_stays(deep):
+    html = f"<body><div><article><p>before</p>{deep[0] * 600}deep{deep[1] * 600}<p>after</p></article></div><p>outside</p></body>"
+    assert html_extract.Page(html).text() == "before\n\ndeep\n\nafter"
+
+
 def test_shared_branches_go_and_paragraphs_stay(spark):
     made = lambda k: f"<body><div class='top'>Welcome to the site</div><div class='text'><p>Only page {k} says {k * k}</p><p>All say this</p></div></body>"
     pages = spark.createDataFrame([(k, f"https://one.example/{k}", made(k)) for k in range(12)] + [(99, "https://two.example/", made(99))], "page_id long, url string, html string")
