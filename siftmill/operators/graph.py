@@ -104,14 +104,14 @@ def mean_shortest_distance(edges: DataFrame, sources: DataFrame, targets: DataFr
     while not frontier.isEmpty():
         hop += 1
         reached = frontier.select(F.col("node_id").alias("a")).join(steps, "a").select(F.col("b").alias("node_id")).distinct()
-        frontier = _kept(reached.join(seen.select("node_id"), "node_id", "left_anti").withColumn("distance", F.lit(hop)))
+        frontier = kept(reached.join(seen.select("node_id"), "node_id", "left_anti").withColumn("distance", F.lit(hop)))
         seen = seen.unionByName(frontier)
         if hop % CUT_EVERY == 0:
-            seen = _kept(seen)
+            seen = kept(seen)
     return targets.select("node_id").distinct().join(seen, "node_id").agg(F.avg("distance").alias("mean_distance"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """``df`` with its lineage ended, in a temporary folder where the cluster names none: a walk without
     a limit would plan ever longer otherwise."""
     context = df.sparkSession.sparkContext

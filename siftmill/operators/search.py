@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import is_test_file, matches_file, search_name, squeezed_contains
+from siftmill.operators.graph import kept
 from siftmill.operators.ranking import first_choice, top_k
 from siftmill.operators.retrieval import bm25, partial_score, token_set_ratio
 
@@ -45,11 +46,12 @@ def cascade(terms: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 5, k_
     bare = terms.withColumn("node_id", F.regexp_replace("term", r"\.__init__$", "")).join(ids, "node_id", "left_semi").select("term", "node_id", F.lit("init").alias("found_by"))
     named = by_name(terms, index).withColumn("found_by", F.lit("name"))
     within, in_file, anywhere = by_dotted_name(terms, index)
-    sure = first_choice([exact, bare, named, within, in_file], ["term"])
+    # What is read by several steps is kept, or each step's plan would hold all those before.
+    sure = kept(first_choice([exact, bare, named, within, in_file], ["term"]))
     # BM25 and fuzzy ids only for what is left, since a part such as ``py`` is in most ids.
-    rest = terms.select("term").distinct().join(sure.select("term"), "term", "left_anti")
+    rest = kept(terms.select("term").distinct().join(sure.select("term"), "term", "left_anti"))
     lexical = top_k(bm25(rest.select(F.col("term").alias("query_id"), F.col("term").alias("text")), ids.select(F.col("node_id").alias("item"), F.translate("node_id", "_./:", "    ").alias("text"))), ["query_id"], k)
-    lexical = lexical.select(F.col("query_id").alias("term"), F.col("item").alias("node_id"), F.lit("bm25").alias("found_by"))
+    lexical = kept(lexical.select(F.col("query_id").alias("term"), F.col("item").alias("node_id"), F.lit("bm25").alias("found_by")))
     similar = fuzzy(rest.join(lexical.select("term"), "term", "left_anti"), ids, k_fuzzy).select("term", "node_id", F.lit("fuzzy").alias("found_by"))
     return sure.unionByName(first_choice([anywhere.join(rest, "term", "left_semi"), lexical.unionByName(similar)], ["term", "node_id"]))
 
