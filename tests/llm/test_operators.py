@@ -5,9 +5,11 @@ import collections
 import glob
 import hashlib
 import re
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -318,12 +320,67 @@ def test_packing_by_the_library(spark, folder):
     assert len(bins) <= 1.05 * sum(e[3] for e in expected) / 2048 + 1
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("aB ébΣİ'.,!\x1c\x85 \xa0 <|endoftext|>1tsré\n"), max_size=40))
-def test_parts_are_encoded_as_texts(text):
-    encode = packing.encoder(packing.default_vocabulary())
-    whole = encode.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encode([text, None])[0], "<u4").tolist() == whole
+def ids_by_the_library(texts):
+    tokenizer = packing.encoder(packing.default_vocabulary()).tokenizer
+    return [[*x.ids, 0] for x in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def ids_by_units(texts):
+    return [x.tolist() for x in packing.ids_of(pa.array(texts, pa.string()), packing.encoder(packing.default_vocabulary()))]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB \u00e9b\u03a3\u0130'.,!\x1c\x85\xa0 <|endoftext|>1ts\u00d7r\u00e9\u0301\u212b\n\u2603"), max_size=40), min_size=1, max_size=3))
+def test_units_are_encoded_as_texts(texts):
+    assert ids_by_units([*texts, None]) == ids_by_the_library([*texts, None])
+
+
+def test_every_letter_before_every_mark():
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for at, mark in enumerate(string.punctuation + "\x1c\x85\xa0\u0301"):
+        own = letters if mark in ".'\u0301" else letters[at % 8 :: 8]
+        texts = [" ".join(c + mark for c in own[k : k + 500]) for k in range(0, len(own), 500)]
+        texts += [" ".join(mark + c for c in letters[k : k + 500]) for k in range(0, 1500, 500)]
+        assert ids_by_units(texts) == ids_by_the_library(texts), repr(mark)
+
+
+def test_long_texts_and_small_tables_of_units(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcd \u00e9'.\n"), n)) for n in (3000, 0, 50, 1, 700)] + ["x" * 500 + " y" * 40, None, "", "a b"]
+    monkeypatch.setattr(packing, "_RUN", 64)
+    monkeypatch.setattr(packing, "_MOST_UNITS", 30)
+    assert ids_by_units(texts) == ids_by_the_library(texts) and ids_by_units([]) == ids_by_units([None])[1:]
+
+
+def plain_sum_of_squares(lengths, size, early):
+    """Gap taken by each length, with the sum written out for every choice."""
+    gaps, taken = [], []
+    for n in lengths:
+        def cost(gap):
+            left = collections.Counter(gaps)
+            if gap != size:
+                left[gap] -= 1
+            left[gap - n] += 1
+            return sum(v * v for g, v in left.items() if 0 < g < size)
+
+        fits = sorted({g for g in gaps if g >= n})
+        choices = [*fits, *([size] if early or not fits else [])]
+        best = min(choices, key=lambda g: (cost(g), g))
+        if best != size:
+            gaps.remove(best)
+        if best > n:
+            gaps.append(best - n)
+        taken.append(best)
+    return taken
+
+
+@pytest.mark.parametrize("early", [False, True])
+def test_sum_of_squares_by_a_plain_version(early):
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        lengths = rng.integers(1, 21, rng.integers(1, 50))
+        _, offsets = packing.sum_of_squares(lengths, 20, early)
+        assert (20 - offsets).tolist() == plain_sum_of_squares(lengths.tolist(), 20, early)
 
 
 @settings(max_examples=60, deadline=None)
