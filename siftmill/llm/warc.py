@@ -3,8 +3,9 @@
 Writing. Pages are dealt by hash over archives of about ``ARCHIVE_BYTES`` of payload, ordered by
 digest within. The task that writes an archive trains a dictionary on its first records (of random
 digests, ``SAMPLE_BYTES`` at most), puts it in a leading skippable frame (magic 0x184D2A5D) and then
-compresses each record as a frame of its own, so that any record can be read by its offset. A task
-writes under a name of its own and renames when the archive is whole; a repeated task replaces an
+compresses each record as a frame of its own, so that any record can be read by its offset. Each
+archive is written, and read, by a task of its own (rows go to tasks by the archive's number, not by a
+hash of it). A task writes under a name of its own and renames when the archive is whole; a repeated task replaces an
 equal file. Memory is bounded by the sample and a record.
 
 Of records with equal payloads (by SHA-1) of at least ``LEAST_BYTES``, that with the smallest page_id
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,7 @@ LEAST_BYTES = 0
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES, DICTIONARY_BYTES = 512 << 10, 32 << 10
 LEVEL = 3
+MOST_TASKS = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 SKIPPABLE = 0x184D2A5D
 _NAMESPACE = uuid.UUID("6f1dd2a6-54c7-4b0e-9c53-6d0f3f0f8a11")
@@ -155,9 +158,20 @@ def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, upto(int(headers["Content-Length"]) + 4)[:-4]
 
 
+def _file(number: int) -> str:
+    return f"archive-{number:06d}.warc.zst"
+
+
+def _dealt(rows: DataFrame, archives: int) -> DataFrame:
+    """Rows by the number in their column ``archive``: a task for each archive up to ``MOST_TASKS``
+    tasks, beyond that as many archives each."""
+    tasks = min(archives, MOST_TASKS)
+    return rows.repartitionById(tasks, (F.col("archive") % tasks).cast("int"))
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives in ``folder``: a row for each archive, its
-    name and number of records. The archives exist when this returns."""
+    number, name, number of records and the task that wrote it. The archives exist when this returns."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     size = F.length("payload")
@@ -171,31 +185,34 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     told = known.join(twice, (F.col("sha1") == F.col("same")) & (size >= LEAST_BYTES), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     dealt = told.select("page_id", "url", "payload", "sha1", refers.alias("refers_to"), F.pmod(F.xxhash64("page_id", "sha1"), F.lit(archives)).cast("int").alias("archive"))
-    dealt = dealt.repartition(archives, "archive").sortWithinPartitions("archive", "sha1", "page_id", "url")
+    dealt = _dealt(dealt, archives).sortWithinPartitions("archive", "sha1", "page_id", "url")
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, out = None, None
+        now, out, task = None, None, TaskContext.get().partitionId()
+
+        def closed() -> pd.DataFrame:
+            out.close()
+            return pd.DataFrame({"number": [now], "archive": [_file(now)], "records": [out.records], "task": [task]})
+
         for part in parts:
             whole = lambda v: None if pd.isna(v) else int(v)
             for row in part.itertuples(index=False):
                 if row.archive != now:
                     if out:
-                        out.close()
-                        yield pd.DataFrame({"archive": [f"archive-{now:06d}.warc.zst"], "records": [out.records]})
-                    now, out = row.archive, Archive(folder, f"archive-{row.archive:06d}.warc.zst")
+                        yield closed()
+                    now, out = row.archive, Archive(folder, _file(row.archive))
                 out.put(record(whole(row.page), row.url, row.payload, whole(row.refers)))
         if out:
-            out.close()
-            yield pd.DataFrame({"archive": [f"archive-{now:06d}.warc.zst"], "records": [out.records]})
+            yield closed()
 
     # Ids pass as text, so that nulls don't turn them into floats.
     as_text = dealt.select("archive", F.col("page_id").cast("string").alias("page"), "url", "payload", F.col("refers_to").cast("string").alias("refers"))
-    return written(as_text.mapInPandas(put, "archive string, records long"), "archives")
+    return written(as_text.mapInPandas(put, "number int, archive string, records long, task int"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """A row for each record of the named archives: page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, payload (null for a revisit)."""
+    """A row for each record of the archives that ``write_archives`` told of: page_id, url,
+    payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -203,7 +220,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         names = ["page", "url", "payload_bytes", "payload_digest", "record_type", "refers", "payload"]
         store, path = fs.FileSystem.from_uri(folder)
         for part in parts:
-            for name in part["archive"]:
+            for name in part["name"]:
                 rows, held = [], 0
                 with store.open_input_stream(f"{path}/{name}", compression=None) as source:
                     for head, block in records(source):
@@ -220,7 +237,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    found = archives.select("archive").repartition("archive").mapInPandas(read, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers string, payload binary")
+    last = archives.agg(F.max("number")).first()[0]
+    named = _dealt(archives.select(F.col("number").alias("archive"), F.col("archive").alias("name")), 1 + (last or 0))
+    found = named.mapInPandas(read, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers string, payload binary")
     return found.select(F.col("page").cast("long").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers").cast("long").alias("refers_to"), "payload")
 
 

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from siftmill.llm import components, html_extract, language_id, mixing, packing, quality_rules, registry, secret_scan, simhash_dedup, suffix_dedup, topk_search, warc
@@ -252,8 +253,6 @@ def test_targets_stop_at_three_times(spark):
 
 def test_seats_by_highest_quotients(spark):
     rows = spark.createDataFrame([("a", 53), ("b", 24), ("c", 23)], "p string, v long")
-    from pyspark.sql import functions as F
-
     found = mixing.sainte_lague(rows.withColumn("seats", F.lit(7)), [], "v", "seats", [F.col("p")])
     assert {r["p"]: r["quota"] for r in found.collect()} == {"a": 3, "b": 2, "c": 2}
 
@@ -414,6 +413,31 @@ def test_archives_are_single_frames(spark, odd, tmp_path):
     assert back[5, "http://a.example/z"]["payload_digest"] == base64.b32encode(hashlib.sha1("<p>é &amp; other".encode()).digest()).decode()
 
 
+def test_each_archive_has_its_tasks(spark, tmp_path, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4096)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/w")
+    told = archives.collect()
+    assert len(told) > 60 and len({r["task"] for r in told}) == len(told) == len({r["archive"] for r in told})
+    read = warc.read_archives(archives, f"file://{tmp_path}/w")
+    by_task = read.groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in by_task) == sorted(r["records"] for r in told)
+    digests = [warc.digest32((r["html"] or "").encode()) for r in pages.collect()]
+    assert sorted(r["payload_digest"] for r in read.collect()) == sorted(digests)
+    monkeypatch.setattr(warc, "MOST_TASKS", 5)
+    fewer = warc.write_archives(pages, f"file://{tmp_path}/fewer")
+    assert {r["task"] for r in fewer.collect()} == set(range(5)) and fewer.count() == len(told)
+    assert sorted(r["payload_digest"] for r in warc.read_archives(fewer, f"file://{tmp_path}/fewer").collect()) == sorted(digests)
+
+
+def test_very_long_pages_come_back_whole(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    long = "".join(map(chr, rng.integers(32, 0x250, 9_000_000)))
+    pages = spark.createDataFrame([(1, "http://a.example", long), (2, None, "<p>short"), (3, "http://b.example", long)], "page_id long, url string, html string")
+    back = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/w"), f"file://{tmp_path}/w").collect()}
+    assert bytes(back[1]["payload"]) == long.encode() and back[3]["refers_to"] == 1 and bytes(back[2]["payload"]) == b"<p>short"
+
+
 # 9
 
 
