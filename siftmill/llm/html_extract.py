@@ -1,9 +1,12 @@
 """Main text of web pages by site style trees.
 
 Parsing. A tolerant scanner walks tags in page order with a stack of open elements (void elements,
-implied ends of p, li and the like, raw text of scripts and styles). Elements that say what they are,
-by tag, role or class (menus, adverts, forms, comments and so on), are presentation and are skipped
-with all they hold; this needs no other page.
+implied ends of p, li and the like, raw text of scripts and styles), in linear time at any depth.
+Elements whose tag says that they are no text (nav, footer, aside, buttons, menus) are skipped. Roles,
+whole class names and ids that say so, forms and hidden elements only mark a branch: a marked branch goes
+if there is text in an article or main element beside it (in the page or a marked branch around it);
+else if it holds no such text and is small, less than half of the page's text or mostly links. No mark is taken from a word
+within another name (``has-sidebar``, ``no-ads``), and none on an article or main element itself.
 
 Style tree (Yi, Liu and Li, Eliminating Noisy Information in Web Pages for Data Mining, 2003). The
 trees of all pages of a host are merged by paths of tag and class; pages that show the same on the
@@ -11,7 +14,9 @@ same paths are copies and count once. For each path with pages m:
 presentation is the entropy (base m) of the child sequences used, content one minus the mean entropy
 of its blocks of text over the pages that show them. With l child sequences and g = ``DECAY``,
 importance = (1 - g^l) presentation + g^l content. Branches under ``LEAST_IMPORTANCE`` are removed
-from each page, on paths of ``LEAST_PAGES`` pages or more: what a single page has cannot be compared.
+from each page. What a single page has cannot be compared: its importance is 1. Branches are the
+element of a block of text and ``HEIGHT`` levels above it, so a page's rows are in proportion to its
+blocks; a higher branch is judged by its parts.
 An article or main element, and plain paragraphs, headings and lists within, are not removed: a
 paragraph that many articles share is still text. A page that nothing would be left of stays whole.
 
@@ -21,16 +26,18 @@ pages is no hot group. Removed paths are joined as rows with the paths that page
 and each page then gets its own, never all those of its host.
 
 Defined cases. Null or empty html: empty text. Null url or one without host: the page is a site of
-its own. Repeated rows: they count once, and each gets its text. Very long pages: read whole, in linear time. An empty
-table: an empty result. Further columns are kept; of columns named like a result column, the result's
-value stays.
+its own. Repeated rows: they count once, and each gets its text. Very long pages and very deep ones:
+read whole, in linear time. An empty table: an empty result. Further columns are kept; of columns
+named like a result column, the result's value stays.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -41,8 +48,10 @@ from pyspark.sql import types as T
 from siftmill.llm.common import table, written
 
 LEAST_IMPORTANCE = 0.2
-LEAST_PAGES = 2
 DECAY = 0.9
+HEIGHT = 16
+#: Characters of a marked branch that goes even if it is most of a page without article.
+SMALL = 200
 RESULT = ("text", "n_chars")
 
 #: Elements by what HTML says of them.
@@ -58,38 +67,44 @@ ENDS = {
 }
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: What presentation is called.
-SKIPPED_TAGS = frozenset("nav footer aside form button input menu dialog".split())
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-SKIPPED_NAMES = frozenset(
+#: What presentation is called. A class name or id counts if it is made of these words,
+#: and of words for parts of a layout, alone.
+SKIPPED_TAGS = frozenset("nav footer aside button input menu dialog".split())
+MARKED_TAGS = frozenset({"form"})
+MARKED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
+MARKED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation topnav breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended comments comment commentlist respond reply "
     "disqus footer widget masthead toolbar pagination pager copyright disclaimer login search".split()
 )
+LAYOUT_NAMES = frozenset("site page global top bottom left right box area list wrapper wrap container bar section block links form".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*+(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W\d_]+")
 _MOST_TAGS = 20_000
-#: Open elements, as in browsers; deeper ones count as part of the last, which keeps the scan linear.
-_MOST_DEPTH = 512
 _told: dict[tuple[str, str], tuple[str, bool]] = {}
 
 
+def marked_name(name: str) -> bool:
+    """Whether a class name or id is one of presentation."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    return any(w in MARKED_NAMES for w in words) and all(w in MARKED_NAMES or w in LAYOUT_NAMES or w.isdigit() for w in words)
+
+
 def _tell(tag: str, rest: str) -> tuple[str, bool]:
-    """Label of an element in paths, and whether it is presentation."""
+    """Label of an element in paths, and whether it marks a branch as presentation."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
-    classes = " ".join(found.get("class", "").split())
-    words = {w.lower() for w in _NAME.findall(classes + " " + found.get("id", ""))}
+    names = found.get("class", "").split()
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    skipped = tag in SKIPPED_TAGS or found.get("role", "").lower() in SKIPPED_ROLES or bool(words & SKIPPED_NAMES) or hidden
-    return f"{tag}.{classes}" if classes else tag, skipped and tag not in ("html", "body")
+    marked = tag in MARKED_TAGS or found.get("role", "").lower() in MARKED_ROLES or hidden or any(map(marked_name, [*names, found.get("id", "")]))
+    return f"{tag}.{' '.join(names)}" if names else tag, marked and tag not in ("html", "body", "article", "main")
 
 
 def _label(tag: str, rest: str) -> tuple[str, bool]:
     if not rest or rest.isspace():
-        return tag, tag in SKIPPED_TAGS
+        return tag, tag in MARKED_TAGS
     if (tag, rest) not in _told:
         if len(_told) > _MOST_TAGS:
             _told.clear()
@@ -97,6 +112,24 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
     return _told[tag, rest]
 
 
+class Element(NamedTuple):
+    """An open element. ``base`` is the place on the stack of the last element that is not inline,
+    itself included; ``paths`` are those of the branches it is in, ``removable`` those of them that
+    may go, the nearest last; ``mark`` is the innermost marked branch, or -1."""
+
+    tag: str
+    path: int
+    children: list[str]
+    base: int
+    paths: tuple[int, ...]
+    removable: tuple[int, ...]
+    skipped: bool
+    article: bool
+    main: bool
+    link: bool
+    mark: int
+
+
 class Page:
     """What a page shows: ``blocks`` of (text, paths of the open elements, in article, in main, paths
     that may be removed), and ``styles``, the child sequences by path."""
@@ -104,40 +137,71 @@ class Page:
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, tuple[int, ...], bool, bool, tuple[int, ...]]] = []
         self.styles: dict[int, set[int]] = {0: set()}
-        self._scan(html or "")
-
-    def _scan(self, html: str) -> None:
-        # An open element: tag, its path, paths down to it, children's labels, skipped, in article, in
-        # main, and those of the paths that may be removed.
-        root = ("", 0, (0,), [], False, False, False, ())
-        stack, text, at, n = [root], [], 0, len(html)
-        # Tags below the deepest element kept that are open but not on the stack, and how many of each.
-        ignored: list[str] = []
-        open_ignored: dict[str, int] = {}
+        marks: list[int] = []  # of each block, the innermost marked branch it is in, or -1
+        links: list[int] = []  # of each block, its characters within links
+        around: list[int] = []  # of each marked branch, the next one around it
+        self._scan(html or "", marks, links, around)
+        if around:
+            self._drop_marked(marks, links, around)
+
+    def _drop_marked(self, marks: list[int], links: list[int], around: list[int]) -> None:
+        """Leave out marked branches, as the module's docstring says."""
+        n = len(around)
+        size, linked, holds, own = [0] * (n + 1), [0] * (n + 1), [False] * (n + 1), [False] * (n + 1)
+        for block, mark, link in zip(self.blocks, marks, links):
+            size[mark] += len(block[0])
+            linked[mark] += link
+            own[mark] |= block[2] or block[3]
+        holds[:] = own
+        for m in range(n - 1, -1, -1):  # numbers of inner branches are higher; the last entry is the page's
+            size[around[m]] += size[m]
+            linked[around[m]] += linked[m]
+            holds[around[m]] |= holds[m]
+        gone, beside = [False] * (n + 1), [False] * (n + 1)
+        for m, outer in enumerate(around):
+            beside[m] = beside[outer] or own[outer]
+            small = size[m] <= SMALL or 2 * size[m] < size[n] or 2 * linked[m] > size[m]
+            gone[m] = gone[outer] or beside[m] or (small and not holds[m])
+        self.blocks = [b for b, m in zip(self.blocks, marks) if not gone[m]]
+
+    def _scan(self, html: str, marks: list[int], links: list[int], around: list[int]) -> None:
+        stack = [Element("", 0, [], 0, (0,), (), False, False, False, False, -1)]
+        places: dict[str, list[int]] = {}  # of each tag, where it is open on the stack
+        text: list[str] = []
+        linked, at, n = 0, 0, len(html)
 
         def flush() -> None:
+            nonlocal linked
             if text:
                 whole = " ".join("".join(text).split())
                 text.clear()
                 if whole:
-                    top = next(e for e in reversed(stack) if e[0] not in INLINE)
-                    self.blocks.append((whole, top[2], top[5], top[6], top[7]))
+                    top = stack[stack[-1].base]
+                    self.blocks.append((whole, top.paths, top.article, top.main, top.removable))
+                    marks.append(stack[-1].mark)
+                    links.append(linked)
+            linked = 0
 
         def close(depth: int) -> None:
-            if len(stack) > depth:
-                ignored.clear()
-                open_ignored.clear()
             while len(stack) > depth:
-                tag, path, _, children, skipped, *_ = stack.pop()
-                if tag not in INLINE and not skipped:
-                    self.styles.setdefault(path, set()).add(xxhash.xxh3_64_intdigest("|".join(children)) >> 1)
+                e = stack.pop()
+                if e.tag:
+                    places[e.tag].pop()
+                if e.base == len(stack) and not e.skipped:
+                    self.styles.setdefault(e.path, set()).add(xxhash.xxh3_64_intdigest("|".join(e.children)) >> 1)
+
+        def place(tags: Iterable[str]) -> int:
+            """Where the last open element with one of the tags is, else 0."""
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
         while at < n:
             found = _TAG.search(html, at)
             end = found.start() if found else n
-            if end > at and not stack[-1][4]:
+            if end > at and not stack[-1].skipped:
                 piece = html[at:end]
-                text.append(entities.unescape(piece) if "&" in piece else piece)
+                piece = entities.unescape(piece) if "&" in piece else piece
+                text.append(piece)
+                linked += len(piece) if stack[-1].link else 0
             if not found:
                 break
             at = found.end()
@@ -145,29 +209,19 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
-            if found[1] and tag in open_ignored:  # it ends an ignored element, and those within
-                if tag not in INLINE:
-                    flush()
-                while tag in open_ignored and (tag not in INLINE or ignored[-1] in INLINE):
-                    last = ignored.pop()
-                    open_ignored[last] -= 1
-                    if not open_ignored[last]:
-                        del open_ignored[last]
-                    if last == tag:
-                        break
-                continue
+            inline = tag in INLINE
             if found[1]:  # an end tag
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                if tag not in INLINE:
+                depth = place((tag,))
+                if not inline:
                     flush()
-                if depth and (tag not in INLINE or all(e[0] in INLINE for e in stack[depth:])):
+                if depth and (not inline or depth > stack[-1].base):
                     close(depth)
                 continue
             if tag == "br":
                 text.append(" ")
                 continue
             if tag in RAW:
-                if tag not in INLINE:
+                if not inline:
                     flush()
                 if tag == "head":
                     continue
@@ -175,43 +229,38 @@ class Page:
                     over = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
                     at = over.end() if over else n
                 continue
-            if tag not in INLINE:
+            if not inline:
                 flush()
-            if tag not in INLINE and all(t in INLINE for t in open_ignored):
-                if tag in ENDS_P:
-                    depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-                    if depth and all(e[0] in INLINE or e[0] == "p" for e in stack[depth:]):
-                        close(depth)
+                if tag in ENDS_P and (depth := place("p")) and depth == stack[-1].base:
+                    close(depth)
                 if tag in ENDS:
                     these, upto = ENDS[tag]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in upto:
-                            break
-                        if stack[k][0] in these:
-                            close(k)
-                            break
+                    depth = place(these)
+                    if depth > place(upto):
+                        close(depth)
             if tag in VOID or tag in ("html", "body"):
                 continue
-            if len(stack) > _MOST_DEPTH:
-                ignored.append(tag)
-                open_ignored[tag] = open_ignored.get(tag, 0) + 1
-                continue
-            label, skip = _label(tag, found[3])
+            label, marked = _label(tag, found[3])
             top = stack[-1]
-            if tag == "header" and not (top[5] or top[6]):
-                skip = True
-            if tag in INLINE:
-                stack.append((tag, top[1], top[2], top[3], top[4] or skip, *top[5:]))
+            skip = tag in SKIPPED_TAGS or (tag == "header" and not (top.article or top.main))
+            mark = top.mark
+            places.setdefault(tag, []).append(len(stack))
+            if inline:  # a marked one loses its own text; blocks within are judged by themselves
+                stack.append(top._replace(tag=tag, skipped=top.skipped or marked, link=top.link or tag == "a"))
                 continue
-            if not top[3] or top[3][-1] != label:
-                top[3].append(label)
-            path = xxhash.xxh3_64_intdigest(f"{top[1]}/{label}") >> 1
-            inside, within = top[5] or tag == "article", top[6] or tag == "main"
+            if marked:
+                around.append(mark)
+                mark = len(around) - 1
+            if not top.children or top.children[-1] != label:
+                top.children.append(label)
+            path = xxhash.xxh3_64_intdigest(f"{top.path}/{label}") >> 1
+            inside, within = top.article or tag == "article", top.main or tag == "main"
+            removable = top.removable
             if tag in ("article", "main"):
                 removable = ()
-            else:
-                removable = top[7] if tag in PLAIN and (inside or within) else (*top[7], path)
-            stack.append((tag, path, (*top[2], path), [], top[4] or skip, inside, within, removable))
+            elif not (tag in PLAIN and (inside or within)):
+                removable = (*removable[-HEIGHT:], path)
+            stack.append(Element(tag, path, [], len(stack), (*top.paths[-HEIGHT:], path), removable, stack[top.base].skipped or skip, inside, within, top.link, mark))
         flush()
         close(0)
 
@@ -271,12 +320,12 @@ def site_styles(features: DataFrame) -> DataFrame:
     shape = F.when(F.col("pages") > 1, (log - F.col("a") / F.col("pages")) / log).otherwise(1.0)
     content = F.when((F.col("pages") > 1) & (F.col("blocks") > 0), 1 - F.least(F.lit(1.0), F.col("b") / F.col("blocks") / log)).otherwise(F.when(F.col("blocks") > 0, 1.0).otherwise(0.0))
     weight = F.pow(F.lit(DECAY), F.col("l"))
-    return sums.select("host", "path", "pages", ((1 - weight) * shape + weight * content).alias("importance"))
+    return sums.select("host", "path", "pages", "blocks", ((1 - weight) * shape + weight * content).alias("importance"))
 
 
 def low_paths(styles: DataFrame) -> DataFrame:
-    """``host, path`` of low importance."""
-    return styles.filter((F.col("path") != 0) & (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
+    """``host, path`` of low importance, of those that show text."""
+    return styles.filter((F.col("path") != 0) & (F.col("blocks") > 0) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
 
 
 def removed_paths(features: DataFrame, low: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import base64
 import collections
+import functools
 import glob
 import hashlib
 import re
 import string
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +194,174 @@ def test_text_after_deep_nests_stays(deep):
     assert html_extract.Page(html).text() == "before\n\ndeep\n\nafter"
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article class='post has-sidebar'><p>Text</p></article>",
+        "<div class='layout with-sidebar'><article><p>Text</p></article></div>",
+        "<main id='search'><p>Text</p></main>",
+        "<div class='row no-ads'><p>Text</p></div>",
+        "<article class='promo-story'><p>Text</p></article>",
+        "<article class='promo'><p>Text</p></article>",
+        "<form id='aspnetForm'><div><article><p>Text</p></article></div></form>",
+        "<form id='aspnetForm'><div class='ad'>Buy</div><div>{long}</div></form>",
+        "<div class='overlay'><p>{long}</p></div><p>Other</p>",
+        "<article><div class='related-work'><p>Text</p></div></article>",
+        "<span id='search'><article><p>Text</p></article></span>",
+        "<div class='sidebar'><article><p>Text</p></article></div>",
+    ],
+)
+def test_names_do_not_remove_articles(html):
+    html = html.replace("{long}", "Text " + "and so on " * 40)
+    assert html_extract.Page(html).text().startswith("Text")
+
+
+@pytest.mark.parametrize(
+    "branch",
+    ["<div class='comment-list'><article class='comment'><p>first!</p></article></div>", "<div class='cookie-notice'>cookies</div>", "<div class='adBox'>buy</div>", "<div role='search'>find</div>", "<form>mail <input></form>", "<div hidden>secret</div>", "<div id='sidebar-left'><ul><li><a href='/'>home</a></ul></div>", "<nav>menu</nav>", "<p>", "<span class='share'>share</span>", "<div class='comments'>" + "<p>reader says no</p>" * 200 + "</div>"],
+)
+def test_marked_branches_go_beside_an_article(branch):
+    html = f"<body>{branch}<article><p>Text</p>{branch}<p>more</p></article>{branch}</body>"
+    assert html_extract.Page(html).text() == "Text\n\nmore"
+
+
+def test_menus_at_any_depth_go():
+    html = "<div>" * 700 + "<nav>menu</nav><p>Text</p><div class='ad'>buy</div>" + "</div>" * 700 + "<p>after</p>"
+    assert html_extract.Page(html).text() == "Text\n\nafter"
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<b></i>", "<div></span>", "<ul><li>", "<p><b>", "<div><a>", "<table><tr><td>", "</div>", "<span><div>x", "<div>x</b>"])
+def test_time_grows_with_the_page(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_extract.Page(piece * n)
+        return time.process_time() - began
+
+    assert took(60_000) < 12 * took(10_000) + 0.5
+
+
+class PlainTree(HTMLParser):
+    """A page as nested lists [label, children], texts as strings, by the library's parser: for pages
+    whose tags are closed but for p, li and br."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = ["", []]
+        self.open = [self.root]
+        self.feed(html or "")
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("html", "body", "meta"):
+            return
+        if tag == "br":
+            return self.open[-1][1].append(" ")
+        if tag in html_extract.ENDS_P:
+            at = max((k for k, e in enumerate(self.open) if e[0] == "p"), default=0)
+            if at and all(e[0] in html_extract.INLINE for e in self.open[at + 1 :]):
+                del self.open[at:]
+        if tag == "li" and any(e[0] == "li" for e in self.open):
+            del self.open[max(k for k, e in enumerate(self.open) if e[0] == "li") :]
+        name = dict(attrs).get("class")
+        new = [f"{tag}.{name}" if name else tag, []]
+        self.open[-1][1].append(new)
+        self.open.append(new)
+
+    def handle_endtag(self, tag):
+        at = max((k for k, e in enumerate(self.open) if e[0].split(".")[0] == tag), default=0)
+        if at and (tag not in html_extract.INLINE or all(e[0] in html_extract.INLINE for e in self.open[at:])):
+            del self.open[at:]
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def plain_texts(pages, skipped):
+    """Main text of each (host, html), the style tree by its definition, with paths as tuples."""
+    inline = lambda e: not isinstance(e, str) and e[0].split(".")[0] in html_extract.INLINE
+    blocks, styles = [], []
+    for _, html in pages:
+        own, shapes, text = [], collections.defaultdict(set), []
+
+        def flush(path):
+            if "".join(text).split():
+                own.append((" ".join("".join(text).split()), path))
+            text.clear()
+
+        def labels(e):
+            for c in e[1]:
+                if inline(c):
+                    yield from labels(c)
+                elif not isinstance(c, str) and c[0].split(".")[0] not in html_extract.RAW:
+                    yield c[0]
+
+        def walk(e, path):
+            if not inline(e):
+                every = list(labels(e))
+                shapes[path].add(tuple(x for k, x in enumerate(every) if not k or every[k - 1] != x))
+            for c in e[1]:
+                if isinstance(c, str):
+                    text.append(c)
+                elif inline(c):
+                    walk(c, path)
+                else:
+                    flush(path)
+                    if c[0].split(".")[0] not in html_extract.RAW and c[0] not in skipped:
+                        walk(c, (*path, c[0]))
+                        flush((*path, c[0]))
+
+        walk(PlainTree(html).root, ())
+        flush(())
+        blocks.append(own)
+        styles.append(shapes)
+    shown = [repr((sorted((p, sorted(s)) for p, s in shapes.items()), sorted(set(own)))) for own, shapes in zip(blocks, styles)]
+    first = [k for k in range(len(pages)) if all((pages[j][0], shown[j]) != (pages[k][0], shown[k]) for j in range(k))]
+
+    def importance(host, path):
+        having = [k for k in first if pages[k][0] == host and path in styles[k]]
+        m = len(having)
+        if m < 2:
+            return 1.0
+        entropy = lambda counts: -sum(n / sum(counts) * np.log(n / sum(counts)) for n in counts) / np.log(m)
+        shapes = collections.Counter(s for k in having for s in styles[k][path])
+        texts = collections.Counter(t for k in having for t in {t for t, at in blocks[k] if at[: len(path)] == path})
+        presentation = sum(n / m * np.log(m / n) for n in shapes.values()) / np.log(m)
+        content = 1 - np.mean([min(1.0, np.log(n) / np.log(m)) for n in texts.values()]) if texts else 0.0
+        weight = html_extract.DECAY ** len(shapes)
+        return (1 - weight) * presentation + weight * content
+
+    low = functools.cache(lambda host, path: importance(host, path) < html_extract.LEAST_IMPORTANCE)
+    found = []
+    for (host, _), own in zip(pages, blocks):
+        def stays(path, host=host):
+            inner = max((k for k, x in enumerate(path) if x in ("article", "main")), default=-1)
+            return not any(low(host, path[: k + 1]) for k in range(inner + 1, len(path)) if inner < 0 or path[k].split(".")[0] not in html_extract.PLAIN)
+
+        left = [b for b in own if stays(b[1])] or own
+        inner = next((x for x in ([b for b in left if "article" in b[1]], [b for b in left if "main" in b[1]], left) if x), [])
+        found.append("\n\n".join(t for t, _ in inner))
+    return found
+
+
+def test_style_tree_by_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    rows = [(r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    hosts = {}
+    for k in range(150):
+        words = lambda n: " ".join(rng.choice(["one", "two", "three", "four", "five", "six"], n))
+        bits = [f"<div class='top{rng.integers(2)}'><p>Welcome</p>{words(1)}</div>", f"<div class='text'><p>{words(6)}<p>All say this<b>{words(1)}</b></div>", f"<section><ul><li>home<li>{words(1)}</ul></section>", f"<article><h1>{words(3)}</h1><div class='x'>Same<p>{words(1)}</div></article>"]
+        chosen = "".join(b for b in bits if rng.random() < 0.7)
+        hosts[f"http://h{k % 7}.example/{k}"] = f"<html><body>{chosen}</body></html>"
+    hosts |= {f"http://alone{k}.example/": html for k, html in enumerate(list(hosts.values())[:9])}
+    rows += list(hosts.items())
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    expected = plain_texts([(u.split("/")[2], h) for u, h in rows], {"nav", "footer", "div.ad"})
+    assert [k for k, text in enumerate(expected) if found[k] != text] == []
+
+
 def test_shared_branches_go_and_paragraphs_stay(spark):
     made = lambda k: f"<body><div class='top'>Welcome to the site</div><div class='text'><p>Only page {k} says {k * k}</p><p>All say this</p></div></body>"
     pages = spark.createDataFrame([(k, f"https://one.example/{k}", made(k)) for k in range(12)] + [(99, "https://two.example/", made(99))], "page_id long, url string, html string")
