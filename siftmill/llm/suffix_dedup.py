@@ -7,17 +7,22 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
 2. Each string of ``LENGTH`` bytes (window) has an anchor: the ``CORE`` bytes in it with the smallest
    hash, the leftmost of equals. Equal windows have equal anchors. Consecutive windows with the same
    anchor form a span. Anchors that occur once hold no repeated window and are dropped.
-3. Equal spans: all their windows repeat. They collapse to one, by partial aggregation, so a group of
-   copies is one row per span however large it is.
-4. Different spans with the same anchor (the edges of what is repeated) are the collection whose
-   Burrows-Wheeler transform and common prefixes are built column by column: each round inserts one
-   more symbol of every document, from the last to the first (Bauer, Cox and Rosone, Lightweight
-   Algorithms for Constructing and Inverting the BWT of String Collections, 2013; Cox et al., 2016,
-   for the prefixes). Anchors are dealt over tasks by hash and taken in batches of about ``BATCH``
-   documents, whose columns are sequential files in the shared folder where they exceed
-   ``IN_MEMORY`` bytes. Neighbours with a common prefix of ``LENGTH`` are repeated windows.
-5. Anchors with more than ``HOT`` different spans would make a large batch; their windows are counted
-   by 128-bit hash in a partial aggregate instead. Nothing is capped.
+3. Of equal spans (by 64 bits of the anchor and 128 of the span) two go on, however many there are:
+   what is told of them holds for all. So a group of copies is two rows per span.
+4. The spans of an anchor are documents of a collection whose Burrows-Wheeler transform and common
+   prefixes are built column by column: each round inserts one more symbol of every document, from the
+   last column to the first (Bauer, Cox and Rosone, Lightweight Algorithms for Constructing and
+   Inverting the BWT of String Collections, 2013; Cox et al., 2016, for the prefixes). Documents are
+   aligned by their anchors, and windows that are equal lie in the same column, so a round needs the
+   order of the round before alone (the positional form of the transform, Durbin, 2014). Columns of
+   symbols are read from a sequential file in the shared folder, and each round's order and common
+   prefixes are appended to another, which is read once at the end: neighbours with a common prefix of
+   ``LENGTH`` bytes are repeated windows. What is held is a few bytes per document of a batch.
+5. Anchors are dealt over tasks by hash. The documents of one with over ``GROUP`` are split by the bytes
+   around it: windows fall into ``_CLASSES`` classes by how many bytes they have left of the core, and
+   the parts of documents with the windows of a class are dealt by the bytes that all these windows
+   have in common. Where over ``GROUP`` documents share even those, their windows are dealt as bytes
+   and counted by a partial aggregate. Nothing is capped.
 
 Defined cases. Null text: empty bytes. Texts shorter than ``LENGTH``: nothing is removed. Repeated
 rows: each other's copies. Null doc_id: an ordinary row. Very long texts: read in parts of 128 KiB that
@@ -29,7 +34,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +42,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import scratch_path, shared_dir, table, written
+from siftmill.llm.common import scratch_path, table, written
 
 LENGTH = 200
 CORE = 64
-BATCH, HOT = 512, 4096
-IN_MEMORY = 256 << 20
+#: Documents of a batch, and of an anchor that is not split.
+BATCH, GROUP = 8192, 512
 _PART = 1 << 17
 _WIDTH = LENGTH - CORE + 1
 _CLASSES = 8
+_STEP = (_WIDTH - 1) // _CLASSES
 _FACTOR = 0x9E3779B97F4A7C15
-_ANCHOR = "akey long, span long, file long, row long, start int, windows int, core int"
+_SPAN = ["akey", "span", "span2"]
+_ANCHOR = "akey long, span long, span2 long, file long, row long, start int, windows int, core int"
+_DOCUMENT = "key long, akey long, span long, span2 long, twin int, at int, core int, bytes binary"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -134,12 +141,13 @@ def _find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, first, count, core = anchors(np.frombuffer(raw, np.uint8), starts, ends)
             own = np.searchsorted(ends, first, "right")
             text, shift = (np.array([b[i] for b in batch], np.int64) for i in (0, 1))
-            digest = xxhash.xxh3_64_intdigest
-            spans = [digest(raw[a:z]) for a, z in zip(first.tolist(), (first + count + LENGTH - 1).tolist())]
+            digest = xxhash.xxh3_128_digest
+            spans = np.frombuffer(b"".join([digest(raw[a:z]) for a, z in zip(first.tolist(), (first + count + LENGTH - 1).tolist())]), "<i8").reshape(-1, 2)
             yield pd.DataFrame(
                 {
                     "akey": keys.view(np.int64),
-                    "span": np.array(spans, np.uint64).view(np.int64),
+                    "span": spans[:, 0],
+                    "span2": spans[:, 1],
                     "file": files[text[own]],
                     "row": rows[text[own]],
                     "start": (first - starts[own] + shift[own]).astype(np.int32),
@@ -150,125 +158,113 @@ def _find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Columns:
-    """Room for arrays: in memory, or sequential files in a folder, each round's replacing the last's."""
-
-    def __init__(self, folder: str | None):
-        self.folder = folder
-
-    def new(self, n: int, dtype) -> np.ndarray:
-        if self.folder is None:
-            return np.empty(n, dtype)
-        import os
-
-        os.makedirs(self.folder, exist_ok=True)
-        path = f"{self.folder}/{uuid.uuid4().hex}"
-        out = np.memmap(path, dtype, "w+", shape=(n,))
-        os.unlink(path)  # it lasts as long as it is mapped
-        return out
-
-
-def collection_bwt(documents: list[bytes], columns: Columns | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes of all documents in order: each one's document and start, and the length, up to
-    ``LENGTH``, of its common prefix with the one before. Of equal suffixes the earlier document's
-    comes first. No byte may be 0xFF."""
-    columns, m = columns or Columns(None), len(documents)
-    sizes = np.array([len(d) for d in documents])
-    # Symbols by column from the end; 0 where a document is exhausted.
-    columns_of = np.zeros((int(sizes.max(initial=0)) + 1, m), np.uint8)
-    for k, d in enumerate(documents):
-        columns_of[: len(d), k] = np.frombuffer(d, np.uint8)[::-1] + 1
-    # In the order of suffixes: the symbol before each (the transform), common prefix, document.
-    bwt, common, owner = columns_of[0].copy(), np.zeros(m, np.uint8), np.arange(m, dtype=np.int32)
-    taken = np.zeros(m, np.int32)  # lengths of the suffixes
-    last = np.arange(m)  # where the suffixes of the last round are
-    for column in range(1, len(columns_of)):
-        last = np.sort(last[bwt[last] != 0])
-        if not len(last):
-            break
-        n, new = len(bwt), len(last)
-        order = np.argsort(bwt, kind="stable")
-        place = columns.new(n, np.int32)
-        place[order] = np.arange(n, dtype=np.int32)
-        rank = place[last]
-        ended = m - new  # documents that are exhausted, the zeros of the transform
-        target = rank - ended + m  # the last-to-first mapping, after this round's insertions
-        symbol = bwt[last]
-        # The neighbour in order with the same first symbol is the one before by transform; their
-        # common prefix is one more than the least between the two.
-        before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, n - 1)]
-        has_before, has_after = (rank > 0) & (bwt[before] == symbol), (rank < n - 1) & (bwt[after] == symbol)
-        padded = np.append(common, np.uint8(0))
-
-        def least(a: np.ndarray, z: np.ndarray) -> np.ndarray:
-            """Least common prefix over a..z, both included."""
-            if not len(a):
-                return np.empty(0, np.uint8)
-            down = np.argsort(-z, kind="stable")  # then what lies between two ranges costs nothing
-            out = np.empty(len(a), np.uint8)
-            out[down] = np.minimum.reduceat(padded, np.column_stack((a[down], z[down] + 1)).ravel())[::2]
-            return np.minimum(out.astype(np.int32) + 1, LENGTH).astype(np.uint8)
-
-        with_before = np.zeros(new, np.uint8)
-        with_before[has_before] = least(before[has_before] + 1, last[has_before])
-        with_after = least(last[has_after] + 1, after[has_after])
-        docs = owner[last]
-        old = np.ones(n + new, bool)
-        old[target] = False
-        grown = []
-        for values, added in ((bwt, columns_of[column, docs]), (common, with_before), (owner, docs), (taken, np.full(new, column, np.int32))):
-            out = columns.new(n + new, values.dtype)
-            out[old] = values
-            out[target] = added
-            grown.append(out)
-        bwt, common, owner, taken = grown
-        common[target[has_after] + 1] = with_after
-        last = target
-    return owner, sizes[owner] - taken, common
-
-
-def repeated_windows(documents: list[bytes], columns: Columns | None = None) -> list[np.ndarray]:
-    """For each document the starts of its windows that are in another place of the collection too."""
-    owner, start, common = collection_bwt(documents, columns)
-    same = common >= LENGTH
-    same[:-1] |= same[1:].copy()
-    owner, start = owner[same], start[same]
+    """A sequential file in a folder: arrays are appended, then read in the same order."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.fs, path = fs.FileSystem.from_uri(folder)
+        self.fs.create_dir(path)
+        self.path = f"{path}/{uuid.uuid4().hex}"
+        self.stream = self.fs.open_output_stream(self.path, compression=None, buffer_size=1 << 16)
+
+    def append(self, values: np.ndarray) -> None:
+        self.stream.write(values.tobytes())
+
+    def rewind(self) -> None:
+        self.stream.close()
+        self.stream = self.fs.open_input_stream(self.path, compression=None, buffer_size=1 << 16)
+
+    def read(self, n: int, dtype) -> np.ndarray:
+        return np.frombuffer(self.stream.read(n * np.dtype(dtype).itemsize), dtype)
+
+    def __enter__(self) -> "Columns":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
+        self.fs.delete_file(self.path)
+
+
+def _least(common: np.ndarray, order: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """For each place of ``order`` (places of the round before) where ``again``, the least common
+    prefix between its neighbour before and itself; 0 elsewhere."""
+    m = len(order)
+    first = np.full(m, -1, np.int64)
+    at = np.flatnonzero(again)
+    first[order[at]] = order[at - 1] + 1
+    ends = np.flatnonzero(first >= 0)[::-1]  # descending, so that what lies between two ranges costs nothing
+    out = np.zeros(m, np.uint8)
+    if len(ends):
+        ranges = np.column_stack((first[ends], ends + 1)).ravel()
+        out[ends] = np.minimum.reduceat(np.append(common, np.uint8(0)), ranges)[::2]
+    return out[order]
+
+
+def transform(symbols: Columns, m: int, columns: int, out: Columns, most: int = LENGTH) -> None:
+    """From the symbols of ``m`` documents, column by column from the last to the first (0: none), the
+    order of the suffixes that begin in each column and each one's common prefix, up to ``most``, with
+    the one before. Equal suffixes keep the order of the documents."""
+    order, common = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    for _ in range(columns):
+        column = symbols.read(m, np.uint8)[order]
+        place = np.argsort(column, kind="stable")
+        sorted_ = column[place]
+        again = np.zeros(m, bool)
+        again[1:] = (sorted_[1:] == sorted_[:-1]) & (sorted_[1:] != 0)
+        common = np.where(again, np.minimum(_least(common, place, again), np.uint8(most - 1)) + np.uint8(1), np.uint8(0)).astype(np.uint8)
+        order = order[place]
+        out.append(order)
+        out.append(common)
+
+
+def repeated_windows(documents: list[bytes], cores: list[int], folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start, in order, of each window that another document has in the same place. Each
+    document's core begins at the given byte. No byte may be 0xFF."""
+    m, left = len(documents), _WIDTH - 1
+    sizes, core = np.array([len(d) for d in documents]), np.array(cores)
+    width = left + CORE + left
+    table = np.zeros((m, width), np.uint8)
+    begins = np.arange(m) * width + left - core
+    table.ravel()[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = np.frombuffer(b"".join(documents), np.uint8) + 1
+    with Columns(folder) as symbols, Columns(folder) as out:
+        symbols.append(np.ascontiguousarray(table.T[::-1]))
+        del table
+        symbols.rewind()
+        transform(symbols, m, width, out)
+        out.rewind()
+        owners, starts = [], []
+        for column in range(width - 1, -1, -1):
+            order, common = out.read(m, np.int32), out.read(m, np.uint8)
+            if column <= left:
+                same = common >= LENGTH
+                same[:-1] |= same[1:].copy()
+                owners.append(order[same])
+                starts.append(column - left + core[order[same]])
+    owner, start = np.concatenate(owners), np.concatenate(starts)
     order = np.lexsort((start, owner))
-    return np.split(start[order], np.searchsorted(owner[order], np.arange(1, len(documents))))
-
-
-def shared_parts(spans: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """Of spans (anchor, digest, core, bytes) those, by number, and the part of each, that can hold a
-    repeated window. Windows fall into classes by how many bytes they have left of the anchor's core;
-    what all windows of a class have in common must be in another span of the anchor too."""
-    step = (_WIDTH - 1) // _CLASSES
-    common = []
-    for akey, _, core, whole in spans:
-        ends = [(core - k * step, core + CORE + _WIDTH - 1 - (k + 1) * step) for k in range(_CLASSES)]
-        common.append([(akey, k, whole[a:z]) if a >= 0 and z <= len(whole) else None for k, (a, z) in enumerate(ends)])
-    seen = Counter(c for own in common for c in own)
-    found = []
-    for n, ((_, _, core, whole), own) in enumerate(zip(spans, common)):
-        held = [k for k, c in enumerate(own) if c is not None and seen[c] > 1]
-        if held:
-            a, z = max(0, core - (held[-1] + 1) * step), min(len(whole), core - held[0] * step + LENGTH)
-            if z - a >= LENGTH:
-                found.append((n, a, z))
-    return found
+    return owner[order], start[order]
+
 
+def runs_of(owner: np.ndarray, start: np.ndarray, m: int) -> list[list[int]]:
+    """For each of ``m`` documents, begin and end of each run that its windows cover."""
+    first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] - start[:-1] > LENGTH)))[: len(owner)]
+    last = np.concatenate((first[1:], [True]))[: len(owner)]
+    flat = np.column_stack((start[first], start[last] + LENGTH)).ravel().tolist()
+    bounds = (2 * np.searchsorted(owner[first], np.arange(m + 1))).tolist()
+    return [flat[a:z] for a, z in zip(bounds, bounds[1:])]
 
-def _solver(folder: str | None):
+
+def _solver(folder: str):
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(held: list[tuple]) -> pd.DataFrame:
-            cut = shared_parts(held)
-            documents = [held[k][3][a:z] for k, a, z in cut]
-            room = sum(map(len, documents)) * 24
-            starts = repeated_windows(documents, Columns(folder if room > IN_MEMORY else None)) if cut else []
-            found = [(held[k][0], held[k][1], (x + a).tolist()) for (k, a, _), x in zip(cut, starts) if len(x)]
-            return pd.DataFrame(found, columns=["akey", "span", "offsets"]).astype({"akey": "int64", "span": "int64"})
+            runs = runs_of(*repeated_windows([h[-1] for h in held], [h[-2] for h in held], folder), len(held))
+            found = [(*h[1:4], [h[5] + x for x in own] if h[5] else own) for h, own in zip(held, runs) if own and not h[4]]
+            return pd.DataFrame(found, columns=[*_SPAN, "runs"]).astype(dict.fromkeys(_SPAN, "int64"))
 
         held: list[tuple] = []
         for frame in parts:
-            for row in zip(frame["akey"].tolist(), frame["span"].tolist(), frame["core"].tolist(), frame["bytes"].tolist()):
+            for row in zip(*(frame[c].tolist() for c in ("key", *_SPAN, "twin", "at", "core", "bytes"))):
                 if len(held) >= BATCH and row[0] != held[-1][0]:
                     yield solved(held)
                     held = []
@@ -279,6 +275,30 @@ def _solver(folder: str | None):
     return solve
 
 
+def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of frequent anchors as parts, one for each class of windows that they have, with the
+    hash of what all windows of the class have in common as key."""
+    for frame in parts:
+        rows = []
+        for akey, span, span2, twin, core, whole in zip(*(frame[c].tolist() for c in (*_SPAN, "twin", "core", "bytes"))):
+            for k in range(_CLASSES):
+                a, z = core - k * _STEP, core + CORE + _WIDTH - 1 - (k + 1) * _STEP
+                if a >= 0 and z <= len(whole):
+                    first, last = max(0, a - _STEP), min(len(whole), z + _STEP)
+                    if last - first >= LENGTH:
+                        key = xxhash.xxh3_64_intdigest(whole[a:z], akey & 0xFFFFFFFF ^ k) - (1 << 63)
+                        rows.append((key, akey, span, span2, twin, first, core - first, whole[first:last]))
+        yield pd.DataFrame(rows, columns=["key", *_SPAN, "twin", "at", "core", "bytes"]).astype(dict.fromkeys(("key", *_SPAN), "int64") | dict.fromkeys(("twin", "at", "core"), "int32"))
+
+
+def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each window of each part as bytes."""
+    for frame in parts:
+        for akey, span, span2, twin, at, whole in zip(*(frame[c].tolist() for c in (*_SPAN, "twin", "at", "bytes"))):
+            n = len(whole) - LENGTH + 1
+            yield pd.DataFrame({"akey": akey, "span": span, "span2": span2, "twin": twin, "start": np.arange(at, at + n, dtype=np.int32), "window": [whole[k : k + LENGTH] for k in range(n)]})
+
+
 def _texts(path: str) -> Iterator[tuple[int, str | None, bytes]]:
     """Row, doc_id and bytes of each text of a written file."""
     import pyarrow.parquet as pq
@@ -287,19 +307,19 @@ def _texts(path: str) -> Iterator[tuple[int, str | None, bytes]]:
     store, where = fs.FileSystem.from_uri(path)
     with store.open_input_file(where) as source:
         at = 0
-        for batch in pq.ParquetFile(source).iter_batches(batch_size=512):
+        for batch in pq.ParquetFile(source).iter_batches(batch_size=32):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 yield at, doc_id, text
                 at += 1
 
 
-def _by_file(decisions: DataFrame, files: DataFrame) -> DataFrame:
-    """Decisions, and before each file's a row with its path, together in a task and in order."""
+def _by_file(decisions: DataFrame, files: DataFrame, n_files: int) -> DataFrame:
+    """Decisions, and before each file's a row with its path, in order and in a task for each file."""
     # Numbers of the marks are zeros, since nulls would turn a whole batch's integers into floats.
     rest = {f.name: F.lit(None if f.dataType.typeName() == "array" else 0).cast(f.dataType).alias(f.name) for f in decisions.schema if f.name not in ("file", "row")}
     marks = files.select("file", F.lit(-1).cast("long").alias("row"), *rest.values(), "path")
     both = decisions.withColumn("path", F.lit(None).cast("string")).select(marks.columns).unionByName(marks)
-    return both.repartition("file").sortWithinPartitions("file", "row", "start")
+    return both.repartitionById(n_files, (F.shiftright("file", 20) % n_files).cast("int")).sortWithinPartitions("file", "row", "start")
 
 
 def _grouped(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list]]:
@@ -318,31 +338,25 @@ def _grouped(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list]]:
 
 
 def _extract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of spans."""
+    """The bytes of spans, as documents of their anchors."""
+    names = ["key", *_SPAN, "twin", "at", "core", "bytes"]
+    kinds = dict.fromkeys(("key", *_SPAN), "int64") | dict.fromkeys(("twin", "at", "core"), "int32")
     for path, wanted in _grouped(parts):
         if not wanted:
             continue
-        at, rows, size = 0, [], 0
+        at, rows = 0, []
         for row, _, text in _texts(path):
             while at < len(wanted) and wanted[at].row == row:
                 w = wanted[at]
-                rows.append((w.akey, w.span, w.core, text[int(w.start) : int(w.start) + int(w.windows) + LENGTH - 1]))
+                rows.append((w.akey, w.akey, w.span, w.span2, w.twin, 0, w.core, text[int(w.start) : int(w.start) + int(w.windows) + LENGTH - 1]))
                 at += 1
             if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=["akey", "span", "core", "bytes"]).astype({"akey": "int64", "span": "int64"})
+                yield pd.DataFrame(rows, columns=names).astype(kinds)
                 rows = []
             if at == len(wanted):
                 break
         if rows:
-            yield pd.DataFrame(rows, columns=["akey", "span", "core", "bytes"]).astype({"akey": "int64", "span": "int64"})
-
-
-def _hash_windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in parts:
-        for akey, span, whole in zip(frame["akey"], frame["span"], frame["bytes"]):
-            n = len(whole) - LENGTH + 1
-            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[k : k + LENGTH]) for k in range(n)]), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"h1": both[:, 0], "h2": both[:, 1], "akey": akey, "span": span, "offset": np.arange(n, dtype=np.int32)})
+            yield pd.DataFrame(rows, columns=names).astype(kinds)
 
 
 def _remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,11 +370,8 @@ def _remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 d = decisions[at]
                 at += 1
                 first = int(d.start)
-                if d.offsets is None:
-                    pairs = [(first, first + int(d.windows) + LENGTH - 1)]
-                else:
-                    pairs = [(first + int(o), first + int(o) + LENGTH) for o in d.offsets]
-                for a, z in pairs:
+                for a, z in sorted(zip(d.runs[::2].tolist(), d.runs[1::2].tolist())):
+                    a, z = first + a, first + z
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(z, runs[-1][1])
                     else:
@@ -378,6 +389,10 @@ def _remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=names)
 
 
+def _by_key(documents: DataFrame) -> DataFrame:
+    return documents.repartition("key").sortWithinPartitions("key", *_SPAN, "twin")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text (the kept bytes), n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
@@ -385,34 +400,39 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     docs.select(F.col("doc_id").cast("string").alias("doc_id"), text).write.option("compression", "zstd").parquet(path)
     held = spark.read.schema("doc_id string, text binary").parquet(path)
-    file = F.xxhash64("_metadata.file_path")
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+    file = F.shiftleft(number(r"^part-(\d+)"), 20) + number(r"-c(\d+)\.")
     files = written(held.select(file.alias("file"), F.col("_metadata.file_path").alias("path")).distinct(), "files")
+    n_files = max(1, files.count())
     located = held.select("text", file.alias("file"), F.col("_metadata.row_index").alias("row"))
 
     # Written, so that neither side of the join is bound to an aggregate's partitions and a frequent
     # anchor's rows can be split.
     again = written(located.mapInPandas(_keys_only, "akey long").groupBy("akey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("akey"), "repeated-anchors")
     found = written(located.mapInPandas(_find, _ANCHOR).join(again, "akey"), "anchors")
-    spans = found.groupBy("akey", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "start", "windows", "core")).alias("one"))
-    spans = written(spans.select("akey", "span", "n", "one.*"), "spans")
-    variety = written(spans.groupBy("akey").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "varied-anchors")
-    edges = spans.join(variety, "akey")
-    whole = written(_by_file(edges.select("akey", "span", "file", "row", "start", "windows", "core"), files).mapInPandas(_extract, "akey long, span long, core int, bytes binary"), "edges")
-    hot = variety.filter(F.col("many") > HOT).select("akey")
-    tame = whole.join(hot, "akey", "left_anti")
-    offsets = "akey long, span long, offsets array<int>"
-    shared = shared_dir(spark)
-    # Columns are mapped into memory, which takes a mounted folder; elsewhere they stay in memory.
-    folder = f"{shared.removeprefix('file://')}/siftmill-columns-{uuid.uuid4().hex}" if shared.startswith(("file:/", "/")) else None
-    solved = tame.repartition("akey").sortWithinPartitions("akey", "span").mapInPandas(_solver(folder), offsets)
-    hashed = whole.join(hot, "akey").mapInPandas(_hash_windows, "h1 long, h2 long, akey long, span long, offset int")
-    twice = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    counted = hashed.join(twice, ["h1", "h2"]).groupBy("akey", "span").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    all_of = spans.filter("n > 1").select("akey", "span", F.lit(None).cast("array<int>").alias("offsets"))
-    some_of = solved.unionByName(counted).join(spans.filter("n = 1").select("akey", "span"), ["akey", "span"], "left_semi")
-    verdicts = written(all_of.unionByName(some_of), "verdicts")
-    decisions = found.join(verdicts, ["akey", "span"]).select("file", "row", "start", "windows", "offsets")
-    kept = _by_file(decisions, files).mapInPandas(_remove, "doc_id string, text binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    place = F.struct("file", "row", "start", "windows", "core")
+    spans = found.groupBy(*_SPAN).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"))
+    spans = written(spans, "spans")
+    frequent = written(spans.groupBy("akey").agg(F.sum(F.least("n", F.lit(2))).alias("many")).filter(F.col("many") > GROUP).select("akey"), "frequent-anchors")
+    twins = spans.select(*_SPAN, F.posexplode(F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("twin", "place")).select(*_SPAN, "twin", "place.*")
+    documents = _by_file(twins, files, n_files).mapInPandas(_extract, _DOCUMENT)
+    folder = scratch_path(spark, "columns")
+    result = ", ".join(f"{c} long" for c in _SPAN) + ", runs array<int>"
+    if frequent.isEmpty():
+        verdicts = _by_key(documents).mapInPandas(_solver(folder), result)
+    else:
+        documents = written(documents, "documents")
+        parts = written(documents.join(frequent, "akey").mapInPandas(_split, _DOCUMENT), "parts")
+        counts = written(parts.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "parts-by-key")
+        split = documents.join(frequent, "akey", "left_anti").select(parts.columns).unionByName(parts.join(counts.filter(F.col("many") <= GROUP).select("key"), "key").select(parts.columns))
+        windows = parts.join(counts.filter(F.col("many") > GROUP).select("key"), "key").mapInPandas(_windows, ", ".join(f"{c} long" for c in _SPAN) + ", twin int, start int, window binary")
+        twice = written(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window"), "repeated-windows")
+        counted = windows.filter("twin = 0").join(twice, "window").select(*_SPAN, F.array(F.col("start"), F.col("start") + LENGTH).alias("runs"))
+        solved = _by_key(split).mapInPandas(_solver(folder), result).unionByName(counted)
+        verdicts = solved.groupBy(*_SPAN).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    verdicts = written(verdicts, "verdicts")
+    decisions = found.join(verdicts, _SPAN).select("file", "row", "start", "runs")
+    kept = _by_file(decisions, files, n_files).mapInPandas(_remove, "doc_id string, text binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return kept.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -7,6 +7,7 @@ import glob
 import hashlib
 import re
 import string
+import tempfile
 import zlib
 from html.parser import HTMLParser
 
@@ -68,33 +69,62 @@ def test_repeats_by_brute_force(spark, folder):
     assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
 
 
-def test_hot_anchors_and_long_texts(spark, monkeypatch):
-    shared = "".join(chr(97 + (k * k) % 26) for k in range(150))
+def removed_by_brute_force(texts):
+    """Bytes that stay of each text."""
+    count = collections.Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199))
+    kept = []
+    for b in texts:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        kept.append(bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return kept
+
+
+@pytest.mark.parametrize("group", [512, 6, 2])
+def test_frequent_anchors(spark, monkeypatch, group):
     rng = np.random.default_rng(3)
     rand = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, line = rand(420), rand(195)
     tails = [rand(90) for _ in range(4)]
-    rows = [(k, rand(100) + shared + tails[k % 4]) for k in range(40)] + [(99, rand(2_500_000) + shared + tails[0])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    usual = sorted(map(tuple, suffix_dedup.remove_repeats(docs).drop("text").collect()))
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
-    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).drop("text").collect())) == usual
-    assert sum(r[2] for r in usual) > 0
+    texts = [rand(100 + k) + passage[: 420 - 3 * (k % 5)] + tails[k % 4] for k in range(40)]
+    texts += [rand(150) + line + rand(1) + rand(150) for _ in range(40)] + [rand(120) + line[k % 9 :] + "same end of it " * 3 for k in range(30)]
+    texts += [texts[0]] * 30 + ["abcdefghij" * 60, "abcdefghij" * 61]
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: bytes(r["text"]) for r in found} == dict(enumerate(removed_by_brute_force([t.encode() for t in texts])))
+
+
+def test_long_texts_lose_what_is_repeated(spark):
+    rng = np.random.default_rng(4)
+    rand = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared, long = rand(700), rand(2_500_000)
+    at = suffix_dedup._PART - 350  # across the parts in which a long text is read
+    rows = [(1, long[:at] + shared + long[at:]), (2, rand(100) + shared + rand(100))]
+    found = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert bytes(found[1]["text"]).decode() == long and found[2]["n_removed"] == 700
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=12).map(str.encode), min_size=1, max_size=12))
-def test_collection_transform(docs):
-    owner, start, common = suffix_dedup.collection_bwt(docs)
-    every = sorted(((d[i:], k, i) for k, d in enumerate(docs) for i in range(len(d) + 1)), key=lambda x: x[:2])
-    assert [(k, i) for _, k, i in every] == list(zip(owner.tolist(), start.tolist()))
-    prefix = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    assert common.tolist() == [0] + [prefix(a[0], b[0]) for a, b in zip(every, every[1:])]
-
-
-def test_collection_transform_on_files(tmp_path):
-    docs = [b"abracadabra", b"cadabra", b""]
-    kept = suffix_dedup.collection_bwt(docs, suffix_dedup.Columns(str(tmp_path / "x")))
-    assert all(np.array_equal(a, b) for a, b in zip(kept, suffix_dedup.collection_bwt(docs)))
+@given(st.lists(st.text("ab", max_size=12).map(str.encode), min_size=1, max_size=12), st.integers(1, 12))
+def test_transform_by_columns(docs, most):
+    m, width = len(docs), max(map(len, docs), default=0)
+    table = np.zeros((m, width), np.uint8)
+    for k, d in enumerate(docs):
+        table[k, : len(d)] = np.frombuffer(d, np.uint8)
+    prefix = lambda a, b: min(most, next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+    with tempfile.TemporaryDirectory() as top, suffix_dedup.Columns(f"file://{top}/x") as symbols, suffix_dedup.Columns(f"file://{top}/x") as out:
+        symbols.append(np.ascontiguousarray(table.T[::-1]))
+        symbols.rewind()
+        suffix_dedup.transform(symbols, m, width, out, most)
+        out.rewind()
+        for column in range(width - 1, -1, -1):
+            # Documents without a symbol here come first, and have nothing in common.
+            every = sorted(range(m), key=lambda k: docs[k][column:])
+            order, common = out.read(m, np.int32).tolist(), out.read(m, np.uint8).tolist()
+            assert [docs[k][column:] for k in order] == [docs[k][column:] for k in every]
+            assert common == [0] + [prefix(docs[a][column:], docs[b][column:]) for a, b in zip(every, every[1:])]
 
 
 # 2
