@@ -262,7 +262,8 @@ def recursive(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFram
                     rows.append((doc_id, k, first, first + chunk.count("\n"), chunk))
             yield pd.DataFrame(rows, columns=["doc_id", "block_no", "start", "end", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, block_no long, start long, end long, content string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, block_no long, start long, end long, content string")
 
 
 def chunk_lines(text: Column, chunk: Column) -> Column:

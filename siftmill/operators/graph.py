@@ -3,14 +3,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import is_test_file
+from siftmill.operators.scratch import kept
 
 MOST_HOPS = 20
 #: Rounds between which a frontier's lineage is cut.
@@ -63,21 +60,15 @@ def k_hop(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "downs
         reached = frontier.select("root", F.col("node_id").alias("a")).join(steps, "a").select("root", F.col("b").alias("node_id")).distinct()
         frontier = reached.join(seen.select("root", "node_id"), ["root", "node_id"], "left_anti").withColumn("distance", F.lit(hop))
         if hop % CUT_EVERY == 0:
-            frontier = _cut(frontier)
+            frontier = kept(frontier)
             if frontier.isEmpty():
                 break
         seen = seen.unionByName(frontier)
         if hop % CUT_EVERY == 0:
-            seen = _cut(seen)
+            seen = kept(seen)
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the folder that the cluster names; in a session without one, keep it."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df
-
-
 def tree_paths(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "downstream") -> DataFrame:
     """``path`` (array of nodes from a root) and ``depth`` of all simple paths of up to ``hops`` steps."""
     steps = directed(edges, direction).select("a", "b").distinct()
@@ -111,17 +102,6 @@ def mean_shortest_distance(edges: DataFrame, sources: DataFrame, targets: DataFr
     return targets.select("node_id").distinct().join(seen, "node_id").agg(F.avg("distance").alias("mean_distance"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage ended, in a temporary folder where the cluster names none: a walk without
-    a limit would plan ever longer otherwise."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="siftmill-")
-        atexit.register(shutil.rmtree, own, True)
-        context.setCheckpointDir(f"file://{own}")
-    return df.checkpoint()
-
-
 def without_empty_folders(nodes: DataFrame) -> DataFrame:
     """Nodes but for folders that hold no file at any depth. Paths are parted by ``/``."""
     files = nodes.filter("type = 'file'").select(F.split("node_id", "/").alias("p"))

@@ -16,14 +16,15 @@ def _ordered(found: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("item"))
 
 
-def by_lines(blocks: DataFrame, line_map: DataFrame, k_modules: int = 10, k_entities: int = 50) -> tuple[DataFrame, DataFrame]:
+def by_lines(blocks: DataFrame, line_map: DataFrame, k_modules: int = 10, k_entities: int = 50, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Entities and modules of ranked blocks (query_id, rank, file, start, end; lines from 0), by line
-    runs (path, start, end, entity, class_name; lines from 1). Files go in the order of their first
-    block, blocks by rank within, ids of a block by name. A function outside classes is its own module."""
+    runs (path, start, end, entity, class_name; lines from 1) of the same file and columns ``by`` (say the
+    repository). Files go in the order of their first block, blocks by rank within, ids of a block by
+    name. A function outside classes is its own module."""
     order = Window.partitionBy("query_id", "file")
     own = blocks.withColumn("file_no", F.min("rank").over(order)).withColumns({"start": F.col("start") + 1, "end": F.col("end") + 1})
-    runs = line_map.select(F.col("path").alias("file"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), "entity", "class_name")
-    both = overlap_join(own, runs, ["file"])
+    runs = line_map.select(F.col("path").alias("file"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), "entity", "class_name", *by)
+    both = overlap_join(own, runs, ["file", *by])
     at = lambda name: F.concat("file", F.lit(":"), name)
     entities = both.filter("entity IS NOT NULL").select("query_id", "file_no", "rank", F.lit(0).alias("part"), at("entity").alias("id"))
     modules = both.select("query_id", "file_no", "rank", F.lit(0).alias("part"), at(F.coalesce("class_name", "entity")).alias("id"))

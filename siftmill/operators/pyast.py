@@ -26,15 +26,16 @@ def parsed(text: str | None) -> ast.Module | None:
         return None
 
 
-def _rows(files: DataFrame, schema: str, each: Callable[[str, str], Iterator[tuple]]) -> DataFrame:
+def _rows(files: DataFrame, schema: str, each: Callable[[str, str], Iterator[tuple]], by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of each file; the file's columns ``by`` come along as texts."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [row for path, text in zip(part["path"], part["text"]) for row in each(path, text or "")]
-            yield pd.DataFrame(found, columns=names)
+            found = [(*row, *own) for path, text, *own in zip(part["path"], part["text"], *(part[c] for c in by)) for row in each(path, text or "")]
+            yield pd.DataFrame(found, columns=[*names, *by])
 
-    return files.select("path", "text").mapInPandas(run, schema)
+    return files.select("path", "text", *[F.col(c).cast("string").alias(c) for c in by]).mapInPandas(run, ", ".join([schema, *(f"{c} string" for c in by)]))
 
 
 def _inside(node: ast.AST) -> list[ast.stmt]:
@@ -275,8 +276,8 @@ def line_entities(text: str) -> dict[int, tuple[str | None, str | None]]:
     return out
 
 
-def line_map(files: DataFrame) -> DataFrame:
-    """``path, start, end, entity, class_name``: runs of lines with the same entity and class."""
+def line_map(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``path, start, end, entity, class_name`` (and ``by``): runs of lines with the same entity and class."""
 
     def each(path: str, text: str) -> Iterator[tuple]:
         last: list | None = None
@@ -290,7 +291,7 @@ def line_map(files: DataFrame) -> DataFrame:
         if last:
             yield tuple(last)
 
-    return _rows(files, "path string, start int, end int, entity string, class_name string", each)
+    return _rows(files, "path string, start int, end int, entity string, class_name string", each, by)
 
 
 class _Skeleton(ast.NodeTransformer):

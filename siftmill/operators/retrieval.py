@@ -1,8 +1,8 @@
 """Scoring of blocks against queries: BM25, Jaccard, dense vectors, fuzzy names.
 
-Lexical scores are joins on tokens of an inverted index, never of all queries with all blocks: only
-pairs with a common token meet. Frequent tokens make large join groups, which are split by Spark's
-skew handling; queries are expected to be far fewer than blocks.
+Lexical scores are joins on tokens: the queries' tokens go to the blocks, and only pairs with a common
+token meet (with a common word in most texts that is most pairs). Where queries are too many for a
+broadcast, frequent tokens make large join groups, which are split by Spark's skew handling.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from siftmill.functions.text import word_set, words
 from siftmill.operators.ranking import preferring, top_k
+from siftmill.operators.scratch import kept
 
 
 @dataclass(frozen=True)
@@ -27,30 +28,55 @@ class Bm25:
     stop_words: tuple[str, ...] = ()
 
 
-def postings(blocks: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
-    """``token, item, tf, length`` of ``item, text``."""
-    kept = F.filter(words(F.col("text")), lambda w: ~w.isin(list(params.stop_words))) if params.stop_words else words(F.col("text"))
-    tokens = blocks.select("item", kept.alias("w")).select("item", F.size("w").alias("length"), F.explode("w").alias("token"))
-    return tokens.groupBy("item", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+#: Rows of queries' tokens up to which they are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def _small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    return df.limit(most + 1).count() <= most
 
 
-def bm25(queries: DataFrame, blocks: DataFrame, params: Bm25 = Bm25(), index: DataFrame | None = None) -> DataFrame:
-    """``query_id, item, score`` of all pairs with a common token. idf is ln(1 + (N - df + 0.5) /
-    (df + 0.5)); a token of a query counts as often as it occurs there."""
-    index = index if index is not None else postings(blocks, params)
-    totals = blocks.select(F.size(words(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_blocks"), F.avg("n").alias("avg_length"))
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    # Only tokens of queries are looked up; their postings are all that is joined on.
-    df = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n, length = totals.first()
-    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.lit(length or 1.0)))
-    weighed = asked.join(df, "token").select("query_id", "token", (F.col("qtf") * idf).alias("weight"))
-    return index.join(weighed, "token").groupBy("query_id", "item").agg(F.sum(F.col("weight") * tf).alias("score"))
+def postings(blocks: DataFrame, params: Bm25 = Bm25(), by: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """``token, item, tf, length`` (and the columns ``by``) of ``item, text``: the index that ``bm25``
+    takes. Each block has a row with the empty token too, so that blocks and lengths can be counted.
+    With ``wanted`` (by, token) only those tokens; a block's rows then lie together."""
+    kept = F.filter(words(F.col("text")), lambda w: ~w.isin(list(params.stop_words))) if params.stop_words else words(F.col("text"))
+    tokens = blocks.select(*by, "item", kept.alias("w")).select(*by, "item", F.size("w").alias("length"), F.explode(F.array_append("w", F.lit(""))).alias("token"))
+    if wanted is not None:
+        tokens = tokens.join(wanted, [*by, "token"], "left_semi").repartition("item")
+    return tokens.groupBy(*by, "item", "length", "token").agg(F.count(F.when(F.col("token") != "", 1)).alias("tf"))
+
+
+def document_frequency(index: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return index.filter("token <> ''").groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def bm25(queries: DataFrame, blocks: DataFrame | None, params: Bm25 = Bm25(), index: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``query_id, item, score`` of all pairs with a common token, and equal columns ``by`` (say the
+    repository), within which tokens and lengths are counted too. idf is ln(1 + (N - df + 0.5) /
+    (df + 0.5)); a token of a query counts as often as it occurs there. ``index``: see ``postings``.
+
+    Only tokens of queries are kept of the blocks, before anything is shuffled, and the blocks' tokens
+    then lie together, so that scores are summed where they are; queries' tokens are broadcast up to
+    ``MOST_BROADCAST`` rows."""
+    asked = queries.select("query_id", *by, F.explode(words(F.col("text"))).alias("token")).groupBy("query_id", *by, "token").agg(F.count(F.lit(1)).alias("qtf"))
+    near = F.broadcast if _small(asked) else (lambda df: df)
+    markers = queries.select(*by).distinct().withColumn("token", F.lit("")) if by else queries.sparkSession.range(1).select(F.lit("").alias("token"))
+    wanted = near(asked.select(*by, "token").unionByName(markers).distinct())
+    own = index.join(wanted, [*by, "token"], "left_semi").repartition("item") if index is not None else postings(blocks, params, by, wanted)
+    own = kept(own)  # read for scores, frequencies and lengths
+    found = own.filter("token <> ''")
+    stats = own.filter("token = ''").groupBy(*by).agg(F.count(F.lit(1)).alias("n_blocks"), F.avg("length").alias("mean"))
+    weighed = asked.join(document_frequency(own, by), [*by, "token"])
+    if by:
+        weighed = weighed.join(stats, list(by))
+        n, mean = F.col("n_blocks"), F.col("mean")
+    else:
+        n, mean = stats.select("n_blocks").scalar(), stats.select("mean").scalar()
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = weighed.select("query_id", *by, "token", (F.col("qtf") * idf).alias("weight"), mean.alias("mean"))
+    tf = F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("mean")))
+    return found.join(near(weighed), [*by, "token"]).groupBy("query_id", *by, "item").agg(F.sum(F.col("weight") * tf).alias("score"))
 
 
 def bm25_files(queries: DataFrame, blocks: DataFrame, files: DataFrame, k_blocks: int, k_files: int, params: Bm25 = Bm25()) -> DataFrame:
@@ -67,53 +93,85 @@ def bm25_preferred(queries: DataFrame, blocks: DataFrame, included: DataFrame, k
     return top_k(kept, ["query_id"], k)
 
 
-def jaccard(queries: DataFrame, blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``query_id, item, score``: common over all distinct words, of pairs with a common word. Columns
-    of ``blocks`` to ``keep`` come along, which saves a join back."""
-    q = queries.select("query_id", word_set(F.col("text")).alias("w")).select("query_id", F.size("w").alias("n_query"), F.explode("w").alias("token"))
-    b = blocks.select("item", *keep, word_set(F.col("text")).alias("w")).select("item", *keep, F.size("w").alias("n_item"), F.explode("w").alias("token"))
-    common = q.join(b, "token").groupBy("query_id", "item", *keep, "n_query", "n_item").agg(F.count(F.lit(1)).alias("both"))
-    return common.select("query_id", "item", *keep, (F.col("both") / (F.col("n_query") + F.col("n_item") - F.col("both"))).alias("score"))
+def jaccard(queries: DataFrame, blocks: DataFrame, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """``query_id, item, score``: common over all distinct words, of pairs with a common word and equal
+    columns ``by``. Columns of ``blocks`` to ``keep`` come along, which saves a join back. Queries' words
+    are broadcast up to ``MOST_BROADCAST`` rows: only a block's words that some query has are shuffled,
+    and pairs are counted where they then lie."""
+    q = queries.select("query_id", *by, word_set(F.col("text")).alias("w")).select("query_id", *by, F.size("w").alias("n_query"), F.explode("w").alias("token"))
+    b = blocks.select("item", *by, *keep, word_set(F.col("text")).alias("w")).select("item", *by, *keep, F.size("w").alias("n_item"), F.explode("w").alias("token"))
+    near = F.broadcast if _small(q) else (lambda df: df)
+    own = b.join(near(q.select(*by, "token").distinct()), [*by, "token"], "left_semi").repartition("item")
+    common = own.join(near(q), [*by, "token"]).groupBy("query_id", *by, "item", *keep, "n_query", "n_item").agg(F.count(F.lit(1)).alias("both"))
+    return common.select("query_id", *by, "item", *keep, (F.col("both") / (F.col("n_query") + F.col("n_item") - F.col("both"))).alias("score"))
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.empty((0, 0))
 
 
-def dense(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", query_block: int = 1024) -> DataFrame:
+def _best(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """The ``k`` best rows of ``x`` for each row of ``q``, by a matrix product."""
+    s = q @ x.T
+    s = -s if metric == "dot" else (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * s
+    s = np.round(s, 12)
+    order = np.lexsort((np.broadcast_to(names, s.shape), s), axis=1)[:, :k]
+    rows = np.repeat(np.arange(len(ids)), order.shape[1])
+    score = s[rows, order.ravel()]
+    return pd.DataFrame({"query_id": ids[rows], "item": names[order.ravel()], "score": -score if metric == "dot" else score})
+
+
+def dense(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", by: tuple[str, ...] = (), query_block: int = 1024, split: int = 8192) -> DataFrame:
     """The ``k`` best items per query by ``dot`` (descending) or ``l2`` (squared distance, ascending)
-    of ``query_id, vector`` with ``item, vector``: ``query_id, item, score``, unranked candidates.
+    of ``query_id, vector`` with ``item, vector``, among those with equal columns ``by``: ``query_id,
+    item, score``, unranked candidates.
 
-    Queries are dealt into blocks of at most ``query_block`` by hash; each task holds its part of the
-    items and takes one block of queries at a time through a matrix product, so that a task returns at
-    most k rows a query. The blocks travel as broadcasts of checked size, one pass each.
-    """
+    Queries are dealt into blocks of about ``query_block`` and items into splits of about ``split``, of
+    each ``by`` by itself; a task takes one block and one split through a matrix product, whatever the
+    number of either, and returns at most k rows a query. At most ``query_block`` queries, without
+    ``by``, go to the items as a broadcast instead, which moves no item."""
     if metric not in ("dot", "l2"):
         raise ValueError(metric)
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    spark, out = queries.sparkSession, None
-    for k_block in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k_block).select("query_id", "vector").toPandas()
-        shared = spark.sparkContext.broadcast((own["query_id"].to_numpy(), _vectors(own["vector"])))
-
-        def best(parts, shared=shared):
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (items, "item"))]
+    result = f"query_id {kinds[0]}, item {kinds[1]}, score double"
+    if not by and len(few := queries.select("query_id", "vector").limit(query_block + 1).toPandas()) <= query_block:
+        shared = queries.sparkSession.sparkContext.broadcast((few["query_id"].to_numpy(), _vectors(few["vector"])))
+
+        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             for part in parts:
-                if not len(part) or not len(ids):
-                    continue
-                x, names = _vectors(part["vector"]), part["item"].to_numpy()
-                s = q @ x.T
-                s = -s if metric == "dot" else (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * s
-                s = np.round(s, 12)
-                order = np.lexsort((np.broadcast_to(names, s.shape), s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                score = s[rows, order.ravel()]
-                yield pd.DataFrame({"query_id": ids[rows], "item": names[order.ravel()], "score": -score if metric == "dot" else score})
-
-        found = items.select("item", "vector").mapInPandas(best, "query_id long, item long, score double")
-        out = found if out is None else out.unionByName(found)
-    return out
+                if len(part) and len(ids):
+                    yield _best(ids, q, part["item"].to_numpy(), _vectors(part["vector"]), k, metric)
+
+        return items.filter("item IS NOT NULL AND vector IS NOT NULL").select("item", "vector").mapInPandas(best, result)
+    key = list(by) or ["_all"]
+    asked = queries.withColumn("_all", F.lit(0)).select("query_id", *key, "vector")
+    held = items.withColumn("_all", F.lit(0)).select("item", *key, "vector")
+    count = lambda df, size, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = count(asked, query_block, "_blocks").join(count(held, split, "_splits"), key)
+    if by:
+        asked, held = asked.join(sizes, key), held.join(sizes, key)
+    else:
+        row = sizes.first()
+        counts = {c: F.lit(row[c] if row else 0) for c in ("_blocks", "_splits")}
+        asked, held = asked.withColumns(counts), held.withColumns(counts)
+    every = lambda n: F.explode(F.filter(F.sequence(F.lit(0), n), lambda i: i < n))
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    asked = asked.select(*key, F.col("query_id").alias("_query"), F.lit(None).cast(items.schema["item"].dataType).alias("_item"), "vector", own("query_id", "_blocks").alias("_block"), every(F.col("_splits")).alias("_split"))
+    held = held.select(*key, F.lit(None).cast(queries.schema["query_id"].dataType).alias("_query"), F.col("item").alias("_item"), "vector", every(F.col("_blocks")).alias("_block"), own("item", "_splits").alias("_split"))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        is_item = part["_item"].notna().to_numpy()
+        q, x = part[~is_item], part[is_item]
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query_id": [], "item": [], "score": []})
+        exact = lambda ids, like: ids.astype("int64").to_numpy() if like else ids.to_numpy()
+        return _best(exact(q["_query"], whole[0]), _vectors(q["vector"]), exact(x["_item"], whole[1]), _vectors(x["vector"]), k, metric)
+
+    whole = [kind in ("bigint", "int") for kind in kinds]
+    # Ids as text, so that nulls of the other side don't turn them into floats.
+    both = asked.unionByName(held).withColumns({c: F.col(c).cast("string") for c in ("_query", "_item")})
+    return both.groupBy(*key, "_block", "_split").applyInPandas(solve, result)
 
 
 def fuzzy_ratio(a: str, b: str) -> float:

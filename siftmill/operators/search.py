@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import is_test_file, matches_file, search_name, squeezed_contains
-from siftmill.operators.graph import kept
 from siftmill.operators.ranking import first_choice, top_k
-from siftmill.operators.retrieval import bm25, partial_score, token_set_ratio
+from siftmill.operators.retrieval import _small, bm25, partial_score, token_set_ratio
+from siftmill.operators.scratch import kept
 
 
 def by_name(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -89,6 +89,23 @@ def rerank_files(files: DataFrame, pattern: str) -> DataFrame:
     return files.withColumn("score", partial_score(bare, F.lit(pattern.replace("*", "").removesuffix(".py").strip("/"))))
 
 
+def containing(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (text) with each of ``parts`` (part) that their text contains. A part's longest
+    inner word (whole wherever the part is) is a word of such a text, so words are joined on and the
+    pairs tested; parts of fewer than three words meet every text."""
+    spaces = r"[\x00-\x20]+"
+    inner = F.slice(F.split("part", spaces), 2, F.greatest(F.size(F.split("part", spaces)) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    keyed = parts.withColumn("_word", longest["w"])
+    by_word = keyed.filter("_word IS NOT NULL")
+    wanted = by_word.select("_word").distinct()
+    # A text stays out of the shuffle: its words find the parts, and the text is tested where it is.
+    found = docs.withColumn("_word", F.explode(F.array_distinct(F.split("text", spaces)))).join(F.broadcast(wanted) if _small(wanted) else wanted, "_word", "left_semi")
+    found = found.join(F.broadcast(by_word) if _small(by_word, 10_000) else by_word, "_word").filter(F.contains("text", F.col("part")))
+    short = keyed.filter("_word IS NULL")
+    return found.drop("_word").unionByName(docs.join(short, F.contains("text", F.col("part"))).drop("_word"))
+
+
 def filtered_hits(hits: DataFrame, file_pattern: str | None = None, with_tests: bool = False, content: str | None = None) -> DataFrame:
     """Filters on hits (file, content) after the top-k of a vector search."""
     if not with_tests:

@@ -143,7 +143,7 @@ FROM (SELECT doc_id, item_id, d.text, b.text AS part, position(b.text IN d.text)
 def chunk_line_recovery(spark, sf_dir):
     parts = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"))
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.join(parts, F.contains("text", F.col("part"))).select("doc_id", "item_id", chunking.chunk_lines(F.col("text"), F.col("part")).alias("at"))
+    found = search.containing(docs, parts).select("doc_id", "item_id", chunking.chunk_lines(F.col("text"), F.col("part")).alias("at"))
     return found.select("doc_id", "item_id", "at.start", "at.end")
 
 
@@ -223,7 +223,7 @@ def module_id(spark, sf_dir):
 
 @query(r"SELECT page_id, len(list_filter(string_split_regex(lower(split_part(substr(url, 9), ':', 1)), '[ _/]'), lambda p: starts_with(p, 'test'))) > 0 AS is_test, regexp_matches(url, '^(?s:.*)/en/(?s:.*)$') AS globbed FROM pages")
 def path_predicates(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", tx.is_test_file(F.substring("url", 9, 10_000)).alias("is_test"), tx.matches_file(F.col("url"), "*/en/*").alias("globbed"))
+    return t(spark, sf_dir, "pages").select("page_id", tx.is_test_file(F.substr("url", F.lit(9))).alias("is_test"), tx.matches_file(F.col("url"), "*/en/*").alias("globbed"))
 
 
 @query("SELECT doc_id, coalesce(nullif(source, ''), nullif(text, ''), '') AS first_text, sha256(text) AS content_id FROM documents")
@@ -270,7 +270,7 @@ def _issues(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = readers.spread(t(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     cut = chunking.fixed(docs, 15).withColumn("item", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("start").cast("string")))
     return cut.select("item", "source", F.col("content").alias("text"))
 
@@ -307,7 +307,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 
 def _bm25(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
+    docs = readers.spread(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text"), "item")
     return retrieval.bm25(_issues(spark, sf_dir), docs).withColumn("score", F.round("score", 9))
 
 
@@ -337,6 +337,20 @@ def bm25_first_seen_files(spark, sf_dir):
     return mapping.found_files(best.join(files, "item"), 5).select("query_id", "file", "rank")
 
 
+@query(rf"""WITH dw AS (SELECT doc_id AS item, source, {_WORDS} AS w FROM documents), qw AS (SELECT item_id AS query_id, d.source, {_WORDS.replace('text', 'b.text')} AS w FROM benchmark b JOIN documents d ON item_id = doc_id),
+n AS (SELECT source, count(*) AS n, avg(len(w)) AS avgdl FROM dw GROUP BY source),
+p AS (SELECT source, item, dl, token, count(*) AS tf FROM (SELECT source, item, len(w) AS dl, unnest(w) AS token FROM dw) GROUP BY ALL),
+df AS (SELECT source, token, count(*) AS df FROM p GROUP BY ALL), q AS (SELECT query_id, source, token, count(*) AS qtf FROM (SELECT query_id, source, unnest(w) AS token FROM qw) GROUP BY ALL),
+s AS (SELECT query_id, item, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN df USING (source, token) JOIN p USING (source, token) JOIN n USING (source) GROUP BY query_id, item),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM s) SELECT query_id, item, rank::INTEGER AS rank, round(score, 5) AS score FROM r WHERE rank <= 10""")
+def bm25_by_repository(spark, sf_dir):
+    """Issues against the documents of their own repository."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source", "text")
+    asked = _issues(spark, sf_dir).join(docs.select(F.col("item").alias("query_id"), "source"), "query_id")
+    scored = retrieval.bm25(asked, docs, by=("source",)).withColumn("score", F.round("score", 9))
+    return ranking.top_k(scored, ["query_id"], 10).select("query_id", "item", "rank", F.round("score", 5).alias("score"))
+
+
 def _dense(spark, sf_dir, metric="dot", step=100):
     vectors = t(spark, sf_dir, "embeddings")
     asked = vectors.filter(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -353,6 +367,16 @@ def dense_topk(spark, sf_dir):
     return ranking.top_k(_dense(spark, sf_dir), ["query_id"], 20).select("query_id", "item", "rank", F.round("score", 6).alias("score"))
 
 
+@query(_DOT.replace("q.vec_id % 100 = 0", "q.vec_id % 100 = 0 AND q.label = v.label") + " SELECT query_id, item, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 20")
+def dense_by_repository(spark, sf_dir):
+    """Nearest vectors among those with the query's label."""
+    vectors = t(spark, sf_dir, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("vector"))
+    items = vectors.select(F.col("vec_id").alias("item"), "label", F.col("embedding").alias("vector"))
+    scored = retrieval.dense(asked, items, 20, by=("label",)).withColumn("score", F.round("score", 9))
+    return ranking.top_k(scored, ["query_id"], 20).select("query_id", "item", "rank", F.round("score", 6).alias("score"))
+
+
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ** 2)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
 SELECT query_id, item, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item) AS rank FROM s) WHERE rank <= 20""")
 def dense_l2_topk(spark, sf_dir):
@@ -397,9 +421,9 @@ v AS (SELECT k, round(avg((n = least(g, k))::INTEGER), 4) AS acc, round(avg(n /
 
 
 def _truth(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
+    docs = readers.spread(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text"), "item")
     parts = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("part"))
-    return docs.join(parts, F.contains("text", F.col("part"))).select("query_id", "item")
+    return search.containing(docs, parts).select("query_id", "item")
 
 
 def _predictions(spark, sf_dir):
@@ -600,7 +624,7 @@ def merge_results(spark, sf_dir):
 
 @query("SELECT page_id FROM pages WHERE NOT (len(list_filter(string_split_regex(lower(split_part(substr(url, 9), ':', 1)), '[ _/]'), lambda p: starts_with(p, 'test'))) > 0) AND contains(url, '/en/') AND contains(replace(replace(replace(html, ' ', ''), chr(9), ''), chr(10), ''), 'that')")
 def filtered_hits(spark, sf_dir):
-    hits = t(spark, sf_dir, "pages").select("page_id", F.substring("url", 9, 10_000).alias("file"), F.col("html").alias("content"))
+    hits = t(spark, sf_dir, "pages").select("page_id", F.substr("url", F.lit(9)).alias("file"), F.col("html").alias("content"))
     return search.filtered_hits(hits, "*/en/*", content="t h a t").select("page_id")
 
 
@@ -674,6 +698,26 @@ def map_blocks_to_modules(spark, sf_dir):
     return mapping.by_lines(*_mapped(spark, sf_dir))[1].select("query_id", "item", "rank")
 
 
+@query("""WITH n AS (SELECT doc_id, source AS repo, 'f' || row_number() OVER (PARTITION BY source ORDER BY doc_id) || '.py' AS file, len(string_split(text, chr(10))) AS n FROM documents),
+runs AS (SELECT repo, file, s + 1 AS a, least(s + 5, n) AS z, 'f' || s || '_' || doc_id AS entity FROM n, unnest(range(0, n, 5)) AS u(s)),
+b AS (SELECT repo AS query_id, repo, file, k AS start, least(k + 3, n - 1) AS "end", row_number() OVER (PARTITION BY repo ORDER BY k, doc_id) AS rank FROM n, unnest(range(0, n, 4)) AS u(k)),
+o AS (SELECT *, min(rank) OVER (PARTITION BY query_id, file) AS file_no FROM b),
+j AS (SELECT o.*, entity FROM o JOIN runs r ON o.repo = r.repo AND o.file = r.file AND o.start + 1 <= r.z AND r.a <= o."end" + 1),
+f AS (SELECT query_id, file || ':' || entity AS item, min(file_no * 1000000 + rank) AS pos FROM j GROUP BY ALL)
+SELECT query_id, item, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, item)::INTEGER AS rank FROM f) WHERE rank <= 50""")
+def map_blocks_by_repository(spark, sf_dir):
+    """Entities of a repository's blocks, where every repository has files of the same names."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), F.size(tx.newline_lines(F.col("text"))).alias("n"))
+    number = F.row_number().over(Window.partitionBy("repo").orderBy("doc_id")).cast("string")
+    files = docs.withColumn("file", F.concat(F.lit("f"), number, F.lit(".py")))
+    cut = lambda step: F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("s")
+    text = lambda c: F.col(c).cast("string")
+    runs = files.select("*", cut(5)).select("repo", F.col("file").alias("path"), (F.col("s") + 1).alias("start"), F.least(F.col("s") + 5, F.col("n")).alias("end"), F.concat(F.lit("f"), text("s"), F.lit("_"), text("doc_id")).alias("entity"), F.lit(None).cast("string").alias("class_name"))
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy("s", "doc_id"))
+    blocks = files.select("*", cut(4)).select(F.col("repo").alias("query_id"), "repo", rank.alias("rank"), "file", F.col("s").alias("start"), F.least(F.col("s") + 3, F.col("n") - 1).alias("end"))
+    return mapping.by_lines(blocks, runs, by=("repo",))[0].select("query_id", "item", "rank")
+
+
 @query(_MAPPED + """, r AS (SELECT query_id, rank, string_agg(DISTINCT entity, ',' ORDER BY entity) AS span_ids FROM j GROUP BY ALL) SELECT query_id, rank::INTEGER AS rank, span_ids FROM r""")
 def block_span_ids(spark, sf_dir):
     blocks, runs = _mapped(spark, sf_dir)

@@ -24,35 +24,34 @@ STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def ingest(files: DataFrame, strategy: str = "fixed", encoder=None) -> DataFrame:
     """``files`` (repo, path, text) as blocks: repo, file, block_no, start, end, text, item, vector."""
-    own = files.withColumn("doc_id", F.xxhash64("repo", "path"))
-    cut = STRATEGIES[strategy](own.select("doc_id", "text")).withColumnRenamed("content", "text")
-    found = cut.join(own.select("doc_id", "repo", F.col("path").alias("file")), "doc_id").drop("doc_id")
+    own = files.select(F.concat("repo", F.lit("\x1f"), "path").alias("doc_id"), "text")
+    cut = STRATEGIES[strategy](own).withColumnRenamed("content", "text")
+    part = lambda k: F.split_part("doc_id", F.lit("\x1f"), F.lit(k))
+    found = cut.select(part(1).alias("repo"), part(2).alias("file"), *[c for c in cut.columns if c != "doc_id"])
     found = found.withColumn("item", F.xxhash64("repo", "file", "block_no", "start"))
     return retrieval.embed(found, encoder=encoder)
 
 
 def rank_blocks(instances: DataFrame, blocks: DataFrame, method: str = "bm25", k: int = 50, encoder=None) -> DataFrame:
     """The best ``k`` blocks of each instance's repository (query_id, repo, text): query_id, rank, score
-    and the block's columns. Scores are of one repository at a time only where ``repo`` differs."""
-    asked = instances.select("query_id", "repo", "text")
+    and the block's columns. Candidates and counts are those of the repository alone."""
+    asked, repo = instances.select("query_id", "repo", "text"), ("repo",)
     if method == "dense":
-        vectors = retrieval.embed(asked, encoder=encoder).withColumn("_n", F.xxhash64("query_id"))
-        scored = retrieval.dense(vectors.select(F.col("_n").alias("query_id"), "vector"), blocks.select("item", "vector"), 4 * k)
-        scored = scored.withColumnRenamed("query_id", "_n").join(vectors.select("_n", "query_id"), "_n").drop("_n")
+        scored = retrieval.dense(retrieval.embed(asked, encoder=encoder).drop("text"), blocks.select("item", "repo", "vector"), k, by=repo)
     elif method == "jaccard":
-        scored = retrieval.jaccard(asked, blocks.select("item", "text"))
+        scored = retrieval.jaccard(asked, blocks.select("item", "repo", "text"), by=repo).drop("repo")
     else:
-        scored = retrieval.bm25(asked, blocks.select("item", "text"))
-    found = scored.join(blocks.drop("vector", "text"), "item").join(asked.select("query_id", "repo"), ["query_id", "repo"], "left_semi")
-    return ranking.top_k(found, ["query_id"], k)
+        scored = retrieval.bm25(asked, blocks.select("item", "repo", "text"), by=repo).drop("repo")
+    return ranking.top_k(scored, ["query_id"], k).join(blocks.drop("vector", "text"), "item")
 
 
 def localize(ranked: DataFrame, files: DataFrame, k_files: int = 10, k_modules: int = 10, k_entities: int = 50, sum_scores: bool = True) -> DataFrame:
-    """``query_id`` with found_files, found_modules and found_entities, best first. Files by the sum of
-    their blocks' scores, or in order of appearance."""
+    """``query_id`` with found_files, found_modules and found_entities, best first, of ranked blocks
+    (query_id, repo, file, ...) and ``files`` (repo, path, text) of any number of repositories. Files by
+    the sum of their blocks' scores, or in order of appearance."""
     by_file = ranking.group_scores(ranked, ["query_id"], "file", k_files) if sum_scores else mapping.found_files(ranked, k_files)
-    line_map = pyast.line_map(files.select("path", "text"))
-    entities, modules = mapping.by_lines(ranked.select("query_id", "rank", "file", "start", "end"), line_map, k_modules, k_entities)
+    line_map = pyast.line_map(files, ("repo",))
+    entities, modules = mapping.by_lines(ranked.select("query_id", "repo", "rank", "file", "start", "end"), line_map, k_modules, k_entities, ("repo",))
     listed = lambda df, item, name: df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item))), lambda r: r[item]).alias(name))
     found = listed(by_file, "file", "found_files").join(listed(modules, "item", "found_modules"), "query_id", "left").join(listed(entities, "item", "found_entities"), "query_id", "left")
     none = F.array().cast("array<string>")

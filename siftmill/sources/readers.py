@@ -118,3 +118,11 @@ def index(spark: SparkSession, folder: str, repo: str | None = None) -> DataFram
     """A written index; its partition of one repository if given."""
     found = spark.read.parquet(folder)
     return found.filter(F.col("repo") == repo) if repo else found
+
+
+def spread(df: DataFrame, key: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """A small table in few files, dealt over all cores by ``key``: a file's row group is read by one
+    task, and what follows until the next shuffle would run there too. Others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size <= most_bytes and len(df.inputFiles()) < cores else df

@@ -19,14 +19,31 @@ def test_localise_and_evaluate(spark, method):
     issues = spark.createDataFrame([("q1", "r", "def fetch_socket url fails"), ("q2", "r", "class reader read_table self path")], "query_id string, repo string, text string")
     ranked = engine.rank_blocks(issues, engine.ingest(files), method, 5)
     assert {r["repo"] for r in ranked.collect()} == {"r"}
-    found = {r["query_id"]: r for r in engine.localize(ranked, files.filter("repo = 'r'")).collect()}
+    found = {r["query_id"]: r for r in engine.localize(ranked, files).collect()}
+    assert "pkg/io.py:read_table" not in found["q2"]["found_entities"]
     assert found["q1"]["found_files"][0] == "pkg/net.py" and found["q1"]["found_entities"][0] == "pkg/net.py:fetch_socket"
     assert found["q2"]["found_files"][0] == "pkg/io.py" and "pkg/io.py:Reader" in found["q2"]["found_modules"]
     truth = spark.createDataFrame([("q1", "file", "pkg/net.py"), ("q2", "file", "pkg/io.py")], "query_id string, level string, item string")
-    scores = engine.evaluated(engine.localize(ranked, files.filter("repo = 'r'")), truth, {"file": [1]})
+    scores = engine.evaluated(engine.localize(ranked, files), truth, {"file": [1]})
     assert {r["metric"]: r["value"] for r in scores.collect()}["acc"] == 1.0
 
 
+@pytest.mark.parametrize("method", ["bm25", "jaccard", "dense"])
+def test_other_repositories_do_not_count(spark, method):
+    rest = [(f"other{k}", "a.py", "def fetch_socket(url):\n    return url\n") for k in range(100)]
+    issues = spark.createDataFrame([("q1", "r", "fetch_socket url")], "query_id string, repo string, text string")
+    scored = lambda rows: [(r["file"], round(r["score"], 6)) for r in engine.rank_blocks(issues, engine.ingest(spark.createDataFrame(rows, "repo string, path string, text string")), method, 2).orderBy("rank").collect()]
+    alone = [f for f in FILES if f[0] == "r"]
+    assert scored(alone) == scored(FILES + rest) and scored(alone)[0][0] == "pkg/net.py"
+
+
+@pytest.mark.parametrize("strategy", sorted(engine.STRATEGIES))
+def test_every_strategy_makes_blocks_of_a_repository(spark, strategy):
+    files = spark.createDataFrame(FILES, "repo string, path string, text string")
+    found = engine.ingest(files, strategy).collect()
+    assert {(r["repo"], r["file"]) for r in found} == {f[:2] for f in FILES} and all(len(r["vector"]) == 64 for r in found)
+
+
 def test_vector_store(spark, tmp_path):
     empty = spark.createDataFrame([], stores.SCHEMA)
     new = spark.createDataFrame([("a", [0.0, 1.0], "test"), ("b", [1.0, 0.0], "implementation")], "doc_id string, vector array<float>, category string")
