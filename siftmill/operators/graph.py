@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import is_test_file
@@ -136,7 +136,7 @@ def module_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split(F.split_part("src", F.lit(":"), F.lit(1)), "/")
     base = F.when(F.col("level") > 0, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - F.col("level"), F.lit(0))), "/")).otherwise("")
     dotted = F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif(F.replace("module", F.lit("."), F.lit("/")), F.lit("")))
-    rows = imports.withColumn("_at", dotted).withColumn("_id", F.monotonically_increasing_id())
+    rows = imports.distinct().withColumn("_at", dotted)
     inner = F.concat_ws("/", F.nullif(F.col("_at"), F.lit("")), F.col("entity"))
     options = F.array(
         F.when(F.col("entity").isNotNull() & (F.col("entity") != "*"), F.concat(inner, F.lit(".py"))),
@@ -146,17 +146,18 @@ def module_files(imports: DataFrame, files: DataFrame) -> DataFrame:
         F.concat("_at", F.lit(".py")),
         F.concat("_at", F.lit("/__init__.py")),
     )
-    tried = rows.select("_id", F.posexplode(options).alias("choice", "target")).join(files.select(F.col("node_id").alias("target")), "target", "left_semi")
-    best = tried.groupBy("_id").agg(F.min_by("target", "choice").alias("target"))
-    return rows.join(best, "_id").select(*imports.columns, "target")
+    tried = rows.select(*imports.columns, F.posexplode(options).alias("choice", "target")).join(files.select(F.col("node_id").alias("target")), "target", "left_semi")
+    return tried.groupBy(*imports.columns).agg(F.min_by("target", "choice").alias("target"))
 
 
-def call_edges(calls: DataFrame, candidates: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Edges from ``calls`` (src, name, etype) to ``candidates`` (src, node_id) whose last name is
-    called; with ``index`` (see ``name_index``), names without a candidate go to every node of it."""
-    last = F.element_at(F.split(F.element_at(F.split("node_id", ":"), -1), r"\."), -1)
+def call_edges(calls: DataFrame, candidates: DataFrame, index: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Edges from ``calls`` (src, name, etype) to ``candidates`` (see ``scope_candidates``) of that name:
+    to all of them, or if ``strict`` to the nearest alone. With ``index`` (see ``name_index``), names
+    without a candidate go to every node of it."""
     asked = calls.distinct()
-    local = asked.join(candidates.withColumn("name", last), ["src", "name"])
+    local = asked.join(candidates, ["src", "name"])
+    if strict:
+        local = local.groupBy("src", "name", "etype").agg(F.min_by("node_id", F.struct("near", "node_id")).alias("node_id"))
     out = local.select("src", F.col("node_id").alias("dst"), "etype")
     if index is not None:
         left = asked.join(local.select("src", "name").distinct(), ["src", "name"], "left_anti")
@@ -164,18 +165,46 @@ def call_edges(calls: DataFrame, candidates: DataFrame, index: DataFrame | None
     return out.distinct()
 
 
+def _last_name(node_id: str) -> Column:
+    return F.element_at(F.split(F.element_at(F.split(node_id, ":"), -1), r"\."), -1)
+
+
 def scope_candidates(contains: DataFrame, nodes: DataFrame, imports: DataFrame, deepest: int = 8) -> DataFrame:
-    """``src, node_id``: what a node can name. The members of every scope around it up to its file, of
-    classes among them, and what the file imports, with the members of imported classes and files."""
-    up = k_hop(contains, nodes.filter("type IN ('class', 'function')").select("node_id"), deepest, "upstream").filter("distance > 0")
-    up = up.join(nodes.filter("type <> 'directory'").select("node_id"), "node_id", "left_semi")
-    members = up.select(F.col("root").alias("src"), F.col("node_id").alias("a")).join(contains.select(F.col("src").alias("a"), F.col("dst").alias("node_id")), "a").select("src", "node_id")
-    classes = nodes.filter("type = 'class'").select(F.col("node_id").alias("a"))
-    inner = lambda found: found.select("src", F.col("node_id").alias("a")).join(classes, "a", "left_semi").join(contains.select(F.col("src").alias("a"), F.col("dst").alias("node_id")), "a").select("src", "node_id")
-    files = nodes.filter("type IN ('class', 'function')").select(F.col("node_id").alias("src"), F.split_part("node_id", F.lit(":"), F.lit(1)).alias("a"))
-    imported = files.join(imports.select(F.split_part("src", F.lit(":"), F.lit(1)).alias("a"), F.col("target").alias("node_id")).distinct(), "a").select("src", "node_id")
-    brought = imported.select("src", F.col("node_id").alias("a")).join(contains.select(F.col("src").alias("a"), F.col("dst").alias("node_id")), "a").select("src", "node_id")
-    return members.unionByName(inner(members)).unionByName(imported).unionByName(brought).filter("src <> node_id").distinct()
+    """``src, node_id, name, near``: what a class or function can name, and how far off that is. First
+    aliases of imports; the members of it and of every scope around it up to its file; then what
+    ``__init__`` files define and import that the file imports, or that those do in turn; then what the
+    file imports itself. Members of imported files come along, and of all classes at any depth."""
+    kind = lambda *kinds: nodes.filter(F.col("type").isin(*kinds))
+    # What several steps read is kept, or each would parse the files again.
+    nodes, contains, imports = kept(nodes.select("node_id", "type")), kept(contains), kept(imports)
+    of_classes = contains.join(kind("class").select(F.col("node_id").alias("src")), "src", "left_semi")
+    inner = kept(k_hop(of_classes, kind("class").select("node_id"), deepest).filter("distance > 0").select(F.col("root").alias("a"), F.col("node_id").alias("b")))
+
+    def with_inner(found: DataFrame) -> DataFrame:
+        more = found.withColumnRenamed("node_id", "a").join(inner, "a").drop("a").withColumnRenamed("b", "node_id")
+        return found.unionByName(more.select(found.columns))
+
+    members = contains.select(F.col("src").alias("scope"), F.col("dst").alias("node_id"))
+    up = k_hop(contains, kind("class", "function").select("node_id"), deepest, "upstream")
+    up = kept(up.join(kind("class", "function", "file").select("node_id"), "node_id", "left_semi").select(F.col("root").alias("src"), F.col("node_id").alias("scope"), F.col("distance").alias("near")))
+    around = up.join(members, "scope").select("src", "node_id", "near").join(up.select("src", F.col("scope").alias("node_id")), ["src", "node_id"], "left_anti")
+    near = with_inner(around)
+
+    own = imports.select(F.split_part("src", F.lit(":"), F.lit(1)).alias("file"), "target", "alias").distinct()
+    to_init = own.filter(F.endswith("target", F.lit("__init__.py"))).select(F.col("file").alias("src"), F.col("target").alias("dst"), F.lit("imports").alias("etype"))
+    inits = k_hop(to_init, own.select(F.col("file").alias("node_id")), -1).filter("distance > 0 AND root <> node_id").select(F.col("root").alias("file"), F.col("node_id").alias("via"))
+    inits = kept(inits)
+    of_inits = inits.join(members.withColumnRenamed("scope", "via"), "via").select("file", "node_id", F.lit(1000).alias("near"))
+    through = inits.join(own.withColumnRenamed("file", "via"), "via").select("file", "target", "alias", F.lit(1001).alias("near")).unionByName(own.withColumn("near", F.lit(1002)))
+    files = kind("file").select(F.col("node_id").alias("scope"))
+    brought = through.join(files, F.col("target") == F.col("scope")).join(members, "scope").select("file", "node_id", "near")
+    direct = through.join(kind("class", "function").select(F.col("node_id").alias("target")), "target", "left_semi").select("file", F.col("target").alias("node_id"), "near")
+    far = with_inner(of_inits.unionByName(brought).unionByName(direct)).withColumn("name", _last_name("node_id"))
+    renamed = through.filter("alias IS NOT NULL").select("file", F.col("target").alias("node_id"), F.lit(-1).alias("near"), F.col("alias").alias("name"))
+    users = kind("class", "function").select(F.col("node_id").alias("src"), F.split_part("node_id", F.lit(":"), F.lit(1)).alias("file"))
+    imported = users.join(far.unionByName(renamed.select(far.columns)), "file").select("src", "node_id", "name", "near")
+    found = near.withColumn("name", _last_name("node_id")).select("src", "node_id", "name", "near").unionByName(imported)
+    return kept(found.filter("src <> node_id").groupBy("src", "node_id", "name").agg(F.min("near").alias("near")))
 
 
 def by_type_with_members(nodes: DataFrame, contains: DataFrame, kind: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
 from siftmill.operators import chunking, context, graph, mapping, metrics, patches, pyast, ranges, ranking, retrieval, search
+from siftmill.operators.scratch import kept
 from siftmill.sources import readers, writers
 from siftmill.streaming import incremental
 
@@ -805,13 +806,43 @@ def code_graph(spark, sf_dir):
     """Import and call edges among the files' nodes."""
     files = _sources(spark, sf_dir)
     own = pyast.entities(files).select("node_id", "type")
-    nodes = own.unionByName(files.select(F.col("path").alias("node_id"), F.lit("file").alias("type")))
-    imports = graph.module_files(pyast.imports(files), nodes.select("node_id"))
+    nodes = kept(own.unionByName(files.select(F.col("path").alias("node_id"), F.lit("file").alias("type"))))
+    imports = kept(graph.module_files(pyast.imports(files), nodes.select("node_id")))
     contains = graph.contains_edges(nodes)
     calls = graph.call_edges(pyast.calls(files), graph.scope_candidates(contains, nodes, imports, 3))
     return contains.unionByName(calls).unionByName(imports.select("src", F.col("target").alias("dst"), F.lit("imports").alias("etype"))).distinct()
 
 
+def _packages(spark, sf_dir):
+    """Three files of a package per document, which names a function in one of four ways: by an alias,
+    through ``__init__``, through a class, and beside a star import of an equal name."""
+    d = t(spark, sf_dir, "documents").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("p"), (F.col("doc_id") % 4).alias("v"))
+    ways = [
+        "from {p}.mod import work as w\n\n\ndef main():\n    return w()\n",
+        "import {p}\n\n\nasync def main():\n    return {p}.work()\n",
+        "from {p}.mod import Tool\n\n\ndef main():\n    t = Tool()\n    return t.run()\n",
+        "from .mod import *\n\n\ndef work():\n    return 0\n\n\ndef main():\n    return work()\n",
+    ]
+    use = F.coalesce(*[F.when(F.col("v") == k, F.lit(text)) for k, text in enumerate(ways)])
+    files = {"__init__.py": F.lit("from {p}.mod import work\n"), "mod.py": F.lit("def work():\n    return 1\n\n\nclass Tool:\n    def run(self):\n        return work()\n"), "use.py": use}
+    rows = F.explode(F.array(*[F.struct(F.concat("p", F.lit(f"/{name}")).alias("path"), F.replace(text, F.lit("{p}"), F.col("p")).alias("text")) for name, text in files.items()]))
+    return d.select(rows.alias("f")).select("f.*")
+
+
+@query("""WITH d AS (SELECT 'p' || doc_id AS p, doc_id % 4 AS v FROM documents),
+e(src, dst) AS (SELECT p || '/mod.py:Tool.run', p || '/mod.py:work' FROM d UNION ALL SELECT p || '/use.py:main', p || '/mod.py:work' FROM d WHERE v IN (0, 1)
+  UNION ALL SELECT p || '/use.py:main', p || '/mod.py:' || m FROM d, (VALUES ('Tool'), ('Tool.run')) AS n(m) WHERE v = 2 UNION ALL SELECT p || '/use.py:main', p || '/use.py:work' FROM d WHERE v = 3)
+SELECT 'strict' AS mode, src, dst, 'invokes' AS etype FROM e UNION ALL SELECT 'fuzzy', src, dst, 'invokes' FROM e UNION ALL SELECT 'fuzzy', p || '/use.py:main', p || '/mod.py:work', 'invokes' FROM d WHERE v = 3""")
+def code_calls(spark, sf_dir):
+    """Calls resolved to the nearest candidate, and to all candidates."""
+    files = _packages(spark, sf_dir)
+    nodes = kept(pyast.entities(files).select("node_id", "type").unionByName(files.select(F.col("path").alias("node_id"), F.lit("file").alias("type"))))
+    imports = graph.module_files(pyast.imports(files), nodes.select("node_id"))
+    candidates = graph.scope_candidates(graph.contains_edges(nodes), nodes, imports, 3)
+    calls = kept(pyast.calls(files))
+    return graph.call_edges(calls, candidates, strict=True).select(F.lit("strict").alias("mode"), "*").unionByName(graph.call_edges(calls, candidates).select(F.lit("fuzzy").alias("mode"), "*"))
+
+
 @query()
 def patch_ground_truth(spark, sf_dir):
     files = _sources(spark, sf_dir)
