@@ -42,6 +42,15 @@ def _inside(node: ast.AST) -> list[ast.stmt]:
     return [x for x in getattr(node, "body", []) if isinstance(x, ast.stmt)]
 
 
+def _inner(node: ast.AST) -> list[ast.stmt]:
+    """Statements of all branches of a compound statement."""
+    found: list[ast.stmt] = []
+    for field in ("body", "handlers", "cases", "orelse", "finalbody"):
+        for x in getattr(node, field, ()):
+            found += [x] if isinstance(x, ast.stmt) else x.body
+    return found
+
+
 def entity_rows(path: str, text: str) -> Iterator[tuple]:
     """(node_id, type, start, end, code) with dotted nesting. A class's ``__init__`` belongs to the
     class: neither it nor what it defines is a node."""
@@ -134,7 +143,8 @@ def calls(files: DataFrame) -> DataFrame:
 
 def function_rows(path: str, text: str) -> Iterator[tuple]:
     """(path, qualified_name, class_name, function_name, start, end, content), lines from 0. Functions
-    that stand in bodies of modules, classes and functions; decorators belong to them; the name has
+    that stand in bodies of modules and classes, in those of their ``if``, ``for``, ``with`` and ``try``
+    (not in ``else`` or ``except``), and directly in functions; decorators belong to them; the name has
     the innermost class alone."""
     tree, lines = parsed(text), text.splitlines()
 
@@ -145,7 +155,7 @@ def function_rows(path: str, text: str) -> Iterator[tuple]:
                 name = "::".join(x for x in (path, owner, node.name) if x)
                 content = f"# {name}\n\n" + "\n".join(lines[start : node.end_lineno])
                 yield path, name, owner, node.name, start, node.end_lineno - 1, content
-                yield from walk(node.body, owner)
+                yield from walk([n for n in node.body if isinstance(n, _DEFS)], owner)
             elif isinstance(node, ast.ClassDef):
                 yield from walk(node.body, node.name)
             elif hasattr(node, "body"):
@@ -366,7 +376,8 @@ def blocks(files: DataFrame) -> DataFrame:
 
 def syntax_chunk_rows(path: str, text: str, least: int = 100, size: int = 500, most: int = 2000, hard: int = 2000, most_chunks: int = 200) -> Iterator[tuple]:
     """(path, chunk_no, start, end, tokens, span_ids, content): neighbouring statements grouped by a
-    budget of tokens; classes over it are entered. Small chunks join the smaller neighbour while the
+    budget of tokens; classes and functions over it are entered, and other compound statements over ``most``;
+    a simple statement over ``most`` is left out. Small chunks join the smaller neighbour while the
     result is within ``hard``, first all under ``least``, then until there are ``most_chunks``. A file
     under ``least`` is one chunk; generated files over ``hard`` and files that don't parse give none."""
     tree, lines = parsed(text), text.split("\n")
@@ -384,6 +395,9 @@ def syntax_chunk_rows(path: str, text: str, least: int = 100, size: int = 500, m
             if named and count(start, node.end_lineno) > size and _inside(node):
                 units.append((start, max(start, node.body[0].lineno - 1), count(start, max(start, node.body[0].lineno - 1)), own))
                 cut(node.body, own)
+            elif count(start, node.end_lineno) > most and _inner(node):
+                units.append((start, max(start, _inner(node)[0].lineno - 1), count(start, max(start, _inner(node)[0].lineno - 1)), own))
+                cut(_inner(node), span)
             elif count(start, node.end_lineno) <= most:
                 units.append((start, node.end_lineno, count(start, node.end_lineno), own))
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
-from siftmill.operators import context, graph, mapping, metrics, search
+from siftmill.operators import context, graph, mapping, metrics, pyast, search
 from siftmill.sources import readers, writers
 
 
@@ -84,3 +84,12 @@ def test_labels_and_terms(spark):
     assert one(tx.issue_category(F.lit("It is a bug report."))) == "Bug Report" and one(tx.issue_category(F.lit("?"))) == "Uncategorized"
     assert one(tx.search_name(F.lit("def run"))) == "run" and one(tx.search_name(F.lit("Classic"))) == "Classic"
     assert one(tx.enriched_query(F.lit("q"), F.array(F.lit("A")), F.array().cast("array<string>"), F.lit("*.py"))) == "q, class A file:*.py"
+
+
+def test_functions_within_functions_and_large_compound_statements():
+    code = "def f():\n    class K:\n        def m(self):\n            pass\n    if f:\n        def g():\n            pass\n    def h():\n        pass\n\n\nif True:\n    def k():\n        pass\nelse:\n    def e():\n        pass\n"
+    assert [r[1] for r in pyast.function_rows("a.py", code)] == ["a.py::f", "a.py::h", "a.py::k"]
+    large = "try:\n" + "".join(f"    x{k} = {k}\n" for k in range(40)) + "except E:\n    y = 1\nz = 2\n"
+    found = list(pyast.syntax_chunk_rows("a.py", large, least=1, size=30, most=60, hard=60))
+    covered = {k for r in found for k in range(r[2], r[3] + 1)}
+    assert {1, 2, 41, 43, 44} <= covered and all(r[4] <= 60 for r in found)
