@@ -18,12 +18,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the folder given
+    to ``setCheckpointDir``. Where both are unset, a temporary folder is made and set on a single
+    machine; on a cluster that is an error, since each executor would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="siftmill-"))
         found = "file://" + _own_dir[0]

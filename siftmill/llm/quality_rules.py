@@ -5,18 +5,19 @@ Base rules: a document fails with fewer than ``MIN_WORDS`` words, or when over
 
 Divergence: each document's histogram of character classes, and of the common words of its
 language, is compared with its language's reference by Jensen-Shannon distance (square root of the
-divergence in bits, 0 to 1). The references are sums over all documents of that ``lang`` that pass
+divergence in bits, 0 to 1). Common words are the ``N_COMMON`` that most documents of the ``lang``
+have, ties by the word. The references are sums over all documents of that ``lang`` that pass
 the length guard and have ordinary text (at most ``MOST_RARE_PERCENT`` % of capitals, digits and
 symbols), so they follow the corpus at any size; they are a few numbers per language.
 Distances of short texts are mostly sampling noise, so each test has a minimum length, below which
 it doesn't reject. A document is kept if the base rules pass and neither distance is over its limit.
 
-Everything about a document is computed within its row. The only shuffle carries the partial sums
-per language, and a row per language is joined back.
+Words are counted per language by partial aggregates. All else about a document is computed within its
+row, once, and written; the references are sums over what is written, and a row per language is
+joined back each time.
 
 Defined cases. Null or empty text: zero words, base_failed, not kept. Null lang: compared with the
-sums over all documents. A language without common-word list: only the character classes are
-tested. Very long texts: all words count. Repeated rows: each is judged alike. An empty table: an
+sums over all documents by the character classes alone. A language of few words: as many common words. Very long texts: all words count. Repeated rows: each is judged alike. An empty table: an
 empty result. Further columns are kept; of columns named like a result column, the result stays.
 """
 
@@ -24,10 +25,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import GAP, let, table, written
+from siftmill.llm.common import GAP, let, table, words_of, written
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -41,13 +42,8 @@ MOST_RARE_PERCENT = 15
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes besides symbols; what is left of the word characters is the last class.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "mark": r"""[.,;:!?'"()\[\]/_=+-]""", "beyond": r"[^\x00-\x7F]"}
-#: Frequent function words of each language.
-COMMON = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "dem", "nicht", "ein", "eine", "als", "auch"],
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on", "are", "as", "with", "be", "by", "at", "this", "or"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est", "pour", "qui", "dans", "au", "par", "sur", "pas", "avec"],
-}
+#: Common words of a language, and how many of all languages are looked up as literals.
+N_COMMON, MOST_LITERALS = 20, 10_000
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
@@ -71,46 +67,55 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(counted["n"])
 
 
+def common_words(docs: DataFrame, most: int = N_COMMON) -> DataFrame:
+    """``_q_lang, _q_listed``: per language the words that most of its documents have, most first."""
+    words = docs.filter("lang IS NOT NULL").select("lang", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    best = counted.withColumn("nth", nth).filter(F.col("nth") <= most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", "word"))), lambda x: x["word"])
+    return best.groupBy(F.col("lang").alias("_q_lang")).agg(listed.alias("_q_listed"))
+
+
 def _histograms(docs: DataFrame) -> DataFrame:
     """Add ``_q_words`` and the counts of both histograms, from each row alone."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    any_listed = sorted({w for words in COMMON.values() for w in words})
-    found = docs.withColumn("_q_words", F.filter(F.split(text, GAP), lambda w: w != ""))
+    common = written(common_words(docs), "common-words")
+    literals = [r[0] for r in common.select(F.explode("_q_listed")).distinct().limit(MOST_LITERALS + 1).collect()]
+    found = docs.join(common, F.col("lang") == F.col("_q_lang"), "left").drop("_q_lang")
+    found = found.withColumn("_q_words", F.filter(F.split(text, GAP), lambda w: w != ""))
+    # Words hold no space, so that it can part them.
+    hit = (lambda w: w.isin(literals)) if len(literals) <= MOST_LITERALS else (lambda w: F.array_contains("_q_listed", w))
     found = found.withColumns(
         {
             "n_words": F.size("_q_words").cast("long"),
             "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
             "n_symbols": _left_of(text, SYMBOLS).cast("long"),
-            "_q_hits": F.concat(F.lit("|"), F.array_join(F.filter("_q_words", lambda w: w.isin(any_listed)), "||"), F.lit("|")),
+            "_q_hits": F.concat(F.lit(" "), F.array_join(F.filter("_q_words", hit), "  "), F.lit(" ")),
         }
     )
     classes = [_left_of(text, pattern) for pattern in CLASSES.values()]
     found = found.withColumn("_q_class", F.array(*[c.cast("long") for c in classes], F.col("n_symbols")))
     rest = F.col("word_chars") - F.aggregate("_q_class", F.lit(0).cast("long"), lambda a, x: a + x)
     found = found.withColumn("_q_class", F.array_append("_q_class", F.greatest(rest, F.lit(0).cast("long"))))
-    listed = F.lit(None).cast("array<string>")
-    for lang, words in COMMON.items():
-        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
-    hits = F.col("_q_hits")
+    hits, zero = F.col("_q_hits"), F.lit(0).cast("long")
 
     def count(word: Column) -> Column:
-        return ((F.length(hits) - F.length(F.replace(hits, F.concat(F.lit("|"), word, F.lit("|")), F.lit("")))) / (F.length(word) + 2)).cast("long")
+        return ((F.length(hits) - F.length(F.replace(hits, F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))) / (F.length(word) + 2)).cast("long")
 
-    found = found.withColumn("_q_common", F.transform(listed, count))
-    seen = F.aggregate("_q_common", F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.withColumn("_q_common", F.array_append("_q_common", F.col("n_words") - seen)).drop("_q_hits")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(N_COMMON - 1)), lambda k: F.coalesce(count(F.get("_q_listed", k)), zero))
+    found = found.withColumn("_q_common", F.when(F.col("_q_listed").isNotNull(), counts))
+    seen = F.aggregate("_q_common", zero, lambda a, x: a + x)
+    return found.withColumn("_q_common", F.array_append("_q_common", F.col("n_words") - seen)).drop("_q_hits", "_q_listed")
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(counted: DataFrame) -> DataFrame:
     """Per language, and for '*' over all: ``_q_ref_class`` and ``_q_ref_common``, summed counts."""
-    n_class, n_common = len(CLASSES) + 2, max(map(len, COMMON.values())) + 1
+    n_class, n_common = len(CLASSES) + 2, N_COMMON + 1
     rare = F.col("_q_class")[0] + F.col("_q_class")[1] + F.col("n_symbols")
-    # The condition stands within the sums: as a filter it would be moved below the histograms, and
-    # all that it needs evaluated twice.
-    counted = _histograms(docs).withColumn("_q_ok", (F.col("n_words") >= CLASS_GUARD) & (100 * rare <= MOST_RARE_PERCENT * F.col("word_chars")))
-    ok = lambda x: F.sum(F.when(F.col("_q_ok"), x))
-    sums = [ok(F.col("_q_class")[i]).alias(f"c{i}") for i in range(n_class)] + [ok(F.col("_q_common")[i]).alias(f"w{i}") for i in range(n_common)]
-    by = written(counted.groupBy("lang").agg(*sums).filter("c0 IS NOT NULL"), "quality-references")
+    ordinary = counted.filter((F.col("n_words") >= CLASS_GUARD) & (100 * rare <= MOST_RARE_PERCENT * F.col("word_chars")))
+    sums = [F.sum(F.col("_q_class")[i]).alias(f"c{i}") for i in range(n_class)] + [F.sum(F.col("_q_common")[i]).alias(f"w{i}") for i in range(n_common)]
+    by = written(ordinary.groupBy("lang").agg(*sums), "quality-references")
     every = by.groupBy(F.lit("*").alias("_q_lang")).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_class)], *[F.lit(None).cast("bigint").alias(f"w{i}") for i in range(n_common)])
     both = by.filter("lang IS NOT NULL").withColumnRenamed("lang", "_q_lang").unionByName(every)
     common = F.array(*[F.col(f"w{i}") for i in range(n_common)])
@@ -131,10 +136,11 @@ def _with_next(step: int) -> Callable[[Column], Column]:
     return lambda hashes: F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, lang, ...) with the columns of ``RESULT``."""
+def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (text, lang, ...), or their columns to ``keep``, with the columns of ``RESULT``."""
     clash = [c for c in docs.columns if c in RESULT or c.startswith("_q_")]
     docs = docs.drop(*clash)
+    kept = [c for c in docs.columns if c in keep] if keep is not None else docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     found = _histograms(docs)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -148,14 +154,14 @@ def judge(docs: DataFrame) -> DataFrame:
             "n_repeat_words": let(windows, repeated_words),
         }
     )
-    found = found.drop("_q_words")
+    found = written(found.select(*dict.fromkeys([*kept, "lang"]), "_q_class", "_q_common", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "quality-counts")
     found = found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     found = found.withColumn("_q_key", F.coalesce("lang", F.lit("*")))
-    found = found.join(references(docs), F.col("_q_key") == F.col("_q_lang"), "left")
+    found = found.join(references(found), F.col("_q_key") == F.col("_q_lang"), "left")
     found = found.withColumns({"class_distance": js_distance(F.col("_q_class"), F.col("_q_ref_class")), "word_distance": js_distance(F.col("_q_common"), F.col("_q_ref_common"))})
     limit = F.when(F.col("n_words") >= CLASS_GUARD, MAX_CLASS_DISTANCE + CLASS_NOISE / F.col("n_words"))
     far = ((F.col("n_words") >= CLASS_GUARD) & (F.col("class_distance") > limit)) | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(*docs.columns, *RESULT)
+    return found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(*kept, *RESULT)
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
@@ -167,7 +173,7 @@ def good_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -178,8 +184,7 @@ def _sql() -> str:
     chars = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
     kept = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "mark": r"""[^.,;:!?''"()\[\]/_=+-]+""", "beyond": r"[\x00-\x7F]+"}
     classes = ", ".join(chars(p) for p in kept.values())
-    common = " ".join(f"WHEN '{lang}' THEN list_transform([{', '.join(repr(w) for w in words)}], lambda c: len(list_filter(w, lambda x: x = c)))" for lang, words in COMMON.items())
-    n_class, n_common = len(CLASSES) + 2, 21
+    n_class, n_common = len(CLASSES) + 2, N_COMMON + 1
     ordinary = f"100 * (cls[1] + cls[2] + n_symbols) <= {MOST_RARE_PERCENT} * word_chars"
     sums = ", ".join(f"sum({a}[{i}])::BIGINT" for a, n in (("cls", n_class), ("com", n_common)) for i in range(1, n + 1))
     names = [f"{a}{i}" for a, n in (("c", n_class), ("w", n_common)) for i in range(1, n + 1)]
@@ -195,7 +200,9 @@ def _sql() -> str:
 WITH w0 AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 w1 AS (SELECT *, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {chars(r'[^#*$%&|<>]+')}::BIGINT AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM w0),
-w2 AS (SELECT *, [{classes}, n_symbols] AS cls0, CASE lang {common} END AS com0 FROM w1),
+df AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS nth FROM (SELECT lang, unnest(list_distinct(w)) AS word FROM w0 WHERE lang IS NOT NULL) GROUP BY lang, word),
+common AS (SELECT lang, list(word ORDER BY nth) AS cw FROM df WHERE nth <= {N_COMMON} GROUP BY lang),
+w2 AS (SELECT w1.*, [{classes}, n_symbols] AS cls0, CASE WHEN cw IS NOT NULL THEN list_transform(range(1, {N_COMMON + 1}), lambda i: CASE WHEN i <= len(cw) THEN len(list_filter(w, lambda x: x = cw[i])) ELSE 0 END) END AS com0 FROM w1 LEFT JOIN common ON w1.lang = common.lang),
 h AS (SELECT *, list_append(cls0, greatest(0, word_chars - list_sum(cls0))) AS cls, CASE WHEN com0 IS NOT NULL THEN list_append(com0, n_words - list_sum(com0)) END AS com FROM w2),
 win AS (SELECT rid, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS x FROM w0, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i)),
 twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, x) > 1),

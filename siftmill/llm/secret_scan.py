@@ -118,12 +118,6 @@ def _parts(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_s_key": F.sha2(text, 256), "_s_base": F.when(has, base_spans(text)).otherwise(none), "_s_weak": F.when(has, weak_spans(text)).otherwise(none)})
 
 
-def _written_parts(docs: DataFrame) -> DataFrame:
-    """Parts of the texts that have weak ones: few rows, read twice by the join."""
-    found = _parts(docs.select("text")).filter(F.size("_s_weak") > 0).select("_s_key", "_s_base", "_s_weak")
-    return written(found, "secret-parts")
-
-
 def linked(parts: DataFrame) -> DataFrame:
     """From _s_key, _s_base, _s_weak: per text with any, ``_s_more``, the weak spans to report."""
     alone = parts.filter(F.size("_s_weak") > 0).select("_s_key", F.explode(F.concat("_s_base", "_s_weak")).alias("p")).select("_s_key", "p.*").distinct()
@@ -167,15 +161,15 @@ def scan(docs: DataFrame) -> DataFrame:
     """``docs`` (text, ...) with the columns of ``RESULT``."""
     clash = [c for c in docs.columns if c in RESULT or c.startswith("_s_")]
     docs = docs.drop(*clash)
-    more = linked(_written_parts(docs))
-    return _results(_parts(docs), more).select(*docs.columns, *RESULT)
+    parts = written(_parts(docs), "secret-parts")
+    return _results(parts, linked(parts)).select(*docs.columns, *RESULT)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``MASK``; columns as they were."""
-    more = written(linked(_written_parts(docs)), "secret-links")
-    hold = docs.select(F.struct(*docs.columns).alias("_d_own"), "text")
-    found = _results(_parts(hold), more)
+    rest = [c for c in docs.columns if c != "text"]
+    parts = written(_parts(docs.select(F.struct(*rest).alias("_d_own") if rest else F.lit(0).alias("_d_own"), "text")), "secret-parts")
+    found = _results(parts, written(linked(parts), "secret-links"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
