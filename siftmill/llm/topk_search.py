@@ -4,15 +4,16 @@ Vectors are quantized to integers. With M the largest norm of the data, each dat
 more component sqrt(M^2 - |s|^2) and each query q a zero; then |q - s|^2 = |q|^2 + M^2 - 2 q.s, so
 the largest inner products are the nearest neighbours, and the triangle inequality holds.
 
-1. ``PIVOTS`` data vectors, those with the smallest hash, are pivots; every query and data vector
-   belongs to the cell of its nearest pivot (Lu et al., Efficient Processing of k Nearest Neighbor
+1. As many data vectors as the square root of their number (``PIVOTS`` at least, ``MOST_PIVOTS`` at
+   most), those with the smallest hash, are pivots; every query and data vector belongs to the cell of its nearest pivot (Lu et al., Efficient Processing of k Nearest Neighbor
    Joins using MapReduce, 2012).
 2. A pass summarises the cells: the queries' number and largest distance U_i to their pivot, and the
    k + 1 smallest distances of the data to theirs. They bound the distance from any query of cell i
    to its k-th neighbour besides itself: theta_i, the (k + 1)-th smallest U_i + |p_i p_j| + |p_j s|.
 3. A data vector goes to the queries of cell i only if |s p_i| - U_i <= theta_i. Cells with few
-   queries share a block, those with many are dealt over blocks, and the data over splits, so that a
-   task holds about ``BLOCK`` queries and ``SPLIT`` vectors, whatever cell most rows are in.
+   queries share a block, those with many are dealt over blocks. A pass counts what goes to each block,
+   and it is dealt over as many splits as that takes, so that a task holds about ``BLOCK`` queries and
+   ``SPLIT`` vectors, whatever cell most rows are in, and no query goes to an empty split.
 4. Each task solves its block and split by a matrix product of integers (exact in doubles below
    2^53, else in 64-bit integers) and returns k + 1 rows a query, which are merged.
 
@@ -41,8 +42,9 @@ from siftmill.llm.common import table, written
 K = 5
 QUERY_STEP = 50
 SCALE = 256
-PIVOTS = 32
+PIVOTS, MOST_PIVOTS = 32, 4096
 BLOCK, SPLIT = 512, 8192
+_ROWS = 1024
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -116,11 +118,11 @@ def _merged(part: pd.DataFrame) -> pd.DataFrame:
 def _blocks(count: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """First block and number of blocks of each cell, and the number of all blocks. Cells follow one
     another from nearest to nearest, so that those that share a block are near each other."""
-    first, many, left, block, held = np.zeros(len(count), int), np.ones(len(count), int), set(range(len(count))), 0, 0
+    first, many, left, block, held = np.zeros(len(count), int), np.ones(len(count), int), np.ones(len(count), bool), 0, 0
     now = 0
-    while left:
-        now = min(left, key=lambda j: (((pivots[j] - pivots[now]) ** 2).sum(), j))
-        left.discard(now)
+    while left.any():
+        now = int(np.where(left, ((pivots - pivots[now]) ** 2).sum(axis=1), np.inf).argmin())
+        left[now] = False
         if held and held + count[now] > BLOCK:
             block, held = block + 1, 0
         first[now] = block
@@ -132,28 +134,58 @@ def _blocks(count: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, many, block + 1
 
 
-def _dealer(pivots: np.ndarray, top: float, most: np.ndarray, reach: np.ndarray, count: np.ndarray, splits: int) -> Callable:
-    first, many, n_blocks = _blocks(count, pivots)
-    member = np.zeros((len(pivots), n_blocks), bool)
-    for j in np.flatnonzero(count):
-        member[j, first[j] : first[j] + many[j]] = True
+class _Deal:
+    """Which blocks a data vector goes to, and which one a query."""
 
-    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, pivots: np.ndarray, top: float, most: np.ndarray, reach: np.ndarray, count: np.ndarray):
+        self.pivots, self.top, self.most, self.reach = pivots, top, most, reach
+        self.some = count > 0
+        self.first, self.many, self.n_blocks = _blocks(count, pivots)
+        self.member = np.zeros((len(pivots), self.n_blocks), bool)
+        for j in np.flatnonzero(count):
+            self.member[j, self.first[j] : self.first[j] + self.many[j]] = True
+
+    def data(self, part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ``part`` and the blocks they go to, some rows at a time."""
+        for at in range(0, len(part), _ROWS):
+            own = part.iloc[at : at + _ROWS]
+            d = _distances(_matrix(own["q"], self.pivots.shape[1] - 1), np.sqrt(np.maximum(0, self.top - own["n2"].to_numpy())), self.pivots)
+            row, block = np.nonzero(((d - self.most[None, :] <= self.reach[None, :]) & self.some[None, :]) @ self.member)
+            yield row + at, block
+
+    def queries(self, part: pd.DataFrame, asks: np.ndarray) -> np.ndarray:
+        x = _matrix(part["q"].iloc[asks], self.pivots.shape[1] - 1)
+        cell = _distances(x, np.zeros(len(asks)), self.pivots).argmin(axis=1)
+        return self.first[cell] + (part["salt"].to_numpy()[asks] >> 20) % self.many[cell]
+
+
+def _counter(deal: _Deal) -> Callable:
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(deal.n_blocks, np.int64)
+        for part in parts:
+            for _, block in deal.data(part):
+                found += np.bincount(block, minlength=deal.n_blocks)
+        yield pd.DataFrame({"block": np.arange(deal.n_blocks), "n": found})
+
+    return count
+
+
+def _dealer(deal: _Deal, splits: np.ndarray) -> Callable:
+    base = np.cumsum(splits) - splits
+
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            x = _matrix(part["q"], pivots.shape[1] - 1)
             salt = part["salt"].to_numpy()
-            d = _distances(x, np.sqrt(np.maximum(0, top - part["n2"].to_numpy())), pivots)
-            wanted = (d - most[None, :] <= reach[None, :]) & (count > 0)[None, :]
-            row, block = np.nonzero(wanted @ member)
-            yield part.iloc[row][["vec_id", "q"]].assign(task=block * splits + salt[row] % splits, asks=False)
+            for row, block in deal.data(part):
+                yield part.iloc[row][["vec_id", "q"]].assign(task=base[block] + salt[row] % splits[block], asks=False)
             asks = np.flatnonzero(part["asks"].to_numpy())
             if len(asks):
-                cell = _distances(x[asks], np.zeros(len(asks)), pivots).argmin(axis=1)
-                block = first[cell] + (salt[asks] // splits) % many[cell]
-                row = np.repeat(asks, splits)
-                yield part.iloc[row][["vec_id", "q"]].assign(task=(block[:, None] * splits + np.arange(splits)[None, :]).ravel(), asks=True)
+                block = deal.queries(part, asks)
+                n = splits[block]
+                task = np.repeat(base[block] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield part.iloc[np.repeat(asks, n)][["vec_id", "q"]].assign(task=task, asks=True)
 
-    return deal
+    return dealt
 
 
 def _solver(width: int) -> Callable:
@@ -166,11 +198,10 @@ def _solver(width: int) -> Callable:
         ids, same_q, same_s = data["vec_id"].to_numpy(np.int64), ask["q"].tolist(), data["q"].tolist()
         large = float(abs(q).max(initial=0)) * float(abs(s).max(initial=0)) * width >= 2**53
         q, s = (q, s) if large else (q.astype(np.float64), s.astype(np.float64))
-        rows = []
-        for own, v, name in zip(ask["vec_id"].to_numpy(np.int64), q, same_q):
-            score = s @ v
+        rows, scores = [], q @ s.T
+        floor = np.partition(scores, -K - 1, axis=1)[:, -K - 1] if len(ids) > K + 1 else np.zeros(len(ask))
+        for own, score, least, name in zip(ask["vec_id"].to_numpy(np.int64), scores, floor, same_q):
             if len(score) > K + 1:
-                least = np.partition(score, -K - 1)[-K - 1]
                 over = np.flatnonzero(score > least)
                 take = np.concatenate((over, np.flatnonzero(score == least)[: K + 1 - len(over)]))
             else:
@@ -190,7 +221,7 @@ def top_k(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     n, top, width = held.agg(F.count(F.lit(1)), F.max("n2"), F.max("dim")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chosen = held.orderBy("salt", "vec_id").limit(PIVOTS).select("q", "n2").toPandas()
+    chosen = held.orderBy("salt", "vec_id").limit(int(min(MOST_PIVOTS, max(PIVOTS, n**0.5)))).select("q", "n2").toPandas()
     pivots = np.column_stack((_matrix(chosen["q"], width).astype(np.float64), np.sqrt(np.maximum(0, top - chosen["n2"].to_numpy()))))
 
     kind = "cell int, n long, most double, near array<double>"
@@ -203,8 +234,10 @@ def top_k(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
         if len(bound) > K:
             reach[i] = bound[K] * (1 + 1e-9) + 1e-6
 
-    splits = max(1, -(-n // SPLIT))
-    dealt = held.mapInPandas(_dealer(pivots, top, most, reach, count, splits), "vec_id long, q binary, task long, asks boolean")
+    deal = _Deal(pivots, top, most, reach, count)
+    held_by = {r["block"]: r["n"] for r in held.mapInPandas(_counter(deal), "block int, n long").groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    splits = np.array([max(1, -(-held_by.get(b, 0) // SPLIT)) for b in range(deal.n_blocks)])
+    dealt = held.mapInPandas(_dealer(deal, splits), "vec_id long, q binary, task long, asks boolean")
     found = dealt.groupBy("task").applyInPandas(_solver(width), "query_id long, q binary, vec_id long, score long, own boolean")
 
     query = ["query_id", "q"]

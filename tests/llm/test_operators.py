@@ -655,6 +655,37 @@ def test_languages_of_odd_rows(spark, odd):
     assert found[None]["held_out"]
 
 
+def test_scores_by_a_plain_kernel_regression(spark):
+    """Kernels over sets of n-grams as strings, the landmarks' system solved as it is written."""
+    docs = [d for d in documents(spark, SMALL) if d["text"] and d["lang"] and any(c.isalpha() for c in d["text"])]
+    rows = [(d["text"][:160], d["lang"]) for d in docs][:60]
+    rows = [r for r in rows if any(c.isalpha() for c in r[0])]
+
+    def plain(text):
+        letters = re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in text)).lstrip()
+        return {letters[k : k + n] for n in (1, 2, 3) for k in range(len(letters) - n + 1)}
+
+    sample = language_id.Sample(landmarks=20, ridge=1e-2)
+    model = language_id.fit([t for t, _ in rows], [lang for _, lang in rows], sample)
+    sets = [plain(t) for t, _ in rows]
+    assert all(abs(len(a) - len(language_id.grams(t))) <= 1 for a, (t, _) in zip(sets, rows))
+    kernel = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    marks = sets[: sample.landmarks]
+    among, every = kernel(marks, marks), kernel(sets, marks)
+    wanted = np.array([[1.0 if lang == x else -1.0 for x in model.languages] for _, lang in rows])
+    alpha = np.linalg.lstsq(every.T @ every + sample.ridge * len(rows) * among, every.T @ wanted, rcond=None)[0]
+    found = model.score([language_id.grams(t) for t, _ in rows])
+    assert np.abs(found - every @ alpha).max() < 0.02
+    assert (found.argmax(axis=1) == (every @ alpha).argmax(axis=1)).all()
+
+
+def test_very_long_texts_have_a_language(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog of the house " * 9, "en"), ("le chat et la maison de la ville " * 9, "fr")] * 20)]
+    rows += [(900, "le chat de la maison " * 200_000, None), (901, "1 2 3 " * 100_000, None)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[900] == "fr" and found[901] == "und"
+
+
 def test_kernel_scores_are_sums_over_ngrams():
     texts = ["the cat", "le chat et", "the dog is", "la maison"]
     model = language_id.fit(texts, ["en", "fr", "en", "fr"], language_id.Sample(ridge=1e-6))
