@@ -9,13 +9,14 @@ blocks are selected at even steps from a seeded offset, on top of ``quota div bl
 passes. What a document gives is the part of it that lies in selected blocks, so no word is taken
 more than ``MAX_REPEATS`` times.
 
-Only sums per source and bucket (at most ``BUCKETS`` rows a source) meet in small windows; document
-rows are shuffled once, by source and shard, so a source that holds a third of all rows is spread
-over its shards.
+Only sums per source and bucket (``BUCKETS`` rows a source, more for over ``BUCKETS * ROWS_PER_SHARD``
+rows) meet in small windows, and a row per source in one; document rows are shuffled once, by source
+and shard, so a source that holds a third of all rows is spread over its shards.
 
 Defined cases. Null text: size 0, nothing taken. Null source: a source of its own, after all
 others. Null doc_id: an ordinary row. Repeated rows: each counts and takes for itself. An empty
-table: an empty result. All sizes 0: all targets 0. Further columns of the input are kept; of
+table: an empty result. Rows with a doc_id in common stand in the order of size, then of the text's
+hash, so that reruns agree. All sizes 0: all targets 0. Further columns of the input are kept; of
 columns named like a result column, the result's value stays.
 """
 
@@ -86,8 +87,9 @@ def mix(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target and taken."""
     clash = [c for c in docs.columns if c in RESULT or c.startswith("_m_")]
     key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.drop(*clash).withColumns({"size": n_words_of(F.col("text")), "_m_key": key})
-    sized = sized.withColumn("_m_bucket", F.conv(F.substring("_m_key", 1, 8), 16, 10).cast("long") % BUCKETS)
+    buckets = max(BUCKETS, 1 << (docs.count() // ROWS_PER_SHARD).bit_length())
+    sized = docs.drop(*clash).withColumns({"size": n_words_of(F.col("text")), "_m_key": key, "_m_tie": F.xxhash64("text")})
+    sized = sized.withColumn("_m_bucket", F.conv(F.substring("_m_key", 1, 8), 16, 10).cast("long") % buckets)
 
     sums = written(sized.groupBy("source", "_m_bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mix-sums")
     sources = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows")).select("source", "source_size"))
@@ -96,9 +98,9 @@ def mix(docs: DataFrame) -> DataFrame:
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.sum("source_size").over(every) / LEAST_BLOCKS))).cast("long")
     sources = sources.join(rows, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumns({"block": block, "seats": F.round(F.sum("target").over(every) / block).cast("long")})
     sources = sainte_lague(sources, [], "target", "seats", [F.asc_nulls_last("source")])
-    sources = written(sources.withColumn("shards", F.least(F.lit(BUCKETS), 1 + F.floor(F.col("rows") / ROWS_PER_SHARD)).cast("long")).drop("rows", "seats", "weight").withColumnRenamed("quota", "source_quota"), "mix-sources")
+    sources = written(sources.withColumn("shards", F.least(F.lit(buckets), 1 + F.floor(F.col("rows") / ROWS_PER_SHARD)).cast("long")).drop("rows", "seats", "weight").withColumnRenamed("quota", "source_quota"), "mix-sources")
 
-    shard = F.floor(F.col("_m_bucket") * F.col("_m_shards") / BUCKETS)
+    shard = F.floor(F.col("_m_bucket") * F.col("_m_shards") / buckets)
     by_source = sources.withColumnsRenamed({"source": "_m_source", "shards": "_m_shards", "block": "_m_block"})
     shards = sums.join(by_source, sums["source"].eqNullSafe(by_source["_m_source"])).groupBy("source", shard.alias("shard")).agg(F.sum("words").alias("words"), F.first("source_quota").alias("source_quota"), F.first("_m_block").alias("block"))
     shards = sainte_lague(shards, ["source"], "words", "source_quota", [F.col("shard")])
@@ -110,7 +112,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     dealt = sized.join(by_source.select("_m_source", "source_size", "target", "_m_block", "_m_shards"), sized["source"].eqNullSafe(F.col("_m_source"))).drop("_m_source")
     dealt = dealt.withColumn("_m_shard", shard).drop("_m_shards", "_m_bucket")
-    order = Window.partitionBy("source", "_m_shard").orderBy("_m_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "_m_shard").orderBy("_m_key", "doc_id", "size", "_m_tie").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("_m_end", F.sum("size").over(order))
     dealt = dealt.join(shards, dealt["source"].eqNullSafe(shards["_m_source"]) & (dealt["_m_shard"] == shards["_m_shard_q"]))
 

@@ -445,6 +445,12 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 2 for s in target)
 
 
+def test_rows_of_one_id_are_mixed_alike_in_any_order(spark):
+    rows = [(k // 3, f"word{k} " * 40, "s") for k in range(60)] + [(100, "other " * 30, "t")]
+    draw = lambda order: sorted(map(tuple, mixing.mixed_documents(spark.createDataFrame([rows[k] for k in order], "doc_id long, text string, source string").repartition(3)).collect()))
+    assert draw(range(61)) == draw(reversed(range(61)))
+
+
 def test_targets_stop_at_three_times(spark):
     rows = spark.createDataFrame([("a", 100), ("b", 10), (None, 1), ("c", 0)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
