@@ -26,22 +26,27 @@ def _chars(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the rules keep. Null, empty and short texts go; repeated rows are judged alike; an empty table stays empty."""
     return quality_rules.good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id (null last); of equal rows one. Texts without words are copies of each other."""
     return simhash_dedup.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with reported spans masked; null and empty texts as they are. ``n_chars`` follows the text."""
     return _chars(secret_scan.redacted(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as many times as the mix takes them, none or up to three; texts without words go. Equal rows count each for itself."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece: null or empty texts are one piece of id 0; long texts are cut; an empty table has none."""
     return packing.pack(docs)
 
 
