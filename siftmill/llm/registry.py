@@ -15,6 +15,8 @@ _MODULES = (
     "language_id",
     "warc",
     "secret_scan",
+    "drake_kmeans",
+    "line_dedup",
 )
 
 
