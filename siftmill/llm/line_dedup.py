@@ -11,7 +11,8 @@
    which are then shuffled in vain; results stay the same. Texts are written with their suspected keys.
 3. Suspected keys alone are shuffled, as 128-bit hashes, and counted by distinct doc_id. Those of
    ``LEAST_DOCS`` documents or more lose their lines in all but the largest doc_id. The counts are partial
-   aggregates, so that a key of a third of all documents is one row a task; its join back can be split.
+   aggregates, so that a key of a third of all documents is one row a task; it goes back to its rows by a
+   broadcast, as less than ``MOST_HOT`` keys can be so frequent, while the others are joined.
 4. Documents without suspects are done where they are read; the others meet the keys they lose.
 
 What stays is the last occurrence, as the contract asks; ``keep="first"`` keeps the smallest doc_id.
@@ -42,6 +43,8 @@ LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Of each filter. Two bits a key: at 8 bits a line about 5 % of the other keys are suspected by chance.
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 SEGMENT = 1 << 20
+#: Keys with more than one part in so many of all counts meet their rows by a broadcast.
+MOST_HOT = 1000
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes that continue a code point.
 _LATER = bytes(range(0x80, 0xC0))
@@ -200,7 +203,15 @@ def without_repeated_lines(docs: DataFrame, keep: str = "last") -> DataFrame:
 
     each = held.filter("_l_found IS NOT NULL").select("_l_row", F.col("doc_id").alias("_l_id"), F.explode("_l_found").alias("_l_key"))
     repeats = each.select("_l_key", "_l_id").distinct().groupBy("_l_key").agg(F.count(F.lit(1)).alias("n"), order("_l_id").alias("_l_keeper")).filter(F.col("n") >= LEAST_DOCS)
-    drops = each.join(repeats.drop("n"), "_l_key").filter(~F.col("_l_id").eqNullSafe(F.col("_l_keeper"))).groupBy("_l_row").agg(F.collect_list("_l_key").alias("_l_drops"))
+    repeats = written(repeats, "repeated-lines")
+    # Keys of over a thousandth of all counts are less than a thousand, so they can go to every task;
+    # the others' rows make no task large.
+    total = repeats.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * MOST_HOT > total
+    marked = each.join(F.broadcast(repeats.filter(hot).drop("n")), "_l_key", "left")
+    cold = marked.filter("_l_keeper IS NULL").drop("_l_keeper").join(repeats.filter(~hot).drop("n"), "_l_key")
+    lost = marked.filter("_l_keeper IS NOT NULL").unionByName(cold).filter(~F.col("_l_id").eqNullSafe(F.col("_l_keeper")))
+    drops = lost.groupBy("_l_row").agg(F.collect_list("_l_key").alias("_l_drops"))
 
     met = held.filter("_l_found IS NOT NULL").join(drops, "_l_row", "left")
     met = met.withColumn("_l_new", _left(F.when(F.col("_l_drops").isNotNull(), F.col("text").cast("binary")), "_l_drops"))
