@@ -9,14 +9,14 @@ kernel with a landmark is a sum over n-grams, landmarks and coefficients fold in
 n-gram and language, and a batch of texts is scored by one matrix product.
 
 Training uses a bounded sample of labelled rows, the parameters of ``Sample``; every document is
-scored by its whole text. The model (at most ``BUCKETS`` weights a language) is broadcast.
+scored by its whole text. The model (at most ``Sample.weights`` weights) is broadcast.
 
 Rows whose CRC-32 of the doc_id as text leaves remainder 0 by 5 are held out of training.
 
 Defined cases. Null text or one without letters: ``und``, score 0. Null doc_id: taken as the empty
 text, so held out. Null lang: not learned from. No labelled rows: all ``und``. One language: all
-texts with letters are of it. Repeated rows: each is scored alike. Very long texts: all characters
-count, in memory of some 30 bytes a character. An empty table: an empty result. Further columns are
+texts with letters are of it. Ties between languages: the first in the order of code points. Repeated
+rows: each is scored alike. Very long texts: all characters count, in memory of some 30 bytes a character. An empty table: an empty result. Further columns are
 kept; of columns named like a result column, the result's value stays.
 """
 
@@ -42,14 +42,16 @@ RESULT = ("held_out", "lang_pred", "score")
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the training sample: rows a language and in all, and characters of a row; rows
-    are those with the smallest hash. The first ``landmarks`` rows, languages in turn, are landmarks."""
+    """Bounds of the training sample: rows and characters a language, and rows in all. Rows are those with
+    the smallest hash, whole, of any length: a language's rows end with the one that reaches
+    ``chars_a_language``. The first ``landmarks`` rows, languages in turn, are landmarks, or as many
+    of them as keep the model within ``weights``."""
 
     rows_a_language: int = 400
+    chars_a_language: int = 1_000_000
     rows: int = 4000
-    least_chars: int = 1
-    most_chars: int = 20_000
     landmarks: int = 128
+    weights: int = 1 << 25
     ridge: float = 1e-3
 
 
@@ -105,6 +107,9 @@ def fit(texts: list[str], langs: list[str], sample: Sample) -> Model | None:
     languages = sorted({lang for _, lang in rows})
     marks = [s for s, _ in rows[: sample.landmarks]]
     known = np.unique(np.concatenate(marks))
+    while len(known) * len(languages) > sample.weights and len(marks) > 1:
+        marks = marks[: len(marks) // 2]
+        known = np.unique(np.concatenate(marks))
     column = np.full(BUCKETS, -1, np.int32)
     column[known] = np.arange(len(known))
     bits = np.zeros((len(known), len(marks)), np.float64)
@@ -126,16 +131,17 @@ def fit(texts: list[str], langs: list[str], sample: Sample) -> Model | None:
 
 
 def train(docs: DataFrame, sample: Sample = Sample()) -> Model | None:
-    """Learn from ``doc_id, text, lang`` of rows that aren't held out."""
-    length = F.length("text")
-    able = docs.select("doc_id", "text", "lang").filter(~_held_out() & F.col("lang").isNotNull() & length.between(sample.least_chars, sample.most_chars) & F.col("text").rlike(r"\p{L}"))
+    """Learn from ``doc_id, text, lang`` of rows that aren't held out and have a letter."""
+    able = docs.select("doc_id", "text", "lang").filter(~_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # Few more rows than wanted pass a threshold on the hash, so that the largest language's rows
-    # don't meet in one task; the smallest hashes of those are taken.
-    counts = written(docs.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_of")), "languages")
+    # don't meet in one task; the smallest hashes of those are taken. Only rows that can be taken count.
+    counts = written(able.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_of")), "languages")
     share = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
     some = able.withColumn("_at", share).join(counts, F.col("lang") == F.col("_lang")).filter(F.col("_at") * F.col("_of") <= 3 * sample.rows_a_language)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_at"))
-    rows = some.withColumn("nth", nth).filter(F.col("nth") <= sample.rows_a_language).orderBy("nth", "lang").limit(sample.rows).select("text", "lang").collect()
+    order = Window.partitionBy("lang").orderBy("_at", "doc_id")
+    upto = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = some.withColumns({"nth": F.row_number().over(order), "_upto": upto}).filter((F.col("nth") <= sample.rows_a_language) & (F.col("_upto") < sample.chars_a_language))
+    rows = taken.orderBy("nth", "lang").limit(sample.rows).select("text", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], sample)
 
 

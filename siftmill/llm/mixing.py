@@ -15,9 +15,10 @@ and shard, so a source that holds a third of all rows is spread over its shards.
 
 Defined cases. Null text: size 0, nothing taken. Null source: a source of its own, after all
 others. Null doc_id: an ordinary row. Repeated rows: each counts and takes for itself. An empty
-table: an empty result. Rows with a doc_id in common stand in the order of size, then of the text's
-hash, so that reruns agree. All sizes 0: all targets 0. Further columns of the input are kept; of
-columns named like a result column, the result's value stays.
+table: an empty result. Rows stand in the order of a hash of doc_id and text, so that reruns agree and
+rows without doc_id, or with one in common, are spread; only rows equal in both stand together, in one
+shard. Very long texts: whole, by their number of words. All sizes 0: all targets 0. Further columns of
+the input are kept; of columns named like a result column, the result's value stays.
 """
 
 from __future__ import annotations
@@ -85,10 +86,16 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target and taken."""
+    return _dealt(docs).drop("_m_copies")
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """``mix`` with ``_m_copies``: how many whole copies of a document stand for what is taken of it."""
     clash = [c for c in docs.columns if c in RESULT or c.startswith("_m_")]
-    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # By the text too, so that rows without doc_id, or with one in common, are spread like any others.
+    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
     buckets = max(BUCKETS, 1 << (docs.count() // ROWS_PER_SHARD).bit_length())
-    sized = docs.drop(*clash).withColumns({"size": n_words_of(F.col("text")), "_m_key": key, "_m_tie": F.xxhash64("text")})
+    sized = docs.drop(*clash).withColumns({"size": n_words_of(F.col("text")), "_m_key": key})
     sized = sized.withColumn("_m_bucket", F.conv(F.substring("_m_key", 1, 8), 16, 10).cast("long") % buckets)
 
     sums = written(sized.groupBy("source", "_m_bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mix-sums")
@@ -112,9 +119,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
     dealt = sized.join(by_source.select("_m_source", "source_size", "target", "_m_block", "_m_shards"), sized["source"].eqNullSafe(F.col("_m_source"))).drop("_m_source")
     dealt = dealt.withColumn("_m_shard", shard).drop("_m_shards", "_m_bucket")
-    order = Window.partitionBy("source", "_m_shard").orderBy("_m_key", "doc_id", "size", "_m_tie").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = dealt.withColumn("_m_end", F.sum("size").over(order))
     dealt = dealt.join(shards, dealt["source"].eqNullSafe(shards["_m_source"]) & (dealt["_m_shard"] == shards["_m_shard_q"]))
+    order = Window.partitionBy("source", "_m_shard").orderBy("_m_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("_m_end", F.sum("size").over(order))
 
     def picked(word: Column) -> Column:
         """Words in extra blocks before this word of the shard."""
@@ -124,19 +131,23 @@ def mix(docs: DataFrame) -> DataFrame:
 
     extra = picked(F.col("_m_end")) - picked(F.col("_m_end") - F.col("size"))
     taken = F.when(F.col("size") == 0, 0).otherwise(F.col("_m_passes") * F.col("size") + extra).cast("long")
-    return dealt.withColumn("taken", taken).select(*[c for c in docs.columns if c not in clash], *RESULT)
+    dealt = dealt.withColumn("taken", taken)
+    # Parts of documents are added up along the shard, and each whole that is reached is a copy: equal rows
+    # are not rounded alike, and a shard has as many copies as its parts make, up to one.
+    part = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
+    start = (F.col("_m_offset") % 997) / F.lit(997.0)
+    upto = F.sum(part).over(order) + start
+    dealt = dealt.withColumn("_m_copies", (F.floor(upto + 1e-9) - F.floor(upto - part + 1e-9)).cast("int"))
+    return dealt.select(*[c for c in docs.columns if c not in clash], *RESULT, "_m_copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each row of ``docs`` as many times as ``taken`` holds it, rounded with
-    a seeded draw for the part of a document, so that each source's words come near its target.
-    Columns are those of ``docs``."""
+    """The mix as documents: each row of ``docs`` as many times as ``taken`` holds it, with the parts of
+    documents rounded so that each source's words come near its target. Columns are those of ``docs``."""
     clash = [c for c in docs.columns if c in RESULT]
     kept = docs.withColumn("_d_own", F.struct(*clash)) if clash else docs
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "!"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10) / F.lit(2.0**32)
-    copies = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
-    found = mix(kept).withColumn("_d_copies", F.when(F.col("size") > 0, copies).otherwise(0)).filter(F.col("_d_copies") > 0)
-    found = found.withColumn("_d_copy", F.explode(F.sequence(F.lit(1), F.col("_d_copies"))))
+    found = _dealt(kept).filter((F.col("size") > 0) & (F.col("_m_copies") > 0))
+    found = found.withColumn("_d_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies"))))
     return found.select(*[F.col("_d_own")[c].alias(c) if c in clash else F.col(c) for c in docs.columns])
 
 
@@ -148,7 +159,7 @@ QUERY = ("op6_mixing", op6_mixing)
 
 SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+  SELECT doc_id, source, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || '#' || md5(coalesce(text, ''))) AS h,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 bucketed AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % {BUCKETS} AS bucket FROM sized),

@@ -191,17 +191,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERY = ("op10_secret_scan", op10_secret_scan)
 
 
-#: The SQL stays as it was given: keys in which a digit comes early. It is equal where there are no others.
-_SQL_WEAK = WEAK | {"weak_secret": r"[A-Za-z+/]{0,64}[0-9][A-Za-z0-9+/]{7,}={0,2}"}
-
-
 def _sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     arms = []
     for kind, (pattern, group, least) in BASE.items():
         arms.append((kind, pattern, f"length(regexp_extract_all(t, {quote(pattern)}, {group})[i]) >= {least}"))
-    for kind, pattern in _SQL_WEAK.items():
-        arms.append((kind, pattern, f"regexp_matches(m, '[A-Za-z]') AND length(m) >= {LEAST_SECRET}" if kind == "weak_secret" else "true"))
+    for kind, pattern in WEAK.items():
+        arms.append((kind, pattern, f"regexp_matches(m, {quote(MIXED)})" if kind == "weak_secret" else "true"))
     each = " UNION ALL ".join(
         f"SELECT rid, {KINDS.index(kind)} AS kind, {holds} AS holds, length(m) AS n, sum(length(b) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS e FROM (SELECT rid, t, i, string_split_regex(t, {quote(pattern)})[i] AS b, regexp_extract_all(t, {quote(pattern)})[i] AS m FROM d, unnest(range(1, len(regexp_extract_all(t, {quote(pattern)})) + 1)) AS u(i))"
         for kind, pattern, holds in arms

@@ -115,23 +115,41 @@ def _merged(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell": part["cell"].iloc[:1], "n": [part["n"].sum()], "most": [part["most"].max()], "near": [near.tolist()]})
 
 
-def _blocks(count: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """First block and number of blocks of each cell, and the number of all blocks. Cells follow one
-    another from nearest to nearest, so that those that share a block are near each other."""
+def _reach(pivots: np.ndarray, most: np.ndarray, near: list) -> np.ndarray:
+    """For each cell the (K + 1)-th smallest bound of a distance from its queries: some cells at a time, so
+    that memory is that of ``_ROWS`` x pivots at most."""
+    nearest = np.full((len(pivots), K + 1), np.inf)
+    for j, own in enumerate(near):
+        nearest[j, : len(own)] = own
+    square, reach = (pivots**2).sum(axis=1), np.empty(len(pivots))
+    step = max(1, _ROWS // (K + 1))
+    for at in range(0, len(pivots), step):
+        own = slice(at, at + step)
+        between = np.sqrt(np.maximum(square[own, None] + square[None, :] - 2 * pivots[own] @ pivots.T, 0))
+        bound = (between[:, :, None] + nearest[None, :, :]).reshape(len(between), -1)
+        reach[own] = most[own] + np.partition(bound, K, axis=1)[:, K]
+    return reach * (1 + 1e-9) + 1e-6
+
+
+def _blocks(count: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """First block and number of blocks of each cell, the cells in the order of their blocks, and the number of
+    all blocks. Cells follow one another from nearest to nearest, so that those that share a block are near each other."""
     first, many, left, block, held = np.zeros(len(count), int), np.ones(len(count), int), np.ones(len(count), bool), 0, 0
-    now = 0
+    now, order = 0, []
     while left.any():
         now = int(np.where(left, ((pivots - pivots[now]) ** 2).sum(axis=1), np.inf).argmin())
         left[now] = False
-        if held and held + count[now] > BLOCK:
+        # Cells without queries may share a block, but not with a cell that has several.
+        if order and first[order[-1]] == block and held + count[now] > BLOCK:
             block, held = block + 1, 0
+        order.append(now)
         first[now] = block
         if count[now] > BLOCK:
             many[now] = -(-count[now] // BLOCK)
             block, held = block + many[now], 0
         else:
             held += count[now]
-    return first, many, block + 1
+    return first, many, np.array(order), int((first + many).max())
 
 
 class _Deal:
@@ -140,17 +158,17 @@ class _Deal:
     def __init__(self, pivots: np.ndarray, top: float, most: np.ndarray, reach: np.ndarray, count: np.ndarray):
         self.pivots, self.top, self.most, self.reach = pivots, top, most, reach
         self.some = count > 0
-        self.first, self.many, self.n_blocks = _blocks(count, pivots)
-        self.member = np.zeros((len(pivots), self.n_blocks), bool)
-        for j in np.flatnonzero(count):
-            self.member[j, self.first[j] : self.first[j] + self.many[j]] = True
+        self.first, self.many, self.order, self.n_blocks = _blocks(count, pivots)
+        # A block is a run of cells in this order, or one of several of a single cell.
+        self.starts = np.searchsorted((self.first + self.many)[self.order], np.arange(self.n_blocks), "right")
 
     def data(self, part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of ``part`` and the blocks they go to, some rows at a time."""
         for at in range(0, len(part), _ROWS):
             own = part.iloc[at : at + _ROWS]
             d = _distances(_matrix(own["q"], self.pivots.shape[1] - 1), np.sqrt(np.maximum(0, self.top - own["n2"].to_numpy())), self.pivots)
-            row, block = np.nonzero(((d - self.most[None, :] <= self.reach[None, :]) & self.some[None, :]) @ self.member)
+            met = ((d - self.most[None, :] <= self.reach[None, :]) & self.some[None, :])[:, self.order]
+            row, block = np.nonzero(np.logical_or.reduceat(met, self.starts, axis=1))
             yield row + at, block
 
     def queries(self, part: pd.DataFrame, asks: np.ndarray) -> np.ndarray:
@@ -227,13 +245,7 @@ def top_k(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     kind = "cell int, n long, most double, near array<double>"
     cells = held.mapInPandas(_summary(pivots, top, step), kind).groupBy("cell").applyInPandas(_merged, kind).toPandas().sort_values("cell")
     count, most = cells["n"].to_numpy(), cells["most"].to_numpy()
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    reach = np.full(len(pivots), np.inf)
-    for i in range(len(pivots)):
-        bound = np.sort(np.concatenate([most[i] + between[i, j] + np.asarray(near, float) for j, near in enumerate(cells["near"])]))
-        if len(bound) > K:
-            reach[i] = bound[K] * (1 + 1e-9) + 1e-6
-
+    reach = _reach(pivots, most, list(cells["near"]))
     deal = _Deal(pivots, top, most, reach, count)
     held_by = {r["block"]: r["n"] for r in held.mapInPandas(_counter(deal), "block int, n long").groupBy("block").agg(F.sum("n").alias("n")).collect()}
     splits = np.array([max(1, -(-held_by.get(b, 0) // SPLIT)) for b in range(deal.n_blocks)])

@@ -715,3 +715,90 @@ def test_general_operators_keep_further_columns(spark, odd):
         assert {r["shards"] for r in found.collect()} == {"own"}
     pages = spark.read.parquet(f"{odd}/full/pages.parquet")
     assert html_extract.extract(pages).columns == ["page_id", "url", "html", "host", "path", "archive", "text", "n_chars"]
+
+
+# What grows with the data, and what is learnt from
+
+
+def test_reach_and_blocks_of_many_pivots():
+    """At 4096 pivots the bounds take some tens of MB, and are those of all pairs; blocks meet every cell."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    pivots, most = rng.normal(size=(4096, 65)), rng.random(4096)
+    near = [np.sort(rng.random(rng.integers(0, 7))).tolist() for _ in pivots]
+    tracemalloc.start()
+    reach = topk_search._reach(pivots, most, near)
+    assert tracemalloc.get_traced_memory()[1] < 4096 * 4096 * 8
+    tracemalloc.stop()
+    for i in rng.integers(0, 4096, 20):
+        bound = np.sort(np.concatenate([np.asarray(own) + np.linalg.norm(pivots[i] - p) for own, p in zip(near, pivots)]))
+        assert abs(reach[i] - (most[i] + bound[topk_search.K])) < 1e-4
+    count = rng.choice([0, 0, 1, 40, 300, 600, 5000], 200)
+    deal = topk_search._Deal(pivots[:200], 1.0, most[:200], reach[:200], count)
+    cells = np.eye(200, dtype=bool)[:, deal.order]
+    met = np.logical_or.reduceat(cells, deal.starts, axis=1)
+    for j in np.flatnonzero(count):
+        assert np.flatnonzero(met[j]).tolist() == list(range(deal.first[j], deal.first[j] + deal.many[j]))
+
+
+def test_rows_without_ids_keep_their_sources(spark):
+    """Rows without doc_id, of few texts: no source is lost, and each comes near its target."""
+    rows = [(None, f"w{k % 3} " * (5 if s == "a" else 7), s) for s in "ab" for k in range(900)] + [(4, "same words in every row", "c")] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    words = {r["source"]: r["n"] for r in mixing.mixed_documents(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert all(abs(words[s] - t) <= 0.02 * t + 30 for s, t in target.items())
+    copies = collections.Counter(tuple(r) for r in mixing.mixed_documents(docs).collect())
+    assert max(copies[tuple(r)] / n for r, n in collections.Counter(rows).items()) <= 3
+
+
+def test_languages_of_long_texts_and_of_few_rows_are_learnt(spark):
+    """Counts are of rows that can be learnt from: a language of very long texts, and one among many others' rows."""
+    words = {"xx": "kala talo vesi puu ", "yy": "drom kvas plint grz ", "zz": "ooma iilu aape uuno "}
+    rows = [(k, words["xx"] * 8000, "xx") for k in range(12)] + [(100 + k, words["yy"] * 3, "yy") for k in range(3000)] + [(9000 + k, words["zz"] * 3, "zz") for k in range(20)]
+    rows += [(20_000 + k, "12 34", "zz") for k in range(3000)] + [(30_000, words["xx"] * 3, None), (30_001, words["zz"], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.Sample(rows_a_language=10)).collect()}
+    assert found[30_000] == "xx" and found[30_001] == "zz" and found[100] == "yy"
+
+
+def test_held_out_rows_teach_nothing(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    other = docs.withColumn("lang", F.when(held, "other").otherwise(F.col("lang"))).unionByName(docs.filter(held).withColumn("lang", F.lit("more")))
+    told = lambda d: {(r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in language_id.identify(d).collect()}
+    assert told(docs) == told(other)
+
+
+def test_large_models_take_fewer_landmarks():
+    texts = [f"{a}{b}{c} {b}{c}{a}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    model = language_id.fit(texts, [f"l{k % 40}" for k in range(len(texts))], language_id.Sample(weights=2000))
+    assert model.weights.size <= 2000 and len(model.languages) == 40
+
+
+def plain_secret_spans(text):
+    """All matches by regular expressions over code points, and each weak one beside all parts."""
+    found = []
+    for kind, (pattern, group, least) in secret_scan.BASE.items():
+        found += [(m.start(), secret_scan.KINDS.index(kind), m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    for kind, pattern in secret_scan.WEAK.items():
+        found += [(m.start(), secret_scan.KINDS.index(kind), m.end()) for m in re.finditer(pattern, text) if kind != "weak_secret" or re.search(secret_scan.MIXED, m.group())]
+    told = []
+    for s, kind, e in found:
+        beside = {k for a, k, b in found if a < e + secret_scan.SCOPE and b > s - secret_scan.SCOPE and not (a < e and b > s)}
+        covered = any(k < 3 and a < e and b > s for a, k, b in found)
+        one, two, three = bool(beside & {1, 3}), bool(beside & {0, 2, 4}), bool(beside & {5})
+        if kind < 3 or (not covered and (two, one or three, one and two)[kind - 3]):
+            told.append((s, kind, e))
+    return ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(told))
+
+
+def test_whole_texts_with_all_kinds_of_secrets(spark):
+    rng = np.random.default_rng(6)
+    parts = ["user = bob1", "client_id: 'x-y.z'", "ASIAABCDEFGH1234", "AKIA" + "Q7" * 9, "ZmFrZUtleTEyMzQ1Njc4OTA=", "Ab-Cd_Ef-Gh_Ij-Kl_Mn-9", "https://db.example.org:5432", "10.0.0.1:80", "password = hunter22", 'api_key: "abc"', "0123456789abcdef01234567", "É" * 20, "word", "\n", "x" * 180, "a very plain sentence of words"]
+    texts = ["  ".join(rng.choice(parts, 40)) for _ in range(150)] + [" ".join(rng.choice(parts, 6000)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    expected = {k: plain_secret_spans(t) for k, t in enumerate(texts)}
+    assert found == expected and sum("weak" in s for s in expected.values()) > 100
