@@ -2,11 +2,13 @@
 
 Parsing. A tolerant scanner walks tags in page order with a stack of open elements (void elements,
 implied ends of p, li and the like, raw text of scripts and styles), in linear time at any depth.
-Elements whose tag says that they are no text (nav, footer, aside, buttons, menus) are skipped. Roles,
-whole class names and ids that say so, forms and hidden elements only mark a branch: a marked branch goes
+Elements whose tag says that they are no text (nav, footer, aside, buttons, menus) are skipped. Branches
+that a class name or id calls reader comments, teasers or adverts go whatever their size and whatever they
+hold, articles among it; an article element does where its own name begins with such a word. Roles,
+other class names and ids of presentation, forms and hidden elements only mark a branch: it goes
 if there is text in an article or main element beside it (in the page or a marked branch around it);
-else if it holds no such text and is small, less than half of the page's text or mostly links. No mark is taken from a word
-within another name (``has-sidebar``, ``no-ads``), and none on an article or main element itself.
+else if it holds no such text and is small, less than half of the page's text or mostly links. A name that
+says that there is none, or only that there is some, marks nothing (``no-ads``, ``has-sidebar``, ``comments-open``).
 
 Style tree (Yi, Liu and Li, Eliminating Noisy Information in Web Pages for Data Mining, 2003). The
 trees of all pages of a host are merged by paths of tag and class; pages that show the same on the
@@ -17,11 +19,12 @@ importance = (1 - g^l) presentation + g^l content. Branches under ``LEAST_IMPORT
 from each page. What a single page has cannot be compared: its importance is 1. Branches are the
 element of a block of text and ``HEIGHT`` levels above it, so a page's rows are in proportion to its
 blocks; a higher branch is judged by its parts.
-An article or main element, and plain paragraphs, headings and lists within, are not removed: a
-paragraph that many articles share is still text. A page that nothing would be left of stays whole.
+An article or main element, and within it headings, items and cells, and paragraphs and lists without a class name
+of their own, are not removed: a paragraph that many articles share is still text. A page that nothing would
+be left of stays whole.
 
-If some text is within article (else main) elements, only that is taken, else all that is left of
-the body. Counts per host, path and feature are partial aggregates, so a host with a third of all
+If some text is within article (else main) elements and is not for the most part links, as a list of
+cards is, only that is taken, else all that is left of the body. Counts per host, path and feature are partial aggregates, so a host with a third of all
 pages is no hot group. Removed paths are joined as rows with the paths that pages' texts depend on,
 and each page then gets its own, never all those of its host.
 
@@ -77,34 +80,50 @@ MARKED_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended comments comment commentlist respond reply "
     "disqus footer widget masthead toolbar pagination pager copyright disclaimer login search".split()
 )
-LAYOUT_NAMES = frozenset("site page global top bottom left right box area list wrapper wrap container bar section block links form".split())
+LAYOUT_NAMES = frozenset(
+    "site page global top bottom left right box area list wrapper wrap container bar section block links form "
+    "button buttons item items post posts content inner outer thread slot unit row col column title".split()
+)
+#: Names of which one such word is enough, unless another one says that it is not what is in there.
+STRONG_NAMES = frozenset("comment comments commentlist commentform disqus respond teaser teasers ad ads adbox advert adverts advertisement advertisements advertising sponsor sponsors sponsored".split())
+UNLESS_NAMES = frozenset("no not has with without is open closed enabled disabled allow allowed count off on free category tag cat type format meta".split())
+#: Elements of an article that the style tree judges where they have a class name.
+JUDGED = frozenset("p ul ol dl pre blockquote figure table".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*+(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W\d_]+")
 _MOST_TAGS = 20_000
-_told: dict[tuple[str, str], tuple[str, bool]] = {}
+_told: dict[tuple[str, str], tuple[str, int]] = {}
 
 
-def marked_name(name: str) -> bool:
-    """Whether a class name or id is one of presentation."""
+def marked_name(name: str, article: bool = False) -> int:
+    """Whether a class name or id is one of presentation: 2 if its branch goes in any case, 1 if it marks
+    it, else 0. Of an article element only names that begin so."""
     words = [w.lower() for w in _NAME.findall(name)]
-    return any(w in MARKED_NAMES for w in words) and all(w in MARKED_NAMES or w in LAYOUT_NAMES or w.isdigit() for w in words)
+    if not words or not UNLESS_NAMES.isdisjoint(words):
+        return 0
+    if words[0] in STRONG_NAMES or not (article or STRONG_NAMES.isdisjoint(words)):
+        return 2
+    return int(any(w in MARKED_NAMES for w in words) and all(w in MARKED_NAMES or w in LAYOUT_NAMES or w.isdigit() for w in words))
 
 
-def _tell(tag: str, rest: str) -> tuple[str, bool]:
-    """Label of an element in paths, and whether it marks a branch as presentation."""
+def _tell(tag: str, rest: str) -> tuple[str, int]:
+    """Label of an element in paths, and whether it marks a branch as presentation, as of ``marked_name``."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
     names = found.get("class", "").split()
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    marked = tag in MARKED_TAGS or found.get("role", "").lower() in MARKED_ROLES or hidden or any(map(marked_name, [*names, found.get("id", "")]))
-    return f"{tag}.{' '.join(names)}" if names else tag, marked and tag not in ("html", "body", "article", "main")
+    named = max((marked_name(n, tag == "article") for n in [*names, found.get("id", "")]), default=0)
+    marked = max(named, int(tag in MARKED_TAGS or found.get("role", "").lower() in MARKED_ROLES or hidden))
+    if tag in ("html", "body", "main") or (tag == "article" and marked < 2):
+        marked = 0
+    return f"{tag}.{' '.join(names)}" if names else tag, marked
 
 
-def _label(tag: str, rest: str) -> tuple[str, bool]:
+def _label(tag: str, rest: str) -> tuple[str, int]:
     if not rest or rest.isspace():
-        return tag, tag in MARKED_TAGS
+        return tag, int(tag in MARKED_TAGS)
     if (tag, rest) not in _told:
         if len(_told) > _MOST_TAGS:
             _told.clear()
@@ -132,25 +151,30 @@ class Element(NamedTuple):
 
 class Page:
     """What a page shows: ``blocks`` of (text, paths of the open elements, in article, in main, paths
-    that may be removed), and ``styles``, the child sequences by path."""
+    that may be removed, characters within links), and ``styles``, the child sequences by path."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], bool, bool, tuple[int, ...], int]] = []
         self.styles: dict[int, set[int]] = {0: set()}
         marks: list[int] = []  # of each block, the innermost marked branch it is in, or -1
-        links: list[int] = []  # of each block, its characters within links
         around: list[int] = []  # of each marked branch, the next one around it
-        self._scan(html or "", marks, links, around)
+        strong: list[bool] = []  # of each marked branch, whether it goes in any case
+        self._scan(html or "", marks, around, strong)
         if around:
-            self._drop_marked(marks, links, around)
+            self._drop_marked(marks, around, strong)
 
-    def _drop_marked(self, marks: list[int], links: list[int], around: list[int]) -> None:
+    def _drop_marked(self, marks: list[int], around: list[int], strong: list[bool]) -> None:
         """Leave out marked branches, as the module's docstring says."""
         n = len(around)
+        for m, outer in enumerate(around):  # inner branches come later
+            strong[m] = strong[m] or (outer >= 0 and strong[outer])
+        if any(strong) and any(m < 0 or not strong[m] for m in marks):
+            left = [k for k, m in enumerate(marks) if m < 0 or not strong[m]]
+            self.blocks, marks = [self.blocks[k] for k in left], [marks[k] for k in left]
         size, linked, holds, own = [0] * (n + 1), [0] * (n + 1), [False] * (n + 1), [False] * (n + 1)
-        for block, mark, link in zip(self.blocks, marks, links):
+        for block, mark in zip(self.blocks, marks):
             size[mark] += len(block[0])
-            linked[mark] += link
+            linked[mark] += block[5]
             own[mark] |= block[2] or block[3]
         holds[:] = own
         for m in range(n - 1, -1, -1):  # numbers of inner branches are higher; the last entry is the page's
@@ -164,7 +188,7 @@ class Page:
             gone[m] = gone[outer] or beside[m] or (small and not holds[m])
         self.blocks = [b for b, m in zip(self.blocks, marks) if not gone[m]]
 
-    def _scan(self, html: str, marks: list[int], links: list[int], around: list[int]) -> None:
+    def _scan(self, html: str, marks: list[int], around: list[int], strong: list[bool]) -> None:
         stack = [Element("", 0, [], 0, (0,), (), False, False, False, False, -1)]
         places: dict[str, list[int]] = {}  # of each tag, where it is open on the stack
         text: list[str] = []
@@ -177,9 +201,8 @@ class Page:
                 text.clear()
                 if whole:
                     top = stack[stack[-1].base]
-                    self.blocks.append((whole, top.paths, top.article, top.main, top.removable))
+                    self.blocks.append((whole, top.paths, top.article, top.main, top.removable, min(linked, len(whole))))
                     marks.append(stack[-1].mark)
-                    links.append(linked)
             linked = 0
 
         def close(depth: int) -> None:
@@ -246,10 +269,11 @@ class Page:
             mark = top.mark
             places.setdefault(tag, []).append(len(stack))
             if inline:  # a marked one loses its own text; blocks within are judged by themselves
-                stack.append(top._replace(tag=tag, skipped=top.skipped or marked, link=top.link or tag == "a"))
+                stack.append(top._replace(tag=tag, skipped=top.skipped or marked > 0, link=top.link or tag == "a"))
                 continue
             if marked:
                 around.append(mark)
+                strong.append(marked == 2)
                 mark = len(around) - 1
             if not top.children or top.children[-1] != label:
                 top.children.append(label)
@@ -258,7 +282,7 @@ class Page:
             removable = top.removable
             if tag in ("article", "main"):
                 removable = ()
-            elif not (tag in PLAIN and (inside or within)):
+            elif not (tag in PLAIN and (inside or within) and (label == tag or tag not in JUDGED)):
                 removable = (*removable[-HEIGHT:], path)
             stack.append(Element(tag, path, [], len(stack), (*top.paths[-HEIGHT:], path), removable, stack[top.base].skipped or skip, inside, within, top.link, mark))
         flush()
@@ -271,16 +295,20 @@ class Page:
         for within in (2, 3):
             own = [b for b in self.blocks if b[within]]
             paths.update(path for b in own for path in b[4])
-            if any(not b[4] for b in own):
+            if any(not b[4] for b in own) and not _mostly_links([b for b in own if not b[4]]):
                 return paths
         return paths.union(*(b[4] for b in self.blocks))
 
     def text(self, removed: frozenset[int] = frozenset()) -> str:
         left = [b for b in self.blocks if removed.isdisjoint(b[4])] or self.blocks if removed else self.blocks
-        inner = [b for b in left if b[2]] or [b for b in left if b[3]] or left
+        inner = next((x for x in ([b for b in left if b[2]], [b for b in left if b[3]]) if x and not _mostly_links(x)), left)
         return "\n\n".join(b[0] for b in inner)
 
 
+def _mostly_links(blocks: list) -> bool:
+    return 2 * sum(b[5] for b in blocks) > sum(len(b[0]) for b in blocks)
+
+
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each path of a page: a hash of its child sequences (kind 0), hashes of its blocks (1), with
     ``page`` a hash of all these; and the paths that its text depends on (2)."""

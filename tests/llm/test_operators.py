@@ -255,6 +255,43 @@ def test_marked_branches_go_beside_an_article(branch):
     assert html_extract.Page(html).text() == "Text\n\nmore"
 
 
+LONG_COMMENTS = "".join(f"<p>reader number {k} says at some length that it is not so</p>" for k in range(80))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div class='post'>{main}</div><div class='comments'><article class='comment'><p>No!</p></article></div>",
+        "<div class='post'>{main}</div><div class='comments'>{long}</div>",
+        "<div>{main}</div><section class='user-comments-list'>{long}</section>",
+        "<article>{main}<div class='ad-slot-1'>buy</div></article>",
+        "<article>{main}<div class='sponsored-content'><p>buy more</p></div></article>",
+        "<article>{main}<div id='disqus_thread'>{long}</div></article>",
+        "<article>{main}<section class='user-comments-list'>{long}</section></article>",
+        "<article>{main}</article><article class='teaser'><p>Read this as well</p></article>",
+        "<main><div>{main}</div><article class='comment even'><p>No!</p></article></main>",
+        "<article class='post comments-open category-ads tag-promo'>{main}</article><div class='related-posts'><p>more</p></div>",
+        "<div class='post has-comments'>{main}</div><div><article><a href='/1'>One card</a></article><article><a href='/2'>Two cards</a> new</article></div><ol class='commentlist'><li>No!</ol>",
+        "<div id='respond'><form>{long}</form></div><div class='text'>{main}</div><div class='share-buttons'>x</div><div class='newsletter-signup-box ad'>y</div>",
+    ],
+)
+def test_comments_teasers_and_adverts_go_and_the_text_stays(html):
+    main = "<h1>Title</h1><p>The first of the main text.</p><p>And the second, which is the end.</p>"
+    found = html_extract.Page("<body>" + html.replace("{main}", main).replace("{long}", LONG_COMMENTS) + "</body>").text()
+    want = "Title\n\nThe first of the main text.\n\nAnd the second, which is the end."
+    assert found == want or (html.startswith("<div class='post has") and found.startswith(want) and "No!" not in found)
+
+
+def test_the_tree_judges_branches_of_articles(spark):
+    """Branches that the articles of a host share go by their importance alone: their names say nothing."""
+    made = lambda k: f"<body><article><h1>Page {k}</h1><h2 class='x'>Introduction</h2><p class='lead'>Only {k} says {k * k}</p><p>All say this</p><ul class='k9'><li>tell others<li>tell all</ul><div class='b7'>Get the weekly letter</div></article></body>"
+    rows = [(k, f"https://one.example/{k}", made(k)) for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert found == {k: f"Page {k}\n\nIntroduction\n\nOnly {k} says {k * k}\n\nAll say this" for k, *_ in rows}
+    assert all(html_extract.Page(h).text() != found[k] for k, _, h in rows)
+
+
 def test_menus_at_any_depth_go():
     html = "<div>" * 700 + "<nav>menu</nav><p>Text</p><div class='ad'>buy</div>" + "</div>" * 700 + "<p>after</p>"
     assert html_extract.Page(html).text() == "Text\n\nafter"
