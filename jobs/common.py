@@ -1,10 +1,9 @@
-"""What the jobs share: settings from a file that Spark reads, logs, and new folders."""
+"""What the jobs share: settings from a file that Spark reads, and logs."""
 
 from __future__ import annotations
 
 import json
 import logging
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,16 +18,3 @@ def settings(spark: SparkSession, path: str | None, defaults: dict) -> dict:
 
 def logs() -> None:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that no other call uses, in the shared folder that the cluster names."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        top = f"file://{tempfile.mkdtemp(prefix='siftmill-')}"
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from jobs import common
 from siftmill.operators import metrics, ranking, retrieval, search
-from siftmill.operators.scratch import kept
+from siftmill.operators.scratch import folder, kept
 from siftmill.plans.engine import STRATEGIES
 from siftmill.sources import readers
 
@@ -67,7 +67,7 @@ def run(spark: SparkSession, files: str, issues: str, out: str, config: str | No
 
 def job2_compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings and metrics of both methods after two runs."""
-    folder = common.new_folder(spark, "job2")
+    folder = folder(spark, "job2")
     for _ in range(2):
         run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", f"{folder}/out")
     return spark.read.schema(SCHEMA).parquet(f"{folder}/out")

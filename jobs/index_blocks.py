@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import common
+from siftmill.operators.scratch import folder
 from siftmill.plans.engine import STRATEGIES
 from siftmill.streaming import ingestion
 
@@ -39,7 +40,7 @@ def run(spark: SparkSession, source: str, index: str, checkpoint: str, config: s
 
 def job1_index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all documents after two runs; ``version`` and ``since`` number batches, not rows, and are left out."""
-    folder = common.new_folder(spark, "job1")
+    folder = folder(spark, "job1")
     for _ in range(2):
         # As a pattern, since the table may be one file, and the folder of a file stream must be a folder.
         run(spark, f"{sf_dir}/document[s].parquet", f"{folder}/index", f"{folder}/checkpoint")

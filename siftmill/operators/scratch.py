@@ -5,18 +5,30 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, with its lineage ended, in the checkpoint folder that the cluster names.
-    Only on a single machine is a temporary folder made where none is named."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; only on a single machine is a temporary folder made
+    where none is named."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="siftmill-")
         atexit.register(shutil.rmtree, own, True)
         context.setCheckpointDir(f"file://{own}")
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, with its lineage ended, in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, that no other call uses."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

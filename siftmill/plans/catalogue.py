@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
 from siftmill.operators import chunking, context, graph, mapping, metrics, patches, pyast, ranges, ranking, retrieval, search
-from siftmill.operators.scratch import kept
-from siftmill.sources import readers, writers
+from siftmill.operators.scratch import folder, kept
+from siftmill.sources import postings, readers, writers
 from siftmill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +317,20 @@ def bm25_topk_documents(spark, sf_dir):
     return ranking.top_k(_bm25(spark, sf_dir), ["query_id"], 10).select("query_id", "item", "rank", F.round("score", 5).alias("score"))
 
 
+@query(_BM25.replace("dw AS (SELECT doc_id AS item,", "docs AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' ' || source ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr'), dw AS (SELECT doc_id AS item,").replace("AS w FROM documents)", "AS w FROM docs)") + " SELECT stage, query_id, item, rank::INTEGER AS rank, round(score, 5) AS score FROM r, (SELECT unnest(['segments', 'merged']) AS stage) WHERE rank <= 10")
+def bm25_index_segments(spark, sf_dir):
+    """An index of all documents, then a segment that replaces those in one language and deletes those in another;
+    asked before and after its segments are merged."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text", "lang", "source")
+    path, whole = folder(spark, "segments"), folder(spark, "merged")
+    postings.add(docs.select("item", "text"), path, 0)
+    edited = docs.filter("lang = 'de'").select("item", F.concat_ws(" ", "text", "source").alias("text"))
+    postings.add(edited, path, 1, deleted=docs.filter("lang = 'fr'").select("item"))
+    postings.merged(spark, path, whole)
+    ask = lambda stage, at: postings.top_k(spark, at, _issues(spark, sf_dir), 10).select(F.lit(stage).alias("stage"), "query_id", "item", "rank", F.round("score", 5).alias("score"))
+    return ask("segments", path).unionByName(ask("merged", whole))
+
+
 @query(_BM25 + " SELECT token, df FROM df")
 def bm25_document_frequency(spark, sf_dir):
     return retrieval.document_frequency(retrieval.postings(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")))
