@@ -104,3 +104,65 @@ def answer_locations(lines: DataFrame, known_files: DataFrame) -> DataFrame:
     entry = carried.filter(F.col("_line").rlike(r"^(function|class|method|variables?|lines?):"))
     found = entry.select("answer_id", "position", F.concat(F.coalesce("_file", F.lit("None")), F.lit(":"), F.col("_line")).alias("location"))
     return found.groupBy("answer_id", "location").agg(F.min("position").alias("position")).select("answer_id", "position", "location")
+
+
+_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def hunks(piece: Column) -> Column:
+    """The hunks of one file's diff: ``at`` (first old line, from 1), ``old`` and ``new`` lines."""
+    parts = F.filter(F.split(piece, r"(?m)(?=^@@ -\d)"), lambda p: F.startswith(p, F.lit("@@ -")))
+
+    def hunk(p: Column) -> Column:
+        body = F.filter(F.slice(F.split(F.regexp_replace(p, r"\n+\z", ""), "\n"), 2, 1 << 30), lambda x: ~F.startswith(x, F.lit("\\")))
+        side = lambda mark: F.transform(F.filter(body, lambda x: (x == "") | F.substring(x, 1, 1).isin(" ", mark)), lambda x: F.substring(x, 2, 1 << 30))
+        return F.struct(F.regexp_extract(p, _HEADER, 1).cast("int").alias("at"), side("-").alias("old"), side("+").alias("new"))
+
+    return F.transform(parts, hunk)
+
+
+def _placed(lines: Column, found: Column) -> Column:
+    """Hunks put in one after the other: each where its old lines stand in ``lines`` nearest to its own line
+    shifted like the hunk before, later places first, behind what is done."""
+    start = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("done"), F.lit(True).alias("ok"), F.array().cast("array<int>").alias("offsets"), F.array().cast("array<string>").alias("out"))
+
+    def put(acc: Column, h: Column) -> Column:
+        w = F.size(h["old"])
+        # A hunk without old lines goes behind its line.
+        stated = F.when(w == 0, h["at"]).otherwise(h["at"] - 1)
+        guess = F.least(F.greatest(stated + acc["shift"], acc["done"]), F.size(lines))
+        last = F.size(lines) - w
+        places = F.when(acc["ok"] & (last >= acc["done"]), F.sequence(acc["done"], last)).otherwise(F.array().cast("array<int>"))
+        fits = F.filter(places, lambda i: (F.get(lines, i) == F.get(h["old"], F.lit(0))) & (F.slice(lines, i + 1, w) == h["old"]))
+        nearest = F.array_min(F.transform(fits, lambda i: F.struct(F.abs(i - stated - acc["shift"]).alias("far"), (i < stated + acc["shift"]).alias("before"), i.alias("i"))))["i"]
+        at = F.when(w == 0, F.when(acc["ok"], guess)).otherwise(nearest)
+        done = F.struct((at - stated).alias("shift"), (at + w).alias("done"), F.lit(True).alias("ok"), F.array_append(acc["offsets"], at - stated).alias("offsets"), F.concat(acc["out"], F.slice(lines, acc["done"] + 1, at - acc["done"]), h["new"]).alias("out"))
+        failed = F.struct(acc["shift"], acc["done"], F.lit(False).alias("ok"), acc["offsets"], acc["out"])
+        return F.when(at.isNull(), failed).otherwise(done)
+
+    return F.aggregate(found, start, put)
+
+
+def applied(patches: DataFrame, files: DataFrame) -> DataFrame:
+    """``instance_id, file, ok, offsets, text`` of each file that a patch (instance_id, patch) names: ``files``
+    (instance_id, file, text) with its hunks put in, and how many lines from where it says each hunk was.
+    If one hunk does not fit, ``ok`` is false and the others null. Context has to match whole.
+
+    A file is one row with its lines as an array: hunks depend on one another, but files don't, so all
+    of it is array functions, and texts are shuffled once, to meet their diffs."""
+    from siftmill.functions.text import let
+
+    pieces = patches.select("instance_id", F.explode(by_file(F.col("patch"))).alias("_piece"))
+    name = lambda mark, side: F.regexp_extract("_piece", rf"(?m)^{mark} {side}/(.+)$", 1)
+    old = name("---", "a")
+    pieces = pieces.select("instance_id", F.when(old != "", old).otherwise(name(r"\+\+\+", "b")).alias("file"), (old == "").alias("_new"), "_piece")
+    both = pieces.join(files.select("instance_id", "file", "text"), ["instance_id", "file"], "left")
+    text = F.when(F.col("_new"), F.coalesce("text", F.lit(""))).otherwise(F.col("text"))
+    # A last line feed ends the last line and begins none.
+    ended = F.endswith(text, F.lit("\n"))
+    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.when(ended, F.regexp_replace(text, r"\n\z", "")).otherwise(text), "\n"))
+    put = let(F.struct(lines.alias("l"), hunks(F.col("_piece")).alias("h")), lambda x: let(_placed(x["l"], x["h"]), lambda r: F.struct(r["ok"].alias("ok"), r["offsets"].alias("offsets"), F.concat(r["out"], F.slice(x["l"], r["done"] + 1, F.size(x["l"]))).alias("lines"))))
+    found = both.withColumns({"_put": put, "_ended": ended | (text == "")})
+    ok = F.coalesce(F.col("_put.ok") & text.isNotNull(), F.lit(False))
+    whole = F.concat(F.array_join("_put.lines", "\n"), F.when(F.col("_ended") & (F.size("_put.lines") > 0), "\n").otherwise(""))
+    return found.select("instance_id", "file", ok.alias("ok"), F.when(ok, F.col("_put.offsets")).alias("offsets"), F.when(ok, whole).alias("text"))

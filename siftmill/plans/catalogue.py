@@ -865,6 +865,35 @@ def patch_ground_truth(spark, sf_dir):
     return patches.edited_entities(changed.filter("op = 'delete'"), pyast.outline(files), pyast.inert_lines(files))
 
 
+#: What each document's patch has: lines 2 to 4, and the last three, at stated lines that are off; a
+#: document of fewer than eight lines gets a patch that does not fit.
+_PATCHES = r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l, ends_with(text, chr(10)) AS ended FROM documents WHERE text IS NOT NULL AND text <> ''),
+w AS (SELECT *, len(l) AS n, greatest(1, doc_id % 7 - 1) AS a, len(l) - 2 + doc_id % 5 AS b FROM d),
+p AS (SELECT *, list_filter(range(0, n - 2), lambda i: l[i+1:i+3] = l[2:4]) AS fa, list_filter(range(0, n - 2), lambda i: l[i+1:i+3] = l[n-2:n]) AS fb FROM w WHERE n >= 8),
+q AS (SELECT *, list_sort(list_transform(fa, lambda i: {'far': abs(i - a + 1), 'before': i < a - 1, 'i': i}))[1].i AS pa FROM p),
+r AS (SELECT *, list_sort(list_transform(list_filter(fb, lambda i: i >= pa + 3), lambda i: {'far': abs(i - (b - 1) - (pa - a + 1)), 'before': i < (b - 1) + (pa - a + 1), 'i': i}))[1].i AS pb FROM q)
+SELECT doc_id, pb IS NOT NULL AS ok, CASE WHEN pb IS NOT NULL THEN (pa - a + 1) || ',' || (pb - b + 1) END AS offsets,
+  CASE WHEN pb IS NOT NULL THEN md5(array_to_string(l[1:pa] || [l[2], 'put in', l[4]] || l[pa+4:pb] || [l[n-2], 'one', 'two', l[n]] || l[pb+4:n], chr(10)) || CASE WHEN ended THEN chr(10) ELSE '' END) END AS text_md5 FROM r
+UNION ALL SELECT doc_id, false, NULL, NULL FROM w WHERE n < 8"""
+
+
+@query(_PATCHES)
+def patch_placement(spark, sf_dir):
+    """A patch for every document, as a diff at lines that are off, put in."""
+    docs = t(spark, sf_dir, "documents").filter("text IS NOT NULL AND text <> ''").select("doc_id", "text", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"))
+    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
+    n, at = F.size("l"), lambda k: F.get("l", k)
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    head = text("diff --git a/", F.col("file"), " b/", F.col("file"), "\n--- a/", F.col("file"), "\n+++ b/", F.col("file"), "\n")
+    a, b = F.greatest(F.lit(1), F.col("doc_id") % 7 - 1).cast("string"), (n - 2 + F.col("doc_id") % 5).cast("string")
+    one = text("@@ -", a, ",3 +", a, ",3 @@\n ", at(F.lit(1)), "\n-", at(F.lit(2)), "\n+put in\n ", at(F.lit(3)), "\n")
+    two = text("@@ -", b, ",3 +", b, ",4 @@ def f():\n ", at(n - 3), "\n-", at(n - 2), "\n+one\n+two\n ", at(n - 1), "\n")
+    none = text("@@ -1,1 +1,1 @@\n-no line is like this\n+x\n")
+    made = docs.withColumn("l", lines).withColumn("patch", F.concat(head, F.when(n >= 8, F.concat(one, two)).otherwise(none)))
+    found = patches.applied(made.select(F.col("doc_id").alias("instance_id"), "patch"), docs.select(F.col("doc_id").alias("instance_id"), "file", "text"))
+    return found.select(F.col("instance_id").alias("doc_id"), "ok", F.array_join("offsets", ",").alias("offsets"), F.md5("text").alias("text_md5"))
+
+
 @query()
 def answer_locations(spark, sf_dir):
     docs = _sources(spark, sf_dir).select("path")

@@ -93,3 +93,57 @@ def test_functions_within_functions_and_large_compound_statements():
     found = list(pyast.syntax_chunk_rows("a.py", large, least=1, size=30, most=60, hard=60))
     covered = {k for r in found for k in range(r[2], r[3] + 1)}
     assert {1, 2, 41, 43, 44} <= covered and all(r[4] <= 60 for r in found)
+
+
+def plain_patch(text, diff):
+    """Hunks one after another, by trying all places from the nearest on."""
+    import re
+
+    ended, lines = text.endswith("\n"), text.split("\n")
+    lines = lines[:-1] if ended or text == "" else lines
+    ended = ended or text == ""
+    out, done, shift, offsets = [], 0, 0, []
+    for part in re.split(r"(?m)(?=^@@ -\d)", diff)[1:]:
+        at = int(re.match(r"@@ -(\d+)", part)[1])
+        body = [x for x in part.rstrip("\n").split("\n")[1:] if not x.startswith("\\")]
+        old, new = [x[1:] for x in body if x[:1] in ("", " ", "-")], [x[1:] for x in body if x[:1] in ("", " ", "+")]
+        stated = at - (1 if old else 0)
+        if old:
+            fits = [i for i in range(done, len(lines) - len(old) + 1) if lines[i : i + len(old)] == old]
+            if not fits:
+                return False, None, None
+            i = min(fits, key=lambda i: (abs(i - stated - shift), i < stated + shift))
+        else:
+            i = min(max(stated + shift, done), len(lines))
+        out += lines[done:i] + new
+        shift, done = i - stated, i + len(old)
+        offsets.append(shift)
+    out += lines[done:]
+    return True, offsets, "\n".join(out) + ("\n" if ended and out else "")
+
+
+def test_patches_by_trying_all_places(spark):
+    import difflib
+    import random
+
+    from siftmill.operators import patches
+
+    rng = random.Random(3)
+    files, diffs = [], []
+    for k in range(60):
+        old = [rng.choice(["a", "b", "c", "", "d e", "@@ -1 +1 @@"]) + rng.choice(["", "1", "2"]) for _ in range(rng.randint(0, 60))]
+        new = [x for x in old if rng.random() > 0.06]
+        for _ in range(rng.randint(0, 4)):
+            new.insert(rng.randint(0, len(new)), f"new{rng.randint(0, 9)}")
+        diff = "".join(x + "\n" for x in difflib.unified_diff(old, new, "a/x.py", "b/x.py", n=rng.choice([0, 1, 3]), lineterm=""))
+        moved = ["moved"] * rng.randint(0, 3) + old
+        files.append((str(k), "x.py", "\n".join(moved) + rng.choice(["", "\n"]) if moved else ""))
+        diffs.append((str(k), f"diff --git a/x.py b/x.py\n{diff}"))
+    files.append(("two", "x.py", "one\ntwo\n"))
+    diffs.append(("two", "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -2 +2 @@\n-two\n+2\n\\ No newline at end of file\ndiff --git a/n.py b/n.py\n--- /dev/null\n+++ b/n.py\n@@ -0,0 +1,2 @@\n+x\n+y\ndiff --git a/gone.py b/gone.py\n--- a/gone.py\n+++ b/gone.py\n@@ -1 +1 @@\n-x\n+y\n"))
+    made = patches.applied(spark.createDataFrame(diffs, "instance_id string, patch string"), spark.createDataFrame(files, "instance_id string, file string, text string"))
+    found = {(r["instance_id"], r["file"]): (r["ok"], r["offsets"], r["text"]) for r in made.collect()}
+    for (key, _, text), (_, diff) in zip(files[:-1], diffs[:-1]):
+        if "@@" in diff.split("b/x.py", 2)[-1]:
+            assert found[key, "x.py"] == plain_patch(text, diff.split("\n", 3)[3]), (key, diff)
+    assert found["two", "x.py"] == (True, [0], "one\n2\n") and found["two", "n.py"] == (True, [0], "x\ny\n") and found["two", "gone.py"] == (False, None, None)
