@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmill.functions.text import let
+
 
 def pack_spans(spans: DataFrame, most_tokens: int, by: list[str], decay: float = 1.05, least_tokens: int = 50) -> DataFrame:
     """``spans`` (by, span_id, rank, tokens) that fit, with ``allotted`` tokens. If all fit, all get
@@ -32,6 +34,27 @@ def expand(context: DataFrame, related: DataFrame, most_tokens: int, by: list[st
     return context.select(*by, "span_id", "tokens").unionByName(fits.select(*by, "span_id", "tokens"))
 
 
+def prompts(files: DataFrame, spans: DataFrame, most_tokens: int | None = None, mark: str = "... other code") -> DataFrame:
+    """``file, text``: what a model is shown of each file. ``files`` (file, text), ``spans`` (file, start, end from 1, and with a budget
+    rank, tokens): the spans' lines, each gap behind shown lines as one ``mark``, between the file's name and fences. With a
+    budget, the first ranks that fit it are shown. A file without spans is shown whole."""
+    if most_tokens is not None:
+        upto = F.sum("tokens").over(Window.partitionBy("file").orderBy("rank", "start").rowsBetween(Window.unboundedPreceding, 0))
+        spans = spans.withColumn("_upto", upto).filter(F.col("_upto") <= most_tokens)
+    # A file's ranges are one array beside its text; lines are neither exploded nor shuffled.
+    own = spans.filter("start <= end").groupBy("file").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    both = files.select("file", F.coalesce("text", F.lit("")).alias("text")).join(own, "file", "left")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), F.exists("_spans", lambda s: (s["start"] <= i + 1) & (i + 1 <= s["end"])).alias("shown")))
+
+    def told(rows: Column) -> Column:
+        gap = lambda i: (i > 0) & F.get(rows["shown"], i - 1)
+        kept = F.filter(F.transform(rows, lambda r, i: F.when(r["shown"], r["x"]).when(gap(i), F.lit(mark))), lambda x: x.isNotNull())
+        return F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "\n"), F.lit("\n"))).otherwise("")
+
+    code = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(let(lines, told))
+    return both.select("file", F.concat("file", F.lit("\n```\n"), code, F.lit("\n```\n")).alias("text"))
+
+
 def sizes(context: DataFrame, by: list[str]) -> DataFrame:
     return context.groupBy(*by).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_spans"))
 

@@ -3,6 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +50,8 @@ def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "downstream", edge_types: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """``root, node_id, distance`` of all nodes within ``hops`` steps (negative: ``MOST_HOPS``), breadth
-    first, so that distances are shortest. ``allowed``: nodes that a walk may enter."""
+    """``root, node_id, distance`` of all nodes within ``hops`` steps (negative: until nothing new is
+    reached), breadth first, so that distances are shortest. ``allowed``: nodes that a walk may enter."""
     steps = directed(edges, direction)
     if edge_types:
         steps = steps.filter(F.col("etype").isin(edge_types))
@@ -56,7 +60,7 @@ def k_hop(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "downs
         steps = steps.join(allowed.select(F.col("node_id").alias("b")), "b", "left_semi")
     seen = roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("distance")).distinct()
     frontier = seen
-    for hop in range(1, (hops if hops >= 0 else MOST_HOPS) + 1):
+    for hop in count(1) if hops < 0 else range(1, hops + 1):
         reached = frontier.select("root", F.col("node_id").alias("a")).join(steps, "a").select("root", F.col("b").alias("node_id")).distinct()
         frontier = reached.join(seen.select("root", "node_id"), ["root", "node_id"], "left_anti").withColumn("distance", F.lit(hop))
         if hop % CUT_EVERY == 0:
@@ -81,6 +85,66 @@ def tree_paths(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "
     return out
 
 
+def walked_trees(edges: DataFrame, roots: DataFrame, hops: int = 2, direction: str = "downstream", nodes: DataFrame | None = None, node_types: list[str] | None = None, edge_types: list[str] | None = None) -> DataFrame:
+    """``root, line_no, depth, etype, node, line``: a depth-first walk from each root of up to ``hops`` steps (-1:
+    ``MOST_HOPS``). A node is expanded where it is met first and only named after that, and an edge is
+    shown once; edges against their direction are called ``-by``. Of ``both`` directions, a walk keeps the one
+    in which it left the root. Tests are not entered; neighbours come by direction, name and type.
+
+    Depth-first order depends on all that was visited before, so a root's walk is one task over the edges within
+    its hops, which a join has found; roots are apart."""
+    hops = MOST_HOPS if hops < 0 else hops
+    own = edges.filter(F.col("etype").isin(edge_types)) if edge_types else edges
+    ends = [F.col("node_id")]
+    if nodes is not None:
+        may = nodes.filter(F.col("type").isin(node_types)) if node_types else nodes
+        may = may.filter(~is_test_file(F.col("node_id"))).select(*ends)
+    found = None
+    for way in ("downstream", "upstream") if direction == "both" else (direction,):
+        steps = directed(own, way).filter(~is_test_file(F.col("b")))
+        if nodes is not None:
+            steps = steps.join(may.withColumnRenamed("node_id", "b"), "b", "left_semi")
+        # One hop less than is shown: the last nodes are named but not expanded.
+        met = k_hop(steps.select(F.col("a").alias("src"), F.col("b").alias("dst"), "etype"), roots, max(hops - 1, 0)).select("root", F.col("node_id").alias("a"))
+        part = met.join(steps.distinct(), "a").select("root", "a", "b", "etype", F.lit(way).alias("way"))
+        found = part if found is None else found.unionByName(part)
+    alone = roots.select(F.col("node_id").alias("root"), *[F.lit(None).cast("string").alias(c) for c in ("a", "b", "etype", "way")]).distinct()
+    return found.unionByName(alone).groupBy("root").applyInPandas(_walk(hops, direction), "root string, line_no int, depth int, etype string, node string, line string")
+
+
+def _walk(hops: int, direction: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        root, steps = part["root"].iloc[0], part.dropna(subset=["a"]).sort_values(["way", "b", "etype"], kind="stable")
+        out: dict[str, dict[str, list[tuple[str, str]]]] = {"downstream": {}, "upstream": {}}
+        for a, b, etype, way in zip(steps["a"], steps["b"], steps["etype"], steps["way"]):
+            out[way].setdefault(a, []).append((b, etype))
+        rows, expanded, shown = [], set(), set()
+        # What is to be visited: node, its edge, the way, depth, whether it is the last of its parent, indent.
+        left = [(root, None, direction, 0, True, "")]
+        while left:
+            node, etype, way, depth, last, indent = left.pop()
+            line = node
+            if depth:
+                joint = f"{'└── ' if last else '├── '}{etype} ── "
+                line, indent = f"{indent}{joint}{node}", indent + (" " if last else "│") + " " * (len(joint) - 1)
+            rows.append((root, len(rows) + 1, depth, etype, node, line))
+            if node in expanded:
+                continue
+            expanded.add(node)
+            nexts = []
+            for to in ("downstream", "upstream") if way == "both" else (way,):
+                for b, kind in out[to].get(node, ()):
+                    edge = (node, kind, b) if to == "downstream" else (b, kind, node)
+                    if edge not in shown:
+                        shown.add(edge)
+                        nexts.append((b, kind if to == "downstream" else f"{kind}-by", to))
+            if depth < hops:
+                left += [(b, kind, to, depth + 1, k == len(nexts) - 1, indent) for k, (b, kind, to) in reversed(list(enumerate(nexts)))]
+        return pd.DataFrame(rows, columns=["root", "line_no", "depth", "etype", "node", "line"])
+
+    return walk
+
+
 def tree_text(paths: DataFrame) -> DataFrame:
     """Lines of an indented tree in depth-first order, one row per path."""
     return paths.select(F.array_join("path", " > ").alias("key"), F.concat(F.repeat(F.lit("  "), F.col("depth")), F.element_at("path", -1)).alias("line"))
@@ -169,7 +233,7 @@ def _last_name(node_id: str) -> Column:
     return F.element_at(F.split(F.element_at(F.split(node_id, ":"), -1), r"\."), -1)
 
 
-def scope_candidates(contains: DataFrame, nodes: DataFrame, imports: DataFrame, deepest: int = 8) -> DataFrame:
+def scope_candidates(contains: DataFrame, nodes: DataFrame, imports: DataFrame, deepest: int = -1) -> DataFrame:
     """``src, node_id, name, near``: what a class or function can name, and how far off that is. First
     aliases of imports; the members of it and of every scope around it up to its file; then what
     ``__init__`` files define and import that the file imports, or that those do in turn; then what the
@@ -227,7 +291,7 @@ def explore(nodes: DataFrame, edges: DataFrame, start: list[str], direction: str
     if missing := set(start) - {r["node_id"] for r in roots.collect()}:
         raise ValueError(f"unknown nodes: {sorted(missing)}")
     allowed = nodes.filter(F.col("type").isin(node_types)).select("node_id") if node_types else None
-    reached = k_hop(edges, roots, depth, direction, edge_types, allowed).select("node_id").distinct()
+    reached = k_hop(edges, roots, depth if depth > 0 else MOST_HOPS, direction, edge_types, allowed).select("node_id").distinct()
     kept = edges.filter(F.col("etype").isin(edge_types)) if edge_types else edges
     return subgraph(kept, reached)
 

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
-from siftmill.operators import chunking, context, graph, mapping, metrics, patches, pyast, ranges, ranking, retrieval, search
+from siftmill.operators import chunking, context, graph, mapping, metrics, patches, pyast, ranges, ranking, retrieval, search, trees
 from siftmill.operators.scratch import folder, kept
-from siftmill.sources import postings, readers, writers
+from siftmill.sources import postings, readers, stores, writers
 from siftmill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,51 @@ def chunk_token_windows(spark, sf_dir):
     return _chunks(chunking.token_windows(t(spark, sf_dir, "documents").select("doc_id", "text"), 256, 20))
 
 
+_PROMPTS = r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, unnest([1, 4, len(l) - 1]) AS start, unnest([2, 6, len(l)]) AS "end", unnest([1, 2, 3]) AS rank, unnest([40, 30, 35]) AS tokens FROM d),
+f AS (SELECT doc_id, start, "end" FROM s WHERE rank < 3 AND start <= "end"),
+x AS (SELECT doc_id, i, l[i] AS line, EXISTS (SELECT 1 FROM f WHERE f.doc_id = d.doc_id AND i BETWEEN start AND "end") AS shown FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
+y AS (SELECT *, lag(shown, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS ahead FROM x)
+SELECT doc_id, md5('f' || doc_id || chr(10) || '```' || chr(10) || string_agg(CASE WHEN shown THEN line ELSE '... other code' END || chr(10), '' ORDER BY i) || chr(10) || '```' || chr(10)) AS text_md5 FROM y WHERE shown OR ahead GROUP BY doc_id"""
+
+
+@query(_PROMPTS)
+def prompt_texts(spark, sf_dir):
+    """Documents as a model is shown them: the first of three spans that fit a budget, gaps marked."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file"), "text")
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    row = lambda rank, start, end, tokens: F.struct(F.lit(rank).alias("rank"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(tokens).alias("tokens"))
+    spans = docs.select("file", F.explode(F.array(row(1, F.lit(1), F.lit(2), 40), row(2, F.lit(4), F.lit(6), 30), row(3, n - 1, n, 35))).alias("s")).select("file", "s.*")
+    return context.prompts(docs, spans, 80).join(docs.select("file", "doc_id"), "file").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(r"""WITH m AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS pos, count(*) OVER () AS n FROM documents),
+p AS (SELECT max(n_chars) FILTER (pos = floor((n - 1) * 0.5)) AS p50, max(n_chars) FILTER (pos = floor((n - 1) * 0.9)) AS p90, max(n_chars) FILTER (pos = floor((n - 1) * 0.95)) AS p95, max(n_chars) FILTER (pos = floor((n - 1) * 0.99)) AS p99 FROM m)
+SELECT count(*) AS n, count(*) FILTER (n_chars > 512) AS truncated, round(count(*) FILTER (n_chars > 512) / count(*), 6) AS rate, any_value(p50) AS p50, any_value(p90) AS p90, any_value(p95) AS p95, any_value(p99) AS p99 FROM documents, p""")
+def sampled_lengths(spark, sf_dir):
+    """Truncation and percentiles of lengths from a sample, which has room for all rows of the tables up to sf0.1."""
+    found = metrics.sampled_lengths(t(spark, sf_dir, "documents"), "doc_id", F.col("n_chars"), 512, size=10_000)
+    return found.withColumn("rate", F.round("rate", 6))
+
+
+@query("""WITH k AS (SELECT vec_id::VARCHAR AS doc_id, embedding AS v, label, (row_number() OVER (PARTITION BY label < 5 ORDER BY vec_id::VARCHAR) - 1) + CASE WHEN label < 5 THEN 0 ELSE (SELECT count(*) FROM embeddings WHERE label < 5) END AS vector_id FROM embeddings),
+h AS (SELECT * FROM k WHERE label <> 1), q AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, h.vector_id, h.doc_id, round(list_sum(list_transform(range(1, 65), lambda i: (q.v[i]::DOUBLE - h.v[i]::DOUBLE) ** 2)), 9) AS score FROM q, h)
+SELECT stage, query_id, vector_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vector_id)::INTEGER AS rank FROM s), (SELECT unnest(['batches', 'compacted']) AS stage) WHERE rank <= 5""")
+def vector_store_batches(spark, sf_dir):
+    """Two batches of vectors, documents of one label dropped; asked before and after the batches are made one."""
+    v = t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("category"), "label", "vec_id")
+    path, whole = folder(spark, "vectors"), folder(spark, "compacted")
+    row = ["doc_id", "vector", "category"]
+    stores.appended(spark, path, v.filter("label < 5").select(row), 0)
+    stores.appended(spark, path, v.filter("label >= 5").select(row), 1)
+    stores.dropped(spark, path, v.filter("label = 1"), 1)
+    stores.compacted(spark, path, whole)
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    ask = lambda stage, at: stores.nearest(stores.held(spark, at), asked, 5).select(F.lit(stage).alias("stage"), "query_id", F.col("item").alias("vector_id"), "doc_id", "rank")
+    return ask("batches", path).unionByName(ask("compacted", whole))
+
+
 @query()
 def chunk_separated(spark, sf_dir):
     return _chunks(chunking.separated(t(spark, sf_dir, "documents").select("doc_id", "text"), "\n", 1000, 200))
@@ -585,6 +630,91 @@ def name_index(spark, sf_dir):
     return graph.name_index(_tree(spark, sf_dir)).select("name", "node_id")
 
 
+# ---- trees ----------------------------------------------------------------------------------------
+
+#: A tree per region: nations, customers, orders. Order and size of a subtree come by recursion.
+_BLOCKS = r"""WITH RECURSIVE b AS MATERIALIZED (
+  SELECT n_regionkey AS region, ['n' || n_nationkey] AS path, NULL::VARCHAR AS parent, 'n' || n_nationkey AS id, 'nation' AS kind, 1 AS tokens, 'n' || n_nationkey % 3 AS span_id, false AS broken FROM nation
+  UNION ALL SELECT n_regionkey, ['n' || n_nationkey, 'c' || c_custkey], 'n' || n_nationkey, 'c' || c_custkey, 'customer', floor(c_acctbal)::INTEGER, c_mktsegment, false FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, ['n' || n_nationkey, 'c' || c_custkey, 'o' || o_orderkey], 'c' || c_custkey, 'o' || o_orderkey, 'order', o_orderkey::INTEGER % 100, o_orderpriority, o_orderstatus = 'O' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+down(top, region, id, tokens, broken) AS (SELECT id, region, id, tokens, broken FROM b UNION ALL SELECT d.top, b.region, b.id, b.tokens, b.broken FROM down d JOIN b ON b.parent = d.id),
+sums AS MATERIALIZED (SELECT top AS id, count(*) - 1 AS below, sum(tokens)::BIGINT AS tokens_all, count(*) FILTER (broken) AS broken_all FROM down GROUP BY top),
+pre AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY path) AS pre, len(path) - 1 AS depth FROM b),
+tree AS MATERIALIZED (SELECT pre.*, 2 * pre - 1 - depth AS "left", 2 * pre - 1 - depth + 2 * below + 1 AS "right", below, tokens_all, broken_all FROM pre JOIN sums USING (id))"""
+
+
+def _forest(spark, sf_dir):
+    nation, customer, orders = (t(spark, sf_dir, n) for n in ("nation", "customer", "orders"))
+    tag = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = lambda df, path, kind, tokens, span, broken: df.select(F.col("n_regionkey").alias("region"), F.array(*path).alias("path"), F.lit(kind).alias("kind"), tokens.cast("int").alias("tokens"), span.alias("span_id"), broken.alias("broken"))
+    n, c, o = tag("n", "n_nationkey"), tag("c", "c_custkey"), tag("o", "o_orderkey")
+    top = rows(nation, [n], "nation", F.lit(1), F.concat(F.lit("n"), (F.col("n_nationkey") % 3).cast("string")), F.lit(False))
+    mid = rows(placed, [n, c], "customer", F.floor("c_acctbal"), F.col("c_mktsegment"), F.lit(False))
+    low = rows(orders.join(placed, F.col("o_custkey") == F.col("c_custkey")), [n, c, o], "order", F.col("o_orderkey") % 100, F.col("o_orderpriority"), F.col("o_orderstatus") == "O")
+    sums = {"tokens_all": F.col("tokens").cast("long"), "broken_all": F.col("broken").cast("long")}
+    return trees.numbered(top.unionByName(mid).unionByName(low), ["region"], sums)
+
+
+@query(_BLOCKS + """ SELECT region, id, "left", "right", depth, below, tokens_all, broken_all = 0 AS complete,
+  coalesce(sum(tokens_all) OVER (PARTITION BY region, parent ORDER BY "left" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, coalesce(sum(tokens_all) OVER (PARTITION BY region, parent ORDER BY "left" ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS after FROM tree""")
+def tree_numbers(spark, sf_dir):
+    """Each block's interval, what its subtree sums up to, and what stands before and behind it."""
+    found = trees.beside(_forest(spark, sf_dir), ["region"], "tokens_all")
+    return found.select("region", F.element_at("path", -1).alias("id"), "left", "right", "depth", "below", "tokens_all", (F.col("broken_all") == 0).alias("complete"), "before", "after")
+
+
+@query(_BLOCKS + """, lines AS (SELECT DISTINCT region, o_orderkey % 5000 + 1 AS line FROM orders JOIN b ON id = 'o' || o_orderkey)
+SELECT 'above' AS lookup, o.region, o.id AS key, a.id AS found FROM tree o LEFT JOIN tree a ON a.region = o.region AND a.kind = 'customer' AND a."left" < o."left" AND a."right" > o."right"
+UNION ALL SELECT 'line', l.region, l.line::VARCHAR, (SELECT arg_max(id, "left") FROM tree x WHERE x.region = l.region AND x."left" <= l.line AND x."right" >= l.line) FROM lines l
+UNION ALL SELECT 'next', l.region, l.line::VARCHAR, x.id FROM lines l LEFT JOIN (SELECT region, "left" AS at, coalesce(lag("left") OVER (PARTITION BY region ORDER BY "left"), 0) AS prev, id FROM tree) x ON x.region = l.region AND l.line > x.prev AND l.line <= x.at
+UNION ALL SELECT 'first', region, span_id, arg_min(id, "left") FROM tree GROUP BY ALL UNION ALL SELECT 'last', region, span_id, arg_max(id, "left") FROM tree GROUP BY ALL
+UNION ALL SELECT 'preceding', region, span_id, arg_min(coalesce(ahead, '-'), "left") FROM (SELECT *, lag(id) OVER (PARTITION BY region ORDER BY "left") AS ahead FROM tree) GROUP BY ALL
+UNION ALL SELECT 'spans', region, path[1], array_to_string(list_sort(list(DISTINCT span_id)), ',') FROM tree GROUP BY region, path[1]""")
+def tree_lookups(spark, sf_dir):
+    """Blocks by kind above, by line, from a line on and by span, and the span ids below, over one numbered tree."""
+    by = ["region"]
+    tree = kept(_forest(spark, sf_dir))
+    named = tree.select("region", "left", F.element_at("path", -1).alias("id"))
+    placed = tree.withColumns({"start": F.col("left"), "end": F.col("right")})
+    orders = t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), (F.col("o_orderkey") % 5000 + 1).alias("line"))
+    lines = orders.join(named, "id").select("region", "line").distinct()
+    name = lambda rows, key, at: rows.select("region", key.alias("key"), F.col(at).alias("_at")).join(named.select("region", F.col("left").alias("_at"), F.col("id").alias("found")), ["region", "_at"], "left").select("region", "key", "found")
+    text = F.col("line").cast("string")
+    above = trees.nearest_above(tree, by, F.col("kind") == "customer").join(named, ["region", "left"])
+    spans = kept(trees.spans(tree, by))
+    below = trees.span_ids_below(tree, by, F.col("kind") == "nation").join(named, ["region", "left"]).select("region", F.col("id").alias("key"), F.array_join("span_ids", ",").alias("found"))
+    found = {"above": name(above, F.col("id"), "above"), "line": name(trees.at_lines(placed, lines, by), text, "left"), "next": name(trees.next_from(placed, lines, by), text, "left"), "spans": below}
+    found |= {k: name(spans, F.col("span_id"), k) for k in ("first", "last")}
+    found["preceding"] = name(spans, F.col("span_id"), "preceding").withColumn("found", F.coalesce("found", F.lit("-")))
+    whole = None
+    for kind, rows in found.items():
+        rows = rows.select(F.lit(kind).alias("lookup"), "region", "key", "found")
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
+@query(_BLOCKS + """ SELECT region, md5(string_agg(repeat('  ', depth) || CASE WHEN broken THEN '* ' ELSE '' END || id || ' (' || tokens_all || ')', chr(10) ORDER BY "left")) AS whole_md5, (SELECT md5(string_agg(repeat('  ', depth) || id, chr(10) ORDER BY "left")) FROM tree x WHERE x.region = tree.region AND kind <> 'order') AS few_md5,
+  (SELECT md5(string_agg(CASE WHEN broken THEN repeat('  ', depth) || '* ' || id ELSE '...' END, chr(10) ORDER BY "left")) FROM (SELECT *, lag(broken, 1, true) OVER (PARTITION BY region ORDER BY "left") AS ahead FROM tree) y WHERE y.region = tree.region AND (broken OR ahead)) AS marked_md5 FROM tree GROUP BY region""")
+def tree_texts(spark, sf_dir):
+    """Trees as indented text: whole, of some kinds, and with what is highlighted alone."""
+    tree, name = kept(_forest(spark, sf_dir)), F.element_at("path", -1)
+    whole = trees.rendered(tree, ["region"], F.concat(name, F.lit(" ("), F.col("tokens_all").cast("string"), F.lit(")")), highlighted=F.col("broken"))
+    few = trees.rendered(tree, ["region"], name, shown=F.col("kind") != "order")
+    marked = trees.rendered(tree, ["region"], name, highlighted=F.col("broken"), only_highlighted=True)
+    md5 = lambda df, c: df.select("region", F.md5("text").alias(c))
+    return md5(whole, "whole_md5").join(md5(few, "few_md5"), "region").join(md5(marked, "marked_md5"), "region")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, w(root, path, node, etype, depth) AS (SELECT DISTINCT src, [src], src, NULL::VARCHAR, 0 FROM edges WHERE starts_with(src, 'n') UNION ALL SELECT root, path || [dst], dst, e.etype, depth + 1 FROM w JOIN edges e ON src = node WHERE depth < 2)
+SELECT root, row_number() OVER (PARTITION BY root ORDER BY path)::INTEGER AS line_no, depth::INTEGER AS depth, etype, node FROM w""")
+def walked_trees(spark, sf_dir):
+    """A depth-first walk from each nation, over customers and suppliers to orders."""
+    edges = _edges(spark, sf_dir)
+    roots = edges.filter("src LIKE 'n%'").select(F.col("src").alias("node_id")).distinct()
+    return graph.walked_trees(edges, roots, 2).select("root", "line_no", "depth", "etype", "node")
+
+
 # ---- search ---------------------------------------------------------------------------------------
 
 
