@@ -124,6 +124,13 @@ def glob_pattern(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def glob_regex(pattern: Column) -> Column:
+    """``glob_pattern`` of a column, and of a pattern without a wildcard what is contained."""
+    plain = F.regexp_replace(pattern, r"([\\.^$|(){}+])", r"\\$1")
+    wild = F.replace(F.regexp_replace(F.regexp_replace(plain, r"\[!", "[^"), r"\?", "(?s:.)"), F.lit("*"), F.lit("(?s:.*)"))
+    return F.when(pattern.rlike(r"[*?\[]"), F.concat(F.lit("^"), wild, F.lit("$"))).otherwise(plain)
+
+
 def matches_file(path: Column, pattern: str) -> Column:
     """Glob match if ``pattern`` has a wildcard, else whether it is contained."""
     return path.rlike(glob_pattern(pattern)) if any(c in pattern for c in "*?[") else F.contains(path, F.lit(pattern))

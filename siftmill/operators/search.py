@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import heapq
-from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import is_test_file, matches_file, search_name, squeezed_contains
-from siftmill.operators.ranking import first_choice, top_k
+from siftmill.functions.text import glob_regex, is_test_file, matches_file, search_name, squeezed_contains
+from siftmill.operators.ranking import first_choice, preferring, top_k
 from siftmill.operators.retrieval import _small, bm25, partial_score, token_set_ratio
 from siftmill.operators.scratch import kept
 
@@ -56,31 +55,30 @@ def cascade(terms: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 5, k_
     return sure.unionByName(first_choice([anywhere.join(rest, "term", "left_semi"), lexical.unionByName(similar)], ["term", "node_id"]))
 
 
-def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, term_block: int = 1024) -> DataFrame:
+def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, term_block: int = 256, split: int = 4096) -> DataFrame:
     """The best nodes by token-set ratio of their ids: ``term, node_id, score, rank``. Every term is
-    scored against every distinct id, since close ones need not share any run of characters. Terms are
-    dealt into blocks of about ``term_block`` by hash, one pass each; a task returns at most k rows a term."""
+    scored against every distinct id, since close ones need not share any run of characters: terms are dealt into
+    blocks of about ``term_block`` and ids into splits of about ``split``, a task takes one of each, and returns at
+    most k rows a term. Neither comes to the driver."""
     plain = lambda c: F.translate(F.lower(c), "_-./:", "     ")
-    terms = terms.filter("term IS NOT NULL").select("term", plain(F.col("term")).alias("words")).distinct()
-    ids = nodes.filter("node_id IS NOT NULL").select("node_id", plain(F.col("node_id")).alias("words")).distinct()
-    out, blocks = None, max(1, -(-terms.count() // term_block))
-    for block in range(blocks):
-        own = [tuple(r) for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).collect()]
-        shared = terms.sparkSession.sparkContext.broadcast(own)
-
-        def best(parts, shared=shared):
-            found = {term: [] for term, _ in shared.value}
-            for part in parts:
-                names = list(zip(part["node_id"], part["words"]))
-                for term, words in shared.value:
-                    scored = ((-token_set_ratio(words, other), name) for name, other in names)
-                    found[term] = heapq.nsmallest(k, chain(found[term], scored))
-            rows = [(term, name, -score) for term, few in found.items() for score, name in few]
-            yield pd.DataFrame(rows, columns=["term", "node_id", "score"]).astype({"score": "float64"})
-
-        few = ids.mapInPandas(best, "term string, node_id string, score double")
-        out = few if out is None else out.unionByName(few)
-    return top_k(out, ["term"], k, ties=("node_id",))
+    terms = kept(terms.filter("term IS NOT NULL").select("term", plain(F.col("term")).alias("words")).distinct())
+    ids = kept(nodes.filter("node_id IS NOT NULL").select("node_id", plain(F.col("node_id")).alias("words")).distinct())
+    blocks, splits = max(1, -(-terms.count() // term_block)), max(1, -(-ids.count() // split))
+    lot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = terms.select(F.col("term").alias("name"), "words", F.lit(True).alias("asks"), lot("term", blocks).alias("block"), every(splits).alias("split"))
+    held = ids.select(F.col("node_id").alias("name"), "words", F.lit(False).alias("asks"), every(blocks).alias("block"), lot("node_id", splits).alias("split"))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        names = list(part.loc[~part["asks"], ["name", "words"]].itertuples(index=False, name=None))
+        rows = []
+        for term, words in part.loc[part["asks"], ["name", "words"]].itertuples(index=False, name=None):
+            scored = ((-token_set_ratio(words, other), name) for name, other in names)
+            rows += [(term, name, -score) for score, name in heapq.nsmallest(k, scored)]
+        return pd.DataFrame(rows, columns=["term", "node_id", "score"]).astype({"score": "float64"})
+
+    found = asked.unionByName(held).groupBy("block", "split").applyInPandas(best, "term string, node_id string, score double")
+    return top_k(found, ["term"], k, ties=("node_id",))
 
 
 def rerank_files(files: DataFrame, pattern: str) -> DataFrame:
@@ -138,8 +136,6 @@ def hybrid(named: DataFrame, classes: DataFrame, functions: DataFrame, semantic:
 def spans_of_hits(hits: DataFrame, blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Vector hits (query_id, item, score) as spans: the blocks' span ids, or for blocks without any the
     spans (file, span_id, start, end, tokens) on their lines; best score first, with running tokens."""
-    from pyspark.sql import Window
-
     from siftmill.operators.ranges import overlap_join
 
     found = hits.join(blocks, "item")
@@ -165,3 +161,125 @@ def grouped_results(results: DataFrame) -> DataFrame:
     first of them, then by format."""
     found = results.groupBy("queries").agg(F.min("position").alias("first"), F.sort_array(F.collect_list(F.struct("format", "node_id"))).alias("results"))
     return found.orderBy("first", F.array_join("queries", ","))
+
+
+#: Spans that are no code of their own, and the order of formats, best first.
+INERT_SPANS = ("docstring", "imports", "comments")
+FORMATS = {"complete": 1, "code_snippet": 2, "preview": 3, "fold": 4}
+
+
+def content_hits(hits: DataFrame, blocks: DataFrame, nodes: DataFrame, by: list[str], most: int = 5) -> DataFrame:
+    """Ranked blocks as results, the first ``most`` of each group ``by``: ``by, place, kind, format, node_id, file,
+    start, end, nodes, cut_before, cut_behind``.
+
+    ``hits``: by, item, rank; ``blocks``: item, file, start, end, span_ids; ``nodes``: node_id, type, start, end. A block whose spans
+    are all docstring, imports or comments (kind ``all``) is a snippet; one with some of them (``any``) is a snippet with the nodes of its
+    other spans, and whether the first begins before or the last ends behind it; of one without (``none``) each
+    span's node is a preview. Spans without a node are left out."""
+    inert = lambda s: s.isin(list(INERT_SPANS))
+    kind = F.when(F.forall("span_ids", inert), "all").when(F.exists("span_ids", inert), "any").otherwise("none")
+    own = hits.select(*by, "item", "rank").join(blocks.select("item", "file", "start", "end", F.coalesce("span_ids", F.array().cast("array<string>")).alias("span_ids")), "item").withColumn("kind", kind)
+    each = own.select(*by, "item", "rank", F.posexplode("span_ids").alias("_at", "span"), "file").withColumn("node_id", F.concat("file", F.lit(":"), "span"))
+    known = each.join(nodes.select("node_id", F.col("start").alias("_from"), F.col("end").alias("_to")), "node_id")
+    listed = known.groupBy(*by, "item").agg(F.array_sort(F.collect_list(F.struct("_from", "node_id", "_to"))).alias("_nodes"))
+    none = F.array().cast("array<string>")
+    snippets = own.filter("kind <> 'none'").join(listed, [*by, "item"], "left")
+    some = (F.col("kind") == "any") & F.col("_nodes").isNotNull()
+    snippets = snippets.select(
+        *by, "rank", F.lit(0).alias("_at"), "kind", F.lit("code_snippet").alias("format"), F.col("file").alias("node_id"), "file", "start", "end",
+        F.when(some, F.transform("_nodes", lambda n: n["node_id"])).otherwise(none).alias("nodes"),
+        F.when(some & (F.get("_nodes", F.lit(0))["_from"] < F.col("start")), F.get("_nodes", F.lit(0))["node_id"]).alias("cut_before"),
+        F.when(some & (F.element_at("_nodes", -1)["_to"] > F.col("end")), F.element_at("_nodes", -1)["node_id"]).alias("cut_behind"),
+    )
+    nothing = F.lit(None).cast("string")
+    previews = known.join(own.filter("kind = 'none'").select(*by, "item", "kind"), [*by, "item"]).select(
+        *by, "rank", "_at", "kind", F.lit("preview").alias("format"), "node_id", "file", F.col("_from").alias("start"), F.col("_to").alias("end"), none.alias("nodes"), nothing.alias("cut_before"), nothing.alias("cut_behind")
+    )
+    both = snippets.unionByName(previews)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("rank", "_at"))
+    return both.withColumn("place", place).filter(F.col("place") <= most).drop("rank", "_at")
+
+
+def _entities(terms: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """``request_id, at, term, node_id, found_by`` of terms (request_id, at, term, pattern) that are names: an id, an id without
+    ``.__init__``, a name, or a dotted name within its prefix or file; in files of the request's pattern, if any is. Nodes with only the
+    last part of a dotted name (``suffix``) come along, but settle nothing."""
+    key = ["request_id", "at"]
+    distinct = terms.select("term").distinct()
+    ids = nodes.select("node_id")
+    exact = distinct.join(ids, F.col("term") == F.col("node_id")).select("term", "node_id", F.lit("id").alias("found_by"))
+    bare = distinct.filter(F.endswith("term", F.lit(".__init__"))).withColumn("node_id", F.regexp_replace("term", r"\.__init__\z", "")).join(ids, "node_id", "left_semi").select("term", "node_id", F.lit("init").alias("found_by"))
+    named = by_name(distinct, index).withColumn("found_by", F.lit("name"))
+    found = first_choice([exact, bare, named, *by_dotted_name(distinct, index)], ["term"])
+    asked = terms.join(found, "term")
+    within = F.col("found_by").isin("id", "init") | F.col("pattern").isNull() | F.rlike(F.split_part("node_id", F.lit(":"), F.lit(1)), glob_regex(F.col("pattern")))
+    return preferring(asked, within, key).select(*key, "term", "pattern", "node_id", "found_by")
+
+
+def snippets(requests: DataFrame, nodes: DataFrame, index: DataFrame, blocks: DataFrame, k: int = 10) -> DataFrame:
+    """Results of a table of requests: ``request_id, place, terms, format, node_id, file, start, end, source``.
+
+    ``requests``: request_id, terms (array), lines (array) and pattern (a file or a glob; null for all files); ``nodes``: node_id, type, start, end; ``index``: see
+    ``graph.name_index``; ``blocks``: item, file, text, start, end, span_ids.
+
+    Each term is looked up by name. Those that no name settles, and all such terms of a request joined to one, go
+    to BM25 over ids (else fuzzy ids) and over contents. Lines are windows of the file that the pattern names. A node
+    that several terms find is one result in its best format, with the positions of its terms; formats are: complete for an id,
+    preview for up to three nodes of a type by name, else fold. Previews that another of the same terms covers
+    are left out. Results come in the order of their first term, then of their format. Terms for tests are left
+    out. All requests go through one plan, whatever their number."""
+    from siftmill.operators.ranges import not_covered
+
+    key = ["request_id", "at"]
+    clean = F.regexp_replace(F.trim(F.regexp_replace("term", r"^\s+|\s+\z", "")), r"^\.+|\.+\z", "")
+    terms = requests.select("request_id", F.posexplode("terms").alias("at", "term"), "pattern").filter(~is_test_file(F.col("term"))).withColumn("term", clean).filter("term <> ''")
+    first = kept(_entities(terms, nodes, index))
+    settled = first.filter("found_by <> 'suffix'").select(*key).distinct()
+    rest = kept(terms.join(settled, key, "left_anti"))
+    joint = rest.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda r: r["term"]), " ").alias("term"), F.first("pattern").alias("pattern"), F.count(F.lit(1)).alias("n"))
+    # Behind all single terms.
+    joint = kept(joint.filter("n > 1").select("request_id", F.lit(1_000_000).alias("at"), "term", "pattern"))
+    second = kept(_entities(joint, nodes, index))
+    open_terms = kept(rest.unionByName(joint.join(second.filter("found_by <> 'suffix'").select(*key), key, "left_anti")))
+    entities = first.unionByName(second).join(nodes.select("node_id", "type", "start", "end"), "node_id")
+    many = F.count(F.lit(1)).over(Window.partitionBy(*key, "type"))
+    by_format = F.when(F.col("found_by") == "id", "complete").when((F.col("found_by") == "init") | (many <= 3), "preview").otherwise("fold")
+    found = entities.withColumn("format", by_format).select(*key, "format", "node_id", "type", "start", "end", F.col("found_by").alias("source"))
+
+    texts = kept(open_terms.select("term").distinct())
+    asked = texts.select(F.col("term").alias("query_id"), F.col("term").alias("text"))
+    matches = lambda file: F.col("pattern").isNull() | F.rlike(F.col(file), glob_regex(F.col("pattern")))
+    lexical = top_k(bm25(asked, nodes.select(F.col("node_id").alias("item"), F.translate("node_id", "_./:", "    ").alias("text"))), ["query_id"], 10)
+    lexical = kept(lexical.select(F.col("query_id").alias("term"), F.col("item").alias("node_id"), "rank"))
+    similar = fuzzy(texts.join(lexical.select("term"), "term", "left_anti"), nodes, 3).select("term", "node_id", "rank", F.lit("fuzzy").alias("source"))
+    ranked = open_terms.join(lexical.withColumn("source", F.lit("bm25")).unionByName(similar), "term").join(nodes.select("node_id", "type", "start", "end"), "node_id").withColumn("file", F.split_part("node_id", F.lit(":"), F.lit(1)))
+    ranked = top_k(preferring(ranked, matches("file"), key).withColumnRenamed("rank", "_rank"), key, 5, score="_rank", ties=("node_id",), ascending=True)
+    whole = F.col("type").isin("file", "directory")
+    nth = F.row_number().over(Window.partitionBy(*key, whole).orderBy("rank"))
+    ranked = ranked.withColumn("_nth", nth).filter(whole | (F.col("_nth") <= 3))
+    found = found.unionByName(ranked.select(*key, F.when(whole, "fold").otherwise("preview").alias("format"), "node_id", "type", "start", "end", "source"))
+
+    content = top_k(bm25(asked, blocks.select("item", "text")), ["query_id"], k).select(F.col("query_id").alias("term"), "item", "rank")
+    hits = open_terms.join(content, "term").join(blocks.select("item", "file"), "item").filter(matches("file")).select(*key, "item", "rank")
+    content = content_hits(hits, blocks, nodes, key)
+    previews = content.filter("format = 'preview'").join(nodes.select("node_id", "type"), "node_id").select(*key, "format", "node_id", "type", "start", "end", F.lit("content").alias("source"))
+    found = found.unionByName(previews)
+
+    order = F.lit(len(FORMATS) + 1)
+    for name, n in FORMATS.items():
+        order = F.when(F.col("format") == name, n).otherwise(order)
+    merged = found.groupBy("request_id", "node_id").agg(
+        F.min_by(F.struct("format", "source", "start", "end"), F.struct(order, "at", "source")).alias("b"), F.array_sort(F.collect_set("at")).alias("terms")
+    ).select("request_id", "terms", "b.format", "node_id", F.split_part("node_id", F.lit(":"), F.lit(1)).alias("file"), "b.start", "b.end", "b.source")
+    group = ["request_id", "terms", "file"]
+    shown = not_covered(merged.filter("format = 'preview'"), group).unionByName(merged.filter("format <> 'preview'"))
+    alone = content.filter("format = 'code_snippet'").select("request_id", F.array("at").alias("terms"), "format", "node_id", "file", "start", "end", F.lit("content").alias("source"))
+    files = nodes.filter("type = 'file'").select(F.col("node_id").alias("file"), F.col("end").alias("last"))
+    wanted = requests.select("request_id", F.col("pattern").alias("file"), F.explode("lines").alias("line")).join(files, "file")
+    # One request's windows of a file are merged with no other's.
+    wide = line_windows(wanted.select(F.concat_ws("\x1f", F.col("request_id").cast("string"), "file").alias("file"), "line", "last"))
+    part = lambda n: F.get(F.split("file", "\x1f", 2), F.lit(n))
+    wide = wide.select(part(0).cast(requests.schema["request_id"].dataType).alias("request_id"), F.array(F.lit(2_000_000)).alias("terms"), F.lit("code_snippet").alias("format"), part(1).alias("node_id"), part(1).alias("file"), "start", "end", F.lit("lines").alias("source"))
+    rows = shown.unionByName(alone).unionByName(wide)
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.get("terms", F.lit(0)), "terms", order, "file", "start", "node_id"))
+    return rows.withColumn("place", place).select("request_id", "place", "terms", "format", "node_id", "file", "start", "end", "source")

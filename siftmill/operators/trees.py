@@ -95,3 +95,24 @@ def rendered(tree: DataFrame, by: list[str], label: Column, shown: Column | None
         before = F.lag("_mark", 1, True).over(Window.partitionBy(*by).orderBy("left"))
         rows = rows.withColumn("_before", before).filter("_mark OR _before").withColumn("_line", F.when(F.col("_mark"), F.col("_line")).otherwise("..."))
     return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "_line"))), lambda r: r["_line"]), "\n").alias("text"))
+
+
+def resolved(references: DataFrame, blocks: DataFrame, by: list[str], excluded: tuple[str, ...] = ()) -> DataFrame:
+    """``references`` (by, path, target) with ``found``: the path of the block that each means, null if there is none.
+
+    A target, an array of names, means a block whose path ends so. Of several, that in the nearest scope: with the
+    longest common beginning with the reference's own path, then the shallower, then the first by path.
+    References in or below blocks of ``excluded`` kinds are left out (``blocks``: by, path, kind). Paths meet by an
+    index of their ends, so the join is on equal keys."""
+    if excluded:
+        over = blocks.filter(F.col("kind").isin(list(excluded))).select(*by, F.col("path").alias("_up"))
+        own = references.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))))
+        inside = own.join(over, [*by, "_up"], "left_semi").select(*by, "path").distinct()
+        references = references.join(inside, [*by, "path"], "left_anti")
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.size("path") - n + 1, n)))
+    index = blocks.select(*by, F.col("path").alias("_path"), ends.alias("target"))
+    asked = references.select(*by, "path", "target").distinct()
+    common = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size("path"), F.size("_path"))), lambda n: F.slice("path", 1, n) == F.slice("_path", 1, n)))
+    near = F.struct((-common).alias("common"), F.size("_path").alias("depth"), "_path")
+    best = asked.join(index, [*by, "target"]).groupBy(*by, "path", "target").agg(F.min(near).alias("_best"))
+    return references.join(best.select(*by, "path", "target", F.col("_best._path").alias("found")), [*by, "path", "target"], "left")

@@ -706,6 +706,36 @@ def tree_texts(spark, sf_dir):
     return md5(whole, "whole_md5").join(md5(few, "few_md5"), "region").join(md5(marked, "marked_md5"), "region")
 
 
+@query("""WITH b AS (SELECT DISTINCT c_nationkey AS nation, ['s' || c_custkey % 7] AS path, 'group' AS kind FROM customer UNION ALL SELECT c_nationkey, ['s' || c_custkey % 7, 'c' || c_custkey], CASE WHEN c_custkey % 11 = 0 THEN 'test' ELSE 'class' END FROM customer
+  UNION ALL SELECT DISTINCT c_nationkey, ['s' || c_custkey % 7, 'c' || c_custkey, 's' || o_orderkey % 7], 'function' FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT nation, path, unnest([['s' || substr(path[2], 2)::BIGINT % 5], [path[2], 's3'], ['none']]) AS target FROM b WHERE len(path) = 2 AND kind <> 'test'),
+m AS (SELECT r.nation, r.path, r.target, b.path AS found, CASE WHEN r.path[1] <> b.path[1] THEN 0 WHEN len(b.path) < 2 OR r.path[2] <> b.path[2] THEN 1 ELSE 2 END AS common FROM r LEFT JOIN b ON b.nation = r.nation AND len(b.path) >= len(r.target) AND b.path[len(b.path) - len(r.target) + 1 : len(b.path)] = r.target)
+SELECT nation, array_to_string(path, '.') AS path, array_to_string(target, '.') AS target, array_to_string(found, '.') AS found FROM m QUALIFY row_number() OVER (PARTITION BY nation, path, target ORDER BY common DESC, len(found), found) = 1""")
+def scoped_references(spark, sf_dir):
+    """References to names that are there at two depths and under many blocks, to the nearest scope; those below tests left out."""
+    customer, orders = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
+    text = lambda a, c: F.concat(F.lit(a), c.cast("string"))
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").alias("nation")
+    group, own = text("s", k % 7), text("c", k)
+    top = customer.select(nation, F.array(group).alias("path"), F.lit("group").alias("kind")).distinct()
+    mid = customer.select(nation, F.array(group, own).alias("path"), F.when(k % 11 == 0, "test").otherwise("class").alias("kind"))
+    low = orders.join(customer, F.col("o_custkey") == k).select(nation, F.array(group, own, text("s", F.col("o_orderkey") % 7)).alias("path"), F.lit("function").alias("kind")).distinct()
+    targets = F.explode(F.array(F.array(text("s", k % 5)), F.array(own, F.lit("s3")), F.array(F.lit("none"))))
+    references = customer.select(nation, F.array(group, own).alias("path"), targets.alias("target"))
+    found = trees.resolved(references, top.unionByName(mid).unionByName(low), ["nation"], ("test",))
+    return found.select("nation", *[F.array_join(c, ".").alias(c) for c in ("path", "target", "found")])
+
+
+@query("""WITH w AS (SELECT d.doc_id, list_filter(string_split_regex(d.text, '\\s+'), lambda x: x <> '') AS f, list_filter(string_split_regex(d.source || ' ' || d.lang || ' ' || d.text, '\\s+'), lambda x: x <> '') AS c FROM documents d),
+p AS (SELECT doc_id, f[1:48] AS own, c, least(64 - len(f[1:48]), 12) AS room FROM w) SELECT doc_id, md5(array_to_string(own || c[1:greatest(room, 0)], ' ')) AS tokens_md5 FROM p""")
+def fitted_tokens(spark, sf_dir):
+    """Documents' tokens with as many of a context as an encoder has room for."""
+    part = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    docs = t(spark, sf_dir, "documents")
+    own, context_tokens = F.slice(part(F.col("text")), 1, 48), part(F.concat_ws(" ", "source", "lang", "text"))
+    return docs.select("doc_id", F.md5(F.array_join(metrics.fitted_tokens(own, context_tokens, 64, 12), " ")).alias("tokens_md5"))
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, w(root, path, node, etype, depth) AS (SELECT DISTINCT src, [src], src, NULL::VARCHAR, 0 FROM edges WHERE starts_with(src, 'n') UNION ALL SELECT root, path || [dst], dst, e.etype, depth + 1 FROM w JOIN edges e ON src = node WHERE depth < 2)
 SELECT root, row_number() OVER (PARTITION BY root ORDER BY path)::INTEGER AS line_no, depth::INTEGER AS depth, etype, node FROM w""")
 def walked_trees(spark, sf_dir):
@@ -751,6 +781,51 @@ def search_cascade_parts(spark, sf_dir):
     return search.cascade(terms, index.select("node_id"), index)
 
 
+def _spanned(docs):
+    """Documents as blocks with span ids of all kinds, and the nodes of some of them."""
+    file, k = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")), F.col("doc_id")
+    ids = F.when(k % 5 == 0, F.array(F.lit("imports"))).when(k % 5 == 1, F.array(F.lit("docstring"), "lang")).when(k % 5 == 2, F.array("lang", "source")).when(k % 5 == 3, F.array("source", F.lit("comments"), "lang")).otherwise(F.array().cast("array<string>"))
+    blocks = docs.select(k.alias("item"), file.alias("file"), "text", (k % 20).alias("start"), (k % 20 + 10).alias("end"), ids.alias("span_ids"))
+    node = lambda name, start, end: docs.select(F.concat(file, F.lit(":"), name).alias("node_id"), F.lit("function").alias("type"), start.alias("start"), end.alias("end"))
+    return blocks, node(F.col("lang"), k % 13, k % 13 + 9).unionByName(node(F.col("source"), k % 17, k % 17 + 30).filter("end > 33"))
+
+
+@query(_BM25 + """, b AS (SELECT doc_id AS item, 'f' || doc_id || '.py' AS file, doc_id % 20 AS start, doc_id % 20 + 10 AS "end", CASE doc_id % 5 WHEN 0 THEN ['imports'] WHEN 1 THEN ['docstring', lang] WHEN 2 THEN [lang, source] WHEN 3 THEN [source, 'comments', lang] ELSE []::VARCHAR[] END AS span_ids FROM documents),
+nd AS (SELECT 'f' || doc_id || '.py:' || lang AS node_id, doc_id % 13 AS nf, doc_id % 13 + 9 AS nt FROM documents UNION ALL SELECT 'f' || doc_id || '.py:' || source, doc_id % 17, doc_id % 17 + 30 FROM documents WHERE doc_id % 17 + 30 > 33),
+o AS (SELECT r.query_id, r.rank, b.*, CASE WHEN len(list_filter(span_ids, lambda s: s NOT IN ('docstring', 'imports', 'comments'))) = 0 THEN 'all' WHEN len(list_filter(span_ids, lambda s: s IN ('docstring', 'imports', 'comments'))) > 0 THEN 'any' ELSE 'none' END AS kind FROM r JOIN b USING (item) WHERE r.rank <= 10),
+x AS (SELECT query_id, rank, item, file, unnest(span_ids) AS span, generate_subscripts(span_ids, 1) - 1 AS pos FROM o),
+e AS (SELECT x.*, nd.* FROM x JOIN nd ON nd.node_id = x.file || ':' || x.span),
+l AS (SELECT query_id, item, list(node_id ORDER BY nf, node_id) AS nodes, min(nf) AS low, arg_max(nt, (nf, node_id)) AS high FROM e GROUP BY ALL),
+sn AS (SELECT o.query_id, o.rank, 0 AS pos, kind, 'code_snippet' AS format, o.file AS node_id, start, "end", CASE WHEN kind = 'any' THEN array_to_string(coalesce(nodes, []), ',') ELSE '' END AS nodes, CASE WHEN kind = 'any' AND low < start THEN nodes[1] END AS cut_before, CASE WHEN kind = 'any' AND high > "end" THEN nodes[-1] END AS cut_behind FROM o LEFT JOIN l USING (query_id, item) WHERE kind <> 'none'
+  UNION ALL SELECT e.query_id, e.rank, e.pos, 'none', 'preview', e.node_id, nf, nt, '', NULL, NULL FROM e JOIN o USING (query_id, item) WHERE o.kind = 'none')
+SELECT query_id, place, kind, format, node_id, start, "end", nodes, cut_before, cut_behind FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos)::INTEGER AS place FROM sn) WHERE place <= 5""")
+def content_hits(spark, sf_dir):
+    """Issues' best documents as results, by whether their spans are code."""
+    blocks, nodes = _spanned(t(spark, sf_dir, "documents"))
+    hits = ranking.top_k(_bm25(spark, sf_dir), ["query_id"], 10)
+    found = search.content_hits(hits, blocks, nodes, ["query_id"])
+    return found.select("query_id", "place", "kind", "format", "node_id", "start", "end", F.array_join("nodes", ",").alias("nodes"), "cut_before", "cut_behind")
+
+
+@query()
+def snippet_requests(spark, sf_dir):
+    """A request per issue: the id of an entity, a name with its file, a few words of the issue, lines; in some files for every third."""
+    docs = t(spark, sf_dir, "documents")
+    blocks, inner = _spanned(docs)
+    files = blocks.select(F.col("file").alias("node_id"), F.lit("file").alias("type"), F.lit(1).cast("long").alias("start"), F.lit(60).cast("long").alias("end"))
+    nodes = kept(inner.unionByName(files))
+    index = graph.name_index(nodes)
+    k, words = F.col("item_id"), F.split("text", " ")
+    file = F.concat(F.lit("f"), k.cast("string"), F.lit(".py"))
+    asked = t(spark, sf_dir, "benchmark").join(docs.select(F.col("doc_id").alias("item_id"), "lang", "source"), "item_id")
+    requests = asked.select(
+        k.alias("request_id"), F.array(F.concat(file, F.lit(":"), "lang"), F.concat_ws(".", F.regexp_replace(file, r"\.py$", ""), "lang"), F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 3), " ")).alias("terms"),
+        F.array(F.lit(5), (k % 50 + 1).cast("int")).alias("lines"), F.when(k % 3 == 0, F.lit("f*2.py")).otherwise(file).alias("pattern"),
+    )
+    found = search.snippets(requests, nodes, index, blocks)
+    return found.withColumn("terms", F.array_join(F.transform("terms", lambda x: x.cast("string")), ","))
+
+
 @query("""WITH h AS (SELECT user_id AS query_id, event_type AS file, event_id AS span_id, value AS score FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY score DESC, span_id) AS n FROM h)
 SELECT query_id, file, span_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, span_id)::INTEGER AS rank FROM f WHERE n <= 2) WHERE rank <= 5""")
 def capped_spans(spark, sf_dir):
