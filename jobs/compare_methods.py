@@ -67,10 +67,10 @@ def run(spark: SparkSession, files: str, issues: str, out: str, config: str | No
 
 def job2_compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings and metrics of both methods after two runs."""
-    folder = folder(spark, "job2")
+    top = folder(spark, "job2")
     for _ in range(2):
-        run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", f"{folder}/out")
-    return spark.read.schema(SCHEMA).parquet(f"{folder}/out")
+        run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", f"{top}/out")
+    return spark.read.schema(SCHEMA).parquet(f"{top}/out")
 
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"

@@ -40,11 +40,11 @@ def run(spark: SparkSession, source: str, index: str, checkpoint: str, config: s
 
 def job1_index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all documents after two runs; ``version`` and ``since`` number batches, not rows, and are left out."""
-    folder = folder(spark, "job1")
+    top = folder(spark, "job1")
     for _ in range(2):
         # As a pattern, since the table may be one file, and the folder of a file stream must be a folder.
-        run(spark, f"{sf_dir}/document[s].parquet", f"{folder}/index", f"{folder}/checkpoint")
-    found = ingestion.read(spark, f"{folder}/index")
+        run(spark, f"{sf_dir}/document[s].parquet", f"{top}/index", f"{top}/checkpoint")
+    found = ingestion.read(spark, f"{top}/index")
     return found.select("repo", "path", "content_id", "block_no", "start", "end", "tokens", "block_id", "content")
 
 

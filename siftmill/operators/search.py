@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import glob_regex, is_test_file, matches_file, search_name, squeezed_contains
 from siftmill.operators.ranking import first_choice, preferring, top_k
-from siftmill.operators.retrieval import _small, bm25, partial_score, token_set_ratio
+from siftmill.operators.retrieval import bm25, partial_score, token_set_ratio
 from siftmill.operators.scratch import kept
 
 
@@ -87,21 +88,62 @@ def rerank_files(files: DataFrame, pattern: str) -> DataFrame:
     return files.withColumn("score", partial_score(bare, F.lit(pattern.replace("*", "").removesuffix(".py").strip("/"))))
 
 
-def containing(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (text) with each of ``parts`` (part) that their text contains. A part's longest
-    inner word (whole wherever the part is) is a word of such a text, so words are joined on and the
-    pairs tested; parts of fewer than three words meet every text."""
-    spaces = r"[\x00-\x20]+"
-    inner = F.slice(F.split("part", spaces), 2, F.greatest(F.size(F.split("part", spaces)) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = parts.withColumn("_word", longest["w"])
-    by_word = keyed.filter("_word IS NOT NULL")
-    wanted = by_word.select("_word").distinct()
-    # A text stays out of the shuffle: its words find the parts, and the text is tested where it is.
-    found = docs.withColumn("_word", F.explode(F.array_distinct(F.split("text", spaces)))).join(F.broadcast(wanted) if _small(wanted) else wanted, "_word", "left_semi")
-    found = found.join(F.broadcast(by_word) if _small(by_word, 10_000) else by_word, "_word").filter(F.contains("text", F.col("part")))
-    short = keyed.filter("_word IS NULL")
-    return found.drop("_word").unionByName(docs.join(short, F.contains("text", F.col("part"))).drop("_word"))
+#: Characters of the parts that are looked for at once, which bounds what a task holds and what is broadcast.
+MOST_CHARS = 1 << 20
+
+
+def _finder(keys: list[str]) -> Callable[[str | None], list[str]]:
+    """From a text to the digests of those of ``keys`` that it contains, in one pass over it."""
+    import hashlib
+
+    import ahocorasick
+
+    every = [hashlib.md5(k.encode()).hexdigest() for k in keys if k == ""]
+    found = ahocorasick.Automaton()
+    for key in keys:
+        if key:
+            found.add_word(key, hashlib.md5(key.encode("utf-8", "surrogatepass")).hexdigest())
+    if len(found):
+        found.make_automaton()
+    return lambda text: [] if text is None else every + (sorted({digest for _, digest in found.iter(text)}) if len(found) else [])
+
+
+def containing(docs: DataFrame, parts: DataFrame, clean: Callable[[Column], Column] = lambda c: c, lot: int = 1000) -> DataFrame:
+    """Rows of ``docs`` (text) with each of ``parts`` (part) that their text contains, both seen through ``clean``.
+
+    Texts are read once, by an automaton of all parts, and stay where they are while the parts have no more than
+    ``MOST_CHARS`` characters. More parts are dealt into blocks of that size and texts into lots of about ``lot``;
+    a task takes one of each. Nothing is tested pair by pair."""
+    spark = docs.sparkSession
+    keyed = kept(parts.filter("part IS NOT NULL").withColumn("_key", clean(F.col("part"))).withColumn("_digest", F.md5("_key")))
+    keys = keyed.select("_key").distinct()
+    blocks = max(1, -(-(keys.agg(F.sum(F.length("_key"))).first()[0] or 0) // MOST_CHARS))
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast([r[0] for r in keys.collect()])
+
+        @F.pandas_udf("array<string>")
+        def digests(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = _finder(shared.value)
+            for own in texts:
+                yield pd.Series([find(text) for text in own], dtype=object)
+
+        found = docs.withColumn("_digest", F.explode(digests(clean(F.col("text")))))
+        return found.join(keyed.drop("_key"), "_digest").drop("_digest")
+    rows = kept(docs.withColumn("_row", F.monotonically_increasing_id()))
+    lots = max(1, -(-rows.count() // lot))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    texts = rows.select("_row", clean(F.col("text")).alias("text"), of("_row", lots).alias("lot"), every(blocks).alias("block"))
+    wanted = keys.select(F.lit(-1).cast("long").alias("_row"), F.col("_key").alias("text"), every(lots).alias("lot"), of("_key", blocks).alias("block"))
+
+    def find_all(part: pd.DataFrame) -> pd.DataFrame:
+        is_key = part["_row"] == -1
+        find = _finder(part.loc[is_key, "text"].tolist())
+        pairs = [(row, digest) for row, text in part.loc[~is_key, ["_row", "text"]].itertuples(index=False, name=None) for digest in find(text)]
+        return pd.DataFrame(pairs, columns=["_row", "_digest"]).astype({"_row": "int64", "_digest": "object"})
+
+    pairs = texts.unionByName(wanted).groupBy("lot", "block").applyInPandas(find_all, "_row long, _digest string")
+    return rows.join(pairs, "_row").drop("_row").join(keyed.drop("_key"), "_digest").drop("_digest")
 
 
 def filtered_hits(hits: DataFrame, file_pattern: str | None = None, with_tests: bool = False, content: str | None = None) -> DataFrame:

@@ -299,7 +299,7 @@ def line_rendering(spark, sf_dir):
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(replace(replace(replace(d.text, ' ', ''), chr(9), ''), chr(10), ''), replace(replace(replace(b.text, ' ', ''), chr(9), ''), chr(10), ''))")
 def squeezed_match(spark, sf_dir):
     parts = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"))
-    return t(spark, sf_dir, "documents").join(parts, tx.squeezed_contains(F.col("text"), F.col("part"))).select("doc_id", "item_id")
+    return search.containing(t(spark, sf_dir, "documents").select("doc_id", "text"), parts, tx.squeezed).select("doc_id", "item_id")
 
 
 @query("""SELECT event_id, (props->>'k')::BIGINT AS k, coalesce(CASE WHEN (props->>'k')::BIGINT <> 0 THEN value / (props->>'k')::BIGINT END, 0.0) AS share FROM events""")

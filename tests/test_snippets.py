@@ -81,3 +81,30 @@ def test_patterns_of_a_column(spark, pattern):
     frame = spark.createDataFrame([(p, pattern) for p in paths], "path string, pattern string")
     rows = frame.select("path", F.rlike("path", tx.glob_regex(F.col("pattern"))).alias("a"), tx.matches_file(F.col("path"), pattern).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows), rows
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_texts_that_contain_parts(spark, monkeypatch, most, squeeze):
+    """By one automaton, and by blocks of parts and lots of texts, against every pair."""
+    monkeypatch.setattr(search, "MOST_CHARS", most)
+    texts = [(1, "the quick brown fox"), (2, "quick\tbrown"), (3, None), (4, ""), (5, "aaaa"), (6, "a line\nof quick brown foxes"), (6, "a line\nof quick brown foxes"), (7, "é ü ß 漢字 text")]
+    parts = [(10, "quick brown"), (11, "aa"), (12, ""), (13, None), (14, "brown fox"), (15, "aa"), (16, "漢字"), (17, "qui ck"), (18, "nowhere at all"), (19, "\n")]
+    clean = (lambda x: x.translate(str.maketrans("", "", " \t\n"))) if squeeze else (lambda x: x)
+    want = sorted((d, p) for d, t in texts for p, x in parts if t is not None and x is not None and clean(x) in clean(t))
+    docs, wanted = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(parts, "item_id int, part string")
+    found = search.containing(docs, wanted, tx.squeezed if squeeze else (lambda c: c), lot=3)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == want
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_fuzzy_names_by_all_pairs(spark, block):
+    from siftmill.operators.retrieval import token_set_ratio
+
+    names = ["load_file", "file.loader", "run", "Run.all", "a/b.py:Loader.load", "x", "zebra crossing", None]
+    terms = ["loader", "load file", "zebra", "", None, "RUN"]
+    plain = lambda x: x.lower().translate(str.maketrans("_-./:", "     "))
+    want = sorted((t, n, k + 1) for t in terms if t is not None for k, (_, n) in enumerate(sorted((-token_set_ratio(plain(t), plain(n)), n) for n in names if n)[:3]))
+    found = search.fuzzy(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "node_id string"), 3, term_block=block, split=block)
+    assert sorted((r["term"], r["node_id"], r["rank"]) for r in found.collect()) == want
