@@ -197,12 +197,15 @@ def _linked(held: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest doc_id. Columns as they were."""
-    held = written(_printed(docs.select(F.struct(*docs.columns).alias("_d_own"), "doc_id", "text")).drop("text"), "fingerprints")
+    printed = _printed(docs.select(F.struct(*docs.columns).alias("_d_own"), "doc_id", "text")).drop("text")
+    # The written table fixes the row numbers, by which what stays is found without the texts.
+    held = written(printed.withColumns({"_h_row": F.monotonically_increasing_id(), "_h_mark": F.xxhash64("_d_own")}), "fingerprints")
     parts = _components(held.select("_h_fp", "doc_id")).filter("fp = keeper").select("fp", "component_id")
-    kept = held.join(parts, (F.col("_h_fp") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = held.drop("_d_own").join(parts, (F.col("_h_fp") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Repeated rows of the same id and text: any one; in the order of their values, so that reruns agree.
-    order = Window.partitionBy("_h_fp", "doc_id").orderBy(F.xxhash64("_d_own"))
-    return kept.withColumn("_h_no", F.row_number().over(order)).filter("_h_no = 1").select("_d_own.*")
+    order = Window.partitionBy("_h_fp", "doc_id").orderBy("_h_mark", "_h_row")
+    stay = kept.withColumn("_h_no", F.row_number().over(order)).filter("_h_no = 1").select(F.col("_h_row").alias("_h_stays"))
+    return held.join(stay, F.col("_h_row") == F.col("_h_stays")).select("_d_own.*")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
