@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftmill.functions.text import glob_pattern
 
-#: Endings of source files.
+#: Endings of source files, the largest one that is read, and what names test files.
 ENDINGS = (".py", ".java", ".js", ".ts", ".go", ".rs", ".cpp", ".c", ".hpp", ".h")
 MOST_BYTES = 10 * 1024 * 1024
 TEST_GLOBS = ("*/test/*", "*/tests/*", "*test_*.py", "*_test.py")
@@ -38,30 +38,32 @@ class _RepoReader(DataSourceReader):
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
         for path in partition.paths:
+            size = text = error = None
             try:
                 size = os.path.getsize(path)
                 if size > self.most:
                     continue
                 with open(path, "rb") as f:
-                    raw = f.read()
-            except OSError:
-                continue
+                    text = f.read().decode("utf-8", "ignore")
+            except OSError as unread:
+                error = f"{type(unread).__name__}: {unread.strerror}"
             inner = os.path.relpath(path, partition.root)
             repo, _, rest = inner.partition(os.sep)
-            yield (repo, rest, raw.decode("utf-8", "ignore"), size) if rest else ("", inner, raw.decode("utf-8", "ignore"), size)
+            yield (repo if rest else "", rest or inner, text, size, error)
 
 
 class RepoSource(DataSource):
-    """Source files below a folder of repositories: ``repo, path, text, bytes``. Unlike Spark's file
-    sources it lists names that begin with ``_``, such as ``__init__.py``. Options: path, endings,
-    most_bytes, files_a_task. The folder must be mounted on all executors."""
+    """Source files below a folder of repositories: ``repo, path, text, bytes, error``. Unlike Spark's file
+    sources it lists names that begin with ``_``, such as ``__init__.py``. A file that cannot be read is a row
+    without text, with the reason as ``error``. Options: path, endings, most_bytes, files_a_task. The folder
+    must be mounted on all executors."""
 
     @classmethod
     def name(cls) -> str:
         return "siftmill_repos"
 
     def schema(self) -> str:
-        return "repo string, path string, text string, bytes long"
+        return "repo string, path string, text string, bytes long, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _RepoReader(self.options)

@@ -147,3 +147,34 @@ def test_patches_by_trying_all_places(spark):
         if "@@" in diff.split("b/x.py", 2)[-1]:
             assert found[key, "x.py"] == plain_patch(text, diff.split("\n", 3)[3]), (key, diff)
     assert found["two", "x.py"] == (True, [0], "one\n2\n") and found["two", "n.py"] == (True, [0], "x\ny\n") and found["two", "gone.py"] == (False, None, None)
+
+
+def test_files_that_cannot_be_read_are_reported(spark, tmp_path):
+    import os
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.py").write_text("x = 1")
+    (tmp_path / "r" / "b.py").mkdir()  # a folder by that name is no file
+    os.mkfifo(tmp_path / "r" / "fifo.txt")
+    os.makedirs(tmp_path / "r" / "deep")
+    (tmp_path / "r" / "deep" / "gone.py").write_text("y = 2")
+    from siftmill.sources.readers import _Folder, _RepoReader
+
+    reader = _RepoReader({"path": str(tmp_path)})
+    part = reader.partitions()[0]
+    (tmp_path / "r" / "deep" / "gone.py").unlink()
+    found = {row[1]: row for row in reader.read(_Folder(part.root, part.paths))}
+    assert found["a.py"] == ("r", "a.py", "x = 1", 5, None)
+    assert found["deep/gone.py"] == ("r", "deep/gone.py", None, None, "FileNotFoundError: No such file or directory")
+    assert "b.py" not in found and "fifo.txt" not in found
+
+
+def test_references_in_scopes(spark):
+    """Equal names at three depths, references from within and without, kinds left out."""
+    from siftmill.operators import trees
+
+    blocks = [("f", ["m"], "module"), ("f", ["m", "run"], "function"), ("f", ["m", "C"], "class"), ("f", ["m", "C", "run"], "function"), ("f", ["m", "C", "D"], "class"), ("f", ["m", "C", "D", "run"], "function"), ("f", ["m", "test_C"], "test"), ("f", ["m", "test_C", "run"], "function"), ("g", ["m", "other"], "function")]
+    asked = [("f", ["m", "C", "D", "x"], ["run"]), ("f", ["m", "C", "y"], ["run"]), ("f", ["m", "z"], ["run"]), ("f", ["m", "z"], ["D", "run"]), ("f", ["m", "z"], ["other"]), ("f", ["m", "test_C", "t"], ["run"]), ("g", ["m", "z"], ["other"])]
+    found = trees.resolved(spark.createDataFrame(asked, "file string, path array<string>, target array<string>"), spark.createDataFrame(blocks, "file string, path array<string>, kind string"), ["file"], ("test",))
+    got = {(r["file"], ".".join(r["path"]), ".".join(r["target"])): r["found"] and ".".join(r["found"]) for r in found.collect()}
+    assert got == {("f", "m.C.D.x", "run"): "m.C.D.run", ("f", "m.C.y", "run"): "m.C.run", ("f", "m.z", "run"): "m.run", ("f", "m.z", "D.run"): "m.C.D.run", ("f", "m.z", "other"): None, ("g", "m.z", "other"): "m.other"}
