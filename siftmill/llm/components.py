@@ -10,7 +10,8 @@ from siftmill.llm.common import written
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """From ``a, b`` (long): ``node, root`` for each node of an edge, root the smallest node of its
-    component.
+    component. No edges: an empty result. Edges with a null end, and those from a node to itself, join
+    nothing, and a node with no others is not in the result.
 
     Alternates large-star and small-star steps (Kiveris et al., Connected Components in MapReduce
     and Beyond, 2014) until nothing changes. Each round is written to the shared folder, so lineage

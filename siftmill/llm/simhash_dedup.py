@@ -16,7 +16,8 @@ The work of the comparison grows with the square of the distinct fingerprints, a
 pair; at 10^8 distinct fingerprints that is some 400 core hours.
 
 Defined cases. Null or empty text, or one without words: fingerprint zero, linked like any other.
-Fewer than four words: one shingle of them all. Repeated shingles count again. Repeated rows and
+Fewer than four words: one shingle of them all. Repeated shingles count again. Very long texts: whole,
+in memory of some ten times their size, as shingles are hashed some at a time. Repeated rows and
 ties: each row gets its component. Null doc_id: the row takes part; the component's id is the
 smallest non-null one, or null if there is none. An empty table: an empty result. Further columns
 are kept; of columns named like a result column, the result's value stays.

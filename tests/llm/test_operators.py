@@ -839,3 +839,38 @@ def test_whole_texts_with_all_kinds_of_secrets(spark):
     found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
     expected = {k: plain_secret_spans(t) for k, t in enumerate(texts)}
     assert found == expected and sum("weak" in s for s in expected.values()) > 100
+
+
+MEGABYTES = "".join(f"word{k % 9973} and {k % 31} " + ("\n" if k % 40 == 0 else "") for k in range(250_000))
+
+
+def test_texts_of_megabytes(spark):
+    """Whole texts of some megabytes, and near copies of them."""
+    near = MEGABYTES.replace("word77 ", "other ")
+    docs = spark.createDataFrame([(1, MEGABYTES, "a"), (2, near, "b"), (3, MEGABYTES + "token = 'abcdef123456'", "a"), (4, "short", "b")], "doc_id long, text string, source string")
+    prints = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash_dedup.link(docs).collect()}
+    assert prints[1][0] == f"{plain_print(MEGABYTES):016x}" and prints[1][1] == prints[2][1] == prints[3][1] == 1 and prints[4][1] == 4
+    sizes = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(docs).collect()}
+    assert sizes[1][0] == 750_000 and all(0 <= taken <= 3 * size for size, taken in sizes.values())
+    assert {r["doc_id"]: r["n_assign"] for r in secret_scan.scan(docs).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_edges_without_ends_join_nothing(spark):
+    edges = spark.createDataFrame([(1, 2), (2, None), (None, 3), (4, 4), (5, 4)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components.connected_components(edges).collect()} == {(1, 1), (2, 1), (4, 4), (5, 4)}
+    assert components.connected_components(edges.limit(0)).collect() == []
+
+
+def test_a_third_of_all_rows_are_one(spark):
+    """One row, id and text, many times: each takes for itself and is packed for itself."""
+    rows = [(7, "the same few words in all of these rows", "a")] * 400 + [(1000 + k, f"other {k} words " * 3, "b") for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    found = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert all(abs(r["n"] - r["t"]) <= 0.02 * r["t"] + 130 for r in found)
+    assert packing.pack(docs.select("doc_id", "text")).filter("doc_id = 7").count() == 400
+
+
+def test_ties_between_languages_go_by_name():
+    model = language_id.fit(["abc abd", "abc abd"], ["yy", "xx"], language_id.Sample())
+    score = model.score([language_id.grams("abc abd")])
+    assert model.languages == ["xx", "yy"] and abs(score[0, 0] - score[0, 1]) < 1e-5
