@@ -1,6 +1,6 @@
 """Rank files for issues by several methods, and score each method against the files that are right.
 
-    spark-submit --py-files siftmill.zip -m jobs.compare_methods --files DOCS --issues ISSUES --out OUT [--config jobs/compare_methods.json]
+    python -m jobs.compare_methods --files DOCS --issues ISSUES --out OUT [--config jobs/compare_methods.json]
 
 Files are cut into blocks, each method ranks the best blocks of every issue, files come in the order of
 the sums of their blocks' scores, and the right files of an issue are those that contain its text. The output is one

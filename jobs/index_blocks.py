@@ -1,6 +1,6 @@
 """Keep an index of blocks up to date with a growing folder of files.
 
-    spark-submit --py-files siftmill.zip -m jobs.index_blocks --source DOCS --index INDEX --checkpoint MARK [--config jobs/index_blocks.json]
+    python -m jobs.index_blocks --source DOCS --index INDEX --checkpoint MARK [--config jobs/index_blocks.json]
 
 Takes the Parquet files of the source that are new since the last run (file stream, availableNow), finds which paths
 changed, cuts those into blocks and overwrites only the partitions they are in; see

@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _shared(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; only on a single machine is a temporary folder made
-    where none is named."""
-    context = spark.sparkContext
+    """The folder that ``spark.checkpoint.dir`` names, else that of the context; only on a single machine is a
+    temporary folder made where there is neither."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not context.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="siftmill-")
-        atexit.register(shutil.rmtree, own, True)
-        context.setCheckpointDir(f"file://{own}")
-    return context.getCheckpointDir()
+        if not named:
+            if context.master.split("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="siftmill-")
+            atexit.register(shutil.rmtree, own, True)
+            named = f"file://{own}"
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
 
 
 def kept(df: DataFrame) -> DataFrame:
