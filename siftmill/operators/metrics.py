@@ -91,15 +91,18 @@ def floor_percentiles(values: DataFrame, column: str, shares: tuple[float, ...]
     return at.filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("share", F.col(column).alias("value"))
 
 
-def sampled_lengths(rows: DataFrame, key: str, length: Column, most: int, size: int = 10_000, parts: int = 256, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+def sampled_lengths(rows: DataFrame, key: str, length: Column, most: int, size: int | None = 10_000, parts: int = 256, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row: ``n``, ``truncated`` (how many are longer than ``most``), ``rate``, and percentiles ``p50`` and so on of a sample of ``size``
     lengths. The counts are of all rows; the sample are the rows whose hashed ``key`` is smallest, so reruns and
-    other partitionings take the same. The smallest of each of ``parts`` lots are found first, then those of all."""
+    other partitionings take the same. The smallest of each of ``parts`` lots are found first, then those of all.
+    ``size`` None: percentiles of all rows, from counts of distinct lengths."""
     marked = rows.select(F.xxhash64(key).alias("_mark"), length.alias("_length")).filter("_length IS NOT NULL")
     counts = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_length") > most).alias("truncated"))
-    lots = Window.partitionBy(F.pmod("_mark", F.lit(parts))).orderBy("_mark", "_length")
-    few = marked.withColumn("_nth", F.row_number().over(lots)).filter(F.col("_nth") <= size)
-    few = few.orderBy("_mark", "_length").limit(size)
+    few = marked
+    if size is not None:
+        lots = Window.partitionBy(F.pmod("_mark", F.lit(parts))).orderBy("_mark", "_length")
+        few = marked.withColumn("_nth", F.row_number().over(lots)).filter(F.col("_nth") <= size)
+        few = few.orderBy("_mark", "_length").limit(size)
     found = floor_percentiles(few, "_length", shares)
     wide = found.agg(*[F.max(F.when(F.abs(F.col("share") - s) < 1e-9, F.col("value"))).alias(f"p{round(100 * s)}") for s in shares])
     one = F.lit(1).alias("_one")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmill.operators import context, graph, metrics, trees
+from siftmill.operators.scratch import folder
+from siftmill.plans import catalogue
 from siftmill.sources import stores
 
 
@@ -153,6 +155,16 @@ def test_samples_of_lengths_are_the_same_in_any_order(spark):
     assert abs(one["p50"] - 500) < 80 and abs(one["p99"] - 990) < 15
 
 
+def test_lengths_of_all_rows(spark):
+    """More rows than a sample holds: the percentiles are those of all."""
+    rows = spark.range(25_000).select("id", (F.col("id") * 7919 % 25_000).alias("n"))
+    rows.write.parquet(path := folder(spark, "lengths"))
+    found = metrics.sampled_lengths(spark.read.parquet(path), "id", F.col("n"), 600, size=None).first()
+    assert [found[c] for c in ("n", "p50", "p90", "p95", "p99")] == [25_000, 12_499, 22_499, 23_749, 24_749]
+    rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars")).write.parquet(f"{path}-t/documents.parquet")
+    assert catalogue.QUERIES["sampled_lengths"](spark, f"{path}-t").first()["p99"] == 24_749
+
+
 def test_prompts(spark):
     files = spark.createDataFrame([("a", "1\n2\n3\n4\n5\n6"), ("b", "x\ny"), ("c", None), ("d", "1\n2")], "file string, text string")
     spans = spark.createDataFrame([("a", 2, 3, 1, 5), ("a", 3, 3, 2, 5), ("a", 6, 6, 3, 5), ("d", 7, 9, 1, 1)], "file string, start int, end int, rank int, tokens int")
