@@ -38,8 +38,10 @@ def tightest_container(points: DataFrame, ranges: DataFrame, keys: list[str], at
 
 
 def merge(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of intervals per key; those that touch only by adjacency stay apart."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
+    """Union of intervals per key; those that touch only by adjacency stay apart. Of equal starts the longest
+    covers the others, so a key's window has a row per start, and no ties."""
+    ranges = ranges.groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    order = Window.partitionBy(*keys).orderBy("start")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
     island = ranges.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

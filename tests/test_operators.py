@@ -244,3 +244,15 @@ def test_stream_takes_each_key_once(spark, tmp_path):
         spark.createDataFrame(batch, "id long, x string").coalesce(1).write.mode("append").parquet(source)
         incremental.stream_new(spark, source, "id long, x string", sink, str(tmp_path / "check"), lambda df: df.withColumn("y", F.upper("x")), "id").awaitTermination()
     assert rows(spark.read.parquet(sink), "id", "y") == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_merge_of_equal_ranges(spark):
+    """Equal ranges, whose order no ORDER BY settles, neither join two islands nor make one more."""
+    from siftmill.operators import ranges
+
+    rows = [("a", 10, 13)] * 3 + [("a", 15, 17)] * 2 + [("a", 22, 25)] * 5 + [("a", 22, 23), ("b", 1, 2)]
+    own = spark.createDataFrame(rows, "k string, start long, end long").repartition(5)
+    assert sorted(map(tuple, ranges.merge(own, ["k"]).collect())) == [("a", 10, 13), ("a", 15, 17), ("a", 22, 25), ("b", 1, 2)]
+    whole = spark.createDataFrame([("a", 0, 30)], "k string, first long, last long")
+    gaps = ranges.uncovered(own.filter("k = 'a'"), whole, ["k"])
+    assert sorted(map(tuple, gaps.collect())) == [("a", 0, 9), ("a", 14, 14), ("a", 18, 21), ("a", 26, 30)]
