@@ -193,10 +193,15 @@ def fuzzy_ratio(a: str, b: str) -> float:
 
 def token_set_ratio(a: str, b: str) -> float:
     """Similarity of sets of words: common words are compared with either set's whole."""
-    x, y = set(a.split()), set(b.split())
+    return token_list_ratio(sorted(set(a.split())), sorted(set(b.split())))
+
+
+def token_list_ratio(x: list[str], y: list[str]) -> float:
+    """``token_set_ratio`` of distinct words, each list in the order in which they are compared."""
     if not x or not y:
         return 0.0
-    both, only_a, only_b = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    in_x, in_y = set(x), set(y)
+    both, only_a, only_b = " ".join(w for w in x if w in in_y), " ".join(w for w in x if w not in in_y), " ".join(w for w in y if w not in in_x)
     if both and (not only_a or not only_b):
         return 100.0
     whole_a, whole_b = f"{both} {only_a}".strip(), f"{both} {only_b}".strip()

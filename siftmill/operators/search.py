@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions.text import glob_regex, is_test_file, matches_file, search_name, squeezed_contains
 from siftmill.operators.ranking import first_choice, preferring, top_k
-from siftmill.operators.retrieval import bm25, partial_score, token_set_ratio
+from siftmill.operators.retrieval import bm25, partial_score, token_list_ratio
 from siftmill.operators.scratch import kept
 
 
@@ -25,16 +25,30 @@ def by_name(terms: DataFrame, index: DataFrame) -> DataFrame:
 
 def by_dotted_name(terms: DataFrame, index: DataFrame) -> list[DataFrame]:
     """Options ``term, node_id, found_by`` for terms such as ``Class.method``, by the name after the last
-    dot: nodes with all parts before it in their path; nodes of a file that it names; any node."""
+    dot: nodes with all parts before it in their path; nodes of a file that it names; any node.
+
+    Nodes of equal names are many, so terms meet only those that have the rarest of their parts, or a file that is
+    a piece of what stands before the last dot; both are joins on equal keys. Only the last option returns all nodes of a name."""
     before = F.regexp_replace(F.regexp_replace("term", r"\.[^.]*\z", ""), r"^\s+|\s+\z", "")
     asked = terms.filter(F.contains("term", F.lit("."))).select("term", F.element_at(F.split(before, r"\s+"), -1).alias("prefix"), F.trim(F.regexp_extract("term", r"([^.]*)\z", 1)).alias("last"))
-    hits = by_name(asked.select(F.col("last").alias("term")).distinct(), index).withColumnRenamed("term", "last")
-    found = asked.join(hits, "last")
+    hits = kept(by_name(asked.select(F.col("last").alias("term")).distinct(), index).withColumnRenamed("term", "last"))
+    asked = kept(asked.join(hits.select("last").distinct(), "last", "left_semi"))
     path = F.split(F.replace(F.lower("node_id"), F.lit(".py"), F.lit("")), "[./:]")
     path = F.slice(path, F.lit(1), F.size(path) - 1)
-    within = (F.col("prefix") == "") | F.forall(F.split(F.lower("prefix"), r"\."), lambda p: F.array_contains(path, p))
-    in_file = F.contains("prefix", F.split_part("node_id", F.lit(":"), F.lit(1)))
-    return [found.filter(test).select("term", "node_id", F.lit(by).alias("found_by")) for by, test in (("prefix", within), ("file", in_file), ("suffix", F.lit(True)))]
+    own = hits.select("last", "node_id", F.explode(F.array_distinct(path)).alias("part"))
+    wanted = asked.filter("prefix <> ''").select("term", "last", F.array_distinct(F.split(F.lower("prefix"), r"\.")).alias("parts"))
+    each = wanted.select("term", "last", "parts", F.explode("parts").alias("part"))
+    counts = own.join(each.select("last", "part").distinct(), ["last", "part"], "left_semi").groupBy("last", "part").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, ["last", "part"]).groupBy("term", "last", "parts").agg(F.count(F.lit(1)).alias("known"), F.min_by("part", F.struct("n", "part")).alias("part"))
+    within = rarest.filter(F.col("known") == F.size("parts")).join(own, ["last", "part"]).filter(F.size(F.array_except("parts", path)) == 0).select("term", "node_id")
+    within = within.unionByName(asked.filter("prefix = ''").join(hits, "last").select("term", "node_id"))
+    # Pieces of the prefix, of the lengths that files have, which are few.
+    files = hits.withColumn("file", F.split_part("node_id", F.lit(":"), F.lit(1)))
+    lengths = files.select(F.length("file").alias("n")).distinct()
+    pieces = asked.join(F.broadcast(lengths), F.length("prefix") >= F.col("n")).select("term", "last", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("prefix") - F.col("n") + 1), lambda k: F.substring("prefix", k, F.col("n"))))).alias("file"))
+    in_file = pieces.join(files, ["last", "file"]).select("term", "node_id")
+    anywhere = asked.join(hits, "last").select("term", "node_id")
+    return [found.withColumn("found_by", F.lit(by)) for found, by in ((within, "prefix"), (in_file, "file"), (anywhere, "suffix"))]
 
 
 def cascade(terms: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 5, k_fuzzy: int = 3) -> DataFrame:
@@ -45,22 +59,26 @@ def cascade(terms: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 5, k_
     exact = terms.join(ids, F.col("term") == F.col("node_id")).select("term", "node_id", F.lit("id").alias("found_by"))
     bare = terms.withColumn("node_id", F.regexp_replace("term", r"\.__init__$", "")).join(ids, "node_id", "left_semi").select("term", "node_id", F.lit("init").alias("found_by"))
     named = by_name(terms, index).withColumn("found_by", F.lit("name"))
-    within, in_file, anywhere = by_dotted_name(terms, index)
+    within, in_file, _ = by_dotted_name(terms, index)
     # What is read by several steps is kept, or each step's plan would hold all those before.
     sure = kept(first_choice([exact, bare, named, within, in_file], ["term"]))
-    # BM25 and fuzzy ids only for what is left, since a part such as ``py`` is in most ids.
+    # All nodes of a name, BM25 and fuzzy ids only for what is left, since a part such as ``py`` is in most ids.
     rest = kept(terms.select("term").distinct().join(sure.select("term"), "term", "left_anti"))
+    anywhere = by_dotted_name(rest, index)[-1]
     lexical = top_k(bm25(rest.select(F.col("term").alias("query_id"), F.col("term").alias("text")), ids.select(F.col("node_id").alias("item"), F.translate("node_id", "_./:", "    ").alias("text"))), ["query_id"], k)
     lexical = kept(lexical.select(F.col("query_id").alias("term"), F.col("item").alias("node_id"), F.lit("bm25").alias("found_by")))
     similar = fuzzy(rest.join(lexical.select("term"), "term", "left_anti"), ids, k_fuzzy).select("term", "node_id", F.lit("fuzzy").alias("found_by"))
-    return sure.unionByName(first_choice([anywhere.join(rest, "term", "left_semi"), lexical.unionByName(similar)], ["term", "node_id"]))
+    return sure.unionByName(first_choice([anywhere, lexical.unionByName(similar)], ["term", "node_id"]))
 
 
-def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, term_block: int = 256, split: int = 4096) -> DataFrame:
+def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, term_block: int = 256, split: int = 1 << 15) -> DataFrame:
     """The best nodes by token-set ratio of their ids: ``term, node_id, score, rank``. Every term is
     scored against every distinct id, since close ones need not share any run of characters: terms are dealt into
     blocks of about ``term_block`` and ids into splits of about ``split``, a task takes one of each, and returns at
-    most k rows a term. Neither comes to the driver."""
+    most k rows a term. Neither comes to the driver.
+
+    A digit that a term has not matches nothing of it, whichever it is. So ids that differ in such digits alone have
+    one score, which is worked out once, for the k of them that come first."""
     plain = lambda c: F.translate(F.lower(c), "_-./:", "     ")
     terms = kept(terms.filter("term IS NOT NULL").select("term", plain(F.col("term")).alias("words")).distinct())
     ids = kept(nodes.filter("node_id IS NOT NULL").select("node_id", plain(F.col("node_id")).alias("words")).distinct())
@@ -71,10 +89,21 @@ def fuzzy(terms: DataFrame, nodes: DataFrame, k: int = 5, term_block: int = 256,
     held = ids.select(F.col("node_id").alias("name"), "words", F.lit(False).alias("asks"), every(blocks).alias("block"), lot("node_id", splits).alias("split"))
 
     def best(part: pd.DataFrame) -> pd.DataFrame:
-        names = list(part.loc[~part["asks"], ["name", "words"]].itertuples(index=False, name=None))
+        names = [(name, " ".join(sorted(set(words.split())))) for name, words in part.loc[~part["asks"], ["name", "words"]].itertuples(index=False, name=None)]
+        names.sort()
+        shapes: dict[str, list[tuple[list[str], list[str]]]] = {}
         rows = []
         for term, words in part.loc[part["asks"], ["name", "words"]].itertuples(index=False, name=None):
-            scored = ((-token_set_ratio(words, other), name) for name, other in names)
+            digits = "".join(c for c in "0123456789" if c in words)
+            if digits not in shapes:
+                alike: dict[str, list[str]] = {}
+                other = {ord(c): "\0" for c in "0123456789" if c not in digits}
+                for name, own in names:
+                    if len(first := alike.setdefault(own.translate(other), [])) < k:
+                        first.append(name)
+                shapes[digits] = [(shape.split(), first) for shape, first in alike.items()]
+            mine = sorted(set(words.split()))
+            scored = ((-score, name) for shape, first in shapes[digits] for score in (token_list_ratio(mine, shape),) for name in first)
             rows += [(term, name, -score) for score, name in heapq.nsmallest(k, scored)]
         return pd.DataFrame(rows, columns=["term", "node_id", "score"]).astype({"score": "float64"})
 
@@ -252,7 +281,10 @@ def _entities(terms: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame
     exact = distinct.join(ids, F.col("term") == F.col("node_id")).select("term", "node_id", F.lit("id").alias("found_by"))
     bare = distinct.filter(F.endswith("term", F.lit(".__init__"))).withColumn("node_id", F.regexp_replace("term", r"\.__init__\z", "")).join(ids, "node_id", "left_semi").select("term", "node_id", F.lit("init").alias("found_by"))
     named = by_name(distinct, index).withColumn("found_by", F.lit("name"))
-    found = first_choice([exact, bare, named, *by_dotted_name(distinct, index)], ["term"])
+    within, in_file, _ = by_dotted_name(distinct, index)
+    sure = kept(first_choice([exact, bare, named, within, in_file], ["term"]))
+    # All nodes of a name only for terms that nothing else finds.
+    found = sure.unionByName(by_dotted_name(distinct.join(sure.select("term"), "term", "left_anti"), index)[-1])
     asked = terms.join(found, "term")
     within = F.col("found_by").isin("id", "init") | F.col("pattern").isNull() | F.rlike(F.split_part("node_id", F.lit(":"), F.lit(1)), glob_regex(F.col("pattern")))
     return preferring(asked, within, key).select(*key, "term", "pattern", "node_id", "found_by")

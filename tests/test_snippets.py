@@ -108,3 +108,30 @@ def test_fuzzy_names_by_all_pairs(spark, block):
     want = sorted((t, n, k + 1) for t in terms if t is not None for k, (_, n) in enumerate(sorted((-token_set_ratio(plain(t), plain(n)), n) for n in names if n)[:3]))
     found = search.fuzzy(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "node_id string"), 3, term_block=block, split=block)
     assert sorted((r["term"], r["node_id"], r["rank"]) for r in found.collect()) == want
+
+
+def test_dotted_names_meet_only_their_parts(spark):
+    """As many terms as nodes of one name: each finds its own by its parts."""
+    n = 3000
+    nodes = spark.range(n).select(F.concat(F.lit("p"), "id", F.lit("/q.py:work")).alias("node_id"), F.lit("function").alias("type"))
+    terms = spark.range(n).select(F.concat(F.lit("p"), "id", F.lit(".q.work")).alias("term"))
+    odd = spark.createDataFrame([(".work",), ("see p7/q.py.work",), ("xp7/q.pyx.work",), ("nothing.work",), ("p7.p8.work",)], "term string")
+    within, in_file, anywhere = search.by_dotted_name(terms.unionByName(odd), graph.name_index(nodes))
+    found = {t: k for t, k in within.groupBy("term").count().collect()}
+    assert found.pop(".work") == n and len(found) == n and set(found.values()) == {1}
+    # Parts split at dots: a term that ends in a file's name is found by the file.
+    files = sorted((r["term"], r["node_id"]) for r in in_file.collect())
+    assert files == [("see p7/q.py.work", "p7/q.py:work"), ("xp7/q.pyx.work", "p7/q.py:work")]
+    assert anywhere.filter("term = 'nothing.work'").count() == n
+
+
+def test_fuzzy_ids_that_differ_in_digits_alone(spark):
+    from siftmill.operators import retrieval
+
+    ids = [f"p{k:05d}.py:Brand" for k in range(500)] + [f"p{k:05d}.py:Brend{k % 7}" for k in range(500)]
+    nodes = spark.createDataFrame([(i,) for i in ids], "node_id string")
+    terms = ["Brandx", "Brend3 p00017", "Brond 9x"]
+    plain = lambda c: "".join(" " if x in "_-./:" else x for x in c.lower())
+    want = sorted((t, i, k + 1) for t in terms for k, (_, i) in enumerate(sorted((-retrieval.token_set_ratio(plain(t), plain(i)), i) for i in ids)[:3]))
+    found = search.fuzzy(spark.createDataFrame([(t,) for t in terms], "term string"), nodes, 3)
+    assert sorted((r["term"], r["node_id"], r["rank"]) for r in found.collect()) == want
