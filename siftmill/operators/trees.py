@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from siftmill.operators.ranges import tightest_container
 
+#: Lines or left numbers that a sorted window takes at once.
+_CUT = 1 << 16
+
 
 def numbered(blocks: DataFrame, by: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
     """``blocks`` with left, right, depth (from 0) and below (how many blocks are below); and for each of ``sums`` its
@@ -61,21 +64,39 @@ def at_lines(tree: DataFrame, lines: DataFrame, by: list[str], width: int = 64)
 
 def next_from(tree: DataFrame, lines: DataFrame, by: list[str]) -> DataFrame:
     """``lines`` (by, line) with ``left`` of the first block that starts on that line or behind it: an as-of
-    look ahead by one sorted window, without a join on ranges."""
-    points = lines.select(*by, F.col("line").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_left")).distinct()
-    starts = tree.select(*by, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("left").alias("_left"))
-    order = Window.partitionBy(*by).orderBy("_at", "_kind", "_left").rowsBetween(0, Window.unboundedFollowing)
-    found = points.unionByName(starts).withColumn("left", F.first("_left", ignorenulls=True).over(order))
-    return found.filter("_kind = 0").select(*by, F.col("_at").alias("line"), "left")
+    look ahead by sorted windows over cuts of ``_CUT`` lines, without a join on ranges."""
+    cut = F.floor(F.col("_at") / _CUT).alias("_cut")
+    points = lines.select(*by, F.col("line").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_left")).distinct()
+    starts = tree.select(*by, F.col("start").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.col("left").alias("_left"))
+    both = points.unionByName(starts).select("*", cut)
+    # Backwards, since a frame to the end of its partition is read anew for every row.
+    order = Window.partitionBy(*by, "_cut").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_left"))
+    found = both.withColumn("left", F.last("_left", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_kind = 0")
+    # Where a cut has no more blocks, the first block of those behind it.
+    cuts = both.groupBy(*by, "_cut").agg(F.min(F.when(F.col("_kind") == 1, F.struct("_at", "_left"))).alias("_first"))
+    behind = Window.partitionBy(*by).orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select(*by, "_cut", F.last("_first", ignorenulls=True).over(behind)["_left"].alias("_next"))
+    found = found.join(cuts, [*by, "_cut"], "left")
+    return found.select(*by, F.col("_at").cast(lines.schema["line"].dataType).alias("line"), F.coalesce("left", "_next").alias("left"))
 
 
 def spans(tree: DataFrame, by: list[str]) -> DataFrame:
     """For each span_id its first and last block, and the block that stands before the first: ``by, span_id,
     first, last, preceding``, all as left numbers."""
-    ahead = tree.withColumn("_ahead", F.lag("left").over(Window.partitionBy(*by).orderBy("left")))
+    ahead = _ahead(tree, by)
     return ahead.filter("span_id IS NOT NULL").groupBy(*by, "span_id").agg(F.min("left").alias("first"), F.max("left").alias("last"), F.min_by("_ahead", "left").alias("preceding"))
 
 
+def _ahead(tree: DataFrame, by: list[str]) -> DataFrame:
+    """``tree`` with ``_ahead``: the left number before each block's. Windows take ``_CUT`` numbers; the first block of one
+    follows the last of those before."""
+    cut = tree.withColumn("_cut", F.floor(F.col("left") / _CUT))
+    cuts = cut.groupBy(*by, "_cut").agg(F.max("left").alias("_end"))
+    cuts = cuts.select(*by, "_cut", F.max("_end").over(Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)).alias("_end"))
+    own = F.lag("left").over(Window.partitionBy(*by, "_cut").orderBy("left"))
+    return cut.withColumn("_ahead", own).join(F.broadcast(cuts), [*by, "_cut"]).withColumn("_ahead", F.coalesce("_ahead", "_end")).drop("_cut", "_end")
+
+
 def span_ids_below(tree: DataFrame, by: list[str], wanted: Column, width: int = 64) -> DataFrame:
     """``by, left, span_ids``: the sorted span ids of each ``wanted`` block and all that are nearer to it than to
     another such block below it."""
@@ -109,6 +130,8 @@ def resolved(references: DataFrame, blocks: DataFrame, by: list[str], excluded:
         own = references.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))))
         inside = own.join(over, [*by, "_up"], "left_semi").select(*by, "path").distinct()
         references = references.join(inside, [*by, "path"], "left_anti")
+    # The best block below each beginning of a path; a reference takes that of its longest beginning which has one.
+    starts = lambda name, alias: F.explode(F.transform(F.sequence(F.lit(0), F.size(name)), lambda n: F.when(n > 0, F.slice(name, F.lit(1), n)).otherwise(F.array().cast("array<string>")))).alias(alias)
     ends = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.size("path") - n + 1, n)))
     asked = references.select(*by, "path", "target").distinct()
     index = blocks.filter(F.size("path") > 0).select(*by, F.col("path").alias("_path"), ends.alias("target"))
@@ -118,5 +141,3 @@ def resolved(references: DataFrame, blocks: DataFrame, by: list[str], excluded:
     scopes = asked.select("*", starts("path", "_scope"))
     best = scopes.join(index, [*by, "target", "_scope"]).groupBy(*by, "path", "target").agg(F.max_by("_near", F.size("_scope")).alias("_best"))
     return references.join(best.select(*by, "path", "target", F.col("_best._path").alias("found")), [*by, "path", "target"], "left")
-    # The best block below each beginning of a path; a reference takes that of its longest beginning which has one.
-    starts = lambda name, alias: F.explode(F.transform(F.sequence(F.lit(0), F.size(name)), lambda n: F.when(n > 0, F.slice(name, F.lit(1), n)).otherwise(F.array().cast("array<string>")))).alias(alias)

@@ -171,3 +171,36 @@ def test_prompts(spark):
     found = {r["file"]: r["text"] for r in context.prompts(files, spans).collect()}
     assert found == {"a": "a\n```\n2\n3\n... other code\n6\n\n```\n", "b": "b\n```\nx\ny\n```\n", "c": "c\n```\n\n```\n", "d": "d\n```\n\n```\n"}
     assert {r["file"]: r["text"] for r in context.prompts(files, spans, 10).collect()}["a"] == "a\n```\n2\n3\n... other code\n\n```\n"
+
+
+def plan(frame):
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(text := io.StringIO()):
+        frame.explain("extended")
+    return text.getvalue()
+
+
+def test_next_block_and_block_ahead_across_cuts(spark):
+    """Windows that take a cut of lines each find blocks in others, and none looks to its end anew for every row."""
+    at = [5, 70_000, 70_000, 200_000, 400_000]
+    tree = spark.createDataFrame([("a", s, k * 50_000 + 1, "x" if k % 2 else "y") for k, s in enumerate(at)] + [("b", 9, 1, "x")], "file string, start long, left long, span_id string")
+    lines = [("a", n) for n in (1, 5, 6, 65_536, 70_000, 70_001, 399_999, 400_000, 400_001)] + [("b", 9), ("b", 10), ("c", 1)]
+    found = trees.next_from(tree, spark.createDataFrame(lines, "file string, line long"), ["file"])
+    assert "unboundedfollowing" not in plan(found).lower()
+    want = {(f, n): next((k * 50_000 + 1 for k, s in enumerate(at if f == "a" else [9] if f == "b" else []) if s >= n), None) for f, n in lines}
+    assert {(r["file"], r["line"]): r["left"] for r in found.collect()} == want
+    spans = trees.spans(tree, ["file"])
+    assert sorted(map(tuple, spans.collect()), key=str) == [("a", "x", 50_001, 150_001, 1), ("a", "y", 1, 200_001, None), ("b", "x", 1, 1, None)]
+
+
+def test_references_meet_one_block_of_a_scope(spark):
+    """As many references as blocks of one name: each takes that of its own scope, the others the first of all."""
+    n = 2000
+    blocks = spark.range(n).select(F.lit("f").alias("file"), F.explode(F.array(F.array(F.concat(F.lit("c"), "id")), F.array(F.concat(F.lit("c"), "id"), F.lit("run")))).alias("path"), F.lit("k").alias("kind"))
+    references = spark.range(n + 5).select(F.lit("f").alias("file"), F.array(F.concat(F.lit("c"), "id")).alias("path"), F.array(F.lit("run")).alias("target"))
+    found = trees.resolved(references, blocks, ["file"])
+    assert "_scope" in plan(found)
+    rows = {r["path"][0]: r["found"] for r in found.collect()}
+    assert len(rows) == n + 5 and all(rows[f"c{k}"] == [f"c{k}" if k < n else "c0", "run"] for k in range(n + 5))
