@@ -4,7 +4,7 @@ running sums, and nothing is exploded to the paths of its ancestors.
 
 ``blocks`` have columns ``by`` that name the tree (say the file) and ``path``, an array of names from the top; paths
 are unique within a tree, and siblings stand in the order of their names, so names should sort as blocks
-stand in the text. A tree's blocks are numbered in one sorted window.
+stand in the text. A tree's blocks are numbered in ranges of that order.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.operators.ranges import tightest_container
+from siftmill.operators.scratch import folder
 
 #: Lines or left numbers that a sorted window takes at once.
 _CUT = 1 << 16
@@ -22,15 +23,14 @@ def numbered(blocks: DataFrame, by: list[str], sums: dict[str, Column] | None =
     """``blocks`` with left, right, depth (from 0) and below (how many blocks are below); and for each of ``sums`` its
     value over the block and all below it. Null values count as 0."""
     sums = {name: F.coalesce(c, F.lit(0)) for name, c in (sums or {}).items()}
-    # A block's end sorts behind all that begins with its path.
-    inner = F.transform("path", lambda p: F.struct(F.lit(0).alias("end"), p.alias("name")))
-    outer = F.array_append(inner, F.struct(F.lit(1).alias("end"), F.lit("").alias("name")))
+    # Names end in a byte below all others, and a block's end sorts behind all that begins with its path.
+    escaped = lambda p: F.replace(F.replace(p, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    inner = F.encode(F.array_join(F.transform("path", lambda p: F.concat(escaped(p), F.lit("\x00"))), ""), "UTF-8")
+    outer = F.concat(inner, F.lit(b"\xff"))
     ends = F.explode(F.array(F.struct(inner.alias("key"), F.lit(False).alias("over")), F.struct(outer.alias("key"), F.lit(True).alias("over")))).alias("_e")
-    order = Window.partitionBy(*by).orderBy("_e.key")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    marks = blocks.withColumns({f"_v_{name}": c for name, c in sums.items()}).select("*", ends)
     begins = lambda c: F.when(F.col("_e.over"), 0).otherwise(c)
-    marks = marks.withColumns({"_at": F.row_number().over(order).cast("long"), **{f"_s_{name}": F.sum(begins(F.col(f"_v_{name}"))).over(upto) for name in sums}})
+    marks = blocks.withColumns({f"_v_{name}": c for name, c in sums.items()}).select("*", ends)
+    marks = _running(marks, by, "_e.key", {"_at": F.lit(1).cast("long"), **{f"_s_{name}": begins(F.col(f"_v_{name}")) for name in sums}})
     # The two marks of a block side by side: the end is what follows the beginning among those of its path.
     pair = Window.partitionBy(*by, "path").orderBy("_at")
     marks = marks.withColumns({"right": F.lead("_at").over(pair), **{name: F.lead(f"_s_{name}").over(pair) - F.col(f"_s_{name}") + F.col(f"_v_{name}") for name in sums}})
@@ -38,6 +38,25 @@ def numbered(blocks: DataFrame, by: list[str], sums: dict[str, Column] | None =
     return found.select(*blocks.columns, "left", "right", (F.size("path") - 1).alias("depth"), ((F.col("right") - F.col("left") - 1) / 2).cast("long").alias("below"), *sums)
 
 
+def _running(rows: DataFrame, by: list[str], key: str, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with sums of ``values`` over the rows of their tree up to each in the order of ``key``. Rows are cut into
+    ranges of the order, which are summed apart and then moved by the sums of those before, so no task has a whole tree."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    path = folder(spark, "marks")
+    rows.withColumns({f"_w_{name}": c for name, c in values.items()}).repartitionByRange(n, *by, key).withColumn("_cut", F.spark_partition_id()).write.parquet(path)
+    cut = spark.read.parquet(path)
+    upto = Window.partitionBy(*by, "_cut").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy(*by, "_cut").agg(*[F.sum(f"_w_{name}").alias(name) for name in values])
+    whole = whole.select(*[F.col(c).alias(f"_o_{c}") for c in (*by, "_cut")], *[F.coalesce(F.sum(name).over(ahead), F.lit(0)).alias(f"_b_{name}") for name in values])
+    same = F.lit(True)
+    for c in (*by, "_cut"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    moved = cut.withColumns({name: F.sum(f"_w_{name}").over(upto) for name in values}).join(F.broadcast(whole), same)
+    return moved.withColumns({name: F.col(name) + F.col(f"_b_{name}") for name in values}).select(*rows.columns, *values)
+
+
 def beside(tree: DataFrame, by: list[str], value: str) -> DataFrame:
     """``tree`` with before and after: the sums of ``value`` over the siblings before and behind each block."""
     parent = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
