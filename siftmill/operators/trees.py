@@ -23,9 +23,9 @@ def numbered(blocks: DataFrame, by: list[str], sums: dict[str, Column] | None =
     """``blocks`` with left, right, depth (from 0) and below (how many blocks are below); and for each of ``sums`` its
     value over the block and all below it. Null values count as 0."""
     sums = {name: F.coalesce(c, F.lit(0)) for name, c in (sums or {}).items()}
-    # Names end in a byte below all others, and a block's end sorts behind all that begins with its path.
+    # Names end in a byte below all others, a null stands before them, and a block's end sorts behind all that begins with its path.
     escaped = lambda p: F.replace(F.replace(p, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
-    inner = F.encode(F.array_join(F.transform("path", lambda p: F.concat(escaped(p), F.lit("\x00"))), ""), "UTF-8")
+    inner = F.encode(F.array_join(F.transform("path", lambda p: F.coalesce(F.concat(F.lit("\x02"), escaped(p), F.lit("\x00")), F.lit("\x01"))), ""), "UTF-8")
     outer = F.concat(inner, F.lit(b"\xff"))
     ends = F.explode(F.array(F.struct(inner.alias("key"), F.lit(False).alias("over")), F.struct(outer.alias("key"), F.lit(True).alias("over")))).alias("_e")
     begins = lambda c: F.when(F.col("_e.over"), 0).otherwise(c)

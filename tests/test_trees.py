@@ -208,11 +208,11 @@ def test_references_meet_one_block_of_a_scope(spark):
 
 def test_numbers_of_a_tree_in_ranges(spark):
     """One wide tree is numbered in ranges, not in one window of it; names of any characters keep their order."""
-    names = ["a", "a\x00", "a\x00b", "a\x01", "a\x01\x01", "a b", "é", "ab", ""] + [f"n{k:04d}" for k in range(600)]
+    names = ["a", "a\x00", "a\x00b", "a\x01", "a\x01\x01", "a b", "é", "ab", "", None] + [f"n{k:04d}" for k in range(600)]
     paths = [["t"]] + [["t", n] for n in names] + [["t", n, "x"] for n in names[::2]]
     found = trees.numbered(spark.createDataFrame([("f", p, 1) for p in paths], "file string, path array<string>, w int"), ["file"], {"all": F.col("w")})
     assert "_cut" in plan(found)
     rows = {tuple(r["path"]): (r["left"], r["right"], r["below"], r["all"]) for r in found.collect()}
-    order = sorted(map(tuple, paths))
+    order = sorted(map(tuple, paths), key=lambda p: [(n is not None, n or "") for n in p])
     below = lambda p: sum(o[: len(p)] == p for o in order) - 1
     assert rows == {p: (left := 2 * k + 2 - len(p), left + 2 * below(p) + 1, below(p), below(p) + 1) for k, p in enumerate(order)}
