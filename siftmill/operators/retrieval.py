@@ -1,8 +1,11 @@
 """Scoring of blocks against queries: BM25, Jaccard, dense vectors, fuzzy names.
 
-Lexical scores are joins on tokens: the queries' tokens go to the blocks, and only pairs with a common
+Lexical scores of all pairs are joins on tokens: the queries' tokens go to the blocks, and only pairs with a common
 token meet (with a common word in most texts that is most pairs). Where queries are too many for a
 broadcast, frequent tokens make large join groups, which are split by Spark's skew handling.
+
+Where only each query's best are wanted (``bm25_best``, ``jaccard_best``), no pair leaves its task: blocks are scored in
+small lots against the broadcast words of all queries, and a task returns at most k rows a query.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +41,18 @@ def _small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+#: Bytes of a table, by Spark's estimate, whose pairs with all queries a task adds up.
+_LOT_BYTES = 4 << 20
+
+
+def _lots(df: DataFrame) -> int:
+    """Into how many partitions the blocks of ``df`` are dealt: the more, the larger it is, so that a task's pairs do not grow."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if files else 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // _LOT_BYTES, 20_000))
+
+
 def postings(blocks: DataFrame, params: Bm25 = Bm25(), by: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
     """``token, item, tf, length`` (and the columns ``by``) of ``item, text``: the index that ``bm25``
     takes. Each block has a row with the empty token too, so that blocks and lengths can be counted.
@@ -43,7 +60,7 @@ def postings(blocks: DataFrame, params: Bm25 = Bm25(), by: tuple[str, ...] = (),
     kept = F.filter(words(F.col("text")), lambda w: ~w.isin(list(params.stop_words))) if params.stop_words else words(F.col("text"))
     tokens = blocks.select(*by, "item", kept.alias("w")).select(*by, "item", F.size("w").alias("length"), F.explode(F.array_append("w", F.lit(""))).alias("token"))
     if wanted is not None:
-        tokens = tokens.join(wanted, [*by, "token"], "left_semi").repartition("item")
+        tokens = tokens.join(wanted, [*by, "token"], "left_semi").repartition(_lots(blocks), "item")
     return tokens.groupBy(*by, "item", "length", "token").agg(F.count(F.when(F.col("token") != "", 1)).alias("tf"))
 
 
@@ -63,7 +80,7 @@ def bm25(queries: DataFrame, blocks: DataFrame | None, params: Bm25 = Bm25(), in
     near = F.broadcast if _small(asked) else (lambda df: df)
     markers = queries.select(*by).distinct().withColumn("token", F.lit("")) if by else queries.sparkSession.range(1).select(F.lit("").alias("token"))
     wanted = near(asked.select(*by, "token").unionByName(markers).distinct())
-    own = index.join(wanted, [*by, "token"], "left_semi").repartition("item") if index is not None else postings(blocks, params, by, wanted)
+    own = index.join(wanted, [*by, "token"], "left_semi").repartition(_lots(index), "item") if index is not None else postings(blocks, params, by, wanted)
     own = kept(own)  # read for scores, frequencies and lengths
     found = own.filter("token <> ''")
     stats = own.filter("token = ''").groupBy(*by).agg(F.count(F.lit(1)).alias("n_blocks"), F.avg("length").alias("mean"))
@@ -81,7 +98,7 @@ def bm25(queries: DataFrame, blocks: DataFrame | None, params: Bm25 = Bm25(), in
 
 def bm25_files(queries: DataFrame, blocks: DataFrame, files: DataFrame, k_blocks: int, k_files: int, params: Bm25 = Bm25()) -> DataFrame:
     """Files in the order in which their blocks first appear among the best; ``files``: item, file."""
-    best = top_k(bm25(queries, blocks, params), ["query_id"], k_blocks)
+    best = top_k(bm25_best(queries, blocks, k_blocks, params), ["query_id"], k_blocks)
     seen = best.join(files, "item").groupBy("query_id", "file").agg(F.min("rank").alias("score"))
     return top_k(seen, ["query_id"], k_files, ties=("file",), ascending=True).select("query_id", "file", "rank")
 
@@ -101,11 +118,152 @@ def jaccard(queries: DataFrame, blocks: DataFrame, keep: tuple[str, ...] = (), b
     q = queries.select("query_id", *by, word_set(F.col("text")).alias("w")).select("query_id", *by, F.size("w").alias("n_query"), F.explode("w").alias("token"))
     b = blocks.select("item", *by, *keep, word_set(F.col("text")).alias("w")).select("item", *by, *keep, F.size("w").alias("n_item"), F.explode("w").alias("token"))
     near = F.broadcast if _small(q) else (lambda df: df)
-    own = b.join(near(q.select(*by, "token").distinct()), [*by, "token"], "left_semi").repartition("item")
+    own = b.join(near(q.select(*by, "token").distinct()), [*by, "token"], "left_semi").repartition(_lots(blocks), "item")
     common = own.join(near(q), [*by, "token"]).groupBy("query_id", *by, "item", *keep, "n_query", "n_item").agg(F.count(F.lit(1)).alias("both"))
     return common.select("query_id", *by, "item", *keep, (F.col("both") / (F.col("n_query") + F.col("n_item") - F.col("both"))).alias("score"))
 
 
+#: Sums of scores, and pairs of a block's word and a query, that a task works on at once.
+_CELLS = 1 << 20
+
+
+def _single(df: DataFrame, item: str) -> bool:
+    return df.groupBy(item).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _numbered(blocks: DataFrame, tokens: Column, keep: tuple[str, ...], vocabulary: list[str]) -> DataFrame:
+    """``item``, the columns ``keep``, ``n`` (tokens), ``ids`` and ``tfs``: of each block the numbers of those of its tokens that are
+    in ``vocabulary``, and how often each occurs. A row a block, written to the shared folder."""
+    shared = blocks.sparkSession.sparkContext.broadcast(vocabulary)
+    own = blocks.select("item", *keep, tokens.alias("_tokens"))
+    names = ["item", *keep]
+    schema = T.StructType([*(own.schema[c] for c in names), *(T.StructField(c, kind) for c, kind in (("n", T.IntegerType()), ("ids", T.ArrayType(T.IntegerType())), ("tfs", T.ArrayType(T.IntegerType()))))])
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(shared.value, pa.string())
+        for whole in parts:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                held = part.column("_tokens")
+                n = pc.list_value_length(held)
+                place = pc.index_in(pc.list_flatten(held), value_set=wanted)
+                found = place.is_valid().to_numpy(zero_copy_only=False)
+                row = pc.list_parent_indices(held).to_numpy()[found].astype(np.int64)
+                key, tf = np.unique(row * max(1, len(wanted)) + place.drop_null().to_numpy(), return_counts=True)
+                row, ids = np.divmod(key, max(1, len(wanted)))
+                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (ids, tf)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), n.cast(pa.int32()), *lists], names=[*names, "n", "ids", "tfs"])
+
+    return kept(own.mapInArrow(number, schema))
+
+
+def _best_scored(numbered: DataFrame, keep: tuple[str, ...], names: list, query_type: T.DataType, postings_of: list[tuple[int, int, float]], n_words: int, k: int, score, gain, places: int | None) -> DataFrame:
+    """``query_id, item, keep, score``: at most ``k`` rows a query and task, the best by score, then by item.
+
+    ``postings_of``: number of a word, number of a query in ``names``, weight. A word's ``gain`` in a block (tf, n) times its weight is
+    added up; ``score`` makes a score of the sums (of blocks by queries) and n. ``places``: scores are rounded before they are compared."""
+    by_word = sorted(postings_of)
+    first = np.searchsorted(np.array([w for w, _, _ in by_word], np.int64), np.arange(n_words + 1))
+    shared = numbered.sparkSession.sparkContext.broadcast((first, np.array([q for _, q, _ in by_word], np.int64), np.array([x for _, _, x in by_word], np.float64)))
+    n_queries = max(1, len(names))
+    columns = ["item", *keep]
+    schema = T.StructType([T.StructField("_query", T.IntegerType()), *(numbered.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
+    order = [("_query", "ascending"), ("score", "descending"), ("item", "ascending")]
+
+    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, queries, weights = shared.value
+        held, floor = None, np.full(n_queries, -np.inf)
+        for part in parts:
+            ids, tfs = (pc.list_flatten(part.column(c)).to_numpy() for c in ("ids", "tfs"))
+            each = pc.list_value_length(part.column("ids")).to_numpy()
+            n, starts = part.column("n").to_numpy(), np.concatenate([[0], np.cumsum(each)])
+            meets = np.concatenate([[0], np.cumsum(first[ids + 1] - first[ids])])[starts]
+            at = 0
+            while at < part.num_rows:
+                # As many blocks as stay within the bounds, one at least.
+                to = max(at + 1, min(at + max(1, _CELLS // n_queries), int(np.searchsorted(meets, meets[at] + _CELLS, "right")) - 1))
+                a, z = starts[at], starts[to]
+                row, own = np.repeat(np.arange(to - at), each[at:to]), ids[a:z]
+                times = first[own + 1] - first[own]
+                word = np.repeat(np.arange(len(own)), times)
+                post = first[own][word] + np.arange(len(word)) - np.repeat(np.cumsum(times) - times, times)
+                worth = gain(tfs[a:z], n[at:to][row])[word] * weights[post]
+                sums = np.bincount(row[word] * n_queries + queries[post], worth, (to - at) * n_queries).reshape(to - at, n_queries)
+                scores = np.where(sums > 0, score(sums, n[at:to, None]), -np.inf)
+                if places is not None:
+                    scores = np.floor(scores * 10.0**places + 0.5) / 10.0**places
+                if to - at > k:
+                    floor = np.maximum(floor, np.partition(scores, to - at - k, axis=0)[to - at - k])
+                block, query = np.nonzero((scores >= floor) & (scores > -np.inf))
+                at, began = to, at
+                if not len(block):
+                    continue
+                taken = part.select(columns).take(pa.array(block + began))
+                new = pa.table([pa.array(query, pa.int32()), *taken.columns, pa.array(scores[block, query])], names=[*schema.names])
+                held = new if held is None else pa.concat_tables([held, new])
+                held = held.take(pc.sort_indices(held, order, null_placement="at_start"))
+                query = held.column("_query").to_numpy()
+                nth = np.arange(len(query)) - np.searchsorted(query, query)
+                held, query, nth = held.filter(pa.array(nth < k)), query[nth < k], nth[nth < k]
+                full = nth == k - 1
+                floor[query[full]] = np.maximum(floor[query[full]], held.column("score").to_numpy()[full])
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    found = numbered.mapInArrow(best, schema)
+    spark = numbered.sparkSession
+    named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("_query", T.IntegerType()), T.StructField("query_id", query_type)]))
+    return found.join(F.broadcast(named), "_query").select("query_id", *columns, "score")
+
+
+def bm25_best(queries: DataFrame, blocks: DataFrame, k: int, params: Bm25 = Bm25(), places: int = 9) -> DataFrame:
+    """``query_id, item, score``: candidates for the ``k`` best blocks of each query by ``bm25`` (see there), rounded to ``places``,
+    ties by item; unranked. Nothing is grouped by pairs of query and block: a block's words are counted in its row, a task keeps
+    ``k`` rows a query. More query words than ``MOST_BROADCAST``, and items that are there twice, go through all pairs."""
+    asked = kept(queries.select("query_id", F.explode(words(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf")))
+    rounded = lambda: bm25(queries, blocks, params).withColumn("score", F.round("score", places))
+    if not _small(asked):
+        return rounded()
+    rows = asked.collect()  # MOST_BROADCAST at most
+    vocabulary = sorted({r["token"] for r in rows} - set(params.stop_words))
+    tokens = words(F.col("text"))
+    if params.stop_words:
+        tokens = F.filter(tokens, lambda w: ~w.isin(list(params.stop_words)))
+    own = _numbered(blocks, tokens, (), vocabulary)
+    if not _single(own, "item"):
+        return rounded()
+    df = {r["id"]: r["df"] for r in own.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")).collect()}
+    whole = own.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    n, mean, k1, b = whole["n"], whole["mean"] or 1.0, params.k1, params.b
+    names, place = sorted({r["query_id"] for r in rows}, key=lambda x: (x is not None, x)), {w: i for i, w in enumerate(vocabulary)}
+    at = {q: i for i, q in enumerate(names)}
+    posted = [(place[r["token"]], at[r["query_id"]], r["qtf"] * float(np.log(1 + (n - df[place[r["token"]]] + 0.5) / (df[place[r["token"]]] + 0.5)))) for r in rows if place.get(r["token"]) in df]
+    gain = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+    return _best_scored(own, (), names, queries.schema["query_id"].dataType, posted, len(vocabulary), k, lambda sums, _: sums, gain, places)
+
+
+def jaccard_best(queries: DataFrame, blocks: DataFrame, k: int, keep: tuple[str, ...] = (), places: int | None = None) -> DataFrame:
+    """``query_id, item, keep, score``: candidates for the ``k`` best blocks of each query by ``jaccard``, ties by item; unranked, as ``bm25_best``
+    gives them. ``places``: scores are rounded first."""
+    asked = kept(queries.select("query_id", word_set(F.col("text")).alias("w")).select("query_id", F.size("w").alias("n_query"), F.explode("w").alias("token")))
+    every = lambda: jaccard(queries, blocks, keep) if places is None else jaccard(queries, blocks, keep).withColumn("score", F.round("score", places))
+    if not _small(asked):
+        return every()
+    rows = asked.collect()  # MOST_BROADCAST at most
+    vocabulary = sorted({r["token"] for r in rows})
+    own = _numbered(blocks, word_set(F.col("text")), keep, vocabulary)
+    if len({(r["query_id"], r["token"]) for r in rows}) < len(rows) or not _single(own, "item"):
+        return every()
+    sizes = {r["query_id"]: r["n_query"] for r in rows}
+    if any(sizes[r["query_id"]] != r["n_query"] for r in rows):
+        return every()
+    names, place = sorted(sizes, key=lambda x: (x is not None, x)), {w: i for i, w in enumerate(vocabulary)}
+    at = {q: i for i, q in enumerate(names)}
+    n_query = np.array([sizes[q] for q in names], np.float64)
+    return _best_scored(own, keep, names, queries.schema["query_id"].dataType, [(place[r["token"]], at[r["query_id"]], 1.0) for r in rows], len(vocabulary), k, lambda both, n: both / (n_query[None, :] + n - both), lambda tf, _: np.ones(len(tf)), places)
+
+
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.empty((0, 0))
 
