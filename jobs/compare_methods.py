@@ -37,7 +37,7 @@ log = logging.getLogger("jobs.compare_methods")
 
 def _ranked(method: str, issues: DataFrame, blocks: DataFrame, top_blocks: int, top_files: int) -> DataFrame:
     """``query_id, item, rank, score``: files by the sum of the scores of their blocks among the best."""
-    scored = {"bm25": retrieval.bm25, "jaccard": retrieval.jaccard}[method](issues, blocks.select("item", "text"))
+    scored = {"bm25": retrieval.bm25_best, "jaccard": retrieval.jaccard_best}[method](issues, blocks.select("item", "text"), top_blocks, places=6)
     scored = scored.withColumn("score", F.round(F.col("score") * _PARTS).cast("long"))
     best = ranking.top_k(scored, ["query_id"], top_blocks).withColumn("file", F.regexp_replace("item", r":\d+$", ""))
     return ranking.group_scores(best, ["query_id"], "file", top_files).select("query_id", F.col("file").alias("item"), "rank", (F.col("score") / _PARTS).alias("score"))
