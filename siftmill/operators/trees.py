@@ -17,6 +17,8 @@ from siftmill.operators.scratch import folder
 
 #: Lines or left numbers that a sorted window takes at once.
 _CUT = 1 << 16
+#: Left numbers whose lines are joined at once.
+_CUT_LINES = 1 << 13
 
 
 def numbered(blocks: DataFrame, by: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
@@ -132,9 +134,25 @@ def rendered(tree: DataFrame, by: list[str], label: Column, shown: Column | None
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(mark, "* ").otherwise(""), label)
     rows = rows.select(*by, "left", mark.alias("_mark"), line.alias("_line"))
     if only_highlighted:
-        before = F.lag("_mark", 1, True).over(Window.partitionBy(*by).orderBy("left"))
-        rows = rows.withColumn("_before", before).filter("_mark OR _before").withColumn("_line", F.when(F.col("_mark"), F.col("_line")).otherwise("..."))
-    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "_line"))), lambda r: r["_line"]), "\n").alias("text"))
+        rows = _marked_before(rows, by).filter("_mark OR _before").withColumn("_line", F.when(F.col("_mark"), F.col("_line")).otherwise("..."))
+    # The lines of a cut are joined first, so that what is gathered for a tree are its few cuts' texts, not its lines.
+    joined = lambda at, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, line))), lambda r: r[line]), "\n")
+    cuts = rows.withColumn("_cut", F.floor(F.col("left") / _CUT_LINES)).groupBy(*by, "_cut").agg(joined("left", "_line").alias("_text"))
+    return cuts.groupBy(*by).agg(joined("_cut", "_text").alias("text"))
+
+
+def _marked_before(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``_before``: whether the row before has the ``_mark``; true for a tree's first. Windows take a cut each,
+    whose first row follows the last of the cut before."""
+    cut = rows.withColumn("_cut", F.floor(F.col("left") / _CUT_LINES))
+    ends = cut.groupBy(*by, "_cut").agg(F.max_by("_mark", "left").alias("_end"))
+    ends = ends.select(*by, "_cut", F.lag("_end", 1, True).over(Window.partitionBy(*by).orderBy("_cut")).alias("_end"))
+    same = F.lit(True)
+    for c in (*by, "_cut"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    ends = ends.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_cut")], "_end")
+    own = F.lag("_mark").over(Window.partitionBy(*by, "_cut").orderBy("left"))
+    return cut.withColumn("_before", own).join(F.broadcast(ends), same).withColumn("_before", F.coalesce("_before", "_end")).select(*rows.columns, "_before")
 
 
 def resolved(references: DataFrame, blocks: DataFrame, by: list[str], excluded: tuple[str, ...] = ()) -> DataFrame:

@@ -216,3 +216,21 @@ def test_numbers_of_a_tree_in_ranges(spark):
     order = sorted(map(tuple, paths), key=lambda p: [(n is not None, n or "") for n in p])
     below = lambda p: sum(o[: len(p)] == p for o in order) - 1
     assert rows == {p: (left := 2 * k + 2 - len(p), left + 2 * below(p) + 1, below(p), below(p) + 1) for k, p in enumerate(order)}
+
+
+def test_lines_of_a_tree_meet_in_cuts(spark, monkeypatch):
+    """Texts over many cuts, marks at their borders and a null tree; what is gathered for a tree are cuts, not lines."""
+    monkeypatch.setattr(trees, "_CUT_LINES", 4)
+    rng = random.Random(5)
+    rows = [(t, [f"p{k:03d}"], k, 0, rng.random() < 0.4) for t in ("a", None) for k in rng.sample(range(200), 120)]
+    tree = spark.createDataFrame(rows, "tree string, path array<string>, left long, depth int, broken boolean")
+    name = F.element_at("path", -1)
+    whole = {r["tree"]: r["text"] for r in trees.rendered(tree, ["tree"], name).collect()}
+    marked = {r["tree"]: r["text"] for r in trees.rendered(tree, ["tree"], name, highlighted=F.col("broken"), only_highlighted=True).collect()}
+    for t in ("a", None):
+        own = sorted((left, path[0], broken) for tree_of, path, left, _, broken in rows if tree_of == t)
+        assert whole[t] == "\n".join(p for _, p, _ in own)
+        before = [True, *(b for _, _, b in own)]
+        assert marked[t] == "\n".join(f"* {p}" if b else "..." for (_, p, b), ahead in zip(own, before) if b or ahead)
+    plan = trees.rendered(tree, ["tree"], name)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2 and "_cut" in plan
