@@ -3,10 +3,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import count
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,38 +111,82 @@ def walked_trees(edges: DataFrame, roots: DataFrame, hops: int = 2, direction: s
         part = met.join(steps.distinct(), "a").select("root", "a", "b", "etype", F.lit(way).alias("way"))
         found = part if found is None else found.unionByName(part)
     alone = roots.select(F.col("node_id").alias("root"), *[F.lit(None).cast("string").alias(c) for c in ("a", "b", "etype", "way")]).distinct()
-    return found.unionByName(alone).groupBy("root").applyInPandas(_walk(hops, direction), "root string, line_no int, depth int, etype string, node string, line string")
-
-
-def _walk(hops: int, direction: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        root, steps = part["root"].iloc[0], part.dropna(subset=["a"]).sort_values(["way", "b", "etype"], kind="stable")
-        out: dict[str, dict[str, list[tuple[str, str]]]] = {"downstream": {}, "upstream": {}}
-        for a, b, etype, way in zip(steps["a"], steps["b"], steps["etype"], steps["way"]):
-            out[way].setdefault(a, []).append((b, etype))
-        rows, expanded, shown = [], set(), set()
-        # What is to be visited: node, its edge, the way, depth, whether it is the last of its parent, indent.
-        left = [(root, None, direction, 0, True, "")]
+    return found.unionByName(alone).groupBy("root").applyInArrow(_walk(hops, direction), "root string, line_no int, depth int, etype string, node string, line string")
+
+
+#: Rows that a walk returns at once.
+_ROWS = 10_000
+_WALKED = pa.schema([("root", pa.string()), ("line_no", pa.int32()), ("depth", pa.int32()), ("etype", pa.string()), ("node", pa.string()), ("line", pa.string())])
+
+
+def _walk(hops: int, direction: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Edges are numbers of names in order; of the strings, each name is held once, and lines only until they are returned.
+        root, ends, kinds, up = None, ([], []), [], []
+        for part in parts:
+            root = part.column("root")[0].as_py()
+            part = part.filter(pc.is_valid(part.column("a")))
+            for held, c in zip(ends, "ab"):
+                held.append(part.column(c))
+            kinds.append(part.column("etype").dictionary_encode())
+            up.append(pc.equal(part.column("way"), "upstream").to_numpy(zero_copy_only=False))
+        names = pc.unique(pa.chunked_array([*ends[0], *ends[1], pa.array([root], pa.string())]))
+        names = names.take(pc.sort_indices(names))
+        a, b = (np.concatenate([pc.index_in(x, value_set=names).to_numpy() for x in held]).astype(np.int32) for held in ends)
+        ends = part = None
+        labels = sorted({k for x in kinds for k in x.dictionary.to_pylist() if k is not None})
+        own = lambda x: pc.fill_null(pc.index_in(x.dictionary_decode(), value_set=pa.array(labels, pa.string())), len(labels))
+        kind = np.concatenate([own(x).to_numpy() for x in kinds]).astype(np.int32)
+        labels.append(None)
+        up = np.concatenate(up)
+        order = np.lexsort((kind, b, a, up))
+        a, b, kind, up = a[order], b[order], kind[order], up[order]
+        n_down, n = int((~up).sum()), len(names)
+        first = {"downstream": np.searchsorted(a[:n_down], np.arange(n + 1)), "upstream": n_down + np.searchsorted(a[n_down:], np.arange(n + 1))}
+        # An edge has one number, from whichever end it is met.
+        edge = np.arange(len(a))
+        if 0 < n_down < len(a):
+            src, dst = np.where(up, b, a).astype(np.int64), np.where(up, a, b)
+            edge = np.unique((src * n + dst) * len(labels) + kind, return_inverse=True)[1]
+        expanded, shown, rows, count = np.zeros(n, bool), np.zeros(len(a), bool), [], 0
+
+        def nexts(node: int, way: str) -> np.ndarray:
+            found = []
+            for to in ("downstream", "upstream") if way == "both" else (way,):
+                at = np.arange(first[to][node], first[to][node + 1])
+                at = at[~shown[edge[at]]]
+                shown[edge[at]] = True
+                found.append(at)
+            return np.concatenate(found)
+
+        # What is to be visited: edges of one parent, how many of them are done, their depth and indent.
+        left = [(None, 0, 0, "")]
         while left:
-            node, etype, way, depth, last, indent = left.pop()
-            line = node
-            if depth:
+            at, k, depth, indent = left.pop()
+            if at is None:
+                node, etype, way, line = pc.index_in(pa.array([root], pa.string()), value_set=names)[0].as_py(), None, direction, root
+            else:
+                if k + 1 < len(at):
+                    left.append((at, k + 1, depth, indent))
+                e = int(at[k])
+                node, way = int(b[e]), "upstream" if up[e] else "downstream"
+                etype = f"{labels[kind[e]]}-by" if up[e] else labels[kind[e]]
+                last = k + 1 == len(at)
                 joint = f"{'└── ' if last else '├── '}{etype} ── "
-                line, indent = f"{indent}{joint}{node}", indent + (" " if last else "│") + " " * (len(joint) - 1)
-            rows.append((root, len(rows) + 1, depth, etype, node, line))
-            if node in expanded:
+                line, indent = f"{indent}{joint}{names[node].as_py()}", indent + (" " if last else "│") + " " * (len(joint) - 1)
+            count += 1
+            rows.append((root, count, depth, etype, root if at is None else names[node].as_py(), line))
+            if len(rows) == _ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WALKED)], schema=_WALKED)
+                rows = []
+            if expanded[node]:
                 continue
-            expanded.add(node)
-            nexts = []
-            for to in ("downstream", "upstream") if way == "both" else (way,):
-                for b, kind in out[to].get(node, ()):
-                    edge = (node, kind, b) if to == "downstream" else (b, kind, node)
-                    if edge not in shown:
-                        shown.add(edge)
-                        nexts.append((b, kind if to == "downstream" else f"{kind}-by", to))
-            if depth < hops:
-                left += [(b, kind, to, depth + 1, k == len(nexts) - 1, indent) for k, (b, kind, to) in reversed(list(enumerate(nexts)))]
-        return pd.DataFrame(rows, columns=["root", "line_no", "depth", "etype", "node", "line"])
+            expanded[node] = True
+            below = nexts(node, way)
+            if depth < hops and len(below):
+                left.append((below, 0, depth + 1, indent))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WALKED)], schema=_WALKED)
 
     return walk
 

@@ -234,3 +234,18 @@ def test_lines_of_a_tree_meet_in_cuts(spark, monkeypatch):
         assert marked[t] == "\n".join(f"* {p}" if b else "..." for (_, p, b), ahead in zip(own, before) if b or ahead)
     plan = trees.rendered(tree, ["tree"], name)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 2 and "_cut" in plan
+
+
+def test_a_walk_takes_and_returns_batches():
+    """A root with many children, in several batches: no more than some thousand rows come out at once, in the order of names."""
+    import pyarrow as pa
+
+    n = 25_000
+    names = [f"c{k:06d}" for k in range(n)]
+    edges = pa.RecordBatch.from_pydict({"root": ["r"] * n, "a": ["r"] * n, "b": names[::-1], "etype": ["e"] * n, "way": ["downstream"] * n})
+    alone = pa.RecordBatch.from_pydict({"root": ["r"], "a": pa.array([None], pa.string()), "b": pa.array([None], pa.string()), "etype": pa.array([None], pa.string()), "way": pa.array([None], pa.string())})
+    found = list(graph._walk(2, "downstream")(iter([edges.slice(0, 9_000), edges.slice(9_000), alone])))
+    assert max(part.num_rows for part in found) <= 10_000 and len(found) == 3
+    rows = [r for part in found for r in part.to_pylist()]
+    assert [r["node"] for r in rows] == ["r", *names] and [r["line_no"] for r in rows] == list(range(1, n + 2))
+    assert rows[-1]["line"] == f"└── e ── {names[-1]}" and rows[1]["line"] == f"├── e ── {names[0]}"
