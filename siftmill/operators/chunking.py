@@ -147,26 +147,31 @@ def _merged(pieces: Column, separator: str, size: int, overlap: int, length: Cal
     """Greedy merge of pieces into chunks of at most ``size``, the next one beginning with as many of
     the last pieces as fit ``overlap``. Chunks are (first piece, number of pieces)."""
     gap = len(separator)
-    start = F.struct(F.array().cast("array<struct<a:int,n:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
-    def step(acc: Column, p: Column) -> Column:
-        grown = acc["size"] + length(p["p"]) + F.when(acc["n"] > 0, gap).otherwise(0)
-        over = (grown > size) & (acc["n"] > 0)
-        done = F.when(over, F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["n"].alias("n")))).otherwise(acc["done"])
-        # How many of the last pieces stay: the longest tail within the overlap that leaves room.
-        tails = F.filter(F.sequence(F.lit(0), F.greatest(acc["n"] - 1, F.lit(0))), lambda k: (_span(pieces, p["i"] - k, k, gap, length) <= overlap) & (_span(pieces, p["i"] - k, k, gap, length) + length(p["p"]) + F.when(k > 0, gap).otherwise(0) <= size))
-        keep = F.coalesce(F.array_max(tails), F.lit(0))
-        a = F.when(over, p["i"] - keep).when(acc["n"] == 0, p["i"]).otherwise(acc["a"])
-        n = F.when(over, keep + 1).otherwise(acc["n"] + 1)
-        now = F.when(over, _span(pieces, p["i"] - keep, keep + 1, gap, length)).otherwise(grown)
-        return F.struct(done.alias("done"), a.cast("int").alias("a"), n.cast("int").alias("n"), now.cast("int").alias("size"))
+    def merge(own: Column) -> Column:
+        start = F.struct(F.array().cast("array<struct<a:int,n:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(0).alias("size"))
+        state = lambda done, a, n, size: F.struct(done.alias("done"), a.cast("int").alias("a"), n.cast("int").alias("n"), size.cast("int").alias("size"))
 
-    indexed = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    return F.aggregate(indexed, start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["n"].alias("n")))).otherwise(acc["done"]))
+        def tail(acc: Column, p: Column) -> Column:
+            """How many of the last pieces stay, and their size: the longest tail within the overlap that leaves room. Sizes
+            of tails only grow, so the first that does not fit ends it."""
+            none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("size"), F.lit(True).alias("fits"))
+            last = F.reverse(F.slice(own, p["i"] - acc["n"] + 2, acc["n"] - 1))
+            grown = lambda t, x: t["size"] + x + F.when(t["k"] > 0, gap).otherwise(0)
+            fits = lambda t, x: t["fits"] & (grown(t, x) <= overlap) & (grown(t, x) + gap + p["p"] <= size)
+            return F.aggregate(last, none, lambda t, x: F.when(fits(t, x), F.struct((t["k"] + 1).alias("k"), grown(t, x).cast("int").alias("size"), F.lit(True).alias("fits"))).otherwise(F.struct(t["k"].alias("k"), t["size"].alias("size"), F.lit(False).alias("fits"))))
 
+        def step(acc: Column, p: Column) -> Column:
+            grown = acc["size"] + p["p"] + F.when(acc["n"] > 0, gap).otherwise(0)
+            done = F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["n"].alias("n")))
+            over = let(tail(acc, p), lambda t: state(done, p["i"] - t["k"], t["k"] + 1, t["size"] + F.when(t["k"] > 0, gap).otherwise(0) + p["p"]))
+            return F.when((grown > size) & (acc["n"] > 0), over).otherwise(state(acc["done"], F.when(acc["n"] == 0, p["i"]).otherwise(acc["a"]), acc["n"] + 1, grown))
 
-def _span(pieces: Column, first: Column, n: Column, gap: int, length: Callable[[Column], Column]) -> Column:
-    return F.aggregate(F.slice(pieces, first + 1, n), F.lit(0), lambda a, p: a + length(p) + gap) - F.when(n > 0, gap).otherwise(0)
+        indexed = F.transform(own, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+        return F.aggregate(indexed, start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["n"].alias("n")))).otherwise(acc["done"]))
+
+    # Lengths are found once a piece; a tail is looked for only where a chunk is full.
+    return let(F.transform(pieces, length), merge)
 
 
 def separated(docs: DataFrame, separator: str = "\n\n", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -202,8 +207,9 @@ def semantic(sentence_vectors: DataFrame, percentile: float = 0.95) -> DataFrame
     order = Window.partitionBy("doc_id").orderBy("sentence_no")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     after = F.lead("vector").over(order)
-    distance = 1 - F.try_divide(dot(F.col("vector"), after), F.sqrt(dot(F.col("vector"), F.col("vector"))) * F.sqrt(dot(after, after)))
-    found = sentence_vectors.withColumn("_after", after).withColumn("_d", F.when(F.col("_after").isNotNull(), distance)).drop("_after")
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    distance = 1 - F.try_divide(dot(F.col("vector"), F.col("_after")), F.col("_norm") * F.lead("_norm").over(order))
+    found = sentence_vectors.withColumn("_norm", norm).withColumn("_after", after).withColumn("_d", F.when(F.col("_after").isNotNull(), distance)).drop("_after", "_norm", "vector")
     found = found.withColumn("_at", F.percentile("_d", F.lit(percentile)).over(Window.partitionBy("doc_id")))
     cut = F.lag(F.col("_d") > F.col("_at"), 1, False).over(order)
     found = found.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int"))

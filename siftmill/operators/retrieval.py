@@ -392,12 +392,20 @@ def hashing_encoder(dimensions: int = 64):
     a list of texts to a matrix serves as encoder."""
     import xxhash
 
+    known: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        return known.setdefault(word, h % dimensions + (dimensions if h >> 63 else 0))
+
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions))
-        for row, text in zip(out, texts):
-            for word in (text or "").lower().split():
-                h = xxhash.xxh64_intdigest(word)
-                row[h % dimensions] += 1 if h >> 63 else -1
+        if len(known) > 1 << 16:
+            known.clear()
+        parts = [(text or "").lower().split() for text in texts]
+        at = np.fromiter((known[w] if w in known else place(w) for part in parts for w in part), np.int64)
+        row = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+        sums = np.bincount(row * 2 * dimensions + at, minlength=len(parts) * 2 * dimensions).reshape(len(parts), 2, dimensions)
+        out = (sums[:, 1] - sums[:, 0]).astype(np.float64)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 
@@ -408,11 +416,12 @@ def embed(rows: DataFrame, column: str = "text", encoder=None, batch: int = 256)
     """``rows`` with ``vector`` from an encoder, loaded once a task and fed in batches."""
     make = encoder or hashing_encoder
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = make()
         for texts in parts:
-            done = [encode(texts.iloc[k : k + batch].tolist()) for k in range(0, len(texts), batch)]
-            yield pd.Series([v.astype(np.float32) for m in done for v in m], dtype=object)
+            done = [np.asarray(encode(texts.slice(k, batch).to_pylist()), np.float32) for k in range(0, len(texts), batch)]
+            flat = np.concatenate(done) if done else np.empty((0, 0), np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel(), pa.float32()))
 
     return rows.withColumn("vector", run(F.col(column)))

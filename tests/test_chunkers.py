@@ -115,3 +115,60 @@ def test_recursive(docs, size, overlap):
     digest = lambda parts: [hashlib.md5(p.encode()).hexdigest() for p in parts]
     assert {k: digest(v) for k, v in found.items()} == {k: digest(v) for k, v in want.items()}
     assert all(len(c) <= size for parts in found.values() for c in parts)
+
+
+def plain_merge(sizes, size, overlap, gap):
+    """(first, number) of greedy chunks, the next beginning with the longest tail within the overlap that leaves room."""
+    total = lambda ks: sum(sizes[k] for k in ks) + gap * max(0, len(ks) - 1)
+    out, held = [], []
+    for k in range(len(sizes)):
+        if held and total([*held, k]) > size:
+            out.append((held[0], len(held)))
+            while held and (len(held) == k - out[-1][0] or total(held) > overlap or total([*held, k]) > size):
+                held = held[1:]
+        held.append(k)
+    return out + ([(held[0], len(held))] if held else [])
+
+
+@pytest.mark.parametrize("size, overlap, separator", [(12, 4, ""), (12, 0, "\n"), (30, 29, "\n\n"), (5, 20, "")])
+def test_merging_finds_a_length_once_a_piece(spark, size, overlap, separator):
+    """The fold asks for each piece's length once, not again for each tail that it tries; pieces of any length, empty ones and long ones."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from siftmill.operators import chunking
+
+    rng, asked = random.Random(size), []
+    rows = [(n, ["x" * rng.choice([0, 1, 2, 3, 5, 8, 40]) for _ in range(n)]) for n in (0, 1, 2, 7, 60, 400)]
+
+    def length(p):
+        asked.append(p)
+        return F.length(p)
+
+    frame = spark.createDataFrame(rows, "n int, pieces array<string>")
+    found = frame.select("n", chunking._merged(F.col("pieces"), separator, size, overlap, length).alias("c")).collect()
+    assert len(asked) == 1
+    pieces = dict(rows)
+    for r in found:
+        assert [tuple(c) for c in r["c"]] == plain_merge([len(p) for p in pieces[r["n"]]], size, overlap, len(separator)), r["n"]
+
+
+def test_the_encoder_takes_batches_of_texts(spark):
+    """Vectors are the same word by word; texts of the semantic chunker are shuffled without their vectors."""
+    import numpy as np
+    import xxhash
+
+    from siftmill.operators import retrieval
+    from siftmill.plans import catalogue
+    from tests.oracle import SMALL
+
+    texts = ["One two  two", None, "", "three " * 50 + "one"]
+    for text, got in zip(texts, retrieval.hashing_encoder(16)(texts)):
+        own = np.zeros(16)
+        for word in (text or "").lower().split():
+            h = xxhash.xxh64_intdigest(word)
+            own[h % 16] += 1 if h >> 63 else -1
+        assert np.array_equal(got, own / (np.linalg.norm(own) or 1))
+    plan = catalogue.QUERIES["chunk_semantic"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange hashpartitioning(doc_id") > plan.rindex("ArrowEvalPython")
