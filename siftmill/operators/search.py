@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,11 +151,12 @@ def containing(docs: DataFrame, parts: DataFrame, clean: Callable[[Column], Colu
     if blocks == 1:
         shared = spark.sparkContext.broadcast([r[0] for r in keys.collect()])
 
-        @F.pandas_udf("array<string>")
-        def digests(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # One text at a time is made a Python string, whatever the size of a batch.
+        @F.arrow_udf("array<string>")
+        def digests(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             find = _finder(shared.value)
             for own in texts:
-                yield pd.Series([find(text) for text in own], dtype=object)
+                yield pa.array((find(text.as_py()) for text in own), pa.list_(pa.string()), size=len(own))
 
         found = docs.withColumn("_digest", F.explode(digests(clean(F.col("text")))))
         return found.join(keyed.drop("_key"), "_digest").drop("_digest")
