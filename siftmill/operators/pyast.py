@@ -51,10 +51,10 @@ def _inner(node: ast.AST) -> list[ast.stmt]:
     return found
 
 
-def entity_rows(path: str, text: str) -> Iterator[tuple]:
+def entity_rows(path: str, text: str, tree: ast.Module | None = None) -> Iterator[tuple]:
     """(node_id, type, start, end, code) with dotted nesting. A class's ``__init__`` belongs to the
     class: neither it nor what it defines is a node."""
-    tree, lines = parsed(text), text.split("\n")
+    tree, lines = tree or parsed(text), text.split("\n")
 
     def walk(node: ast.AST, above: tuple[str, ...], in_class: bool) -> Iterator[tuple]:
         for child in ast.iter_child_nodes(node):
@@ -76,9 +76,9 @@ def entities(files: DataFrame) -> DataFrame:
     return _rows(files, "node_id string, type string, start int, end int, code string", entity_rows)
 
 
-def import_rows(path: str, text: str) -> Iterator[tuple]:
+def import_rows(path: str, text: str, tree: ast.Module | None = None) -> Iterator[tuple]:
     """(src, module, entity, alias, level): one row per imported name."""
-    tree = parsed(text)
+    tree = tree or parsed(text)
     for node in ast.walk(tree) if tree else ():
         if isinstance(node, ast.Import):
             for name in node.names:
@@ -96,10 +96,10 @@ def _called(node: ast.AST) -> str | None:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
 
 
-def call_rows(path: str, text: str) -> Iterator[tuple]:
+def call_rows(path: str, text: str, tree: ast.Module | None = None) -> Iterator[tuple]:
     """(src, name, etype): names that functions call, and bases, decorators and calls of the
     constructor of classes."""
-    tree = parsed(text)
+    tree = tree or parsed(text)
 
     def calls(body: list[ast.stmt]) -> Iterator[str]:
         stack: list[ast.AST] = list(body)
@@ -137,6 +137,29 @@ def call_rows(path: str, text: str) -> Iterator[tuple]:
         yield from dict.fromkeys(walk(tree, ()))
 
 
+def facts(files: DataFrame) -> DataFrame:
+    """What ``entities`` (without code), ``imports`` and ``calls`` give, by one parse of each file: rows of ``kind`` entity, import or call
+    with the columns of that kind; see ``of_kind``."""
+    schema = "kind string, node_id string, type string, src string, module string, entity string, alias string, level int, name string, etype string"
+
+    def each(path: str, text: str) -> Iterator[tuple]:
+        tree = parsed(text)
+        none = (None,) * 5
+        yield from (("entity", node_id, kind, None, *none, None) for node_id, kind, *_ in entity_rows(path, text, tree))
+        yield from (("import", None, None, *row, None, None) for row in import_rows(path, text, tree))
+        yield from (("call", None, None, src, None, None, None, None, name, etype) for src, name, etype in call_rows(path, text, tree))
+
+    return _rows(files, schema, each)
+
+
+#: Columns of the kinds of ``facts``.
+_KINDS = {"entity": ("node_id", "type"), "import": ("src", "module", "entity", "alias", "level"), "call": ("src", "name", "etype")}
+
+
+def of_kind(found: DataFrame, kind: str) -> DataFrame:
+    return found.filter(F.col("kind") == kind).select(*_KINDS[kind])
+
+
 def calls(files: DataFrame) -> DataFrame:
     return _rows(files, "src string, name string, etype string", call_rows)
 

@@ -256,3 +256,19 @@ def test_merge_of_equal_ranges(spark):
     whole = spark.createDataFrame([("a", 0, 30)], "k string, first long, last long")
     gaps = ranges.uncovered(own.filter("k = 'a'"), whole, ["k"])
     assert sorted(map(tuple, gaps.collect())) == [("a", 0, 9), ("a", 14, 14), ("a", 18, 21), ("a", 26, 30)]
+
+
+def test_facts_of_files_by_one_parse(spark, monkeypatch):
+    """Entities, imports and calls as their own operators give them; each file is parsed once."""
+    from siftmill.operators import pyast
+
+    texts = ["import os\nfrom . import b as c\n\n\nclass A(B):\n    def run(self):\n        return go()\n", "def (", "", None]
+    files = spark.createDataFrame([(f"f{k}.py", text) for k, text in enumerate(texts)], "path string, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    found = pyast.facts(files)
+    assert rows(pyast.of_kind(found, "entity")) == rows(pyast.entities(files).select("node_id", "type"))
+    assert rows(pyast.of_kind(found, "import")) == rows(pyast.imports(files)) and rows(pyast.of_kind(found, "call")) == rows(pyast.calls(files))
+    parsed, n = pyast.parsed, []
+    monkeypatch.setattr(pyast, "parsed", lambda text: n.append(text) or parsed(text))
+    tree = pyast.parsed(texts[0])
+    assert [len(list(each("f0.py", texts[0], tree))) for each in (pyast.entity_rows, pyast.import_rows, pyast.call_rows)] == [2, 2, 2] and len(n) == 1
