@@ -161,20 +161,22 @@ def resolved(references: DataFrame, blocks: DataFrame, by: list[str], excluded:
     A target, an array of names, means a block whose path ends so. Of several, that in the nearest scope: with the
     longest common beginning with the reference's own path, then the shallower, then the first by path.
     References in or below blocks of ``excluded`` kinds are left out (``blocks``: by, path, kind). Paths meet by an
-    index of their ends and beginnings, which holds one block of each, so a reference meets no more rows than its path is long."""
+    index of their ends and beginnings, which holds one block of each, so a reference meets no more rows than its path is long.
+    All joins are sorted: Spark takes explode for one row a row, and by that would send whole tables to the driver to broadcast them."""
     if excluded:
         over = blocks.filter(F.col("kind").isin(list(excluded))).select(*by, F.col("path").alias("_up"))
         own = references.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))))
-        inside = own.join(over, [*by, "_up"], "left_semi").select(*by, "path").distinct()
-        references = references.join(inside, [*by, "path"], "left_anti")
+        inside = own.join(over.hint("merge"), [*by, "_up"], "left_semi").select(*by, "path").distinct()
+        references = references.join(inside.hint("merge"), [*by, "path"], "left_anti")
     # The best block below each beginning of a path; a reference takes that of its longest beginning which has one.
     starts = lambda name, alias: F.explode(F.transform(F.sequence(F.lit(0), F.size(name)), lambda n: F.when(n > 0, F.slice(name, F.lit(1), n)).otherwise(F.array().cast("array<string>")))).alias(alias)
     ends = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.size("path") - n + 1, n)))
     asked = references.select(*by, "path", "target").distinct()
     index = blocks.filter(F.size("path") > 0).select(*by, F.col("path").alias("_path"), ends.alias("target"))
-    index = index.join(asked.select(*by, "target").distinct(), [*by, "target"], "left_semi")
+    index = index.join(asked.select(*by, "target").distinct().hint("merge"), [*by, "target"], "left_semi")
     near = F.struct(F.size("_path").alias("depth"), "_path")
     index = index.select("*", starts("_path", "_scope")).groupBy(*by, "target", "_scope").agg(F.min(near).alias("_near"))
     scopes = asked.select("*", starts("path", "_scope"))
-    best = scopes.join(index, [*by, "target", "_scope"]).groupBy(*by, "path", "target").agg(F.max_by("_near", F.size("_scope")).alias("_best"))
-    return references.join(best.select(*by, "path", "target", F.col("_best._path").alias("found")), [*by, "path", "target"], "left")
+    best = scopes.join(index.hint("merge"), [*by, "target", "_scope"]).groupBy(*by, "path", "target").agg(F.max_by("_near", F.size("_scope")).alias("_best"))
+    best = best.select(*by, "path", "target", F.col("_best._path").alias("found"))
+    return references.join(best.hint("merge"), [*by, "path", "target"], "left")

@@ -206,6 +206,23 @@ def test_references_meet_one_block_of_a_scope(spark):
     assert len(rows) == n + 5 and all(rows[f"c{k}"] == [f"c{k}" if k < n else "c0", "run"] for k in range(n + 5))
 
 
+def test_references_are_not_broadcast(spark, tmp_path):
+    """A small file of references, each many rows by its targets and scopes, none of which fit the driver."""
+    spark.range(3000).select("id").write.parquet(f"{tmp_path}/ids")
+    own = spark.read.parquet(f"{tmp_path}/ids")
+    path = F.array(F.concat(F.lit("s"), F.col("id") % 7), F.concat(F.lit("c"), "id"))
+    blocks = own.select(F.lit(1).alias("file"), path.alias("path"), F.when(F.col("id") % 11 == 0, "test").otherwise("class").alias("kind"))
+    references = own.select(F.lit(1).alias("file"), path.alias("path"), F.explode(F.array(F.array(F.concat(F.lit("c"), "id")), F.array(F.lit("none")))).alias("target"))
+    setting = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(setting, "64k")
+    try:
+        found = trees.resolved(references, blocks, ["file"], ("test",)).collect()
+    finally:
+        spark.conf.unset(setting)
+    kept = [k for k in range(3000) if k % 11]
+    assert len(found) == 2 * len(kept) and all(r["found"] == (None if r["target"] == ["none"] else r["path"]) for r in found)
+
+
 def test_numbers_of_a_tree_in_ranges(spark):
     """One wide tree is numbered in ranges, not in one window of it; names of any characters keep their order."""
     names = ["a", "a\x00", "a\x00b", "a\x01", "a\x01\x01", "a b", "é", "ab", "", None] + [f"n{k:04d}" for k in range(600)]
