@@ -158,22 +158,28 @@ def _numbered(blocks: DataFrame, tokens: Column, keep: tuple[str, ...], vocabula
     return kept(own.mapInArrow(number, schema))
 
 
-def _best_scored(numbered: DataFrame, keep: tuple[str, ...], names: list, query_type: T.DataType, postings_of: list[tuple[int, int, float]], n_words: int, k: int, score, gain, places: int | None) -> DataFrame:
+def _best_scored(numbered: DataFrame, keep: tuple[str, ...], names: list, query_type: T.DataType, postings_of: list[tuple], n_words: int, k: int, score, gain, places: int | None, bounds: tuple[np.ndarray, np.ndarray] | None = None, counts: dict[str, int] | None = None) -> DataFrame:
     """``query_id, item, keep, score``: at most ``k`` rows a query and task, the best by score, then by item.
 
     ``postings_of``: number of a word, number of a query in ``names``, weight. A word's ``gain`` in a block (tf, n) times its weight is
-    added up; ``score`` makes a score of the sums (of blocks by queries) and n. ``places``: scores are rounded before they are compared."""
-    by_word = sorted(postings_of)
+    added up; ``score`` makes a score of the sums (of blocks by queries) and n. ``places``: scores are rounded before they are compared.
+
+    With ``bounds``, each query's floor under its k-th best sum and what its words that are not essential can add at most, ``postings_of`` say too
+    whether a word is essential to its query; only pairs whose essential words and the rest reach the floor are scored. ``counts``, if given,
+    gets the numbers of those and of all pairs."""
+    by_word, tally = sorted(postings_of), counts is not None
+    essential = np.array([p[3] for p in by_word], bool) if bounds is not None else None
+    by_word = [p[:3] for p in by_word]
     first = np.searchsorted(np.array([w for w, _, _ in by_word], np.int64), np.arange(n_words + 1))
-    shared = numbered.sparkSession.sparkContext.broadcast((first, np.array([q for _, q, _ in by_word], np.int64), np.array([x for _, _, x in by_word], np.float64)))
+    shared = numbered.sparkSession.sparkContext.broadcast((first, np.array([q for _, q, _ in by_word], np.int64), np.array([x for _, _, x in by_word], np.float64), essential, bounds))
     n_queries = max(1, len(names))
     columns = ["item", *keep]
     schema = T.StructType([T.StructField("_query", T.IntegerType()), *(numbered.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
     order = [("_query", "ascending"), ("score", "descending"), ("item", "ascending")]
 
     def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, queries, weights = shared.value
-        held, floor = None, np.full(n_queries, -np.inf)
+        first, queries, weights, essential, bounds = shared.value
+        held, part, floor, seen = None, None, np.full(n_queries, -np.inf), np.zeros(2, np.int64)
         for part in parts:
             ids, tfs = (pc.list_flatten(part.column(c)).to_numpy() for c in ("ids", "tfs"))
             each = pc.list_value_length(part.column("ids")).to_numpy()
@@ -188,8 +194,16 @@ def _best_scored(numbered: DataFrame, keep: tuple[str, ...], names: list, query_
                 times = first[own + 1] - first[own]
                 word = np.repeat(np.arange(len(own)), times)
                 post = first[own][word] + np.arange(len(word)) - np.repeat(np.cumsum(times) - times, times)
-                worth = gain(tfs[a:z], n[at:to][row])[word] * weights[post]
-                sums = np.bincount(row[word] * n_queries + queries[post], worth, (to - at) * n_queries).reshape(to - at, n_queries)
+                each_gain, cell = gain(tfs[a:z], n[at:to][row]), row[word] * n_queries + queries[post]
+                if bounds is not None:
+                    some = essential[post]
+                    sums = np.bincount(cell[some], each_gain[word[some]] * weights[post[some]], (to - at) * n_queries).reshape(to - at, n_queries)
+                    wanted = (sums > 0) & (sums + bounds[1] >= bounds[0])
+                    if tally:
+                        seen += np.count_nonzero(wanted), len(np.unique(cell))
+                    some = wanted.ravel()[cell]
+                    word, post, cell = word[some], post[some], cell[some]
+                sums = np.bincount(cell, each_gain[word] * weights[post], (to - at) * n_queries).reshape(to - at, n_queries)
                 scores = np.where(sums > 0, score(sums, n[at:to, None]), -np.inf)
                 if places is not None:
                     scores = np.floor(scores * 10.0**places + 0.5) / 10.0**places
@@ -210,9 +224,17 @@ def _best_scored(numbered: DataFrame, keep: tuple[str, ...], names: list, query_
                 floor[query[full]] = np.maximum(floor[query[full]], held.column("score").to_numpy()[full])
         if held is not None:
             yield from held.combine_chunks().to_batches()
+        if tally and part is not None:  # as queries that none has the number of
+            rows = [pa.array([-1, -2], pa.int32()), *(pa.nulls(2, f.type) for f in part.select(columns).schema), pa.array(seen, pa.float64())]
+            yield pa.RecordBatch.from_arrays(rows, names=schema.names)
 
     found = numbered.mapInArrow(best, schema)
     spark = numbered.sparkSession
+    if counts is not None:
+        found = kept(found)
+        sums = {r["_query"]: int(r["n"]) for r in found.filter("_query < 0").groupBy("_query").agg(F.sum("score").alias("n")).collect()}
+        for q, name in ((-1, "candidates"), (-2, "pairs")):
+            counts[name] = counts.get(name, 0) + sums.get(q, 0)
     named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("_query", T.IntegerType()), T.StructField("query_id", query_type)]))
     return found.join(F.broadcast(named), "_query").select("query_id", *columns, "score")
 
